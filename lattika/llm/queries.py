@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lattika.llm.minhash import op10_minhash
 from lattika.llm.packing import op1_packing
 from lattika.llm.token_files import op5_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_token_files": op5_token_files,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
