@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from lattika.llm.minhash import op10_minhash
+from lattika.llm.mixing import OP2_SQL, op2_mixing
 from lattika.llm.packing import op1_packing
+from lattika.llm.quality import OP8_SQL, op8_quality
+from lattika.llm.secrets import op4_secrets
 from lattika.llm.token_files import op5_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
+    "op4_secrets": op4_secrets,
     "op5_token_files": op5_token_files,
+    "op8_quality": op8_quality,
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op8_quality": OP8_SQL}
