@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lattika.llm.language import op6_language
 from lattika.llm.minhash import op10_minhash
 from lattika.llm.mixing import OP2_SQL, op2_mixing
 from lattika.llm.packing import op1_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_secrets": op4_secrets,
     "op5_token_files": op5_token_files,
+    "op6_language": op6_language,
     "op8_quality": op8_quality,
     "op10_minhash": op10_minhash,
 }
