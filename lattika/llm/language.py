@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lattika.llm.batches import slices
 from lattika.llm.common import table
@@ -194,8 +195,8 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
                 score[known] = np.minimum(1.0, total.max(axis=1)[known])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
