@@ -9,6 +9,7 @@ from lattika.llm.packing import op1_packing
 from lattika.llm.quality import OP8_SQL, op8_quality
 from lattika.llm.secrets import op4_secrets
 from lattika.llm.token_files import op5_token_files
+from lattika.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -16,8 +17,9 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_token_files": op5_token_files,
     "op6_language": op6_language,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op8_quality": OP8_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op7_warc": OP7_SQL, "op8_quality": OP8_SQL}
