@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lattika.llm.ann import op3_ann
 from lattika.llm.language import op6_language
 from lattika.llm.minhash import op10_minhash
 from lattika.llm.mixing import OP2_SQL, op2_mixing
@@ -14,6 +15,7 @@ from lattika.llm.warc import OP7_SQL, op7_warc
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_ann": op3_ann,
     "op4_secrets": op4_secrets,
     "op5_token_files": op5_token_files,
     "op6_language": op6_language,
