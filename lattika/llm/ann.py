@@ -24,7 +24,7 @@ from lattika.llm.common import materialize, table
 #: Training vectors, at most; coarse lists, at most; codewords of a part, at most; components of a part, about.
 SAMPLE, LISTS, WORDS, PART = 20_000, 1024, 256, 4
 #: Lists probed: a share of all, and so many at least.
-PROBED_SHARE, PROBED_LEAST = 0.2, 24
+PROBED_SHARE, PROBED_LEAST = 0.5, 32
 #: Exactly measured candidates of a query in a block; rows of a block; queries of a block.
 RERANK, BLOCK, QUERY_BLOCK = 100, 4096, 512
 
