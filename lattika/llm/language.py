@@ -171,13 +171,13 @@ def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, owner, length
 
 
-def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
-    """`docs` with all its columns, and lang_pred and score (0 to 1): the likeliest language of each whole text.
+def identify(docs: DataFrame, network: ByteNetwork | None, predicted: str = "lang_pred", scored: str = "score") -> DataFrame:
+    """`docs` with all its columns, and lang_pred and score (0 to 1), or so named: the likeliest language of each whole text.
 
     A text that is null or holds no letter gets `und` with score 0, as every text does where nothing was learnt.
     Columns of these names in `docs` are replaced; an empty table gives no rows.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(predicted, scored)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +193,9 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
                 best = total.argmax(axis=1)
                 lang[known] = np.array(network.languages, object)[best[known]]
                 score[known] = np.minimum(1.0, total.max(axis=1)[known])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, predicted, scored])
 
-    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    added = [StructField(predicted, StringType()), StructField(scored, DoubleType())]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 

@@ -8,6 +8,7 @@ from lattika.llm.minhash import op10_minhash
 from lattika.llm.mixing import OP2_SQL, op2_mixing
 from lattika.llm.packing import op1_packing
 from lattika.llm.quality import OP8_SQL, op8_quality
+from lattika.llm.scoring import op9_scoring
 from lattika.llm.secrets import op4_secrets
 from lattika.llm.token_files import op5_token_files
 from lattika.llm.warc import OP7_SQL, op7_warc
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_scoring": op9_scoring,
     "op10_minhash": op10_minhash,
 }
 
