@@ -86,7 +86,7 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     and no words to take; a null source is a source, the last; null and repeated ids count row by row; an empty table gives no rows.
     """
     copies = queues(docs, seed).withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(COPIES)])))
-    finish = (F.col("copy") * F.col("source_size") + F.col("ends_at")) / F.col("target")
+    finish = F.try_divide((F.col("copy") * F.col("source_size") + F.col("ends_at")).cast("double"), F.col("target"))
     copies = copies.withColumn("finish", F.coalesce(finish, F.lit(0.0))).withColumn("taken", _served(F.col("copy")))
     return copies.repartitionByRange("finish", "place", "ends_at").sortWithinPartitions("finish", "place", "ends_at")
 
