@@ -8,8 +8,8 @@ probability 5e-8.
 
 Plan: texts with equal shingle sets collapse to their least doc_id first. A band bucket then compares each member
 with the bucket's least member only; links found are closed into components, and buckets whose members lie in
-different components are compared across components, in blocks, so that no link that joins components is lost and
-no bucket meets in one task. Every link is confirmed on the full shingle sets.
+different components are compared across components on their full sets, in blocks, so that no link that joins
+components is lost and no bucket meets in one task. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattika.llm.batches import binary, slices
-from lattika.llm.common import materialize, table
+from lattika.llm.batches import slices
+from lattika.llm.common import materialize, release, table
 from lattika.llm.shingles import mix, shingle_sets
 from lattika.operators.components import connected_components
 
 #: Coordinates of a sketch (a power of two, 128 at most: a round takes 8 bits) and of a band.
 T, ROWS = 128, 4
-#: Members of a block when a bucket is compared across components; smaller buckets are joined with themselves.
-BLOCK, SMALL = 256, 24
+#: Shingles of a block when a bucket is compared across components; columns of an incidence matrix.
+VOLUME, COLUMNS = 4_000_000, 4096
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -66,7 +66,7 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if it is empty), bands, and a byte of each coordinate."""
+    """doc_id, n_shingles, digest of the set (null if it is empty) and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -77,10 +77,9 @@ def sketch_table(docs: DataFrame, shingle: int) -> DataFrame:
             keys = band_keys(sketch)
             has = np.where(counts > 0, keys.shape[1], 0)
             bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(has)]).astype(np.int32), keys[counts > 0].ravel())
-            marks = mix(sketch).astype(np.uint8)
-            yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": counts, "digest": pa.array(digests, pa.binary()), "bands": bands, "marks": binary(marks.ravel(), np.full(len(marks), T))})
+            yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": counts, "digest": pa.array(digests, pa.binary()), "bands": bands})
 
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, marks binary"
+    schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -96,46 +95,78 @@ def set_table(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(set_table(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), shingle), "sets")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - both
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b").distinct()
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of buckets that still hold several components: pairs of different components only.
+def links_between(outliers: pd.DataFrame, members: pd.DataFrame, percent: int, alone: bool) -> pd.DataFrame:
+    """A link (a, b) for each two components that one joins: rows of `outliers` against rows of `members`.
 
-    members: key, size, rep, component, marks. Large buckets are dealt into blocks, and each pair of blocks is one small
-    group; pairs whose sketches lie six standard deviations below the threshold are left out.
+    Both have rep, component and shingles. Intersections are counted for all pairs at once, as products of incidence
+    matrices over the shingles that two rows share; `alone`: the members include the outliers.
+    """
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    if not len(outliers) or not len(members):
+        return none
+    x, y = (np.concatenate(list(t["shingles"])) for t in (outliers, members))
+    size_x, size_y = (np.array([len(v) for v in t["shingles"]]) for t in (outliers, members))
+    common, counts = np.unique(y, return_counts=True)
+    common = np.intersect1d(common[counts > 1] if alone else common, x)
+    row_x, row_y = np.repeat(np.arange(len(size_x)), size_x), np.repeat(np.arange(len(size_y)), size_y)
+
+    def placed(v: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(common, v)
+        known = common[np.minimum(at, len(common) - 1)] == v if len(common) else np.zeros(len(v), bool)
+        return at[known], row[known]
+
+    (at_x, row_x), (at_y, row_y) = placed(x, row_x), placed(y, row_y)
+    rep_x, rep_y, own_x, own_y = (t[c].to_numpy() for c in ("rep", "component") for t in (outliers, members))
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for first in range(0, len(size_x), 512):
+        here = (row_x >= first) & (row_x < first + 512)
+        shared = np.zeros((min(512, len(size_x) - first), len(size_y)), np.float32)
+        for low in range(0, len(common), COLUMNS):
+            some_x, some_y = here & (at_x >= low) & (at_x < low + COLUMNS), (at_y >= low) & (at_y < low + COLUMNS)
+            left = np.zeros((len(shared), COLUMNS), np.float32)
+            left[row_x[some_x] - first, at_x[some_x] - low] = 1
+            right = np.zeros((len(size_y), COLUMNS), np.float32)
+            right[row_y[some_y], at_y[some_y] - low] = 1
+            shared += left @ right.T
+        union = size_x[first : first + 512, None] + size_y[None] - shared
+        hits = np.argwhere((100 * shared.astype(np.float64) >= percent * union) & (own_x[first : first + 512, None] != own_y[None]))
+        for i, j in hits:
+            found.setdefault((own_x[first + i], own_y[j]), (rep_x[first + i], rep_y[j]))
+    return pd.DataFrame(list(found.values()), columns=["a", "b"]) if found else none
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components of a bucket's members.
+
+    members: hub, rep, component; buckets with one hub are one group. All members outside a group's largest component
+    are compared with all its members. A group of more than VOLUME shingles is dealt out into blocks on either
+    side, so each comparison holds two blocks.
     """
-    a, b = members.alias("a"), members.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
-    small = a.where(f"a.size <= {SMALL}").join(b.where(f"b.size <= {SMALL}"), near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    share = percent / 100
-    least = (share - 6 * (share * (1 - share) / T) ** 0.5) * T
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group), T)
-        block, rep, comp = (group[c].to_numpy() for c in ("block", "rep", "component"))
-        low = group["low"].to_numpy()[0]
-        found = []
-        rows = np.flatnonzero(block == low)
-        columns = np.flatnonzero(block == group["high"].to_numpy()[0])
-        for i in rows:
-            hits = columns[((marks[columns] == marks[i]).sum(axis=1) >= least) & (comp[columns] != comp[i]) & (rep[columns] != rep[i])]
-            found.append(np.stack([np.minimum(rep[hits], rep[i]), np.maximum(rep[hits], rep[i])], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    large = members.where(f"size > {SMALL}").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "marks")
-    return small.union(large.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")).distinct()
+    largest = members.groupBy("hub", "component").count().groupBy("hub").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    rows = members.join(largest, "hub").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    rows = rows.withColumn("out", F.col("component") != F.col("main"))
+    volume = lambda c: F.ceil(F.sum(c) / VOLUME).cast("int")
+    blocks = rows.groupBy("hub").agg(volume(F.when(F.col("out"), F.size("shingles"))).alias("outs"), volume(F.size("shingles")).alias("alls"))
+    rows = rows.join(blocks, "hub").select("hub", "rep", "component", "shingles", "out", "outs", "alls")
+    count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    left = rows.where("out").withColumn("o", deal("outs")).withColumn("m", count("alls"))
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own, as both sides come from one table
+    right = rows.withColumn("m", deal("alls")).withColumn("o", count("outs"))
+
+    def compare(outliers: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        return links_between(outliers, group, percent, len(group) > 0 and int(group["alls"].iloc[0]) == 1)
+
+    keys = ("hub", "o", "m")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -150,21 +181,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     copies = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = linkable.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     bands = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     members = materialize(bands.join(buckets, "key"), "members")
-    first = materialize(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = materialize(confirmed(first, docs, shingle, percent), "links")
+    nodes = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = materialize(set_table(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), shingle), "sets")
+    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    links = materialize(confirmed(pairs, sets, percent), "links")
     found = connected_components(links, "a", "b", materialize)
 
-    placed = members.join(found, members.rep == found.node, "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(found, members.rep == found.node, "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    inside = placed.join(open_, "key", "left_semi").join(reps.select(F.col("doc_id").alias("rep"), "marks"), "rep")
-    second = materialize(across(inside, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(confirmed(second, docs, shingle, percent))
+    inside = placed.join(open_, "key", "left_semi").select("hub", "rep", "component").distinct()
+    every = links.union(across(inside, sets, percent))
 
     ids = linkable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     shared = linkable.join(ids, "doc_id", "left_semi").join(copies, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    whole = connected_components(links.union(shared), "a", "b", materialize)
+    whole = connected_components(every.union(shared), "a", "b", materialize)
+    for done in (members, sets, links):
+        release(done)
 
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(copies, "digest", "left")
     out = out.join(whole, out.rep == whole.node, "left")

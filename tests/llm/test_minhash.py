@@ -64,11 +64,12 @@ def test_families_that_share_much_but_not_enough(spark):
 def test_large_open_bucket_is_compared_in_blocks(spark, monkeypatch):
     from lattika.llm import minhash
 
-    monkeypatch.setattr(minhash, "SMALL", 3)
-    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "VOLUME", 900)
+    monkeypatch.setattr(minhash, "COLUMNS", 64)
     rnd = random.Random(5)
     passage = [f"p{i}" for i in range(80)]
     rows = [(i, " ".join(passage + [f"d{i // 2}x{j}" for j in range(35)] + [f"e{i}x{j}" for j in range(2)])) for i in range(40)]
+    rows += [(100 + i, " ".join(passage + [f"d{i}x{j}" for j in range(35)] + [f"e{200 + i}x{j}" for j in range(2)])) for i in range(15)]
     rnd.shuffle(rows)
     check(spark, rows, 2)
 
