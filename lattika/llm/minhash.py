@@ -206,6 +206,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with all its columns, without the documents that `near_duplicates` does not keep.
+
+    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    """
+    found = near_duplicates(docs, shingle, percent)
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti")
+    twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():
+        one = rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        rest = rest.join(twice, "doc_id", "left_anti").unionByName(one)
+    return rest.select(docs.columns)
+
+
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     """All documents on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
