@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed value: the base-32 digits of sortable identifiers.
 DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -22,7 +23,7 @@ def _plain(v):
     return [_plain(x) for x in v] if isinstance(v, list) else _number(v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no spaces and whole numbers without a fraction; null where the text is no JSON."""
 

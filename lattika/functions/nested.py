@@ -95,7 +95,7 @@ def repair(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def parse_object(s: pd.Series) -> pd.Series:
     """The JSON object that a model's answer holds, repaired where it is cut short; null where there is none."""
     return s.map(repair)

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Capabilities that name no action are this one.
 NO_ACTION = "none"
@@ -17,7 +18,7 @@ def present(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatibility_form(s: pd.Series) -> pd.Series:
     """Unicode NFKD."""
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))

@@ -30,14 +30,16 @@ def _by_frame(left: DataFrame, right: DataFrame, frame: str, order: tuple[str, s
     """`match` on the rows of both sides of every frame, each side in its order; it gives tuples, to which the frame is put first."""
     calls = max(1, left.count() // ROWS, right.count() // ROWS)
     left, right = (df.withColumn("__call", F.pmod(F.xxhash64(frame), F.lit(calls))) for df in (left, right))
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own, where both sides come from one table
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         sides: list[dict] = []
         for t, by in ((a, order[0]), (b, order[1])):
             rows: dict = {}
-            for r in t.sort_values(by, kind="stable").rename(columns={frame: "frame_"}).itertuples(index=False):
-                rows.setdefault(r.frame_, []).append(r)
+            t = t.sort_values(by, kind="stable")
+            for f, r in zip(t[frame].tolist(), t.itertuples(index=False)):
+                rows.setdefault(f, []).append(r)
             sides.append(rows)
         found = [(f, *x) for f in dict.fromkeys([*sides[0], *sides[1]]) for x in match(sides[0].get(f, []), sides[1].get(f, []))]
         return pd.DataFrame(found, columns=names)
