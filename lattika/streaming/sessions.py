@@ -37,32 +37,33 @@ def visible_and_inner(events: DataFrame) -> DataFrame:
     return whole.select("session", F.regexp_replace("content", f"(?s){OPEN}.*?(?:{CLOSE}|$)", "").alias("visible"), F.array_join(inner, "").alias("inner"))
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
+def lifecycle(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """A stream of (target, workspace, session, event, ts) as admissions: target, workspace, session, event, accepted.
 
     One session at a time is active for a target and workspace: a `start` is refused while another session runs, and an
-    event of a session that is not active is refused, but for repeated starts. An ended session is forgotten after KEPT_SECONDS.
+    event of a session that is not active is refused, but for repeated starts. An ended session is forgotten KEPT_SECONDS of event
+    time after its last event, once the watermark (`delay` behind) has passed.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        active = state.get[0] if state.exists else ""
-        out = []
+        active, last, out = state.get[0] if state.exists else "", 0, []
         for batch in batches:
             for r in batch.sort_values("ts", kind="stable").itertuples(index=False):
                 ok = (active in ("", r.session)) if r.event == "start" else active == r.session
                 if ok:
                     active = "" if r.event in ENDED else r.session
                 out.append((*key, r.session, r.event, ok))
+                last = max(last, int(r.ts.timestamp() * 1000))
         state.update((active,))
         if not active:
-            state.setTimeoutDuration(KEPT_SECONDS * 1000)
+            state.setTimeoutTimestamp(max(last + KEPT_SECONDS * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["target", "workspace", "session", "event", "accepted"])
 
-    return events.groupBy("target", "workspace").applyInPandasWithState(
-        step, "target string, workspace string, session string, event string, accepted boolean", "active string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", delay).groupBy("target", "workspace").applyInPandasWithState(
+        step, "target string, workspace string, session string, event string, accepted boolean", "active string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
