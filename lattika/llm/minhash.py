@@ -218,7 +218,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     if not twice.isEmpty():
         one = rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         rest = rest.join(twice, "doc_id", "left_anti").unionByName(one)
-    return rest.select(docs.columns)
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
