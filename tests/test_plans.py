@@ -131,7 +131,7 @@ def test_routes(spark, site):
 ELEMENT = "id string, label string, candidateKey string, elementType string, bbox struct<x:double,y:double,width:double,height:double>, gridColumns int, gridRows int, gridRegion int, parentId string, ownerKind string, ownerRef string, pageId string, availableOnPageIds array<string>, capabilities array<string>, reviewStatus string, riskSignals array<string>"
 
 
-def element(id_, key=None, parent=None, owner="page", page="p1", available=None, box=(0.1, 0.2, 0.2, 0.1), grid=(3, 6, 7), **v):
+def element(id_, key=None, parent=None, owner="page", page="p1", available=None, box=(0.1, 0.2, 0.2, 0.1), grid=(3, 6, 4), **v):
     return (id_, v.get("label", "L"), key or id_, v.get("kind", "image"), box, *grid, parent, owner, None, page, available, v.get("capabilities", ["tap"]), v.get("review", "accepted"), v.get("risk"))
 
 
