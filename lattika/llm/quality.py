@@ -10,7 +10,7 @@ the shuffle, so a host with a third of all documents costs no more than another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattika.llm.common import WORD, materialize, table
@@ -71,18 +71,26 @@ def measure(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
+def priors(hosts: DataFrame) -> dict[str, tuple[float | None, float | None]]:
+    """Mean and strength in documents of each rule's beta prior, by the method of moments over all hosts: one row of sums, whatever the number of hosts."""
+    moments = []
+    for name in RULES:
+        moments += [(F.sum(name) / F.sum("documents")).alias(f"{name}_mean"), F.var_pop(F.col(name) / F.col("documents")).alias(f"{name}_spread")]
+    row, found = hosts.agg(*moments).first(), {}
+    for name in RULES:
+        mean, spread = row[f"{name}_mean"], row[f"{name}_spread"]
+        strength = mean * (1 - mean) / spread - 1 if spread else STRENGTH[1]
+        found[name] = (mean, max(STRENGTH[0], min(STRENGTH[1], strength)))
+    return found
+
+
 def host_verdicts(measured: DataFrame) -> DataFrame:
     """host, documents, refused, and the shrunk rate of each rule; one row per host (null is a host)."""
     counts = [F.count_if(F.expr(rule)).alias(name) for name, rule in RULES.items()]
-    hosts = measured.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("documents"), *counts)
-    whole = Window.partitionBy(F.lit(1))  # a row per host
-    for name in RULES:
-        mean = F.sum(name).over(whole) / F.sum("documents").over(whole)
-        spread = F.var_pop(F.col(name) / F.col("documents")).over(whole)
-        hosts = hosts.withColumn("mean", mean).withColumn("spread", spread)
-        strength = F.when(F.col("spread") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1).otherwise(F.lit(STRENGTH[1]))
-        strength = F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), strength))
-        hosts = hosts.withColumn(f"{name}_rate", (F.col(name) + F.col("mean") * strength) / (F.col("documents") + strength))
+    hosts = materialize(measured.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("documents"), *counts), "hosts")
+    fitted = priors(hosts)
+    shrunk = lambda name, mean, strength: (F.col(name) + F.lit(mean).cast("double") * F.lit(strength)) / (F.col("documents") + F.lit(strength))
+    hosts = hosts.withColumns({f"{name}_rate": shrunk(name, *fitted[name]) for name in RULES})
     refused = F.greatest(*[F.col(f"{name}_rate") for name in RULES]) > LIMIT
     return hosts.select("host", "documents", *[f"{name}_rate" for name in RULES], refused.alias("refused"))
 
