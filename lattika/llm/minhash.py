@@ -30,8 +30,10 @@ from lattika.operators.components import connected_components
 
 #: Coordinates of a sketch (a power of two, 128 at most: a round takes 8 bits) and of a band.
 T, ROWS = 128, 4
-#: Shingles of a block when a bucket is compared across components; columns of an incidence matrix.
-VOLUME, COLUMNS = 4_000_000, 4096
+#: Shingles and rows of a block, at most, when a bucket is compared across components.
+VOLUME, MEMBERS = 4_000_000, 16_384
+#: Rows and columns of the incidence matrices on either side.
+STRIPES, COLUMNS = (512, 4096), 4096
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -126,20 +128,23 @@ def links_between(outliers: pd.DataFrame, members: pd.DataFrame, percent: int, a
     (at_x, row_x), (at_y, row_y) = placed(x, row_x), placed(y, row_y)
     rep_x, rep_y, own_x, own_y = (t[c].to_numpy() for c in ("rep", "component") for t in (outliers, members))
     found: dict[tuple[int, int], tuple[int, int]] = {}
-    for first in range(0, len(size_x), 512):
-        here = (row_x >= first) & (row_x < first + 512)
-        shared = np.zeros((min(512, len(size_x) - first), len(size_y)), np.float32)
-        for low in range(0, len(common), COLUMNS):
-            some_x, some_y = here & (at_x >= low) & (at_x < low + COLUMNS), (at_y >= low) & (at_y < low + COLUMNS)
-            left = np.zeros((len(shared), COLUMNS), np.float32)
-            left[row_x[some_x] - first, at_x[some_x] - low] = 1
-            right = np.zeros((len(size_y), COLUMNS), np.float32)
-            right[row_y[some_y], at_y[some_y] - low] = 1
-            shared += left @ right.T
-        union = size_x[first : first + 512, None] + size_y[None] - shared
-        hits = np.argwhere((100 * shared.astype(np.float64) >= percent * union) & (own_x[first : first + 512, None] != own_y[None]))
-        for i, j in hits:
-            found.setdefault((own_x[first + i], own_y[j]), (rep_x[first + i], rep_y[j]))
+    def incidence(at: np.ndarray, row: np.ndarray, first: int, rows: int, low: int) -> np.ndarray:
+        a, b = np.searchsorted(row, [first, first + rows])
+        some = (at[a:b] >= low) & (at[a:b] < low + COLUMNS)
+        out = np.zeros((rows, COLUMNS), np.float32)
+        out[row[a:b][some] - first, at[a:b][some] - low] = 1
+        return out
+
+    for i in range(0, len(size_x), STRIPES[0]):
+        for j in range(0, len(size_y), STRIPES[1]):
+            x_rows, y_rows = min(STRIPES[0], len(size_x) - i), min(STRIPES[1], len(size_y) - j)
+            shared = np.zeros((x_rows, y_rows), np.float32)
+            for low in range(0, len(common), COLUMNS):
+                shared += incidence(at_x, row_x, i, x_rows, low) @ incidence(at_y, row_y, j, y_rows, low).T
+            union = size_x[i : i + x_rows, None] + size_y[None, j : j + y_rows] - shared
+            close = 100 * shared.astype(np.float64) >= percent * union
+            for a, b in np.argwhere(close & (own_x[i : i + x_rows, None] != own_y[None, j : j + y_rows])):
+                found.setdefault((own_x[i + a], own_y[j + b]), (rep_x[i + a], rep_y[j + b]))
     return pd.DataFrame(list(found.values()), columns=["a", "b"]) if found else none
 
 
@@ -147,13 +152,13 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join different components of a bucket's members.
 
     members: hub, rep, component; buckets with one hub are one group. All members outside a group's largest component
-    are compared with all its members. A group of more than VOLUME shingles is dealt out into blocks on either
-    side, so each comparison holds two blocks.
+    are compared with all its members. A group of more than VOLUME shingles or MEMBERS rows is dealt out into blocks
+    on either side, so each comparison holds two blocks.
     """
     largest = members.groupBy("hub", "component").count().groupBy("hub").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rows = members.join(largest, "hub").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     rows = rows.withColumn("out", F.col("component") != F.col("main"))
-    volume = lambda c: F.ceil(F.sum(c) / VOLUME).cast("int")
+    volume = lambda c: F.greatest(F.ceil(F.sum(c) / VOLUME), F.ceil(F.count(c) / MEMBERS)).cast("int")
     blocks = rows.groupBy("hub").agg(volume(F.when(F.col("out"), F.size("shingles"))).alias("outs"), volume(F.size("shingles")).alias("alls"))
     rows = rows.join(blocks, "hub").select("hub", "rep", "component", "shingles", "out", "outs", "alls")
     count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

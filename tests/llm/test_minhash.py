@@ -81,3 +81,29 @@ def test_nulls_empty_ties_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_links_between_in_stripes(monkeypatch):
+    """However the rows and shingles of a group are cut, the same components are joined."""
+    import numpy as np
+    import pandas as pd
+
+    from lattika.llm import minhash
+
+    rnd = random.Random(9)
+    pool = list(range(60))
+    sets = [np.array(sorted(rnd.sample(pool, rnd.choice([1, 4, 40, 45, 50])))) for _ in range(70)]
+    members = pd.DataFrame({"rep": range(70), "component": [i // 3 for i in range(70)], "shingles": sets})
+    outliers = members[members.component > 4].reset_index(drop=True)
+    want = set()
+    for a, c in zip(outliers.component, outliers.shingles):
+        for b, d in zip(members.component, members.shingles):
+            both = len(np.intersect1d(c, d))
+            if a != b and 100 * both >= 80 * (len(c) + len(d) - both):
+                want.add((a, b))
+    own = dict(zip(members.rep, members.component))
+    for stripes, columns in (((512, 4096), 4096), ((3, 5), 7)):
+        monkeypatch.setattr(minhash, "STRIPES", stripes)
+        monkeypatch.setattr(minhash, "COLUMNS", columns)
+        found = minhash.links_between(outliers, members, 80, True)
+        assert {(own[a], own[b]) for a, b in zip(found.a, found.b)} == want and want
