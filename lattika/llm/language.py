@@ -9,7 +9,6 @@ tables are small and travel with the task. Prediction reads whole texts where th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,6 @@ WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 24
 SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 2048, 200
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 #: Symbols: 0 pads; letters count in lower case; digits, white space and other ASCII are one symbol each; other bytes are themselves.
 _SYMBOL = np.full(256, 3, np.int32)
@@ -183,7 +181,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None, predicted: str = "lan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(at)
-            known = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool) & (network is not None)
+            known = np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], bool) & (network is not None)
             lang, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
             if known.any():
                 x, owner, length = _windows(texts)
