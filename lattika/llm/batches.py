@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A slice ends after so many rows or so many bytes, whichever comes first (a longer text is a slice of its own).
-SLICE_ROWS, SLICE_BYTES = 1_000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1_000, 2 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

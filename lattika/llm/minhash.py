@@ -31,7 +31,7 @@ from lattika.operators.components import connected_components
 #: Coordinates of a sketch (a power of two, 128 at most: a round takes 8 bits) and of a band.
 T, ROWS = 128, 4
 #: Shingles and rows of a block, at most, when a bucket is compared across components.
-VOLUME, MEMBERS = 4_000_000, 16_384
+VOLUME, MEMBERS = 2_000_000, 16_384
 #: Rows and columns of the incidence matrices on either side.
 STRIPES, COLUMNS = (512, 4096), 4096
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -118,10 +118,10 @@ def links_between(outliers: pd.DataFrame, members: pd.DataFrame, percent: int, a
     size_x, size_y = (np.array([len(v) for v in t["shingles"]]) for t in (outliers, members))
     common, counts = np.unique(y, return_counts=True)
     common = np.intersect1d(common[counts > 1] if alone else common, x)
-    row_x, row_y = np.repeat(np.arange(len(size_x)), size_x), np.repeat(np.arange(len(size_y)), size_y)
+    row_x, row_y = (np.repeat(np.arange(len(s), dtype=np.int32), s) for s in (size_x, size_y))
 
     def placed(v: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(common, v)
+        at = np.searchsorted(common, v).astype(np.int32)
         known = common[np.minimum(at, len(common) - 1)] == v if len(common) else np.zeros(len(v), bool)
         return at[known], row[known]
 
