@@ -32,7 +32,7 @@ def query(sql: str | None = None):
     return register
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -43,28 +43,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def q_dangling_orders(spark, d):
     """Orders whose customer is not among those in credit."""
-    good = _read(spark, d, "customer", "c_custkey", "c_acctbal").where("c_acctbal >= 0")
-    return K.dangling(_read(spark, d, "orders", "o_orderkey", "o_custkey"), "o_custkey", good, "c_custkey")
+    good = read(spark, d, "customer", "c_custkey", "c_acctbal").where("c_acctbal >= 0")
+    return K.dangling(read(spark, d, "orders", "o_orderkey", "o_custkey"), "o_custkey", good, "c_custkey")
 
 
 @query("SELECT doc_id, quality, toxic FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = l.doc_id AND lang = 'en')")
 def q_dangling_labels(spark, d):
     """Labels of documents that are not English."""
-    english = _read(spark, d, "documents", "doc_id", "lang").where("lang = 'en'")
-    return K.dangling(_read(spark, d, "labels"), "doc_id", english, "doc_id")
+    english = read(spark, d, "documents", "doc_id", "lang").where("lang = 'en'")
+    return K.dangling(read(spark, d, "labels"), "doc_id", english, "doc_id")
 
 
 @query("SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text <> '' GROUP BY text HAVING count(*) > 1")
 def q_dup_documents(spark, d):
     """Texts that occur more than once, and the first document of each."""
-    texts = _read(spark, d, "documents", "doc_id", "text").where("text <> ''").select("doc_id", F.md5("text").alias("text_md5"))
+    texts = read(spark, d, "documents", "doc_id", "text").where("text <> ''").select("doc_id", F.md5("text").alias("text_md5"))
     return texts.groupBy("text_md5").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
 @query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents WHERE text <> '') WHERE r = 1""")
 def q_keep_first(spark, d):
     """The first document of each text."""
-    texts = _read(spark, d, "documents", "doc_id", "text").where("text <> ''").select("doc_id", F.md5("text").alias("key"))
+    texts = read(spark, d, "documents", "doc_id", "text").where("text <> ''").select("doc_id", F.md5("text").alias("key"))
     return selection.keep_first(texts, "key", "doc_id").select("doc_id")
 
 
@@ -74,7 +74,7 @@ WHERE NOT CASE e.user_id % 3 WHEN 0 THEN true WHEN 1 THEN e.event_type IN ('clic
 def q_domain_range(spark, d):
     """Events whose type the rules of their kind of user do not allow."""
     rules = spark.createDataFrame([(0, ["*"]), (1, ["click", "view"]), (2, ["purchase", "signup", "view"])], "rule_kind long, allowed array<string>")
-    events = _read(spark, d, "events", "event_id", "event_type", "user_id").withColumn("kind", F.col("user_id") % 3).drop("user_id")
+    events = read(spark, d, "events", "event_id", "event_type", "user_id").withColumn("kind", F.col("user_id") % 3).drop("user_id")
     return K.outside_domain(events, "kind", "event_type", rules, "rule_kind", "allowed")
 
 
@@ -83,8 +83,8 @@ WITH s AS (SELECT DISTINCT s_nationkey AS nation FROM supplier WHERE s_acctbal >
 SELECT nation, 'left' AS side FROM s WHERE nation NOT IN (FROM c) UNION ALL SELECT nation, 'right' FROM c WHERE nation NOT IN (FROM s)""")
 def q_reciprocal_sets(spark, d):
     """Nations with rich suppliers or rich customers, but not both."""
-    s = _read(spark, d, "supplier", "s_nationkey", "s_acctbal").where("s_acctbal > 2000").select(F.col("s_nationkey").alias("nation"))
-    c = _read(spark, d, "customer", "c_nationkey", "c_acctbal").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    s = read(spark, d, "supplier", "s_nationkey", "s_acctbal").where("s_acctbal > 2000").select(F.col("s_nationkey").alias("nation"))
+    c = read(spark, d, "customer", "c_nationkey", "c_acctbal").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
     return K.set_difference(s, c, "nation")
 
 
@@ -92,14 +92,14 @@ def q_reciprocal_sets(spark, d):
 def q_option_membership(spark, d):
     """Documents whose language or source is not on a list, and what is not."""
     allowed = F.array(*map(F.lit, ("en", "fr", "src0", "src1", "src2")))
-    docs = _read(spark, d, "documents", "doc_id", "lang", "source").select("doc_id", F.array("lang", "source").alias("values"))
+    docs = read(spark, d, "documents", "doc_id", "lang", "source").select("doc_id", F.array("lang", "source").alias("values"))
     return K.unknown_members(docs, "values", allowed).select("doc_id", F.array_join("unknown", ",").alias("unknown"))
 
 
 @query("SELECT l_partkey AS part, array_to_string(list_sort(list(l_suppkey)), ',') AS parents FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey HAVING count(*) > 1")
 def q_several_parents(spark, d):
     """Parts that more than one returned line item holds, with their suppliers."""
-    lines = _read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_returnflag").where("l_returnflag = 'R'")
+    lines = read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_returnflag").where("l_returnflag = 'R'")
     found = K.several_parents(lines.select(F.col("l_partkey").alias("part"), "l_suppkey"), "part", "l_suppkey")
     return found.select("part", F.array_join("parents", ",").alias("parents"))
 
@@ -109,14 +109,14 @@ WITH r AS (SELECT user_id, count(*) AS records FROM events WHERE event_type = 's
 SELECT user_id, coalesce(records, 0) AS records, coalesce(cards, 0) AS cards FROM r FULL JOIN c USING (user_id) WHERE coalesce(records, 0) <> 1 OR coalesce(cards, 0) <> 1""")
 def q_card_match(spark, d):
     """Users without exactly one signup and one error."""
-    e = _read(spark, d, "events", "user_id", "event_type")
+    e = read(spark, d, "events", "user_id", "event_type")
     return K.card_match(e.where("event_type = 'signup'"), e.where("event_type = 'error'"), "user_id")
 
 
 @query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS values FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
 def q_signature_reuse(spark, d):
     """Sources that hold more than one language."""
-    return K.reused(_read(spark, d, "documents", "source", "lang"), ["source"], "lang").withColumn("values", F.array_join("values", ","))
+    return K.reused(read(spark, d, "documents", "source", "lang"), ["source"], "lang").withColumn("values", F.array_join("values", ","))
 
 
 # --- selection -------------------------------------------------------------------------------------------------------
@@ -125,7 +125,7 @@ def q_signature_reuse(spark, d):
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1")
 def q_latest_per_key(spark, d):
     """The latest event of each user."""
-    return selection.latest(_read(spark, d, "events", "user_id", "event_id", "event_type", "ts"), ["user_id"], "ts", "event_id").drop("ts")
+    return selection.latest(read(spark, d, "events", "user_id", "event_id", "event_type", "ts"), ["user_id"], "ts", "event_id").drop("ts")
 
 
 @query("""
@@ -134,7 +134,7 @@ SELECT user_id, p.event_id AS purchase_id, q.event_id AS error_id, q.gap FROM ev
 WHERE p.event_type = 'purchase'""")
 def q_nearest_pair(spark, d):
     """The error nearest in time to each purchase of a user."""
-    e = _read(spark, d, "events", "user_id", "event_id", "event_type", "ts").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = read(spark, d, "events", "user_id", "event_id", "event_type", "ts").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     p = e.where("event_type = 'purchase'").select("user_id", "us", F.col("event_id").alias("purchase_id"))
     r = e.where("event_type = 'error'").select("user_id", "us", F.col("event_id").alias("error_id"))
     return selection.nearest_pairs(p, r, ["user_id"], "us", "us", "purchase_id", "error_id").withColumn("gap", F.col("gap").cast("long"))
@@ -143,7 +143,7 @@ def q_nearest_pair(spark, d):
 @query("SELECT user_id, CASE min(CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'click' THEN 4 END) WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' WHEN 4 THEN 'click' END AS status FROM events GROUP BY user_id")
 def q_status_lattice(spark, d):
     """The gravest event type of each user."""
-    return selection.status_lattice(_read(spark, d, "events", "user_id", "event_type"), ["user_id"], "event_type", ["error", "purchase", "signup", "click"])
+    return selection.status_lattice(read(spark, d, "events", "user_id", "event_type"), ["user_id"], "event_type", ["error", "purchase", "signup", "click"])
 
 
 @query("""
@@ -151,9 +151,9 @@ WITH f AS (SELECT o_orderkey, bool_and(l_quantity >= 2) AS good FROM orders LEFT
 SELECT o_orderkey FROM f WHERE coalesce(good, true)""")
 def q_evidence_qualify(spark, d):
     """Orders all of whose line items are of quantity 2 or more; orders without items qualify."""
-    lines = _read(spark, d, "lineitem", "l_orderkey", "l_quantity").select("l_orderkey", F.when(F.col("l_quantity") >= 2, "pass").otherwise("fail").alias("status"))
+    lines = read(spark, d, "lineitem", "l_orderkey", "l_quantity").select("l_orderkey", F.when(F.col("l_quantity") >= 2, "pass").otherwise("fail").alias("status"))
     asserted = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("status")).alias("assertions"))
-    orders = _read(spark, d, "orders", "o_orderkey").join(asserted, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = read(spark, d, "orders", "o_orderkey").join(asserted, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return orders.where(selection.qualified(orders, "assertions")).select("o_orderkey")
 
 
@@ -162,13 +162,13 @@ SELECT target, doc_id FROM documents, (VALUES ('low', '^(?:src[0-4]|src1)$'), ('
 def q_theta_match(spark, d):
     """Documents whose source matches one of a target's patterns."""
     targets = spark.createDataFrame([("low", ["src[0-4]", "src1"]), ("teens", [r"src1\d"]), ("nine", ["src9"])], "target string, patterns array<string>")
-    return selection.pattern_matches(targets, _read(spark, d, "documents", "doc_id", "source"), "source").select("target", "doc_id")
+    return selection.pattern_matches(targets, read(spark, d, "documents", "doc_id", "source"), "source").select("target", "doc_id")
 
 
 @query("SELECT conv_id, turn, length(text) AS size, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS expected FROM conversations")
 def q_running_offsets(spark, d):
     """Where each turn begins within its conversation."""
-    turns = _read(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
+    turns = read(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
     return selection.running_offsets(turns, ["conv_id"], "turn", "size")
 
 
@@ -177,7 +177,7 @@ SELECT label, vec_id, CASE WHEN b IS NULL THEN NULL ELSE round(list_sum(list_tra
 FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS DOUBLE[]) AS b FROM embeddings)""")
 def q_stability(spark, d):
     """The distance of each vector to the one before it under its label."""
-    rows = selection.consecutive_distance(_read(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 1.0)
+    rows = selection.consecutive_distance(read(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 1.0)
     return rows.select("label", "vec_id", F.round("distance", 9).alias("distance"))
 
 
@@ -187,7 +187,7 @@ def q_stability(spark, d):
 @query("SELECT l_linestatus, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_discount > 0.05) AS discounted FROM lineitem GROUP BY 1")
 def q_conditional_stats(spark, d):
     """Conditional counts of line items."""
-    lines = _read(spark, d, "lineitem", "l_linestatus", "l_returnflag", "l_discount")
+    lines = read(spark, d, "lineitem", "l_linestatus", "l_returnflag", "l_discount")
     return lines.groupBy("l_linestatus").agg(F.count("*").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if((F.col("l_returnflag") != "R") & (F.col("l_discount") > 0.05)).alias("discounted"))
 
 
@@ -196,7 +196,7 @@ WITH b AS (SELECT l_suppkey, l_discount AS x, l_tax AS y, l_quantity / 100 AS w,
 SELECT l_suppkey, min(x) AS x, min(y) AS y, round(max(x + w) - min(x), 9) AS width, round(max(y + h) - min(y), 9) AS height FROM b GROUP BY 1""")
 def q_union_box(spark, d):
     """The least box around the boxes of each supplier's items."""
-    b = _read(spark, d, "lineitem", "l_suppkey", "l_discount", "l_tax", "l_quantity", "l_linenumber")
+    b = read(spark, d, "lineitem", "l_suppkey", "l_discount", "l_tax", "l_quantity", "l_linenumber")
     box = G.union_box(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 100, F.col("l_linenumber") / 10)
     return b.groupBy("l_suppkey").agg(box.alias("b")).select("l_suppkey", "b.x", "b.y", F.round("b.width", 9).alias("width"), F.round("b.height", 9).alias("height"))
 
@@ -204,17 +204,17 @@ def q_union_box(spark, d):
 @query("SELECT sha256(string_agg(doc_id || ':' || sha256(text) || chr(10), '' ORDER BY doc_id || ':' || sha256(text) || chr(10))) AS root_hash, source FROM documents GROUP BY source")
 def q_content_hash(spark, d):
     """A root hash over each source's documents."""
-    docs = _read(spark, d, "documents", "doc_id", "text", "source").select("source", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256), F.lit("\n")).alias("line"))
+    docs = read(spark, d, "documents", "doc_id", "text", "source").select("source", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256), F.lit("\n")).alias("line"))
     return docs.groupBy("source").agg(descriptor_hash(F.col("line")).alias("root_hash"))
 
 
 @query("""
-WITH k AS (SELECT l_suppkey, l_orderkey % 50 AS i, l_partkey, l_discount, l_tax FROM lineitem WHERE l_suppkey <= 60),
+WITH k AS (SELECT l_suppkey, l_orderkey % 50 AS i, l_partkey, l_discount, l_tax FROM lineitem),
 items AS (SELECT 's' || l_suppkey AS list_key, CAST(i AS INT) AS index, count(*) AS n, count(DISTINCT l_partkey) AS members, min(l_discount) AS x, min(l_tax) AS y FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT list_key, index, members, x, y FROM (SELECT *, count(*) OVER (PARTITION BY list_key) AS c FROM items) WHERE c >= 2""")
 def q_repeat_items(spark, d):
     """Items that repeat in lists, from keys such as `s4.17.p9`."""
-    k = _read(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_partkey", "l_discount", "l_tax").where("l_suppkey <= 60")
+    k = read(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_partkey", "l_discount", "l_tax")
     key = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("."), (F.col("l_orderkey") % 50).cast("string"), F.lit(".p"), F.col("l_partkey").cast("string"))
     elements = k.select(key.alias("key"), F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), F.lit(0.1).alias("width"), F.lit(0.1).alias("height"), F.lit(1.0).alias("confidence"))
     return merging.repeated_items(elements).select("list_key", "index", F.size("members").cast("long").alias("members"), "box.x", "box.y")
@@ -229,7 +229,7 @@ o AS (SELECT o_orderkey AS path, o_totalprice AS hash FROM orders WHERE o_orderk
 SELECT path, CASE WHEN o.path IS NULL THEN 'add' ELSE 'update' END AS change FROM n LEFT JOIN o USING (path) WHERE o.path IS NULL OR n.hash <> o.hash""")
 def q_semantic_diff(spark, d):
     """Orders that a changed snapshot adds or updates."""
-    o = _read(spark, d, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("hash"))
+    o = read(spark, d, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("hash"))
     staged = o.withColumn("hash", F.when(F.col("path") % 11 == 0, F.col("hash") + 1).otherwise(F.col("hash")))
     return merging.semantic_diff(o.where("path % 7 <> 0"), staged, "path", "hash")
 
@@ -242,7 +242,7 @@ SELECT c_custkey, array_to_string(changes, ',') AS changes FROM (SELECT c_custke
 FROM a FULL JOIN b USING (c_custkey)) WHERE len(changes) > 0""")
 def q_row_changes(spark, d):
     """Which fields of customers differ between two snapshots."""
-    c = _read(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     after = c.where("c_custkey % 13 <> 0").withColumns({"c_nationkey": F.when(F.col("c_custkey") % 4 == 0, 0).otherwise(F.col("c_nationkey")), "c_mktsegment": F.when(F.col("c_custkey") % 6 == 0, "X").otherwise(F.col("c_mktsegment"))})
     return merging.row_changes(c.where("c_custkey % 10 <> 0"), after, "c_custkey", ["c_nationkey", "c_mktsegment"]).withColumn("changes", F.array_join("changes", ","))
 
@@ -253,25 +253,25 @@ _WRITES = "SELECT user_id AS path, event_type AS hash, ts, event_id FROM events"
 @query(f"SELECT path, hash, previous, event_id FROM (SELECT *, lag(hash) OVER (PARTITION BY path ORDER BY ts, event_id) AS previous FROM ({_WRITES})) WHERE previous IS NOT NULL AND previous <> hash")
 def q_lww_conflicts(spark, d):
     """Writes that change what the write before left under a path."""
-    w = _read(spark, d, "events", "user_id", "event_type", "ts", "event_id").select(F.col("user_id").alias("path"), F.col("event_type").alias("hash"), "ts", "event_id")
+    w = read(spark, d, "events", "user_id", "event_type", "ts", "event_id").select(F.col("user_id").alias("path"), F.col("event_type").alias("hash"), "ts", "event_id")
     return merging.last_writer_wins(w, "path", "hash", "ts", "event_id")[1].drop("ts")
 
 
 @query(f"SELECT path, hash, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM ({_WRITES})) WHERE r = 1")
 def q_lww_winners(spark, d):
     """What the last write leaves under each path."""
-    w = _read(spark, d, "events", "user_id", "event_type", "ts", "event_id").select(F.col("user_id").alias("path"), F.col("event_type").alias("hash"), "ts", "event_id")
+    w = read(spark, d, "events", "user_id", "event_type", "ts", "event_id").select(F.col("user_id").alias("path"), F.col("event_type").alias("hash"), "ts", "event_id")
     return merging.last_writer_wins(w, "path", "hash", "ts", "event_id")[0].drop("ts")
 
 
 @query("""
-SELECT p_partkey AS pos, coalesce((SELECT min(p_partkey) FROM part k WHERE k.p_partkey % 3 = 0 AND k.p_brand = p.p_brand AND k.p_name = p.p_name),
-  (SELECT min(p_partkey) FROM part k WHERE k.p_partkey % 3 = 0 AND k.p_brand = p.p_brand AND k.p_type = p.p_type HAVING count(*) = 1)) AS id
-FROM part p WHERE p_partkey % 3 = 1""")
+SELECT p_partkey AS pos, coalesce((SELECT min(p_partkey) FROM part k WHERE k.p_partkey % 2 = 0 AND k.p_brand = p.p_brand AND k.p_name = p.p_name),
+  (SELECT min(p_partkey) FROM part k WHERE k.p_partkey % 2 = 0 AND k.p_brand = p.p_brand AND k.p_type = p.p_type HAVING count(*) = 1)) AS id
+FROM part p WHERE p_partkey % 2 = 1""")
 def q_entity_resolution(spark, d):
     """Parts resolved to known parts of their brand, by name or by a type that is unique there."""
-    p = _read(spark, d, "part", "p_partkey", "p_brand", "p_name", "p_type").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), F.col("p_name").alias("key"), F.col("p_type").alias("label"))
-    return merging.resolve(p.where("id % 3 = 1").withColumnRenamed("id", "pos"), p.where("id % 3 = 0")).select("pos", "id")
+    p = read(spark, d, "part", "p_partkey", "p_brand", "p_name", "p_type").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), F.col("p_name").alias("key"), F.col("p_type").alias("label"))
+    return merging.resolve(p.where("id % 2 = 1").withColumnRenamed("id", "pos"), p.where("id % 2 = 0")).select("pos", "id")
 
 
 # --- graphs ----------------------------------------------------------------------------------------------------------
@@ -283,9 +283,9 @@ UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation UNION ALL
 def q_closure_region(spark, d):
     """The region at the end of each chain supplier, nation, region."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    nodes = _read(spark, d, "supplier", "s_suppkey", "s_nationkey").select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("parent"))
-    nodes = nodes.union(_read(spark, d, "nation", "n_nationkey", "n_regionkey").select(name("n", "n_nationkey"), name("r", "n_regionkey")))
-    nodes = nodes.union(_read(spark, d, "region", "r_regionkey").select(name("r", "r_regionkey"), F.lit(None).cast("string")))
+    nodes = read(spark, d, "supplier", "s_suppkey", "s_nationkey").select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("parent"))
+    nodes = nodes.union(read(spark, d, "nation", "n_nationkey", "n_regionkey").select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+    nodes = nodes.union(read(spark, d, "region", "r_regionkey").select(name("r", "r_regionkey"), F.lit(None).cast("string")))
     return graph.terminal_owner(nodes, keep).select("node", "terminal", "hops")
 
 
@@ -300,49 +300,54 @@ r(node, cost, steps, tie, seen) AS (
 SELECT node, CAST(cost AS DOUBLE) AS cost, steps, tie FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, steps, tie) AS n FROM r) WHERE n = 1""")
 def q_shortest_path(spark, d):
     """The best route from nation 0 to every nation."""
-    n = _read(spark, d, "nation", "n_nationkey", "n_regionkey")
+    n = read(spark, d, "nation", "n_nationkey", "n_regionkey")
     k = F.col("n_nationkey")
     one = n.select(k.alias("a"), ((k * 2 + F.col("n_regionkey") + 1) % 25).alias("b"), F.concat(F.lit("x"), k.cast("string")).alias("key"), (1 + k % 4).alias("cost"), F.lit("0").alias("kind"))
     two = n.select(k.alias("a"), ((k + 7) % 25).alias("b"), F.concat(F.lit("y"), k.cast("string")).alias("key"), F.lit(3).alias("cost"), F.lit("0").alias("kind"))
     return graph.routes(one.union(two), n.where("n_nationkey = 0").select(k.alias("node")), keep).select("node", "cost", "steps", "tie")
 
 
-_JUMPS = "SELECT c_custkey AS a, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey * 3) % 1000 END AS b FROM customer WHERE c_custkey < 1000"
+_JUMPS = "SELECT c_custkey AS a, c_custkey * 3 % (SELECT count(*) FROM customer) AS b FROM customer WHERE c_custkey % 5 <> 0"
 
 
 @query(f"""
-WITH RECURSIVE e AS (SELECT * FROM ({_JUMPS}) WHERE b IS NOT NULL), p(s, t, n) AS (SELECT a, b, 1 FROM e UNION ALL SELECT s, e.b, n + 1 FROM p JOIN e ON t = e.a WHERE n < 400 AND t <> s)
+WITH RECURSIVE e AS ({_JUMPS}), p(s, t, n) AS (SELECT a, b, 1 FROM e UNION ALL SELECT s, e.b, n + 1 FROM p JOIN e ON t = e.a WHERE n < (SELECT count(*) FROM customer) AND t <> s)
 SELECT DISTINCT s AS node FROM p WHERE s = t""")
 def q_cycle_nodes(spark, d):
-    """Nodes on cycles of `k -> 3k mod 1000`, multiples of 5 leading nowhere."""
+    """Customers on cycles of `k -> 3k mod n`, n being their number; multiples of 5 lead nowhere."""
     k = F.col("c_custkey")
-    edges = _read(spark, d, "customer", "c_custkey").where(k < 1000).select(k.alias("a"), F.when(k % 5 != 0, k * 3 % 1000).alias("b"))
-    return graph.on_cycles(edges, keep)
+    customers = read(spark, d, "customer", "c_custkey")
+    return graph.on_cycles(customers.select(k.alias("a"), F.when(k % 5 != 0, k * 3 % customers.count()).alias("b")), keep)
 
 
-_NEAR = "SELECT l_suppkey AS a, 100000 + l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber >= 5 AND l_discount >= 0.08"
+_NEAR = "SELECT l_suppkey AS a, 1000000000 + l_partkey AS b FROM lineitem"
+#: Rounds of least labels in the SQL below; more than the diameter of the graph of suppliers and parts.
+_ROUNDS = 12
 
 
-@query(f"""
-WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) UNION SELECT b, a FROM ({_NEAR})),
-r(node, t) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.t = e.a)
-SELECT node, min(t) AS component FROM r GROUP BY node""")
+def _labels() -> str:
+    steps = [f"l{i + 1} AS MATERIALIZED (SELECT l.node, least(l.t, min(m.t)) AS t FROM l{i} l JOIN e ON l.node = e.a JOIN l{i} m ON e.b = m.node GROUP BY l.node, l.t)" for i in range(_ROUNDS)]
+    return f"WITH e AS MATERIALIZED (SELECT a, b FROM ({_NEAR}) UNION SELECT b, a FROM ({_NEAR})), l0 AS (SELECT DISTINCT a AS node, a AS t FROM e), {', '.join(steps)} SELECT node, t AS component FROM l{_ROUNDS}"
+
+
+def _supplied(spark, d):
+    return read(spark, d, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000000).alias("b"))
+
+
+@query(_labels())
 def q_components(spark, d):
-    """Suppliers and parts connected by large discounted items."""
-    lines = _read(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity", "l_linenumber", "l_discount").where("l_quantity = 50 AND l_linenumber >= 5 AND l_discount >= 0.08")
-    edges = lines.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b"))
-    return connected_components(edges, "a", "b", keep)
+    """Suppliers and parts connected by line items."""
+    return connected_components(_supplied(spark, d), "a", "b", keep)
 
 
 @query(f"""
 WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) UNION SELECT b, a FROM ({_NEAR})),
-f(node, depth) AS (SELECT min(a), 0 FROM e UNION SELECT e.b, depth + 1 FROM f JOIN e ON node = e.a WHERE depth < 30),
+f(node, depth) AS (SELECT min(a), 0 FROM e UNION SELECT e.b, depth + 1 FROM f JOIN e ON node = e.a WHERE depth < {_ROUNDS}),
 m AS (SELECT node, min(depth) AS depth FROM f GROUP BY node)
 SELECT a AS node, coalesce(depth, (SELECT max(depth) + 1 FROM m)) AS depth FROM (SELECT DISTINCT a FROM e) LEFT JOIN m ON a = node""")
 def q_bfs_depth(spark, d):
     """Steps from the first supplier of the same graph."""
-    lines = _read(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity", "l_linenumber", "l_discount").where("l_quantity = 50 AND l_linenumber >= 5 AND l_discount >= 0.08")
-    edges = lines.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 100000).alias("b"))
+    edges = _supplied(spark, d)
     return graph.depths(edges, edges.agg(F.min("a").alias("node")), keep)
 
 
@@ -352,8 +357,8 @@ SELECT n_nationkey AS node, coalesce((SELECT array_to_string(list_sort(list(DIST
   coalesce((SELECT array_to_string(list_sort(list(DISTINCT CAST(e.b AS BIGINT))), ',') FROM e WHERE e.a = n_nationkey), '') AS outbound FROM nation""")
 def q_adjacency(spark, d):
     """Inbound and outbound neighbours of every nation."""
-    edges = _read(spark, d, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_nationkey").cast("long").alias("a"), (F.col("s_suppkey") * 7 % 25).alias("b"))
-    nodes = _read(spark, d, "nation", "n_nationkey").select(F.col("n_nationkey").alias("node"))
+    edges = read(spark, d, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_nationkey").cast("long").alias("a"), (F.col("s_suppkey") * 7 % 25).alias("b"))
+    nodes = read(spark, d, "nation", "n_nationkey").select(F.col("n_nationkey").alias("node"))
     found = graph.adjacency(edges, nodes)
     return found.select("node", *[F.array_join(c, ",").alias(c) for c in ("inbound", "outbound")])
 
@@ -375,7 +380,7 @@ SELECT b.p_partkey, CAST(coalesce(i.k, 1) AS INT) AS columns, CAST(coalesce(j.k,
 FROM b JOIN best i ON i.p_partkey = b.p_partkey AND i.axis = 'x' JOIN best j ON j.p_partkey = b.p_partkey AND j.axis = 'y'""")
 def q_grid_region(spark, d):
     """The finest grid that holds a box in one cell."""
-    p = _read(spark, d, "part", "p_partkey", "p_size")
+    p = read(spark, d, "part", "p_partkey", "p_size")
     key = F.col("p_partkey")
     x, y = ((k % 90).cast("double") / 100 for k in (key, key * 7))
     grid = G.grid_for_box(x, y, F.lit(0.02) + F.col("p_size").cast("double") / 200, F.lit(0.02) + (key % 9).cast("double") / 90, F.lit(12), F.lit(12))
@@ -386,7 +391,7 @@ _BOXES = "SELECT l_orderkey, l_linenumber, CAST(l_partkey % 50 AS DOUBLE) / 50 A
 
 
 def _boxes(spark, d):
-    b = _read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    b = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return b.select("l_orderkey", "l_linenumber", ((F.col("l_partkey") % 50).cast("double") / 50).alias("x"), ((F.col("l_suppkey") % 50).cast("double") / 50).alias("y"), (F.col("l_quantity") / 100).alias("w"), (F.col("l_quantity") / 80).alias("h"))
 
 
@@ -416,26 +421,26 @@ def q_greedy_match(spark, d):
 @query("""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2""")
 def q_html_links(spark, d):
     """Links of pages and how often each occurs."""
-    return html_links(_read(spark, d, "pages", "page_id", "html"), "page_id", "html").groupBy("page_id", "href").agg(F.count("*").alias("n"))
+    return html_links(read(spark, d, "pages", "page_id", "html"), "page_id", "html").groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
 @query("SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
 def q_html_tags(spark, d):
     """How often and on how many pages tags open."""
-    tags = _read(spark, d, "pages", "page_id", "html").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
+    tags = read(spark, d, "pages", "page_id", "html").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def q_json_path(spark, d):
     """The value of `k` in events' properties."""
-    return _read(spark, d, "events", "event_id", "props").select("event_id", at_path(F.col("props"), "k", "bigint").alias("k"))
+    return read(spark, d, "events", "event_id", "props").select("event_id", at_path(F.col("props"), "k", "bigint").alias("k"))
 
 
 @query("SELECT conv_id AS session, string_agg(coalesce(text, ''), '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
 def q_stream_replay(spark, d):
     """Conversations put together from their turns."""
-    return accumulated(_read(spark, d, "conversations", "conv_id", "turn", "text").select(F.col("conv_id").alias("session"), F.col("turn").alias("id"), "text"))
+    return accumulated(read(spark, d, "conversations", "conv_id", "turn", "text").select(F.col("conv_id").alias("session"), F.col("turn").alias("id"), "text"))
 
 
 @query("SELECT n_regionkey, n_name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS INT) AS sequence FROM nation")
@@ -443,4 +448,4 @@ def q_sequence(spark, d):
     """Numbers from 1 within each region."""
     from pyspark.sql import Window
 
-    return _read(spark, d, "nation", "n_regionkey", "n_name").withColumn("sequence", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")))
+    return read(spark, d, "nation", "n_regionkey", "n_name").withColumn("sequence", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")))

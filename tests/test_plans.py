@@ -145,7 +145,7 @@ def test_draft_issues(spark):
     assert found == {("bbox_invalid", "a"), ("grid_region_invalid", "a"), ("owner_cycle", "a"), ("owner_cycle", "b")}
     found = issues(spark, [element("a", key="k"), element("b", key=" k "), element("c", key="k", page="p2"), element("d", owner="application", page=None, available=["p2"], key="k")])
     assert found == {(f"candidate_key_duplicate_{w}_page", e) for e in "abcd" for w in ("current", "other")}
-    found = issues(spark, [element("a", label=" ", kind="zzz", parent="gone", capabilities=[], review="pending", risk=["geometry-clamped-to-frame", "model-action-inconsistent"], grid=(1, 1, 1)), element("b", owner="component"), element("c", parent="c", owner="component", label="", review="rejected")])
+    found = issues(spark, [element("a", label=" ", kind="zzz", parent="gone", capabilities=[], review="pending", risk=["geometry-clamped-to-frame", "model-action-inconsistent"], grid=(1, 1, 2)), element("b", owner="component"), element("c", parent="c", owner="component", label="", review="rejected")])
     assert found == {(c, "a") for c in ("label_required", "element_type_required", "parent_missing", "nested_owner_kind", "capability_missing", "review_pending", "model_bbox_clamped", "model_action_inconsistent", "grid_region_invalid")} | {("root_owner_kind", "b"), ("parent_self", "c"), ("owner_cycle", "c")}
     grouped = drafts.grouped_issues(drafts.draft_issues(spark.createDataFrame([element("a", capabilities=[]), element("b", capabilities=[], label="")], ELEMENT), ["image"], keep)).collect()
     assert [(g.level, g.code, g.n) for g in grouped] == [("error", "label_required", 1), ("warning", "capability_missing", 2)]
