@@ -4,28 +4,41 @@ Two bigram models over one vocabulary: the target model counts the documents lab
 counts all documents. A document's score is its cross-entropy per token under the target model less that under the
 background model (Moore and Lewis 2010); the lower, the more it resembles the target.
 
-All words and pairs of all documents are counted, by partial counts per slice that Spark sums. What travels to the
-tasks is bounded: the VOCABULARY most frequent words and the PAIRS most frequent pairs; other words are one unknown
-word, and other pairs fall back to their second word. Words are told apart by a 64-bit hash, A-Z in lower case.
+All words and pairs of all documents are in the models, however rare. The VOCABULARY most frequent words and the PAIRS
+most frequent pairs of them travel to the tasks, with their exact counts, and are scored where the text lies; this
+bounds what is broadcast and keeps frequent keys out of the shuffle, and no count is dropped by it. Every occurrence of a rarer
+word or pair goes to a bucket by hash, which counts it over both corpora and returns sums by document.
+Words are told apart by a 64-bit hash, pairs by a 64-bit hash of both words, A-Z in lower case.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattika.llm.batches import slices
-from lattika.llm.common import materialize, table
-from lattika.llm.shingles import word_hashes
+from lattika.llm.batches import binary, slices
+from lattika.llm.common import materialize, release, table
+from lattika.llm.shingles import mix, word_hashes
 
-#: Bounds of the model; the weight, in words, of a model's prior.
+#: Bounds of what is broadcast of the models; the weight, in words, of a model's prior.
 VOCABULARY, PAIRS, PRIOR = 1 << 16, 1 << 19, 5.0
 #: Steps of a count per doubling, when the least count of a bounded table is chosen.
 STEPS = 8
+#: Words of the texts for each bucket of rare words and pairs.
+BUCKET_WORDS = 1 << 22
+#: Hash of the start of a text, as the word before its first one.
+START = mix(np.full(1, 1, np.uint64))[0]
+#: What an entry of a bucket is: a pair with a frequent second word, one with a rare second word, a rare word before another; sums of a document, with and without an id.
+FREQUENT, RARE, BEFORE, OWN, OWN_NO_ID = range(5)
+#: What an entry of a bucket counts for.
+SCORED, BACKGROUND, TARGET = 1, 2, 4
 
 
 def _sums(docs: DataFrame, count, schema: str) -> DataFrame:
@@ -51,31 +64,28 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Models:
-    """Both models: ids of words, and log-probabilities per pair and word."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, unigrams: np.ndarray, bigrams: np.ndarray):
-        """words: sorted hashes; pairs: sorted codes; unigrams: 2 x words + 1 (the unknown word last); bigrams: 2 x pairs."""
-        self.words, self.pairs, self.bigrams = words, pairs, bigrams
-        total = unigrams.sum(axis=1, keepdims=True)
-        background = (unigrams[0] + 1) / (total[0] + unigrams.shape[1])
-        target = (unigrams[1] + PRIOR * len(background) * background) / (total[1] + PRIOR * len(background))
-        self.unigram = np.stack([background, target])
-        context = pairs // self.width
-        self.context = np.stack([np.bincount(context, weights=b, minlength=self.width) for b in bigrams]) if len(pairs) else np.zeros((2, self.width))
-
-    @property
-    def width(self) -> int:
-        return len(self.words) + 2  # the unknown word and the start of a text
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return word_ids(self.words, hashes)
-
-    def losses(self, code: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Negative log-probabilities of pairs, 2 x pairs: background, target."""
+    """Both models: exact counts of the frequent words and pairs, and the corpora, in which the buckets count the others."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, unigrams: np.ndarray, contexts: np.ndarray, bigrams: np.ndarray, totals: np.ndarray, distinct: int):
+        """words: sorted hashes; pairs: sorted codes; unigrams: 2 x words; contexts: 2 x words + 2 (as first words); bigrams: 2 x pairs; totals: words of both corpora; distinct: unlike words."""
+        self.words, self.pairs, self.contexts, self.bigrams, self.totals, self.distinct = words, pairs, contexts, bigrams, totals, distinct
+        self.unigram = self.probability(*unigrams)
+        self.docs = self.target = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"docs": None, "target": None}
+
+    def probability(self, background: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Unigram probabilities of words of these counts, 2 x words; one more word stands for those that the background lacks."""
+        size = self.distinct + 1
+        base = (background + 1) / (self.totals[0] + size)
+        return np.stack([base, (target + PRIOR * size * base) / (self.totals[1] + PRIOR * size)])
+
+    def pair_losses(self, code: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are frequent, and the losses of those, less their contexts', 2 x frequent pairs."""
         at = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
         known = self.pairs[at] == code if len(self.pairs) else np.zeros(len(code), bool)
-        seen = np.where(known, self.bigrams[:, at], 0) if len(self.pairs) else np.zeros((2, len(code)))
-        return -np.log((seen + PRIOR * self.unigram[:, second]) / (self.context[:, code // self.width] + PRIOR))
+        return known, -np.log(self.bigrams[:, at[known]] + PRIOR * self.unigram[:, second[known]])
 
 
 def word_ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -84,13 +94,25 @@ def word_ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(words[at] == hashes, at, len(words)) if len(words) else np.zeros(len(hashes), np.int64)
 
 
-def pair_codes(words: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (word before, word) for every word of all texts, and the ids of the words."""
+def pair_codes(words: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of (word before, word) for every word of all texts, and the ids of the words before and of the words."""
     second = word_ids(words, hashes)
     first = np.concatenate([[0], second[:-1]]) if len(second) else second
     starts = (np.cumsum(counts) - counts)[counts > 0]
     first[starts] = len(words) + 1
-    return first * (len(words) + 2) + second, second
+    return first * (len(words) + 2) + second, first, second
+
+
+@contextmanager
+def _shuffles_dropped(spark):
+    """Shuffle files go at the end of each query inside: what a query writes is all that is read later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def fit(docs: DataFrame, target: DataFrame) -> Models:
@@ -101,58 +123,159 @@ def fit(docs: DataFrame, target: DataFrame) -> Models:
         keys, n = np.unique(hashes, return_counts=True)
         yield keys.view(np.int64), n, 0
 
-    unigrams = materialize(_sums(docs, words_of, schema), "word-counts")
-    total = unigrams.agg(F.sum("n")).first()[0] or 0
+    with _shuffles_dropped(docs.sparkSession):
+        unigrams = materialize(_sums(docs, words_of, schema), "word-counts")
+    whole = unigrams.agg(F.sum("n"), F.count("n")).first()
     top = most_frequent(unigrams, VOCABULARY).select("key", "n").toPandas()
     order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
     words = top["key"].to_numpy(np.int64).view(np.uint64)[order]
-    known = top["n"].to_numpy(np.float64)[order]
     sent = docs.sparkSession.sparkContext.broadcast(words)  # VOCABULARY words at most
 
     def pairs_of(hashes: np.ndarray, counts: np.ndarray):
-        codes, second = pair_codes(sent.value, hashes, counts)
-        keys, n = np.unique(codes, return_counts=True)
-        yield keys, n, 0
-        keys, n = np.unique(second, return_counts=True)
-        yield keys, n, 1
-
-    pairs = materialize(most_frequent(materialize(_sums(docs, pairs_of, schema).where("kind = 0"), "pair-counts"), PAIRS).select("key", "n"), "pairs")
-    aimed = materialize(_sums(target, pairs_of, schema), "target-counts")
+        codes, first, second = pair_codes(sent.value, hashes, counts)
+        rare = len(sent.value)
+        for kind, x in enumerate((codes[(first != rare) & (second != rare)], second, first)):
+            keys, n = np.unique(x, return_counts=True)
+            yield keys, n, kind
+
+    def by_id(counted: DataFrame, kind: int) -> np.ndarray:
+        out, found = np.zeros(len(words) + 2), counted.where(F.col("kind") == kind).toPandas()
+        out[found["key"].to_numpy(np.int64)] = found["n"]
+        return out
+
+    with _shuffles_dropped(docs.sparkSession):
+        counted = materialize(_sums(docs, pairs_of, schema), "pair-counts")
+        pairs = materialize(most_frequent(counted.where("kind = 0"), PAIRS).select("key", "n"), "pairs")
+        aimed = materialize(_sums(target, pairs_of, schema), "target-counts")
     both = pairs.join(aimed.where("kind = 0").select("key", F.col("n").alias("m")), "key", "left").fillna(0).toPandas().sort_values("key")
-    ours = aimed.where("kind = 1").toPandas()
-    counts = np.zeros((2, len(words) + 1))
-    counts[0, :-1], counts[0, -1] = known, total - known.sum()
-    counts[1, ours["key"].to_numpy(np.int64)] = ours["n"]
-    return Models(words, both["key"].to_numpy(np.int64), counts, both[["n", "m"]].to_numpy(np.float64).T)
+    ones = np.stack([by_id(x, 1) for x in (counted, aimed)])
+    contexts = np.stack([by_id(x, 2) for x in (counted, aimed)])
+    models = Models(words, both["key"].to_numpy(np.int64), ones[:, : len(words)], contexts, both[["n", "m"]].to_numpy(np.float64).T, ones.sum(axis=1), whole[1])
+    models.docs, models.target = docs, target
+    for counts in (unigrams, counted, pairs, aimed):
+        release(counts)
+    return models
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score (their difference), per token in nats; one row per row of `docs`.
-
-    A text without words (or a null text) has 0 tokens and null losses. Null and repeated ids pass through; an empty table gives no rows.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by VOCABULARY and PAIRS
+def _entries(docs: DataFrame, sent, role: Column, buckets: int) -> DataFrame:
+    """Of each slice of texts: what is known of its documents at once, and every occurrence of a rare word or pair, by bucket. All rows are scored, or none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = sent.value
         for batch in slices(batches):
-            hashes, counts = word_hashes(batch.column(1))
-            losses = sent.value.losses(*pair_codes(sent.value.words, hashes, counts))
+            rows = batch.column(0).to_numpy()
+            hashes, counts = word_hashes(batch.column(2))
+            code, first, second = pair_codes(models.words, hashes, counts)
+            before = np.concatenate([[START], hashes[:-1]]) if len(hashes) else hashes
+            before[(np.cumsum(counts) - counts)[counts > 0]] = START
             owner = np.repeat(np.arange(len(counts)), counts)
-            background, target = (np.bincount(owner, weights=x, minlength=len(counts)) / np.maximum(counts, 1) for x in losses)
-            empty = counts == 0
-            columns = [pa.array(x, mask=empty) for x in (target, background, target - background)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
+            known, losses = models.pair_losses(code, second)
+            rare, late = second == len(models.words), first == len(models.words)
+            pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
+            roles = batch.column(3).to_numpy()
+            scored = bool(roles[0] & SCORED)
+            if scored:
+                own = [np.bincount(owner[known], weights=a, minlength=len(rows)) + np.bincount(owner[~late], weights=np.log(c[first[~late]] + PRIOR), minlength=len(rows)) for a, c in zip(losses, models.contexts)]
+                no_id = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+                ids = batch.column(1).fill_null(0).to_numpy()
+                for kind, of in ((OWN, ~no_id), (OWN_NO_ID, no_id)):
+                    yield from blobs(kind, rows[of].view(np.uint64), roles[of], rows[of], ids[of].view(np.uint64), counts[of].astype(np.uint64), *(x[of].astype(np.float64) for x in own))
+            for kind, of, key, x, y in ((FREQUENT, ~known & ~rare, pair, pair, second.astype(np.uint64)), (RARE, rare, hashes, pair, hashes), (BEFORE, late, before, before, before[:0])):
+                yield from blobs(kind, key[of], roles[owner[of]], rows[owner[of]] if scored else rows[:0], x[of], y[of] if len(y) else y)
+
+    def blobs(kind: int, key: np.ndarray, roles: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = (mix(key) % np.uint64(buckets)).astype(np.int64) * 8 + roles
+        order = np.argsort(bucket, kind="stable")
+        names, counts = np.unique(bucket, return_counts=True)
+        if len(names):
+            none = pa.array([b""] * len(names), pa.binary())
+            parts = [binary(c[order], counts) if len(c) else none for c in columns] + [none] * (5 - len(columns))
+            fixed = [pa.array(x.astype(np.int32)) for x in (names // 8, np.full(len(names), kind), names % 8)]
+            yield pa.RecordBatch.from_arrays([*fixed, *parts], ["bucket", "kind", "role", "row", "x", "y", "background", "target"])
+
+    text = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", role.alias("role"))
+    return text.mapInArrow(run, "bucket int, kind int, role int, row binary, x binary, y binary, background binary, target binary")
+
+
+def _flat(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """The runs of a binary column, one after the other."""
+    parts = []
+    for c in column.chunks:
+        if len(c) and c.buffers()[2]:
+            offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    return np.concatenate(parts).view(dtype) if parts else np.zeros(0, dtype)
+
+
+def _count(keys: np.ndarray, roles: np.ndarray) -> np.ndarray:
+    """How often the key of each scored entry occurs in both corpora, 2 x scored entries."""
+    at = np.unique(keys, return_inverse=True)[1]
+    return np.stack([np.bincount(at[roles & r > 0], minlength=len(keys))[at[roles & SCORED > 0]] for r in (BACKGROUND, TARGET)])
+
+
+SUMS = "row long, doc_id long, copies long, words long, background double, target double"
+
+
+def _bucket_sums(group: pa.Table, models: Models) -> pa.Table:
+    """Partial sums by document: of each slice what it knew itself, and of all entries of the bucket together the rest."""
+    out = []
+    kinds = group.column("kind").to_numpy()
+    for kind in (OWN, OWN_NO_ID):
+        part = group.filter(pa.array(kinds == kind))
+        rows = _flat(part.column("row"), np.int64)
+        ids = pa.nulls(len(rows), pa.int64()) if kind == OWN_NO_ID else pa.array(_flat(part.column("x"), np.int64))
+        out.append([pa.array(rows), ids, pa.array(np.ones(len(rows), np.int64)), *(pa.array(_flat(part.column(c), t)) for c, t in (("y", np.int64), ("background", np.float64), ("target", np.float64)))])
+    rows, losses = [], []
+    for kind in (FREQUENT, RARE, BEFORE):
+        part = group.filter(pa.array(kinds == kind))
+        x, y = (_flat(part.column(c), np.uint64) for c in ("x", "y"))
+        lengths = np.array([n // 8 for n in pa.compute.binary_length(part.column("x")).to_pylist()], np.int64)
+        roles = np.repeat(part.column("role").to_numpy(), lengths)
+        seen = _count(x, roles)
+        if kind == BEFORE:
+            losses.append(np.log(seen + PRIOR))
+        elif kind == RARE:
+            losses.append(-np.log(seen + PRIOR * models.probability(*_count(y, roles))))
+        else:
+            losses.append(-np.log(seen + PRIOR * models.unigram[:, y[roles & SCORED > 0].astype(np.int64)]))
+        rows.append(_flat(part.column("row"), np.int64))
+    rows, at = np.unique(np.concatenate(rows), return_inverse=True)
+    zeros = pa.array(np.zeros(len(rows), np.int64))
+    sums = [pa.array(np.bincount(at, weights=x, minlength=len(rows)).astype(np.float64)) for x in np.concatenate(losses, axis=1)]
+    out.append([pa.array(rows), pa.nulls(len(rows), pa.int64()), zeros, zeros, *sums])
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, ["row", "doc_id", "copies", "words", "background", "target"]) for x in out])
+
+
+def score(docs: DataFrame, models: Models, good: Column | None = None) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score (their difference), per token in nats; one row per row of `docs`.
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that a label calls good, by a merge join at every size: labels grow with the documents."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi")
+    A text without words (or a null text) has 0 tokens and null losses. Null and repeated ids pass through; an empty table gives no rows.
+    good: where `docs` is the background, what is true of its rows that are the target and of no other; the target is then not read again.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by VOCABULARY and PAIRS
+    buckets = max(1, math.ceil(models.totals.sum() / BUCKET_WORDS))
+    entries = lambda of, role: _entries(of, sent, role, buckets)
+    if good is not None:
+        found = entries(docs, F.when(good, SCORED | BACKGROUND | TARGET).otherwise(SCORED | BACKGROUND))
+    else:
+        own = entries(docs, F.lit(SCORED | BACKGROUND)) if docs is models.docs else entries(docs, F.lit(SCORED)).union(entries(models.docs, F.lit(BACKGROUND)))
+        found = own.union(entries(models.target, F.lit(TARGET)))
+    sums = found.groupBy("bucket").applyInArrow(lambda group: _bucket_sums(group, sent.value), SUMS)
+    total = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("copies", "words", "background", "target")])
+    # rows equal in id and text share a key: their sums are those of all copies
+    per_word = [F.when(F.col("words") > 0, F.col(c) / F.col("words")).alias(f"{c}_loss") for c in ("target", "background")]
+    rows = total.select("doc_id", F.expr("words div copies").alias("n_tokens"), *per_word, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return rows.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+
+
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and good: whether a label calls the document good, by a merge join at every size, as labels grow with the documents."""
+    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    return docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
 
 
 def op9_scoring(spark, sf_dir: str) -> DataFrame:
     """All documents; the target model counts those of quality 1."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs, good_documents(docs, table(spark, sf_dir, "labels"))))
+    with _shuffles_dropped(spark):
+        docs = materialize(marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "marked")
+    return score(docs, fit(docs, docs.where("good")), F.col("good"))

@@ -90,6 +90,29 @@ def test_bounded_model(spark, monkeypatch):
     assert all(math.isfinite(r.score) for r in rows) and len(rows) == 30
 
 
+@pytest.mark.parametrize("other", [False, True])
+def test_rare_words_and_pairs_count(spark, monkeypatch, other):
+    """What is broadcast of the models does not change a score, nor do buckets."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(words[: 3 + i % 57]) for _ in range(rnd.randrange(50)))) for i in range(90)] + [(None, "w1 w2"), (3, "w1 w1"), (3, "w1 w1"), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = docs.where("doc_id % 3 = 0")
+    scored = spark.createDataFrame([*rows[:20], (900, "never w1 seen never w2")], docs.schema) if other else docs
+    run = lambda: sorted((tuple(r) for r in scoring.score(scored, scoring.fit(docs, target)).collect()), key=lambda r: str(r[:2]))
+    want = run()
+    monkeypatch.setattr(scoring, "VOCABULARY", 8)
+    monkeypatch.setattr(scoring, "PAIRS", 6)
+    monkeypatch.setattr(scoring, "BUCKET_WORDS", 200, raising=False)
+    found = run()
+    assert len(found) == len(want) == scored.count()
+    if not other:
+        found += sorted((tuple(r) for r in scoring.score(docs, scoring.fit(docs, target), F.expr("doc_id % 3 = 0")).collect()), key=lambda r: str(r[:2]))
+    for r, expected in zip(found, want * 2):
+        assert r[:2] == expected[:2]
+        assert all(x == pytest.approx(y) for x, y in zip(r[2:], expected[2:]))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert scoring.score(empty, scoring.fit(empty, empty)).count() == 0
