@@ -5,7 +5,8 @@ Reading cuts the files at every occurrence of the record magic, wherever a task'
 candidate record that names its successor's offset through its Content-Length. Candidates whose successor is the very
 next candidate form runs; pointer jumping over the runs, from offset 0 of each file, keeps the reachable records
 and rejects magic inside payloads. Only offsets and digests travel; payload bytes are hashed where they are read, except in
-the rare records whose payload holds the magic, which are read once more and put together.
+the rare records whose payload holds the magic, which are read once more and put together. The second read finds a piece by the
+SHA-256 of its bytes, as its place depends on how a read is split among tasks, which may change in between.
 """
 
 from __future__ import annotations
@@ -72,9 +73,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, compressio
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The text between occurrences of the magic: file, block, place (rising along a file within its block), value."""
+    """The text between occurrences of the magic: file, block, place (rising along a file within its block, in this read alone), value and piece (its hash)."""
     text = spark.read.option("lineSep", MAGIC).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("value"))
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("value")).withColumn("piece", F.sha2("value", 256))
 
 
 def _field(name: str) -> Column:
@@ -82,7 +83,7 @@ def _field(name: str) -> Column:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """One row per occurrence of the magic: file, block, place, at (its offset), next (the offset that its record names), and what the record says.
+    """One row per occurrence of the magic: file, block, place, piece, at (its offset), next (the offset that its record names), and what the record says.
 
     whole: the record ends where the next magic begins, so its payload's digest is known here.
     """
@@ -91,13 +92,13 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     # positions are bytes: the head is looked for in a single-byte reading of the piece
     latin = F.decode(F.col("value"), "iso-8859-1")
     split = F.instr(latin, "\r\n\r\n")
-    rows = pieces.select("file", "block", "place", size.cast("long").alias("size"), "value", split.alias("split"), F.substring(latin, F.lit(1), split).alias("head"))
+    rows = pieces.select("file", "block", "place", "piece", size.cast("long").alias("size"), "value", split.alias("split"), F.substring(latin, F.lit(1), split).alias("head"))
     rows = rows.withColumn("length", F.expr("try_cast(nullif(regexp_extract(head, '(?im)^Content-Length:[ \\\\t]*([0-9]+)[ \\\\t]*\\\\r?$', 1), '') AS BIGINT)"))
     rows = rows.withColumn("length", F.when(F.col("split") > 0, F.col("length")))
     whole = F.col("split") + 3 + F.col("length") + 4 == F.col("size")
     payload = F.substring(F.col("value"), F.col("split") + 4, F.col("length").cast("int"))
     rows = rows.select(
-        "file", "block", "place", "size", "split", "length",
+        "file", "block", "place", "piece", "size", "split", "length",
         F.coalesce(whole, F.lit(False)).alias("whole"),
         F.when(whole, base32_sha1(payload)).alias("digest"),
         _field("WARC-Type").alias("record_type"),
@@ -150,8 +151,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     torn = records.where("NOT whole").select("file", "record", "split", "length", "page_id", "record_type", "refers_to", "said")
     if not torn.isEmpty():
-        parts = marked.join(torn.select("file", "record"), ["file", "record"], "left_semi").select("file", "block", "place", "at", "record")
-        parts = parts.join(_pieces(spark, path), ["file", "block", "place"]).select("file", "record", "at", "value")
+        parts = marked.join(torn.select("file", "record"), ["file", "record"], "left_semi").select("file", "piece", "at", "record")
+        again = _pieces(spark, path).join(parts.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.first("value").alias("value"))
+        parts = parts.join(again, "piece").select("file", "record", "at", "value")
         bodies = parts.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
         joined = F.aggregate("parts", F.unhex(F.lit("")), lambda whole, part: F.concat(whole, F.lit(MAGIC).cast("binary"), part["value"]))
         bodies = bodies.select("file", "record", joined.alias("bytes"))

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+from lattika.llm import warc
 from lattika.llm.warc import MAGIC, read_archives, write_archives
 
 SCHEMA = "page_id long, url string, html string, payload string, digest string"
@@ -44,6 +45,21 @@ def test_magic_inside_payloads_and_splits(spark, tmp_path):
     check(spark, rows, f"file://{tmp_path}/b")
 
 
+def test_second_read_is_split_otherwise(spark, tmp_path, monkeypatch):
+    rows = [(i, "u", f"{i} " * (i % 50) + (MAGIC + fake(str(i % 3)) if i % 4 == 0 else "")) for i in range(120)]
+    read, before, sizes = warc._pieces, spark.conf.get("spark.sql.files.maxPartitionBytes"), iter(["2000", "900"])
+
+    def pieces(spark, path):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return read(spark, path)
+
+    monkeypatch.setattr(warc, "_pieces", pieces)
+    try:
+        check(spark, rows, f"file://{tmp_path}/f", compression="none")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_nulls_ties_and_headers(spark, tmp_path):
     rows = [(3, "u", "same"), (1, "u\r\nX-Page-Id: 7", "same"), (1, "u", "same"), (None, "u", "same"), (None, None, "alone"), (5, None, None), (6, "", ""), (2, "u", "x" * 100_000)]
     check(spark, rows, f"file://{tmp_path}/c")
