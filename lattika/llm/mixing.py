@@ -117,8 +117,9 @@ def _first_words(text: Column, n: Column) -> Column:
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents, with what the mix takes of each."""
-    copies = mix(table(spark, sf_dir, "documents"))
-    return copies.groupBy("doc_id", "row_key", "ends_at", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    first = mix(table(spark, sf_dir, "documents")).where("copy = 0")  # one for each row, however alike the rows
+    taken = sum((_served(F.lit(i)) for i in range(1, COPIES)), F.col("taken"))
+    return first.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 OP2_SQL = r"""

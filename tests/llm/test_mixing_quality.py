@@ -45,6 +45,12 @@ def test_against_sql(spark, tmp_path, query, sql, data):
     assert sorted((tuple(r[c] for c in names) for r in found.collect()), key=str) == want
 
 
+def test_repeated_rows_without_words_stay(spark, tmp_path):
+    data = [(1, "", "a")] * 3 + [(1, None, "a")] * 2 + [(None, None, None)] * 4 + [(2, "w x", "a"), (2, "w x", "a")]
+    found = op2_mixing(spark, folder(spark, tmp_path, data)).collect()
+    assert sorted((str(r.doc_id), r.size) for r in found) == sorted((str(i), len((t or "").split())) for i, t, _ in data)
+
+
 def test_mix_order_and_take(spark):
     data = rows(3)
     df = spark.createDataFrame([(*r, "x", "y", "z") for r in data], SCHEMA)
