@@ -1,12 +1,14 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking (operator 3).
 
 Coarse centroids and the codebooks of the residuals are trained on a bounded sample (SAMPLE vectors); every vector is
-indexed: its nearest centroid's list, and a byte for each part of its residual. A query probes its nearest lists; within a list
-a table of distances from the query's residual to all codewords gives every member's approximate distance by
-look-ups, and the best RERANK are measured exactly on the original vectors.
-
-Lists are joined with the queries that probe them in blocks: a list of many vectors is dealt out into blocks of about
-BLOCK rows and its queries likewise, so that a vector which a third of all rows repeat is many tasks.
+indexed: its nearest centroid's list, and a byte for each part of its residual. A query probes its nearest lists, as many as
+the sample needs for a recall of RECALL. A table of the query's products with all codewords gives the approximate distance of
+every probed member by look-ups, the RERANK nearest of all probed lists together are the query's candidates, and
+only these are measured exactly, on the original vectors.
+
+Lists are dealt out into blocks of about BLOCK vectors: small lists that lie close together share a block, a list that a vector
+repeated by a third of all rows fills is many blocks. The first pass sends codes alone to the blocks, the
+second the vectors. What each pass returns of a query is bounded by its candidates, and Spark cuts it down within a task before it is shuffled.
 """
 
 from __future__ import annotations
@@ -14,19 +16,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattika.llm.common import materialize, table
+from lattika.llm.common import materialize, release, table
 
-#: Training vectors, at most; coarse lists, at most; codewords of a part, at most; components of a part, about.
-SAMPLE, LISTS, WORDS, PART = 20_000, 1024, 256, 4
-#: Lists probed: a share of all, and so many at least.
-PROBED_SHARE, PROBED_LEAST = 0.5, 32
-#: Exactly measured candidates of a query in a block; rows of a block; queries of a block.
-RERANK, BLOCK, QUERY_BLOCK = 100, 4096, 512
+#: Training vectors, at most; coarse lists, at most (the square root of the vectors below that); codewords of a part, at most; components of a part, about.
+SAMPLE, LISTS, WORDS, PART = 20_000, 2048, 256, 4
+#: Share of the sample's true neighbours that the probed lists must hold; queries of the sample that measure it.
+RECALL, TRIED = 0.96, 256
+#: Candidates of a query that are measured exactly; vectors of a block; queries that meet a block in one task.
+RERANK, BLOCK, QUERY_BLOCK = 200, 8192, 4096
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray, n: int = 1) -> np.ndarray:
@@ -61,24 +62,61 @@ class Quantizer:
         self.cuts = np.linspace(0, self.dim, max(1, -(-self.dim // PART)) + 1).astype(int)
         self.books = [k_means(residual[:, a:b], WORDS, 8) for a, b in zip(self.cuts, self.cuts[1:])]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes of each row."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List and codes of each row, and the part of its distance to any query that does not depend on the query: |r|^2 + 2 c.r for center c and coded residual r."""
         own = _nearest(x, self.coarse)[:, 0]
-        residual = x - self.coarse[own]
-        return own, np.stack([_nearest(residual[:, a:b], w)[:, 0] for a, b, w in zip(self.cuts, self.cuts[1:], self.books)], axis=1).astype(np.uint8)
+        center = self.coarse[own]
+        codes = np.stack([_nearest((x - center)[:, a:b], w)[:, 0] for a, b, w in zip(self.cuts, self.cuts[1:], self.books)], axis=1)
+        coded = np.concatenate([w[codes[:, i]] for i, w in enumerate(self.books)], axis=1)
+        return own, codes.astype(np.uint8), (coded * (coded + 2 * center)).sum(axis=1)
 
-    def tables(self, query: np.ndarray, own: int) -> np.ndarray:
-        """Squared distances from a query's residual in a list to all codewords: parts x WORDS."""
-        residual = query - self.coarse[own]
+    def table(self, query: np.ndarray) -> np.ndarray:
+        """-2 q.w for all codewords w, parts x WORDS: with a member's own part and its center's distance, the squared distance to it."""
         out = np.zeros((len(self.books), WORDS))
         for i, (a, b, w) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out[i, : len(w)] = ((w - residual[a:b]) ** 2).sum(axis=1)
+            out[i, : len(w)] = -2 * (w @ query[a:b])
         return out
 
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    def probes(self, sample: np.ndarray, k: int, recall: float = RECALL) -> int:
+        """The least number of nearest lists that hold `recall` of the k nearest sample vectors of a sample vector, measured by brute force.
+
+        Neighbours among all vectors are nearer than those of the sample, so the sample asks for rather too many lists.
+        """
+        tried, k = sample[:TRIED], min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.coarse)
+        apart = (sample**2).sum(axis=1) - 2 * tried @ sample.T
+        apart[np.arange(len(tried)), np.arange(len(tried))] = np.inf
+        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+        order = _nearest(tried, self.coarse, len(self.coarse)).reshape(len(tried), -1)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+        needed = np.sort(np.take_along_axis(place, _nearest(sample, self.coarse)[:, 0][near], 1).ravel())
+        return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Vectors of a list column without nulls, in double precision."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+def blocks(held: np.ndarray, coarse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each list: lists of more than BLOCK vectors have blocks of their own, close ones share a block."""
+    first, parts, at, room = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), -1, 0
+    regions = _nearest(coarse, k_means(coarse, int(-(-held.sum() // BLOCK)) or 1))[:, 0]
+    large = held > BLOCK
+    for i in np.argsort(regions, kind="stable"):
+        if large[i]:
+            continue
+        if at < 0 or held[i] > room:
+            at, room = at + 1, BLOCK
+        first[i] = at
+        room -= held[i]
+    for i in np.flatnonzero(large):
+        first[i], parts[i] = at + 1, -(-held[i] // BLOCK)
+        at += parts[i]
+    return first, parts
 
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
@@ -88,13 +126,21 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, odd) & F.exists(v, lambda x: x != 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", probed: int | None = None) -> DataFrame:
+def _meeting(members: DataFrame, asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the block's share of queries that meets it in one task: queries are dealt out, members go to every share."""
+    shares = asking.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("shares"))
+    left = members.join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    right = asking.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("asker"), F.col("shares")).cast("int")).drop("shares")
+    return left, right
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", probed: int | None = None, rerank: int = RERANK) -> DataFrame:
     """The k nearest found of every query row among all other rows: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     Nearest first, ties to the smaller vec_id; all candidates where there are fewer than k. Rows without vec_id, and
     vectors that are null, empty or zero or hold null or non-finite components, take no part; nor do vectors of another
-    length than the most frequent one. Rows that share a vec_id are one candidate at its least distance, and one query. An
-    empty table gives no rows.
+    length than the most frequent one. Rows of one vec_id are one result at its least distance, and one query; where their vectors
+    differ they are candidates of their own. An empty table gives no rows. probed: lists to probe, measured on the sample where it is not given.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -102,83 +148,117 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], schema)
-    dim, total = sizes["dim"], sizes["count"]
+    dim, total, rerank = sizes["dim"], sizes["count"], max(rerank, k)
     rows = rows.where(F.size("v") == dim)
     hashed = F.xxhash64("vec_id")
     share = min(1.0, 1.2 * SAMPLE / total)
     sample = rows.where(F.pmod(hashed, F.lit(1 << 20)) < share * (1 << 20)).select("v", hashed.alias("h")).orderBy("h").limit(SAMPLE).toPandas()
     if not len(sample):
         sample = rows.select("v").limit(SAMPLE).toPandas()
-    quantizer = Quantizer(np.array(sample["v"].tolist(), np.float64), int(min(LISTS, max(1, 2 * total**0.5))))
+    known = np.array(sample["v"].tolist(), np.float64)
+    quantizer = Quantizer(known, int(min(LISTS, max(1, total**0.5))))
+    lists = len(quantizer.coarse)
+    probes = min(lists, probed or quantizer.probes(known, k))
 
     def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, codes = quantizer.encode(_matrix(batch.column(1), dim))
+                own, codes, bias = quantizer.encode(_matrix(batch.column(1), dim))
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.record_batch({"list": pa.array(own, pa.int32()), "vec_id": batch.column(0), "codes": packed, "v": batch.column(1), "q": batch.column(2)})
+                yield pa.record_batch({"list": pa.array(own, pa.int32()), "vec_id": batch.column(0), "codes": packed, "bias": bias, "v": batch.column(1), "q": batch.column(2)})
 
-    index = materialize(rows.select("vec_id", "v", F.coalesce("q", F.lit(False)).alias("q")).mapInArrow(index_batches, "list int, vec_id long, codes binary, v array<double>, q boolean"), "ann-index")
-    held = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # a row per list, LISTS at most
-    room = np.array([held.get(i, 0) for i in range(len(quantizer.coarse))])
-    probes = min(len(room), probed or max(PROBED_LEAST, round(PROBED_SHARE * len(room))))
+    index = materialize(rows.select("vec_id", "v", F.coalesce("q", F.lit(False)).alias("q")).mapInArrow(index_batches, "list int, vec_id long, codes binary, bias double, v array<double>, q boolean"), "ann-index")
+    counts = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # a row per list, LISTS at most
+    held = np.array([counts.get(i, 0) for i in range(lists)])
+    first, parts = blocks(held, quantizer.coarse)
 
     def probe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = _nearest(_matrix(batch.column(1), dim), quantizer.coarse, len(room))
-            enough = (np.cumsum(room[order], axis=1) > k).argmax(axis=1) + 1  # lists that surely hold k others
-            enough[room.sum() <= k] = len(room)
-            n = np.maximum(probes, enough)
-            row = np.repeat(np.arange(len(n)), n)
-            lists = np.concatenate([o[:m] for o, m in zip(order, n)])
-            yield pa.record_batch({"list": pa.array(lists, pa.int32()), "query_id": batch.column(0).take(pa.array(row)), "query": batch.column(1).take(pa.array(row))})
-
-    queries = index.where("q").select("vec_id", "v").dropDuplicates(["vec_id", "v"])
-    asked = materialize(queries.mapInArrow(probe_batches, "list int, query_id long, query array<double>"), "ann-queries")
-    load = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    blocks = {i: (-(-held[i] // BLOCK), -(-load[i] // QUERY_BLOCK)) for i in held if i in load}
-    if not blocks:
-        return spark.createDataFrame([], schema)
-    dealt = spark.createDataFrame([(i, a, b) for i, (a, b) in sorted(blocks.items())], "list int, parts int, askers int")
-    dealt = F.broadcast(dealt)  # LISTS rows at most
-    left = index.select("list", "vec_id", "codes", "v").join(dealt, "list").withColumn("part", F.pmod(F.xxhash64("vec_id", "codes"), F.col("parts")).cast("int"))
-    left = left.withColumn("asker", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).drop("parts", "askers")
-    right = asked.join(dealt, "list").withColumn("asker", F.pmod(F.xxhash64("query_id"), F.col("askers")).cast("int"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "askers")
-
-    def compare(members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(members) and len(asking):
-            ids = members["vec_id"].to_numpy()
-            codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(ids), -1)
-            original = np.stack(members["v"].to_numpy())
+            order = _nearest(_matrix(batch.column(1), dim), quantizer.coarse, lists).reshape(batch.num_rows, -1)
+            enough = (np.cumsum(held[order], axis=1) > k).argmax(axis=1) + 1  # lists that surely hold k others
+            enough[held.sum() <= k] = lists
+            at, block, wanted = [], [], []
+            for i, n in enumerate(np.maximum(probes, enough)):
+                of: dict[int, list[int]] = {}
+                for own in order[i, :n].tolist():
+                    for b in range(first[own], first[own] + parts[own]):
+                        of.setdefault(int(b), []).append(own)
+                at += [i] * len(of)
+                block += of.keys()
+                wanted += of.values()
+            take = pa.array(at, pa.int64())
+            yield pa.record_batch({"block": pa.array(block, pa.int64()), "query_id": batch.column(0).take(take), "query": batch.column(1).take(take), "asker": batch.column(2).take(take), "lists": pa.array(wanted, pa.list_(pa.int32()))})
+
+    queries = index.where("q").select("vec_id", "v", F.xxhash64("vec_id", "v").alias("asker")).dropDuplicates(["vec_id", "asker"])
+    asked = materialize(queries.mapInArrow(probe_batches, "block long, query_id long, query array<double>, asker long, lists array<int>"), "ann-queries")
+    dealt = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first, parts))], "list int, first long, parts long")
+    block = F.col("first") + F.pmod(F.xxhash64("vec_id", "codes"), F.col("parts"))
+    placed = index.join(F.broadcast(dealt), "list").withColumn("block", block)  # LISTS rows at most
+
+    def approximate(members: pa.Table, asking: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if members.num_rows and asking.num_rows:
+            members = members.sort_by("list")
+            own, ids, bias = (members.column(c).to_numpy() for c in ("list", "vec_id", "bias"))
+            codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             places = np.arange(codes.shape[1]) * WORDS + codes
-            own = int(members["list"].iloc[0])
-            for query_id, query in zip(asking["query_id"], asking["query"]):
-                near = quantizer.tables(query, own).ravel()[places].sum(axis=1)
-                near[ids == query_id] = np.inf
-                best = np.lexsort((ids, near))[: max(RERANK, k)] if len(ids) <= 4 * RERANK else _least(near, ids, max(RERANK, k))
-                best = best[ids[best] != query_id]
-                exact = np.sqrt(((original[best] - query) ** 2).sum(axis=1))
-                top = np.lexsort((ids[best], exact))[:k]
-                found.append((np.full(len(top), query_id), ids[best][top], exact[top]))
+            block = members.column("block")[0].as_py()
+            for query_id, asker, query, wanted in zip(asking.column("query_id").to_pylist(), asking.column("asker").to_pylist(), _matrix(asking.column("query"), dim), asking.column("lists").to_pylist()):
+                spans = [(a, b, c) for a, b, c in zip(np.searchsorted(own, wanted), np.searchsorted(own, wanted, side="right"), wanted) if b > a]
+                if not spans:
+                    continue
+                at = np.concatenate([np.arange(a, b) for a, b, _ in spans])
+                to_center = np.repeat([((query - quantizer.coarse[c]) ** 2).sum() for _, _, c in spans], [b - a for a, b, _ in spans])
+                near = quantizer.table(query).ravel()[places[at]].sum(axis=1) + bias[at] + to_center
+                other = ids[at] != query_id
+                best = _least(near[other], ids[at][other], rerank)
+                found.append((np.full(len(best[0]), asker), np.full(len(best[0]), query_id), *best, np.full(len(best[0]), block)))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64, np.int64)]
+        return pa.table(dict(zip(("asker", "query_id", "vec_id", "near", "block"), columns)))
+
+    left, right = _meeting(placed.select("block", "list", "vec_id", "codes", "bias"), asked)
+    keys = ("block", "share")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(approximate, "asker long, query_id long, vec_id long, near double, block long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asker").orderBy("near", "vec_id"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= rerank)
+    near = near.groupBy("block", "query_id", "asker").agg(F.collect_list("vec_id").alias("ids"))  # `rerank` of a query at most
+    chosen = materialize(near.join(asked.select("block", "query_id", "asker", "query"), ["block", "query_id", "asker"]), "ann-candidates")
+
+    def exact(members: pa.Table, asking: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if members.num_rows and asking.num_rows:
+            members = members.sort_by("vec_id")
+            ids, original = members.column("vec_id").to_numpy(), _matrix(members.column("v"), dim)
+            for query_id, query, wanted in zip(asking.column("query_id").to_pylist(), _matrix(asking.column("query"), dim), asking.column("ids").to_pylist()):
+                a, b = np.searchsorted(ids, wanted), np.searchsorted(ids, wanted, side="right")
+                at = np.concatenate([np.arange(x, y) for x, y in zip(a, b)])
+                score = np.sqrt(((original[at] - query) ** 2).sum(axis=1))
+                names, score = _least(score, ids[at], k)
+                found.append((np.full(len(names), query_id), names, score))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
 
-    keys = ("list", "part", "asker")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+    left, right = _meeting(placed.select("block", "vec_id", "v"), chosen)
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(exact, "query_id long, vec_id long, score double")
     met = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _least(values: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Rows of the n least values, ties to the smaller id."""
-    edge = np.partition(values, n - 1)[n - 1]
-    rows = np.flatnonzero(values <= edge)
-    return rows[np.lexsort((ids[rows], values[rows]))][:n]
+    found = materialize(met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found")
+    for done in (index, asked, chosen):
+        release(done)
+    return found
+
+
+def _least(values: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n ids of the least values and these values, ties to the smaller id, each id once."""
+    if len(values) > 4 * n:
+        rows = np.flatnonzero(values <= np.partition(values, n - 1)[n - 1])
+        if len(np.unique(ids[rows])) >= n:
+            values, ids = values[rows], ids[rows]
+    order = np.lexsort((ids, values))
+    once = np.sort(np.unique(ids[order], return_index=True)[1])[:n]
+    return ids[order][once], values[order][once]
 
 
 def op3_ann(spark, sf_dir: str) -> DataFrame:

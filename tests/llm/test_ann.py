@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattika.llm import ann
 from lattika.llm.ann import search
 
 SCHEMA = "vec_id long, embedding array<float>, list int, score double"
@@ -40,6 +41,32 @@ def test_recall_and_exact_scores(spark):
     assert all(d == pytest.approx(exact[q][i], rel=1e-12) and near == sorted(near) for q, near in found.items() for d, i in near)
 
 
+def test_codes_choose_the_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(2500)]
+    truth = brute(rows)
+    recall = lambda found: sum(len({i for _, i in found[q]} & {i for _, i in truth[q]}) for q in truth) / sum(map(len, truth.values()))
+
+    class Blind(ann.Quantizer):
+        """All codewords of a part are one."""
+
+        def __init__(self, sample, lists):
+            super().__init__(sample, lists)
+            self.books = [np.zeros_like(w) for w in self.books]
+
+    seeing = recall(run(spark, rows))
+    monkeypatch.setattr(ann, "Quantizer", Blind)
+    assert recall(run(spark, rows)) < 0.8 < 0.9 < seeing
+
+
+def test_large_lists_are_several_blocks():
+    held = np.array([20_000, 10, 8192, 8000, 100, 0])
+    first, parts = ann.blocks(held, np.arange(12.0).reshape(6, 2))
+    assert parts.tolist() == [3, 1, 1, 1, 1, 1]
+    own = {b for i in (0,) for b in range(first[i], first[i] + parts[i])}
+    assert not own & set(first[1:]) and all(held[1:][first[1:] == b].sum() <= ann.BLOCK for b in set(first[1:]))
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(900)] + [(1000 + i, [float(i), 1.0, 0.5]) for i in range(40)]
     found, truth = run(spark, rows), brute(rows)
