@@ -1,7 +1,7 @@
 """Language-model scoring by cross-entropy difference (operator 9).
 
-Two bigram models over one vocabulary: the target model counts the documents labelled as good, the background model
-counts all documents. A document's score is its cross-entropy per token under the target model less that under the
+Two bigram models, matched in order, vocabulary and smoothing: the target model counts the documents labelled as good, the
+background model counts all documents. A document's score is its cross-entropy per token under the target model less that under the
 background model (Moore and Lewis 2010); the lower, the more it resembles the target.
 
 All words and pairs of all documents are in the models, however rare. The VOCABULARY most frequent words and the PAIRS
@@ -76,10 +76,13 @@ class Models:
         return self.__dict__ | {"docs": None, "target": None}
 
     def probability(self, background: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Unigram probabilities of words of these counts, 2 x words; one more word stands for those that the background lacks."""
+        """Unigram probabilities of words of these counts, 2 x words: both models are smoothed alike, towards one distribution over the shared vocabulary.
+
+        One more word stands for those that the background lacks.
+        """
         size = self.distinct + 1
         base = (background + 1) / (self.totals[0] + size)
-        return np.stack([base, (target + PRIOR * size * base) / (self.totals[1] + PRIOR * size)])
+        return np.stack([(n + PRIOR * size * base) / (total + PRIOR * size) for n, total in zip((background, target), self.totals)])
 
     def pair_losses(self, code: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which pairs are frequent, and the losses of those, less their contexts', 2 x frequent pairs."""

@@ -68,7 +68,7 @@ def test_scores_against_brute_force(spark):
             seen[kind].update([None, *w][: len(w)])
     v, k = len(ones["b"]) + 1, scoring.PRIOR
     base = lambda w: (ones["b"][w] + 1) / (sum(ones["b"].values()) + v)
-    uni = {"b": base, "t": lambda w: (ones["t"][w] + k * v * base(w)) / (sum(ones["t"].values()) + k * v)}
+    uni = {m: lambda w, m=m: (ones[m][w] + k * v * base(w)) / (sum(ones[m].values()) + k * v) for m in "bt"}
     want = []
     for i, t in rows:
         w = split(t)
