@@ -1,17 +1,5 @@
 """Where recursive plans keep the tables of their rounds."""
 
-from __future__ import annotations
+from lattika.operators.rounds import keep
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the folder that all executors share (`spark.checkpoint.dir`, else beside the warehouse) and read it back."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lattika_scratch"
-    path = f"{root.rstrip('/')}/lattika/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["keep"]
