@@ -11,13 +11,26 @@ import pyarrow as pa
 SLICE_ROWS, SLICE_BYTES = 1_000, 2 << 20
 
 
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the texts and binary values of each row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns if batch.num_rows else ():
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        if wide or pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
+            total += np.diff(offsets[column.offset : column.offset + len(column) + 1])
+    return total
+
+
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in order, in slices that fit a worker's memory whatever the length of the texts."""
+    """The rows of all batches in order, in slices that fit a worker's memory."""
     for batch in batches:
-        row_bytes = max(1, batch.nbytes // max(1, batch.num_rows))
-        step = max(1, min(SLICE_ROWS, SLICE_BYTES // row_bytes))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        ends, at = np.cumsum(row_bytes(batch)), 0
+        while at < batch.num_rows:
+            within = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            stop = min(at + SLICE_ROWS, max(at + 1, within))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def binary(flat: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattika.operators.rounds import drop, shared_folder
+
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,9 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one beside the warehouse where that is unset."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return given or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lattika_scratch"
+    """The folder all executors share: `spark.checkpoint.dir`, or one in the warehouse where that is unset; a warehouse on a machine's own disk is refused on a cluster."""
+    return shared_folder(spark)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -36,8 +37,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the written files behind a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    drop(df)

@@ -31,9 +31,10 @@ BATCH = 64
 
 
 def file_system(uri: str):
-    """The file system and path of a folder or file."""
+    """The file system and path of a folder or file; names that Spark uses for a store are those of the store."""
     from pyarrow import fs
 
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri) if ":" in uri else uri)
 
 
@@ -101,6 +102,14 @@ class SequenceFile:
             flat[-1] = flat[-1][: batches[-1].column(1).values.true_count]
         return np.concatenate(flat) if flat else np.zeros(0, np.uint32)
 
+    def span(self, start: int, end: int) -> np.ndarray:
+        """The ids from place `start` to `end`; only the batches that hold them are read."""
+        size, parts = self.length * BATCH, []
+        for i in range(start // size, -(-end // size)):
+            values = self.reader.get_batch(i).column(0).values.to_numpy()
+            parts.append(values[max(0, start - i * size) : end - i * size])
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 2, length: int = 2048) -> DataFrame:
     """Write all documents under `path`; returns the manifest: part, file, documents, tokens, first_token (one row per file).
@@ -146,21 +155,22 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = SequenceFile(row["file"]).ids().astype(np.uint32, copy=False)
+                file = SequenceFile(row["file"])
                 system, at = file_system(row["file"] + ".docs")
                 index = pa.ipc.open_file(system.open_input_file(at)).read_all()
                 counts = index["n_tokens"].to_numpy()
                 ends = np.cumsum(counts)
                 begin = 0
-                while begin < len(counts):  # rows of some 16 MB at a time
+                while begin < len(counts):  # some 16 MB at a time
                     done = ends[begin - 1] if begin else 0
                     end = max(begin + 1, int(np.searchsorted(ends, done + (4 << 20), side="right")))
+                    ids = file.span(int(done), int(ends[end - 1])).astype(np.uint32, copy=False)
                     yield pa.record_batch(
                         {
                             "doc_id": index["doc_id"].slice(begin, end - begin).combine_chunks(),
                             "start": row["first_token"] + ends[begin:end] - counts[begin:end],
                             "n_tokens": counts[begin:end],
-                            "ids": binary(ids[done : ends[end - 1]], counts[begin:end]),
+                            "ids": binary(ids, counts[begin:end]),
                         }
                     )
                     begin = end

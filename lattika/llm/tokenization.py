@@ -3,22 +3,23 @@
 A byte-level BPE whose pre-tokenizer attaches one space to the word after it never merges across a
 space that stands between two characters that are not white space. Texts are cut there, and the
 `tokenizers` library encodes each distinct piece once per worker, many pieces in one call: several times
-faster than running text, with the same ids (tests compare both).
+faster than running text, with the same ids (tests compare both). A text that holds the string of one of the vocabulary's added
+tokens goes to the library as a whole. Long texts are cut into segments, so that memory does not follow a text's length.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew; bounds its memory, not its input.
 CACHE_PIECES = 800_000
-#: Pieces joined into one call of the library.
-JOINED = 2_000
+#: Pieces joined into one call of the library; characters of a long text that are cut into pieces at a time.
+JOINED, SEGMENT = 2_000, 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BY_PATH: dict[str, "PieceTokenizer"] = {}
 
@@ -38,7 +39,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self.library.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
         self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -58,24 +60,36 @@ class PieceTokenizer:
         raw = np.frombuffer("".join(calls).encode(), np.uint8)
         sizes = np.append(np.diff(np.flatnonzero(raw == 32), append=len(raw)), [len(k[1:].encode()) if k[:1] == " " else len(k.encode()) + 1 for k in alone]).astype(np.int64)
         calls += [k[1:] if k[:1] == " " else " " + k for k in alone]
+        self.library.encode_special_tokens = True  # joined pieces of different texts make up no added token
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(calls, add_special_tokens=False)), np.uint32)
         cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(sizes), side="left") + 1  # no token spans two pieces
         self.lengths.append(np.diff(cuts, prepend=0))
         self.ids.append(ids)
         self.index.update(zip(chain(joined, alone), range(len(self.index), len(self.index) + len(keys))))
 
-    def encode(self, texts: Sequence[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Flat uint32 ids of all texts and ids per text; null counts as empty; `end_id` follows each text."""
+    def _whole(self, text: str) -> np.ndarray:
+        self.library.encode_special_tokens = False
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Parts of a text that are encoded apart, and whether a part begins the text; a later part lacks the space before it."""
+        at = 0
+        while cut := _CUT.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None:
+            yield text[at : cut.start()], at == 0
+            at = cut.end()
+        yield text[at:], at == 0
+
+    def _pieces(self, segments: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and ids per segment."""
         if len(self.index) > CACHE_PIECES:
             self._clear()
         words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
+        counts = np.zeros(len(segments), np.int64)
+        for i, (text, first) in enumerate(segments):
             plain = len(text.split()) == text.count(" ") + text.count("\n") + 1  # white space stands alone everywhere
             parts = text.split(" ") if plain else _CUT.split(text)
-            parts[0] = " " + parts[0]
+            if first:
+                parts[0] = " " + parts[0]
             words += parts
             counts[i] = len(parts)
         new = list(dict.fromkeys(words).keys() - self.index.keys())
@@ -86,9 +100,39 @@ class PieceTokenizer:
         pool = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
         self.lengths, self.ids = [lengths], [pool]
         starts = np.cumsum(lengths) - lengths
-        flat = ragged(pool, starts[at], lengths[at])
-        owner = np.repeat(np.arange(len(texts)), counts)
-        per_text = np.bincount(owner, weights=lengths[at], minlength=len(texts)).astype(np.int64)
+        owner = np.repeat(np.arange(len(segments)), counts)
+        return ragged(pool, starts[at], lengths[at]), np.bincount(owner, weights=lengths[at], minlength=len(segments)).astype(np.int64)
+
+    def encode(self, texts: Sequence[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Flat uint32 ids of all texts and ids per text; null counts as empty; `end_id` follows each text."""
+        per_text, out = np.zeros(len(texts), np.int64), []
+        waiting: list[tuple[str, bool]] = []
+        owners: list[int] = []
+
+        def flush() -> None:
+            if waiting:
+                flat, counts = self._pieces(waiting)
+                np.add.at(per_text, owners, counts)
+                out.append(flat)
+                waiting.clear()
+                owners.clear()
+
+        held = 0
+        for i, text in enumerate(texts):
+            if text and self.added and self.added.search(text):
+                flush()
+                out.append(self._whole(text))
+                per_text[i] = len(out[-1])
+            elif text:
+                for part, first in self._segments(text):
+                    waiting.append((part, first))
+                    owners.append(i)
+                    held += len(part)
+                    if held >= 4 * SEGMENT:
+                        flush()
+                        held = 0
+        flush()
+        flat = np.concatenate(out) if out else np.zeros(0, np.uint32)
         if end_id is not None:
             flat = np.insert(flat, np.cumsum(per_text), np.uint32(end_id))
             per_text = per_text + 1

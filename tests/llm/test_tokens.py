@@ -10,16 +10,14 @@ from lattika.llm.token_files import SequenceFile, read_token_files, write_token_
 from lattika.llm.tokenization import PieceTokenizer, public_path
 
 SCHEMA = "doc_id long, text string, start string, ids int"
-ODD = ["", " ", "  a", "a  b", "a   b \n c", "x\n\ny z ", "it's  we'll\tgo", "a b c", "a \x1c b", "<|endoftext|> hi", " é   è  x  ", "a​ b", "\n", " \n \n", "1 22 333 don't 's", "😀 😀😀", None]
+ODD = ["", " ", "  a", "a  b", "a   b \n c", "x\n\ny z ", "it's  we'll\tgo", "a b c", "a \x1c b", "<|endoftext|> hi", "a <|endoftext|> b<|endoftext|>", "<|endof", "text|>", " é   è  x  ", "a​ b", "\n", " \n \n", "1 22 333 don't 's", "😀 😀😀", None]
 
 
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_path())
 
 
 def texts(n=60, seed=4):
@@ -43,7 +41,8 @@ def test_ids_equal_the_library(library, monkeypatch):
 
     monkeypatch.setattr(tokenization, "CACHE_PIECES", 20)
     ours = PieceTokenizer(public_path())
-    for _ in range(2):
+    for segment in (1 << 20, 1 << 20, 50):
+        monkeypatch.setattr(tokenization, "SEGMENT", segment)
         flat, counts = ours.encode(texts(), 7)
         assert np.split(flat, np.cumsum(counts)[:-1])[5].tolist() == ids(library, texts()[5], 7)
         assert flat.tolist() == [i for t in texts() for i in ids(library, t, 7)]
