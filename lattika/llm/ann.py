@@ -27,7 +27,7 @@ SAMPLE, LISTS, WORDS, PART = 20_000, 2048, 256, 4
 #: Share of the sample's true neighbours that the probed lists must hold; queries of the sample that measure it.
 RECALL, TRIED = 0.96, 256
 #: Candidates of a query that are measured exactly; vectors of a block; queries that meet a block in one task.
-RERANK, BLOCK, QUERY_BLOCK = 200, 8192, 4096
+RERANK, BLOCK, QUERY_BLOCK = 200, 4096, 4096
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray, n: int = 1) -> np.ndarray:

@@ -4,8 +4,9 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lattika.llm.mixing import OP2_SQL, mix, op2_mixing, take
+from lattika.llm.mixing import OP2_SQL, PACKET, first_words, mix, op2_mixing, take
 from lattika.llm.quality import OP8_SQL, host_verdicts, judge, op8_quality
 
 SCHEMA = "doc_id long, text string, source string, size string, target string, host string"
@@ -60,7 +61,14 @@ def test_mix_order_and_take(spark):
     for c in copies:
         per[c.source] += c.taken
     targets = {c.source: c.target for c in copies}
-    assert all(per[s] == int(t) for s, t in targets.items())
+    assert all(abs(per[s] - t) <= PACKET for s, t in targets.items())
+    assert sum(per.values()) == 3 * sum(c.size for c in copies if c.copy == 0) // 2
+    whole = [c.finish for c in copies if 0 < c.taken == c.size]
+    assert all(c.taken == c.size for c in copies if c.finish <= sorted(whole)[len(whole) * 9 // 10] and c.size <= PACKET)
+    ordered = take(df).collect()
+    want = [(c.doc_id, c.source, c.taken) for c in copies if c.taken]
+    assert [(r.doc_id, r.source, len((r.text or "").split())) for r in ordered] == want
+    assert len({s for _, s, _ in want[:40]}) > 2
     taken = take(df).collect()
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     got = Counter()
@@ -71,6 +79,12 @@ def test_mix_order_and_take(spark):
     assert sorted(take(df).collect(), key=str) == sorted(taken, key=str)
 
 
+def test_first_words_keep_the_text(spark):
+    data = [("  a\tb\n c d ", n) for n in range(1, 6)] + [("a b", 1), ("a", 1)]
+    found = spark.createDataFrame(data, "t string, n long").select(first_words(F.col("t"), F.col("n")).alias("x")).collect()
+    assert [r.x for r in found] == ["  a", "  a\tb", "  a\tb\n c", "  a\tb\n c d", "  a\tb\n c d", "a", "a"]
+
+
 def test_refused_hosts(spark):
     good = " ".join(f"word{i}" for i in range(60))
     data = [(i, good, f"h{i % 4}") for i in range(80)] + [(100 + i, "too short", "bad") for i in range(40)] + [(200, good, "bad"), (201, good, None)]
