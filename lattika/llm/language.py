@@ -3,7 +3,7 @@
 A text is cut into windows of WINDOW bytes. Filters of several widths run over the bytes of a window, the maximum of each
 filter over the window is kept, and a softmax layer turns the maxima into probabilities; a text's probabilities
 are those of its windows, weighted by their bytes. The network is trained here, in numpy, on a bounded sample
-of labelled rows (SAMPLE_ROWS for each of at most LANGUAGES languages, SAMPLE_CHARS of each text); the fitted
+of labelled rows (SAMPLE_ROWS of each language at most), from whose whole texts PIECES windows each are drawn; the fitted
 tables are small and travel with the task. Prediction reads whole texts where they lie, without a shuffle.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -22,9 +22,11 @@ from lattika.llm.common import table
 
 #: Bytes of a window; filter widths and filters of each width.
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 24
-#: Bounds of the training sample.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 2048, 200
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: The training sample: rows of a language at most, windows drawn from each text.
+SAMPLE_ROWS, PIECES = 400, 8
+BATCH, RATE = 64, 0.01
+#: Windows that are predicted at a time.
+STEP = 512
 UNKNOWN = "und"
 
 #: Symbols: 0 pads; letters count in lower case; digits, white space and other ASCII are one symbol each; other bytes are themselves.
@@ -81,42 +83,41 @@ class ByteNetwork:
         return self._head(np.concatenate(pooled))[1] if pooled else np.zeros((0, len(self.languages)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 7) -> None:
-        """Adam on random windows of the texts, of random lengths, so that short texts are learnt too."""
+        """Adam, once over the texts, on a part of each of random length, so that short texts are learnt too."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         at = 0
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(texts))
-            for begin in range(0, len(order), BATCH):
-                rows = order[begin : begin + BATCH]
-                x = np.zeros((len(rows), WINDOW), np.int32)
-                for i, r in enumerate(rows):
-                    size = int(rng.choice([24, 64, 160, WINDOW]))
-                    first = int(rng.integers(0, max(1, len(texts[r]) - size + 1)))
-                    part = np.frombuffer(texts[r][first : first + size], np.uint8)
-                    x[i, : len(part)] = _SYMBOL[part]
-                self._prepare()
-                best, pooled = [], []
-                for r in self._responses(x):
-                    best.append(r.argmax(axis=1))
-                    pooled.append(np.take_along_axis(r, best[-1][:, None], axis=1)[:, 0])
-                hidden, prob = self._head(np.concatenate(pooled, axis=1))
-                dz = prob
-                dz[np.arange(len(rows)), labels[rows]] -= 1
-                dz /= len(rows)
-                dh = (dz @ self.p["v"].T) * (hidden > 0)
-                g = {"v": hidden.T @ dz, "c": dz.sum(axis=0), "b": dh.sum(axis=0)}
-                for j, k in enumerate(WIDTHS):
-                    g[f"w{k}"] = np.zeros_like(self.p[f"w{k}"])
-                    grad = dh[:, j * FILTERS : (j + 1) * FILTERS]
-                    for o in range(k):
-                        np.add.at(g[f"w{k}"][o], (x[np.arange(len(rows))[:, None], best[j] + o], np.arange(FILTERS)[None]), grad)
-                at += 1
-                for k, v in self.p.items():
-                    m[k] += 0.1 * (g[k] - m[k])
-                    s[k] += 0.001 * (g[k] ** 2 - s[k])
-                    v -= RATE * (m[k] / (1 - 0.9**at)) / (np.sqrt(s[k] / (1 - 0.999**at)) + 1e-8)
+        order = rng.permutation(len(texts))
+        for begin in range(0, len(order), BATCH):
+            rows = order[begin : begin + BATCH]
+            x = np.zeros((len(rows), WINDOW), np.int32)
+            for i, r in enumerate(rows):
+                size = int(rng.choice([24, 64, 160, WINDOW]))
+                first = int(rng.integers(0, max(1, len(texts[r]) - size + 1)))
+                part = np.frombuffer(texts[r][first : first + size], np.uint8)
+                x[i, : len(part)] = _SYMBOL[part]
+            self._prepare()
+            best, pooled = [], []
+            for r in self._responses(x):
+                best.append(r.argmax(axis=1))
+                pooled.append(np.take_along_axis(r, best[-1][:, None], axis=1)[:, 0])
+            hidden, prob = self._head(np.concatenate(pooled, axis=1))
+            dz = prob
+            dz[np.arange(len(rows)), labels[rows]] -= 1
+            dz /= len(rows)
+            dh = (dz @ self.p["v"].T) * (hidden > 0)
+            g = {"v": hidden.T @ dz, "c": dz.sum(axis=0), "b": dh.sum(axis=0)}
+            for j, k in enumerate(WIDTHS):
+                g[f"w{k}"] = np.zeros_like(self.p[f"w{k}"])
+                grad = dh[:, j * FILTERS : (j + 1) * FILTERS]
+                for o in range(k):
+                    np.add.at(g[f"w{k}"][o], (x[np.arange(len(rows))[:, None], best[j] + o], np.arange(FILTERS)[None]), grad)
+            at += 1
+            for k, v in self.p.items():
+                m[k] += 0.1 * (g[k] - m[k])
+                s[k] += 0.001 * (g[k] ** 2 - s[k])
+                v -= RATE * (m[k] / (1 - 0.9**at)) / (np.sqrt(s[k] / (1 - 0.999**at)) + 1e-8)
         self.pairs = {}
 
 
@@ -126,18 +127,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, part of a text) of at most about SAMPLE_ROWS rows for each of the LANGUAGES most frequent languages, spread by hash."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_ROWS / r["count"])))])
-    hashed = F.xxhash64(F.lit("language"), "doc_id")
-    chosen = known.where(F.pmod(hashed, F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
-    first = F.pmod(F.shiftright(hashed, 20), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    rows = chosen.select("lang", F.substring(F.col("text"), first, F.lit(SAMPLE_CHARS)).alias("text"), hashed.alias("h"))
-    rows = rows.where(F.length("text") > 0).limit(2 * SAMPLE_ROWS * len(counts)).collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))]
+    """(lang, part of a text) for at most SAMPLE_ROWS rows of each language, spread by hash, PIECES parts of WINDOW characters from places all over each text."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    hashed = F.xxhash64(F.lit("language"), "doc_id", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = known.select("doc_id", "lang", hashed.alias("h"))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)  # cut down before the shuffle
+    chosen = known.select("doc_id", "text", "lang", hashed.alias("h")).join(rows.select("doc_id", "lang", "h", "rank").hint("broadcast"), ["doc_id", "lang", "h"])  # SAMPLE_ROWS of a language at most
+    chosen = chosen.dropDuplicates(["lang", "rank"]).select("lang", "text", "rank", "h", F.explode(F.sequence(F.lit(1), F.lit(PIECES))).alias("piece"))
+    first = F.pmod(F.xxhash64("h", "piece"), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
+    parts = chosen.select("lang", "rank", "piece", F.substring(F.col("text"), first, F.lit(WINDOW)).alias("text")).collect()
+    return [(r["lang"], r["text"]) for r in sorted(parts, key=lambda r: (r["rank"], r["piece"], r["lang"]))]
 
 
 def train(docs: DataFrame) -> ByteNetwork | None:
@@ -151,22 +151,23 @@ def train(docs: DataFrame) -> ByteNetwork | None:
     return network
 
 
-def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all windows of a slice, the row of each, and the bytes in each."""
+def _windows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of STEP windows of a slice at a time: their symbols, the row of each, and the bytes in each."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
-    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    raw = np.frombuffer(data, np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8)
+    start, size = offsets[:-1], np.diff(offsets)
     count = -(-size // WINDOW)
     owner = np.repeat(np.arange(len(size)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    begin = start[owner] + place * WINDOW
-    length = np.minimum(WINDOW, (start + size)[owner] - begin)
-    symbols = np.concatenate([_SYMBOL[raw], np.zeros(WINDOW, np.int32)])
-    x = symbols[begin[:, None] + np.arange(WINDOW)]
-    x[np.arange(WINDOW) >= length[:, None]] = 0
-    return x, owner, length
+    for at in range(0, len(owner), STEP):
+        own = owner[at : at + STEP]
+        begin = start[own] + place[at : at + STEP] * WINDOW
+        length = np.minimum(WINDOW, (start + size)[own] - begin)
+        spot = begin[:, None] + np.arange(WINDOW)
+        x = np.where(np.arange(WINDOW) < length[:, None], _SYMBOL[raw[np.minimum(spot, len(raw) - 1)]], 0)
+        yield x, own, length
 
 
 def identify(docs: DataFrame, network: ByteNetwork | None, predicted: str = "lang_pred", scored: str = "score") -> DataFrame:
@@ -184,9 +185,9 @@ def identify(docs: DataFrame, network: ByteNetwork | None, predicted: str = "lan
             known = np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], bool) & (network is not None)
             lang, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
             if known.any():
-                x, owner, length = _windows(texts)
                 total = np.zeros((len(known), len(network.languages)))
-                np.add.at(total, owner, network.predict(x) * length[:, None])
+                for x, owner, length in _windows(texts):
+                    np.add.at(total, owner, network.predict(x) * length[:, None])
                 total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
                 best = total.argmax(axis=1)
                 lang[known] = np.array(network.languages, object)[best[known]]
