@@ -23,25 +23,24 @@ _BYTE = mix(np.arange(256, dtype=np.uint64))
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 
 
+#: Bytes that are hashed at a time; a longer word is hashed as a whole.
+CHUNK = 1 << 18
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        out = np.full(max(n, 1 << 20), base, np.uint64)
+    out = _POWERS.get(base)
+    if out is None or len(out) < n:
+        out = np.full(max(n, CHUNK), base, np.uint64)
         out[0] = 1
-        _POWERS[base] = np.multiply.accumulate(out)
-    return _POWERS[base][:n]
+        out = np.multiply.accumulate(out)
+        if len(out) <= 4 * CHUNK:  # those of a very long word are not kept
+            _POWERS[base] = out
+    return out[:n]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of all texts (words: runs without space, tab or line break; A-Z lower-cased), and words per text."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if not len(texts) or offsets[0] == offsets[-1]:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    edges = offsets - offsets[0]
+def _chunk_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of some bytes; `edges`: where texts begin and end in them."""
     space = _SPACE[raw]
     border = np.zeros(len(raw) + 1, bool)
     border[edges] = True
@@ -50,8 +49,29 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _powers(_STEP, len(raw)), out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * _powers(_BACK, len(raw))[start] + (end - start).astype(np.uint64))
-    return hashed, np.diff(np.searchsorted(start, edges))
+    return mix((sums[end] - sums[start]) * _powers(_BACK, len(raw))[start] + (end - start).astype(np.uint64)), start
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of all texts (words: runs without space, tab or line break; A-Z lower-cased), and words per text."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    edges = offsets - offsets[0]
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        end = min(at + CHUNK, len(raw))
+        while end < len(raw) and not _SPACE[raw[end]]:  # to the end of a word
+            near = np.flatnonzero(_SPACE[raw[end : end + CHUNK]])
+            end += int(near[0]) if len(near) else min(CHUNK, len(raw) - end)
+        a, b = np.searchsorted(edges, [at, end + 1])
+        found, start = _chunk_hashes(raw[at:end], edges[a:b] - at)
+        hashes.append(found)
+        starts.append(start + at)
+        at = end
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), edges))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
