@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from re import _parser
 
 import numpy as np
@@ -132,27 +133,41 @@ def trigrams(query: Query) -> set[bytes]:
     return set().union(*(trigrams(p) for p in query[1]))
 
 
+#: Bytes that are searched for trigrams at a time.
+CHUNK = 1 << 18
+
+
+@lru_cache(maxsize=4)
+def _numbered(wanted: frozenset[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Trigrams in order, and the number of each from 1 by its code."""
+    names = sorted(wanted)
+    slots = np.zeros(1 << 24, np.uint8 if len(names) < 256 else np.uint16)
+    slots[[int.from_bytes(n, "big") for n in names]] = np.arange(1, len(names) + 1)
+    return names, slots
+
+
 class Shard:
     """Postings of one slice of texts for the trigrams that queries name."""
 
     def __init__(self, texts: pa.Array, wanted: set[bytes]):
         self.rows = len(texts)
+        names, slots = _numbered(frozenset(wanted))
         texts = texts.cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        self.postings: dict[bytes, np.ndarray] = {w: np.zeros(0, np.int64) for w in wanted}
-        if not self.rows or offsets[-1] - offsets[0] < 3 or not wanted:
+        self.postings: dict[bytes, np.ndarray] = {n: np.zeros(0, np.int64) for n in names}
+        if not self.rows or offsets[-1] - offsets[0] < 3 or not names:
             return
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint32)
-        codes = low[:-2] << 16 | low[1:-1] << 8 | low[2:]
-        names = sorted(wanted)
-        slot = np.zeros(1 << 24, np.uint16)
-        slot[[int.from_bytes(n, "big") for n in names]] = np.arange(1, len(names) + 1)
-        found = slot[codes]
-        at = np.flatnonzero(found)
-        row = np.searchsorted(offsets - offsets[0], at, side="right") - 1
-        inside = at + 3 <= (offsets - offsets[0])[row + 1]  # not across two texts
-        keys = np.unique(found[at[inside]].astype(np.int64) * self.rows + row[inside])
+        edges, parts = offsets - offsets[0], []
+        for begin in range(0, len(raw) - 2, CHUNK):
+            part = raw[begin : begin + CHUNK + 2]  # trigrams that begin in this chunk
+            low = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.int32)
+            found = slots[low[:-2] << 16 | low[1:-1] << 8 | low[2:]]
+            at = np.flatnonzero(found)
+            row = np.searchsorted(edges, at + begin, side="right") - 1
+            inside = at + begin + 3 <= edges[row + 1]  # not across two texts
+            parts.append(np.unique(found[at[inside]].astype(np.int64) * self.rows + row[inside]))
+        keys = np.unique(np.concatenate(parts))
         number = keys // self.rows
         for i, name in enumerate(names):
             self.postings[name] = keys[np.searchsorted(number, i + 1) : np.searchsorted(number, i + 2)] % self.rows
