@@ -48,8 +48,11 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, compressio
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest", "left")
+    narrow = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # payloads are dealt out by page, not by digest, so that equal payloads are many tasks; only pages of repeated payloads are looked up
+    again = narrow.join(first, "digest").distinct().select(F.col("page_id").alias("page"), F.col("digest").alias("same"), "first")
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("same")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     urn = lambda c: F.concat(F.lit("<urn:uuid:"), record_id(F.coalesce(c.cast("string"), F.lit("null"))), F.lit(">"))
