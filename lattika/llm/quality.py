@@ -72,14 +72,23 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def priors(hosts: DataFrame) -> dict[str, tuple[float | None, float | None]]:
-    """Mean and strength in documents of each rule's beta prior, by the method of moments over all hosts: one row of sums, whatever the number of hosts."""
-    moments = []
+    """Mean and strength in documents of each rule's beta prior, by the method of moments over all hosts: one row of sums, whatever the number of hosts.
+
+    Rates are weighted by documents, and what the spread of rates owes to the binomial noise of each host is taken off.
+    """
+    moments = [F.sum("documents").alias("all"), F.count("*").alias("hosts"), F.sum(F.col("documents") * F.col("documents").cast("double")).alias("squares")]
     for name in RULES:
-        moments += [(F.sum(name) / F.sum("documents")).alias(f"{name}_mean"), F.var_pop(F.col(name) / F.col("documents")).alias(f"{name}_spread")]
+        moments += [F.sum(name).alias(f"{name}_sum"), F.sum(F.col(name) * F.col(name).cast("double") / F.col("documents")).alias(f"{name}_squares")]
     row, found = hosts.agg(*moments).first(), {}
     for name in RULES:
-        mean, spread = row[f"{name}_mean"], row[f"{name}_spread"]
-        strength = mean * (1 - mean) / spread - 1 if spread else STRENGTH[1]
+        if not row["all"]:
+            found[name] = (None, None)
+            continue
+        mean, free = row[f"{name}_sum"] / row["all"], row["hosts"] - 1
+        spread = row[f"{name}_squares"] - row[f"{name}_sum"] * mean
+        room, noise = mean * (1 - mean), row["all"] - row["squares"] / row["all"] - free
+        excess = spread / room - free if room > 0 else 0.0
+        strength = noise / excess - 1 if excess > 0 and noise > 0 else STRENGTH[1]
         found[name] = (mean, max(STRENGTH[0], min(STRENGTH[1], strength)))
     return found
 
@@ -116,9 +125,10 @@ def _oracle() -> str:
         f"""(x_{n} + m_{n} * s_{n}) / (documents + s_{n}) AS r_{n}""" for n in RULES
     )
     strengths = ", ".join(
-        f"greatest({STRENGTH[0]}, least({STRENGTH[1]}, CASE WHEN v_{n} > 0 THEN m_{n} * (1 - m_{n}) / v_{n} - 1 ELSE {STRENGTH[1]} END)) AS s_{n}" for n in RULES
+        f"greatest({STRENGTH[0]}, least({STRENGTH[1]}, CASE WHEN p_{n} > 0 AND v_{n} / p_{n} - free > 0 AND noise > 0 THEN noise / (v_{n} / p_{n} - free) - 1 ELSE {STRENGTH[1]} END)) AS s_{n}" for n in RULES
     )
-    moments = ", ".join(f"sum(x_{n}) OVER () / CAST(sum(documents) OVER () AS DOUBLE) AS m_{n}, var_pop(x_{n} / CAST(documents AS DOUBLE)) OVER () AS v_{n}" for n in RULES)
+    sums = ", ".join(f"sum(x_{n}) OVER () / CAST(sum(documents) OVER () AS DOUBLE) AS m_{n}, sum(x_{n}) OVER () AS t_{n}, sum(x_{n} * CAST(x_{n} AS DOUBLE) / documents) OVER () AS q_{n}" for n in RULES)
+    moments = ", ".join(f"q_{n} - t_{n} * m_{n} AS v_{n}, m_{n} * (1 - m_{n}) AS p_{n}" for n in RULES)
     counts = ", ".join(f"count(*) FILTER (WHERE {rule}) AS x_{n}" for n, rule in RULES.items())
     return rf"""
 WITH texts AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents),
@@ -140,7 +150,10 @@ measured AS (
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM listed LEFT JOIN covered USING (k)),
 hosts AS (SELECT source AS host, count(*) AS documents, {counts} FROM measured GROUP BY source),
-fitted AS (SELECT *, {moments} FROM hosts),
+summed AS (
+  SELECT *, {sums}, count(*) OVER () - 1 AS free,
+         sum(documents) OVER () - sum(documents * CAST(documents AS DOUBLE)) OVER () / sum(documents) OVER () - (count(*) OVER () - 1) AS noise FROM hosts),
+fitted AS (SELECT *, {moments} FROM summed),
 priors AS (SELECT *, {strengths} FROM fitted),
 shrunk AS (SELECT host, {rates} FROM priors),
 verdicts AS (SELECT host, greatest({", ".join(f"r_{n}" for n in RULES)}) > {LIMIT} AS refused FROM shrunk)
