@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattika.llm.batches import slices
@@ -214,14 +214,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with all its columns, without the documents that `near_duplicates` does not keep.
 
-    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    Of rows that share a doc_id the one with the least hash of all columns stays; rows without doc_id all stay.
     """
     found = near_duplicates(docs, shingle, percent)
     gone = found.where("NOT kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
     twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not twice.isEmpty():
-        one = rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        least = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+        one = rest.join(twice, "doc_id", "left_semi").withColumn("__least", least).where("__least = 1").drop("__least")
         rest = rest.join(twice, "doc_id", "left_anti").unionByName(one)
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
