@@ -7,7 +7,7 @@ background model (Moore and Lewis 2010); the lower, the more it resembles the ta
 All words and pairs of all documents are in the models, however rare. The VOCABULARY most frequent words and the PAIRS
 most frequent pairs of them travel to the tasks, with their exact counts, and are scored where the text lies; this
 bounds what is broadcast and keeps frequent keys out of the shuffle, and no count is dropped by it. Every occurrence of a rarer
-word or pair goes to a bucket by hash, which counts it over both corpora and returns sums by document.
+word or pair goes to a bucket by hash, which counts it over both corpora and returns sums by document, packed for each slice of texts.
 Words are told apart by a 64-bit hash, pairs by a 64-bit hash of both words, A-Z in lower case.
 """
 
@@ -20,6 +20,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ STEPS = 8
 BUCKET_WORDS = 1 << 22
 #: Hash of the start of a text, as the word before its first one.
 START = mix(np.full(1, 1, np.uint64))[0]
-#: What an entry of a bucket is: a pair with a frequent second word, one with a rare second word, a rare word before another; sums of a document, with and without an id.
-FREQUENT, RARE, BEFORE, OWN, OWN_NO_ID = range(5)
+#: What an entry of a bucket is: a pair with a frequent second word, one with a rare second word, a rare word before another; what a slice knew of its documents.
+FREQUENT, RARE, BEFORE, OWN = range(4)
 #: What an entry of a bucket counts for.
 SCORED, BACKGROUND, TARGET = 1, 2, 4
 
@@ -160,44 +161,42 @@ def fit(docs: DataFrame, target: DataFrame) -> Models:
     return models
 
 
-def _entries(docs: DataFrame, sent, role: Column, buckets: int) -> DataFrame:
-    """Of each slice of texts: what is known of its documents at once, and every occurrence of a rare word or pair, by bucket. All rows are scored, or none."""
+def _entries(docs: DataFrame, sent, role: Column, buckets: int, scored: bool) -> DataFrame:
+    """Of each slice of texts: what is known of its documents at once (where they are scored), and every occurrence of a rare word or pair, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
-        for batch in slices(batches):
-            rows = batch.column(0).to_numpy()
-            hashes, counts = word_hashes(batch.column(2))
+        models, name = sent.value, TaskContext.get().partitionId() << 24
+        for name, batch in enumerate(slices(batches), name):
+            hashes, counts = word_hashes(batch.column(1))
             code, first, second = pair_codes(models.words, hashes, counts)
             before = np.concatenate([[START], hashes[:-1]]) if len(hashes) else hashes
             before[(np.cumsum(counts) - counts)[counts > 0]] = START
-            owner = np.repeat(np.arange(len(counts)), counts)
+            owner = np.repeat(np.arange(len(counts)), counts).astype(np.uint16)
             known, losses = models.pair_losses(code, second)
             rare, late = second == len(models.words), first == len(models.words)
             pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
-            roles = batch.column(3).to_numpy()
-            scored = bool(roles[0] & SCORED)
+            roles = batch.column(2).to_numpy()
             if scored:
-                own = [np.bincount(owner[known], weights=a, minlength=len(rows)) + np.bincount(owner[~late], weights=np.log(c[first[~late]] + PRIOR), minlength=len(rows)) for a, c in zip(losses, models.contexts)]
-                no_id = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-                ids = batch.column(1).fill_null(0).to_numpy()
-                for kind, of in ((OWN, ~no_id), (OWN_NO_ID, no_id)):
-                    yield from blobs(kind, rows[of].view(np.uint64), roles[of], rows[of], ids[of].view(np.uint64), counts[of].astype(np.uint64), *(x[of].astype(np.float64) for x in own))
-            for kind, of, key, x, y in ((FREQUENT, ~known & ~rare, pair, pair, second.astype(np.uint64)), (RARE, rare, hashes, pair, hashes), (BEFORE, late, before, before, before[:0])):
-                yield from blobs(kind, key[of], roles[owner[of]], rows[owner[of]] if scored else rows[:0], x[of], y[of] if len(y) else y)
-
-    def blobs(kind: int, key: np.ndarray, roles: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket = (mix(key) % np.uint64(buckets)).astype(np.int64) * 8 + roles
-        order = np.argsort(bucket, kind="stable")
-        names, counts = np.unique(bucket, return_counts=True)
-        if len(names):
-            none = pa.array([b""] * len(names), pa.binary())
-            parts = [binary(c[order], counts) if len(c) else none for c in columns] + [none] * (5 - len(columns))
-            fixed = [pa.array(x.astype(np.int32)) for x in (names // 8, np.full(len(names), kind), names % 8)]
-            yield pa.RecordBatch.from_arrays([*fixed, *parts], ["bucket", "kind", "role", "row", "x", "y", "background", "target"])
-
-    text = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", role.alias("role"))
-    return text.mapInArrow(run, "bucket int, kind int, role int, row binary, x binary, y binary, background binary, target binary")
+                n = len(counts)
+                own = [np.bincount(owner[known], weights=a, minlength=n) + np.bincount(owner[~late], weights=np.log(c[first[~late]] + PRIOR), minlength=n) for a, c in zip(losses, models.contexts)]
+                has_id, ids = batch.column(0).is_valid().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy()
+                yield record([name % buckets], name, OWN, [0], [n], has_id.astype(np.uint8), ids.astype(np.int64), counts.astype(np.int64), *own)
+            for kind, of, key, x, y in ((FREQUENT, ~known & ~rare, pair, pair, second.astype(np.uint32)), (RARE, rare, hashes, pair, hashes), (BEFORE, late, before, before, before[:0])):
+                bucket = (mix(key[of]) % np.uint64(buckets)).astype(np.int64) * 8 + roles[owner[of]]
+                order = np.argsort(bucket, kind="stable")
+                names, held = np.unique(bucket, return_counts=True)
+                if len(names):
+                    docs_of = owner[of][order] if scored else owner[:0]
+                    yield record(names // 8, name, kind, names % 8, held, docs_of, x[of][order], y[of][order] if len(y) else y)
+
+    def record(bucket, name: int, kind: int, role, held, *columns: np.ndarray) -> pa.RecordBatch:
+        none = pa.array([b""] * len(bucket), pa.binary())
+        parts = [binary(c, np.asarray(held)) if len(c) else none for c in columns] + [none] * (5 - len(columns))
+        fixed = [pa.array(np.asarray(bucket, np.int32)), pa.array(np.full(len(bucket), name, np.int64)), *(pa.array(np.broadcast_to(np.asarray(v, np.int32), len(bucket))) for v in (kind, role))]
+        return pa.RecordBatch.from_arrays([*fixed, *parts], ["bucket", "slice", "kind", "role", "docs", "x", "y", "background", "target"])
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", role.alias("role"))
+    return text.mapInArrow(run, "bucket int, slice long, kind int, role int, docs binary, x binary, y binary, background binary, target binary")
 
 
 def _flat(column: pa.ChunkedArray, dtype) -> np.ndarray:
@@ -216,37 +215,46 @@ def _count(keys: np.ndarray, roles: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(at[roles & r > 0], minlength=len(keys))[at[roles & SCORED > 0]] for r in (BACKGROUND, TARGET)])
 
 
-SUMS = "row long, doc_id long, copies long, words long, background double, target double"
+SUMS = "slice long, own boolean, docs binary, x binary, y binary, background binary, target binary"
 
 
 def _bucket_sums(group: pa.Table, models: Models) -> pa.Table:
-    """Partial sums by document: of each slice what it knew itself, and of all entries of the bucket together the rest."""
-    out = []
+    """For each slice of texts one row: sums by document of all its entries in the bucket. What a slice knew of its documents itself passes unchanged."""
     kinds = group.column("kind").to_numpy()
-    for kind in (OWN, OWN_NO_ID):
-        part = group.filter(pa.array(kinds == kind))
-        rows = _flat(part.column("row"), np.int64)
-        ids = pa.nulls(len(rows), pa.int64()) if kind == OWN_NO_ID else pa.array(_flat(part.column("x"), np.int64))
-        out.append([pa.array(rows), ids, pa.array(np.ones(len(rows), np.int64)), *(pa.array(_flat(part.column(c), t)) for c, t in (("y", np.int64), ("background", np.float64), ("target", np.float64)))])
-    rows, losses = [], []
+    names = [c.split()[0] for c in SUMS.split(", ")]
+    own = group.filter(pa.array(kinds == OWN)).append_column("own", pa.array(np.ones(int((kinds == OWN).sum()), bool))).select(names)
+    where, losses = [], []
     for kind in (FREQUENT, RARE, BEFORE):
         part = group.filter(pa.array(kinds == kind))
-        x, y = (_flat(part.column(c), np.uint64) for c in ("x", "y"))
+        x, y = _flat(part.column("x"), np.uint64), _flat(part.column("y"), np.uint32 if kind == FREQUENT else np.uint64)
         lengths = np.array([n // 8 for n in pa.compute.binary_length(part.column("x")).to_pylist()], np.int64)
         roles = np.repeat(part.column("role").to_numpy(), lengths)
         seen = _count(x, roles)
+        scored = roles & SCORED > 0
         if kind == BEFORE:
             losses.append(np.log(seen + PRIOR))
         elif kind == RARE:
             losses.append(-np.log(seen + PRIOR * models.probability(*_count(y, roles))))
         else:
-            losses.append(-np.log(seen + PRIOR * models.unigram[:, y[roles & SCORED > 0].astype(np.int64)]))
-        rows.append(_flat(part.column("row"), np.int64))
-    rows, at = np.unique(np.concatenate(rows), return_inverse=True)
-    zeros = pa.array(np.zeros(len(rows), np.int64))
-    sums = [pa.array(np.bincount(at, weights=x, minlength=len(rows)).astype(np.float64)) for x in np.concatenate(losses, axis=1)]
-    out.append([pa.array(rows), pa.nulls(len(rows), pa.int64()), zeros, zeros, *sums])
-    return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, ["row", "doc_id", "copies", "words", "background", "target"]) for x in out])
+            losses.append(-np.log(seen + PRIOR * models.unigram[:, y[scored].astype(np.int64)]))
+        where.append(np.repeat(part.column("slice").to_numpy(), lengths)[scored] << 16 | _flat(part.column("docs"), np.uint16).astype(np.int64))
+    at, row = np.unique(np.concatenate(where), return_inverse=True)
+    slices_, held = np.unique(at >> 16, return_counts=True)
+    sums = [binary(np.bincount(row, weights=v, minlength=len(at)).astype(np.float64), held) for v in np.concatenate(losses, axis=1)]
+    none = pa.array([b""] * len(held), pa.binary())
+    rest = pa.Table.from_arrays([pa.array(slices_), pa.array(np.zeros(len(held), bool)), binary((at & 0xFFFF).astype(np.uint16), held), none, none, *sums], names)
+    return pa.concat_tables([own.cast(rest.schema), rest])
+
+
+def _documents(group: pa.Table) -> pa.Table:
+    """The documents of one slice, from what it knew itself and the sums of all buckets."""
+    is_own = group.column("own").to_numpy()
+    own, rest = group.filter(pa.array(is_own)), group.filter(pa.array(~is_own))
+    ids = pa.array(_flat(own.column("x"), np.int64), mask=_flat(own.column("docs"), np.uint8) == 0)
+    out, at = {"doc_id": ids, "n_tokens": _flat(own.column("y"), np.int64)}, _flat(rest.column("docs"), np.uint16)
+    for c in ("background", "target"):
+        out[c] = _flat(own.column(c), np.float64) + np.bincount(at, weights=_flat(rest.column(c), np.float64), minlength=len(ids))
+    return pa.table(out)
 
 
 def score(docs: DataFrame, models: Models, good: Column | None = None) -> DataFrame:
@@ -257,18 +265,16 @@ def score(docs: DataFrame, models: Models, good: Column | None = None) -> DataFr
     """
     sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by VOCABULARY and PAIRS
     buckets = max(1, math.ceil(models.totals.sum() / BUCKET_WORDS))
-    entries = lambda of, role: _entries(of, sent, role, buckets)
+    entries = lambda of, role, scored: _entries(of, sent, role, buckets, scored)
     if good is not None:
-        found = entries(docs, F.when(good, SCORED | BACKGROUND | TARGET).otherwise(SCORED | BACKGROUND))
+        found = entries(docs, F.when(good, SCORED | BACKGROUND | TARGET).otherwise(SCORED | BACKGROUND), True)
     else:
-        own = entries(docs, F.lit(SCORED | BACKGROUND)) if docs is models.docs else entries(docs, F.lit(SCORED)).union(entries(models.docs, F.lit(BACKGROUND)))
-        found = own.union(entries(models.target, F.lit(TARGET)))
+        own = entries(docs, F.lit(SCORED | BACKGROUND), True) if docs is models.docs else entries(docs, F.lit(SCORED), True).union(entries(models.docs, F.lit(BACKGROUND), False))
+        found = own.union(entries(models.target, F.lit(TARGET), False))
     sums = found.groupBy("bucket").applyInArrow(lambda group: _bucket_sums(group, sent.value), SUMS)
-    total = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("copies", "words", "background", "target")])
-    # rows equal in id and text share a key: their sums are those of all copies
-    per_word = [F.when(F.col("words") > 0, F.col(c) / F.col("words")).alias(f"{c}_loss") for c in ("target", "background")]
-    rows = total.select("doc_id", F.expr("words div copies").alias("n_tokens"), *per_word, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    rows = sums.groupBy("slice").applyInArrow(_documents, "doc_id long, n_tokens long, background double, target double")
+    per_word = [F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).alias(f"{c}_loss") for c in ("target", "background")]
+    return rows.select("doc_id", "n_tokens", *per_word).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
