@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 GRID_EPSILON, GRID_MARGIN, GRID_SHARE, GRID_MOST = 1e-9, 0.025, 0.1, 12
 
 
+# Least overlap and greatest distance of centres of two boxes that still match.
+OVERLAP, NEAR = 0.2, 0.06
+
+
 def closed_contains(left: Column, top: Column, width: Column, height: Column, x: Column, y: Column) -> Column:
     """A point in a rectangle whose four edges belong to it."""
     return (x >= left) & (x <= left + width) & (y >= top) & (y <= top + height)
@@ -45,7 +51,7 @@ def center_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.hypot(a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2)
 
 
-def match_score(a: tuple[Column, ...], b: tuple[Column, ...], overlap: float = 0.2, near: float = 0.06) -> Column:
+def match_score(a: tuple[Column, ...], b: tuple[Column, ...], overlap: float = OVERLAP, near: float = NEAR) -> Column:
     """How well two boxes match: 1 + IoU from `overlap` on, else 0.5 - distance up to `near`, else null."""
     shared, apart = iou(a, b), center_distance(a, b)
     return F.when(shared >= overlap, shared + 1).when(apart <= near, F.lit(0.5) - apart)
@@ -144,3 +150,30 @@ def inverse(matrix: Column) -> Column:
     det = determinant(matrix)
     cofactors = (e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d)
     return F.when(F.abs(det) >= 1e-12, F.array(*[F.try_divide(v, det) for v in cofactors]))
+
+
+def normalized_rect(rect: Column) -> Column:
+    """left, top, width, height of a map of numbers whose place may be named left, top or x, y; null where one is missing."""
+    get = lambda *names: F.coalesce(*[F.try_element_at(rect, F.lit(n)) for n in names]).cast("double")
+    parts = {"left": get("left", "x"), "top": get("top", "y"), "width": get("width"), "height": get("height")}
+    return F.when(reduce(Column.__and__, [v.isNotNull() for v in parts.values()]), F.struct(*[v.alias(k) for k, v in parts.items()]))
+
+
+def project_rect(matrix: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The least box around the four corners of a box under a projective matrix; null where one lies at infinity."""
+    corners = [project_point(matrix, a, b) for a, b in ((x, y), (x + width, y), (x, y + height), (x + width, y + height))]
+    xs, ys = ([c[n] for c in corners] for n in ("x", "y"))
+    left, top = F.least(*xs), F.least(*ys)
+    box = F.struct(left.alias("x"), top.alias("y"), (F.greatest(*xs) - left).alias("width"), (F.greatest(*ys) - top).alias("height"))
+    return F.when(reduce(Column.__and__, [c.isNotNull() for c in corners]), box)
+
+
+def locator_error(locator: Column, frame: Column) -> Column:
+    """Why a locator (frame, left, top, width, height, x, y) does not hold in its frame (frame, width, height, ratio); null where it does."""
+    inside = closed_contains(*[locator[c] for c in ("left", "top", "width", "height", "x", "y")])
+    within = rect_within((locator["left"], locator["top"], locator["left"] + locator["width"], locator["top"] + locator["height"]), (F.lit(0), F.lit(0), frame["width"], frame["height"]))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return (
+        F.when(no(locator["frame"] == frame["frame"]), "frame_differs").when(no(frame["ratio"] > 0), "ratio_invalid")
+        .when(no((locator["width"] > 0) & (locator["height"] > 0)), "size_invalid").when(no(within), "outside_viewport").when(no(inside), "centre_outside")
+    )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 #: Capabilities that name no action are this one.
 NO_ACTION = "none"
@@ -74,7 +76,7 @@ def distinct_present(values: Column) -> Column:
 
 def repeat_parts(key: Column) -> Column:
     """prefix, index and suffix of a key such as `row.2.title`; null for other keys."""
-    pattern = r"^(.+?)[._-](\d+)[._-](.+)$"
+    pattern = r"^(.+?)[._-](\d+)[._-](.+)$"  # fixed value
     return F.when(
         key.rlike(pattern),
         F.struct(F.regexp_extract(key, pattern, 1).alias("prefix"), F.regexp_extract(key, pattern, 2).cast("int").alias("index"), F.regexp_extract(key, pattern, 3).alias("suffix")),
@@ -86,6 +88,48 @@ def matches(value: Column, pattern: Column) -> Column:
     return (value == pattern) | F.regexp_like(value, F.concat(F.lit("^(?:"), pattern, F.lit(")$")))
 
 
+@lru_cache(maxsize=10_000)
+def _expression(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        return None
+
+
+@F.pandas_udf(BooleanType())
+def pattern_found(pattern: pd.Series, text: pd.Series) -> pd.Series:
+    """A pattern occurs in a text, letter case aside; a pattern that is no regular expression is looked for as it stands. Null where either is."""
+
+    def one(p: str | None, t: str | None) -> bool | None:
+        if p is None or t is None:
+            return None
+        expression = _expression(p)
+        return expression.search(t) is not None if expression else p.lower() in t.lower()
+
+    return pd.Series([one(p, t) for p, t in zip(pattern, text)], dtype=object)
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The first `most` characters."""
+    return F.substring(text, 1, most)
+
+
+def duration_ms(begin: Column, end: Column) -> Column:
+    """Milliseconds between two timestamps, never negative."""
+    return F.greatest(F.lit(0).cast("long"), F.unix_millis(end) - F.unix_millis(begin))
+
+
+def contains_any_case(query: str, *parts: Column) -> Column:
+    """A query occurs in the parts joined by spaces, letter case aside; an empty query in all."""
+    return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lower(F.lit(query)))
+
+
+def interaction_boundary(boundary: Column, caps: Column) -> Column:
+    """`none` without an acting capability; else the boundary, `candidate_bbox` where it is none."""
+    acting = F.exists(caps, lambda c: c != NO_ACTION)
+    return F.when(~F.coalesce(acting, F.lit(False)), F.lit(NO_ACTION)).otherwise(F.when(present(boundary) & (boundary != NO_ACTION), boundary).otherwise("candidate_bbox"))
+
+
 def utc_time(value: Column) -> Column:
     """A timestamp from RFC 3339 text in UTC; null for other texts."""
     return F.when(value.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"), F.try_to_timestamp(value))

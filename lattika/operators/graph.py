@@ -11,18 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattika.operators.rounds import Growing, drop
+
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def until_empty(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keep: Keep, most: int = 10_000) -> DataFrame:
-    """Semi-naive closure: `step(frontier, known)` gives new rows, until it gives none."""
-    known = frontier = keep(start, "closure")
-    for _ in range(most):
-        frontier = keep(step(frontier, known), "frontier")
-        if frontier.isEmpty():
-            return known
-        known = keep(known.unionByName(frontier), "closure")
-    raise ValueError(f"no fixed point after {most} rounds")
+def until_empty(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keep: Keep, label: str = "closure") -> DataFrame:
+    """Semi-naive closure: `step(frontier, known)` gives new rows, until it gives none. A round writes its new rows alone."""
+    rounds = Growing(keep, label)
+    frontier = rounds.add(start)
+    while not frontier.isEmpty():
+        frontier = rounds.add(step(frontier, rounds.all()))
+    return rounds.all()
 
 
 def terminal_owner(nodes: DataFrame, keep: Keep) -> DataFrame:
@@ -37,7 +37,8 @@ def terminal_owner(nodes: DataFrame, keep: Keep) -> DataFrame:
     now, reach = keep(start, "owners"), 1
     while reach <= count:
         ahead = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"))
-        now = keep(now.join(ahead, "at", "left").select("node", F.coalesce("next", "at").alias("at"), F.expr("hops + coalesce(more, 0)").alias("hops")), "owners")
+        before, now = now, keep(now.join(ahead, "at", "left").select("node", F.coalesce("next", "at").alias("at"), F.expr("hops + coalesce(more, 0)").alias("hops")), "owners")
+        drop(before)
         reach *= 2
     out = now.join(ids, now.at == ids.known, "left")
     state = F.when(F.col("known").isNull(), "missing").when(F.col("root"), "root").otherwise("cycle")
@@ -49,15 +50,58 @@ def leads_to_cycle(nodes: DataFrame, keep: Keep) -> DataFrame:
     return terminal_owner(nodes, keep).where("state = 'cycle'").select("node")
 
 
-def on_cycles(edges: DataFrame, keep: Keep) -> DataFrame:
-    """Nodes of directed edges (a, b) that lie on a cycle or between two: what remains when nodes without way in or out go, round after round."""
-    left = keep(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
-    count = left.count()
-    while True:
+def _cycles_of_pointers(pointers: DataFrame, keep: Keep) -> DataFrame:
+    """Nodes on cycles where each node of (a, b) points to one other at most: where all are after as many steps as there are nodes. Steps double in each round."""
+    count, reach = pointers.count(), 1
+    now = keep(pointers.select("a", "b"), "pointers")
+    while reach <= count:
+        ahead = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        before, now = now, keep(now.join(ahead, "b").select("a", F.col("c").alias("b")), "pointers")
+        drop(before)
+        reach *= 2
+    return now.select(F.col("b").alias("node")).distinct()
+
+
+def _trimmed(edges: DataFrame, keep: Keep) -> DataFrame:
+    """Edges that are left when nodes without way in or out go, round after round."""
+    left, count = keep(edges, "edges"), -1
+    while count != (count := left.count()):
         ends = left.select(F.col("a").alias("n")).intersect(left.select(F.col("b").alias("n")))
-        left = keep(left.join(ends, left.a == ends.n, "left_semi").join(ends, left.b == ends.n, "left_semi"), "edges")
-        if count == (count := left.count()):
-            return left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        before, left = left, keep(left.join(ends, left.a == ends.n, "left_semi").join(ends, left.b == ends.n, "left_semi"), "edges")
+        drop(before)
+    return left
+
+
+def on_cycles(edges: DataFrame, keep: Keep) -> DataFrame:
+    """Nodes of directed edges (a, b) that lie on a cycle, loops included; null ends count for nothing.
+
+    Where each node has one way out, or one way in, at most, rounds double and a chain of n nodes takes log n of them. Else strongly
+    connected components are found by colouring: each node takes the least node that reaches it, and those that reach that one again
+    are its component. Rounds then follow the longest path.
+    """
+    plain = keep(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
+    for way in (plain, plain.select(F.col("b").alias("a"), F.col("a").alias("b"))):
+        if way.groupBy("a").count().where("count > 1").isEmpty():
+            return _cycles_of_pointers(way, keep)
+    found = Growing(keep, "cycles")
+    found.add(plain.where("a = b").select(F.col("a").alias("node")))
+    left = _trimmed(plain.where("a <> b"), keep)
+    while not left.isEmpty():
+        colours = keep(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("fell")), "colours")
+        while not colours.where("fell").isEmpty():
+            near = left.join(colours.where("fell"), left.a == colours.node).groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("near"))
+            least = F.least("colour", "near")
+            before, colours = colours, keep(colours.join(near, "node", "left").select("node", least.alias("colour"), (least < F.col("colour")).alias("fell")), "colours")
+            drop(before)
+        inside = left.join(colours.select(F.col("node").alias("a"), F.col("colour").alias("from")), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("to")), "b")
+        back = keep(inside.where("from = to").select("a", "b"), "back")
+        step = lambda new, old: new.join(back, new.node == back.b).select(F.col("a").alias("node"), "colour").distinct().join(old, ["node", "colour"], "left_anti")
+        whole = until_empty(colours.where("node = colour").select("node", "colour"), step, keep, "components")
+        large = whole.groupBy("colour").count().where("count > 1").select("colour")
+        found.add(whole.join(large, "colour", "left_semi").select("node"))
+        done = whole.select(F.col("node").alias("done"))
+        left = _trimmed(left.join(done, left.a == done.done, "left_anti").join(done, left.b == done.done, "left_anti"), keep)
+    return found.all().distinct()
 
 
 def closure(edges: DataFrame, keep: Keep) -> DataFrame:
@@ -84,8 +128,8 @@ def availability(elements: DataFrame, keep: Keep, variant: str = "ancestors") ->
     return listed.union(rows.where("page IS NOT NULL").select("element", "page")).distinct()
 
 
-def depths(edges: DataFrame, starts: DataFrame, keep: Keep) -> DataFrame:
-    """node, depth over undirected edges (a, b) from the nodes of `starts`; unreached nodes lie one beyond the deepest."""
+def depths(edges: DataFrame, starts: DataFrame, keep: Keep, floors: DataFrame | None = None) -> DataFrame:
+    """node, depth over undirected edges (a, b) from the nodes of `starts`; unreached nodes lie one beyond the deepest. floors (node, least): nodes that lie no nearer."""
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     start = starts.select("node").distinct().withColumn("depth", F.lit(0))
 
@@ -96,30 +140,36 @@ def depths(edges: DataFrame, starts: DataFrame, keep: Keep) -> DataFrame:
     known = until_empty(start, step, keep)
     beyond = known.agg((F.coalesce(F.max("depth"), F.lit(-1)) + 1).alias("depth"))
     rest = both.select(F.col("a").alias("node")).distinct().join(known.select("node"), "node", "left_anti")
-    return known.unionByName(rest.crossJoin(F.broadcast(beyond)))  # beyond is one row
+    found = known.unionByName(rest.crossJoin(F.broadcast(beyond)))  # beyond is one row
+    return found if floors is None else found.join(floors, "node", "left").select("node", F.greatest("depth", F.coalesce("least", "depth")).alias("depth"))
 
 
-def routes(edges: DataFrame, starts: DataFrame, keep: Keep) -> DataFrame:
+def routes(edges: DataFrame, starts: DataFrame, keep: Keep, goals: DataFrame | None = None) -> DataFrame:
     """start, node, cost, steps, tie, path: the best route from every start to every node it reaches.
 
     edges: a, b, key, cost (not negative), kind (verified edges are `0`, others `1`). Routes compare by cost, then steps, then tie,
-    the keys of the edges with their kinds, joined by `>`, in binary order. Each round relaxes all improved nodes at once.
+    the keys of the edges with their kinds, joined by `>`, in binary order. Each round relaxes all improved nodes at once and writes
+    these alone. goals (start, node): a start whose goals are all reached goes on only where a route may still be better;
+    other nodes are then listed as far as they were met.
     """
-    none = F.array().cast("array<string>")
-    begin = starts.select(F.col("node").alias("start"), "node").distinct().select("start", "node", F.lit(0).cast("double").alias("cost"), F.lit(0).alias("steps"), F.lit("").alias("tie"), none.alias("path"))
-    hop = keep(edges.select("a", "b", "key", F.col("cost").cast("double").alias("w"), "kind"), "edges")
-    order = F.struct("cost", "steps", "tie")
-    best = frontier = keep(begin, "routes")
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    begin = starts.select(F.col("node").alias("start"), "node").distinct().select("start", "node", F.lit(0).cast("double").alias("cost"), F.lit(0).alias("steps"), none.alias("path"))
+    hop = keep(edges.select("a", "b", "key", F.col("cost").cast("double").alias("w"), F.col("kind").cast("string").alias("kind")), "edges")
+    tie = F.array_join(F.transform("path", lambda p: F.concat(p["kind"], F.lit(":"), p["key"])), ">").alias("tie")
+    rounds = Growing(keep, "routes")
+    frontier = rounds.add(begin)
     while not frontier.isEmpty():
-        part = F.concat("kind", F.lit(":"), "key")
-        tie = F.when(F.col("tie") == "", part).otherwise(F.concat("tie", F.lit(">"), part))
-        found = frontier.join(hop, frontier.node == hop.a).select("start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("steps") + 1).alias("steps"), tie.alias("tie"), F.concat("path", F.array("key")).alias("path"))
-        found = found.groupBy("start", "node").agg(F.min(F.struct("cost", "steps", "tie", "path")).alias("new"))
-        old = best.select("start", "node", order.alias("old"))
+        found = frontier.join(hop, frontier.node == hop.a).select("start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("steps") + 1).alias("steps"), F.concat("path", F.array(F.struct("kind", "key"))).alias("path"))
+        found = found.groupBy("start", "node").agg(F.min(F.struct("cost", "steps", tie, "path")).alias("new"))
+        old = rounds.all().groupBy("start", "node").agg(F.min(F.struct("cost", "steps", tie)).alias("old"))
         better = F.col("old").isNull() | (F.struct("new.cost", "new.steps", "new.tie") < F.col("old"))
-        frontier = keep(found.join(old, ["start", "node"], "left").where(better).select("start", "node", "new.*"), "frontier")
-        best = keep(best.join(frontier.select("start", "node"), ["start", "node"], "left_anti").unionByName(frontier), "routes")
-    return best
+        found = found.join(old, ["start", "node"], "left").where(better)
+        if goals is not None:
+            met = goals.select("start", "node").distinct().join(old, ["start", "node"], "left").groupBy("start").agg(F.max("old.cost").alias("limit"), F.bool_and(F.col("old").isNotNull()).alias("all"))
+            found = found.join(met.where("all").select("start", "limit"), "start", "left").where("limit IS NULL OR new.cost <= limit")
+        frontier = rounds.add(found.select("start", "node", "new.cost", "new.steps", "new.path"))
+    best = rounds.all().groupBy("start", "node").agg(F.min(F.struct("cost", "steps", tie, "path")).alias("b"))
+    return best.select("start", "node", "b.cost", "b.steps", "b.tie", F.transform("b.path", lambda p: p["key"]).alias("path"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -154,7 +204,7 @@ def preferred_edges(edges: DataFrame) -> DataFrame:
 
 
 def flatten_tree(nodes: DataFrame, keep: Keep) -> DataFrame:
-    """node, depth, place: preorder of (node, parent, pos) trees; orphans are roots, and links that close a cycle are left out."""
+    """node, depth, place: preorder of (node, parent, pos) trees; orphans are roots. Nodes on a cycle of parents, and those below one, hang on no root and are left out."""
     known = nodes.select(F.col("node").alias("parent"))
     linked = nodes.join(known, "parent", "left_semi").select("node", "parent", "pos")
     roots = nodes.join(linked.select("node"), "node", "left_anti").select("node", F.lit(0).alias("depth"), F.array(F.col("pos").cast("long")).alias("place"))

@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattika.functions.geometry import NEAR, OVERLAP
+from lattika.functions.text import stable_differs
+from lattika.operators.selection import top_one
+
 #: Rows of one side that are handed to a Python call together, about; a call takes its frames one after the other.
 ROWS = 50_000
-# Least overlap and greatest distance of centres that still match.
-OVERLAP, NEAR = 0.2, 0.06
 
 
 def _score(a, b) -> float | None:
+    """`geometry.match_score` of two rows, for the order-dependent step."""
     wide = max(0.0, min(a.x + a.width, b.x + b.width) - max(a.x, b.x))
     high = max(0.0, min(a.y + a.height, b.y + b.height) - max(a.y, b.y))
     union = a.width * a.height + b.width * b.height - wide * high
@@ -50,15 +53,14 @@ def _by_frame(left: DataFrame, right: DataFrame, frame: str, order: tuple[str, s
 def compare_boxes(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
     """frame, left_key, right_key, how (`key`, `place`, `left`, `right`): two answers about the same frames, row by row.
 
-    Both: frame, key, pos, x, y, width, height. Equal keys match first. Then each left row in order takes the best right row that is
+    Both: frame, key, pos, x, y, width, height. Of rows of one side that share a key the last counts, at the place of the first. Equal keys match first. Then each left row in order takes the best right row that is
     unused and whose key no left row has: by overlap, else by distance of centres, the first of equals. The rest stands alone.
     Frames are many and each holds a screen's elements.
     """
 
     def match(a: list, b: list) -> list[tuple]:
-        keys_a, used, out, by_key = {r.key for r in a}, set(), [], {}
-        for i, r in enumerate(b):
-            by_key.setdefault(r.key, i)
+        a, b = (list({r.key: r for r in side}.values()) for side in (a, b))
+        keys_a, used, out, by_key = {r.key for r in a}, set(), [], {r.key: i for i, r in enumerate(b)}
         for r in a:
             how, hit = "key", by_key.get(r.key)
             if hit in used:
@@ -80,6 +82,19 @@ def compare_boxes(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
     return _by_frame(cast(left), cast(right), frame, ("pos", "pos"), match, f"{frame} {kind}, left_key string, right_key string, how string")
 
 
+def comparison(left: DataFrame, right: DataFrame, frame: str, fields: list[str]) -> DataFrame:
+    """The pairs of `compare_boxes` with status (`same`, `changed`, `left-only`, `right-only`) and changed: the fields in which a pair differs, null and empty being one."""
+    pairs = compare_boxes(left, right, frame)
+    for side, df in (("left", left), ("right", right)):
+        last = top_one(df, [frame, "key"], F.col("pos").desc()).select(F.col(frame).alias("__frame"), F.col("key").cast("string").alias("__key"), F.struct(*fields).alias(f"__{side}"))
+        pairs = pairs.join(last, F.col(frame).eqNullSafe(F.col("__frame")) & (F.col(f"{side}_key") == F.col("__key")), "left").drop("__frame", "__key")
+    both = F.col("how").isin("key", "place")
+    changed = F.filter(F.array(*[F.when(both & stable_differs(F.col(f"__left.{f}"), F.col(f"__right.{f}")), F.lit(f)) for f in fields]), lambda f: f.isNotNull())
+    pairs = pairs.withColumn("changed", changed)
+    status = F.when(F.col("how") == "left", "left-only").when(F.col("how") == "right", "right-only").when(F.size("changed") > 0, "changed").otherwise("same")
+    return pairs.withColumn("status", status).drop("__left", "__right")
+
+
 def ground(controls: DataFrame, nodes: DataFrame, frame: str) -> DataFrame:
     """frame, key, node, how (`resource`, `text`, `nearest`): the platform node behind each recognised control; each node serves once.
 

@@ -135,12 +135,13 @@ def repeated_items(elements: DataFrame) -> DataFrame:
 
 
 def remove_pages(pages: DataFrame, elements: DataFrame, transitions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What stays when pages go: their elements go, other elements lose them from `available`, and so do transitions that touch either."""
+    """What stays when pages go: their elements go, other elements lose them from `available` (the order stays), and so do transitions that touch either."""
     ids = gone.select("page").distinct()
     kept = pages.join(ids, "page", "left_anti")
     left = elements.join(ids, "page", "left_anti")
-    listed = left.select("element", F.explode("available").alias("page")).join(ids, "page", "left_anti").groupBy("element").agg(F.array_sort(F.collect_set("page")).alias("__available"))
-    left = left.join(listed, "element", "left").withColumn("available", F.coalesce("__available", F.array().cast("array<string>"))).drop("__available")
+    listed = left.select("element", F.posexplode("available").alias("pos", "page")).join(ids, "page", "left_anti").groupBy("element").agg(F.array_sort(F.collect_list(F.struct("pos", "page"))).alias("__available"))
+    still = F.transform("__available", lambda x: x["page"])
+    left = left.join(listed, "element", "left").withColumn("available", F.when(F.col("available").isNotNull(), F.coalesce(still, F.array().cast(elements.schema["available"].dataType)))).drop("__available")
     lost = elements.join(ids, "page", "left_semi").select(F.col("element").alias("trigger"))
     for end in ("source", "target"):
         transitions = transitions.join(ids.select(F.col("page").alias(end)), end, "left_anti")

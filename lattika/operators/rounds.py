@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,30 +28,35 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT = re.compile(r"/lattika/[^/]+-[0-9a-f]{32}$")
+
+
+def _folders(df: DataFrame) -> list[str]:
+    return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
 def drop(*tables: DataFrame) -> None:
-    """Delete the files behind kept tables that nothing reads any more."""
+    """Delete the files of kept tables that nothing reads any more; files that were not kept here are left alone."""
     for df in tables:
         spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        for folder in filter(_KEPT.search, _folders(df)):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Growing:
-    """A table that rounds add to: a round's rows are written once, as a folder of their own, and all rounds are read as one table."""
+    """A table that rounds add to: each round's rows are written once, and all rounds are read as one table."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.path, self.schema, self.rounds = spark, f"{shared_folder(spark)}/lattika/{label}-{uuid.uuid4().hex}", None, 0
+    def __init__(self, keep: Callable[[DataFrame, str], DataFrame], label: str):
+        self.keep, self.label, self.first, self.folders = keep, label, None, []
 
     def add(self, df: DataFrame) -> DataFrame:
         """The rows of `df` as the newest round; returns them as written."""
-        self.schema = self.schema or df.schema
-        folder = f"{self.path}/round-{self.rounds:06d}"
-        df.write.parquet(folder)
-        self.rounds += 1
-        return self.spark.read.schema(self.schema).parquet(folder)
+        kept = self.keep(df, self.label)
+        self.first = self.first if self.first is not None else kept
+        self.folders += _folders(kept)
+        return kept
 
     def all(self) -> DataFrame:
         """The rows of all rounds so far."""
-        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+        return self.first.sparkSession.read.schema(self.first.schema).parquet(*self.folders) if self.folders else self.first

@@ -24,7 +24,7 @@ def keep_first(df: DataFrame, key: str, pos: str) -> DataFrame:
 def nearest_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, left_id: str, right_id: str) -> DataFrame:
     """left_id, right_id, gap: the row of the other side nearest in time with equal keys, ties to the smaller id; null where there is none.
 
-    Only the rows right before and after in time can be nearest, so one sort per key finds them without a pairwise join.
+    Only the rows right before and after in time can be nearest, so two sorts per key find them without a pairwise join.
     """
     both = left.select(*keys, F.col(left_time).cast("double").alias("t"), F.lit(0).alias("side"), F.col(left_id).alias("l"), F.lit(None).cast(right.schema[right_id].dataType).alias("r")).unionByName(
         right.select(*keys, F.col(right_time).cast("double").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(left.schema[left_id].dataType).alias("l"), F.col(right_id).alias("r"))
@@ -34,7 +34,8 @@ def nearest_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time:
     at = F.when(F.col("side") == 1, F.struct("t", F.col("first").alias("r")))
     order = Window.partitionBy(*keys).orderBy("t")
     before = F.last(at, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(at, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    behind = Window.partitionBy(*keys).orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    after = F.last(at, ignorenulls=True).over(behind)  # running from the end, so that no frame is computed anew for a row
     rows = both.withColumn("before", before).withColumn("after", after).where("side = 0")
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("t") - F.col(f"{c}.t")).alias("gap"), F.col(f"{c}.r").alias("r")))
     best = F.least(option("before"), option("after"))
@@ -60,7 +61,8 @@ def pattern_matches(targets: DataFrame, rows: DataFrame, value: str) -> DataFram
     values = rows.select(F.col(value).alias("__value")).distinct()
     one = targets.select("target", F.explode("patterns").alias("pattern"))
     exact = one.join(values, F.col("pattern") == F.col("__value")).select("target", "__value")
-    regular = one.join(values, F.regexp_like("__value", F.concat(F.lit("^(?:"), "pattern", F.lit(")$")))).select("target", "__value")
+    whole = F.concat(F.lit("^(?:"), F.array_join(F.transform("patterns", lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|"), F.lit(")$"))
+    regular = targets.where(F.size("patterns") > 0).select("target", whole.alias("pattern")).join(values, F.regexp_like("__value", F.col("pattern"))).select("target", "__value")
     hits = exact.union(regular).distinct()
     return hits.join(rows, F.col("__value") == F.col(value)).drop("__value")
 
@@ -84,3 +86,8 @@ def consecutive_distance(df: DataFrame, keys: list[str], order: str, vector: str
     total = F.aggregate(F.zip_with(vector, "__before", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     distance = F.when((F.size(vector) == F.size("__before")) & (F.size(vector) > 0), total / F.size(vector) / scale)
     return rows.withColumn("distance", distance).drop("__before")
+
+
+def last_of(values: Column) -> Column:
+    """The last member of an array; null where there is none."""
+    return F.try_element_at(values, F.lit(-1))

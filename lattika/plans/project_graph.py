@@ -58,8 +58,8 @@ def merged_model(spark: SparkSession, core: dict, project: dict) -> Model:
         spark.createDataFrame([(k, list(v.get("sourceTypes", [])), list(v.get("targetTypes", []))) for k, v in relation.items()], "key string, sourceTypes array<string>, targetTypes array<string>"),
         spark.createDataFrame(rows, "setKey string, value string, label string, status string, pos int"),
         spark.createDataFrame(
-            [(f["key"], list(f.get("appliesTo", [])), f.get("valueType"), f.get("optionSetRef"), bool(f.get("required")), "defaultValue" in f, bool(f.get("allowCustomOptions"))) for f in fields.values()],
-            "key string, appliesTo array<string>, valueType string, optionSetRef string, required boolean, hasDefault boolean, allowCustomOptions boolean",
+            [(f["key"], list(f.get("appliesTo", [])), f.get("valueType"), f.get("optionSetRef"), bool(f.get("required")), "defaultValue" in f, bool(f.get("allowCustomOptions")), [(c["key"], c.get("valueType"), bool(c.get("required"))) for c in f.get("itemFields", [])]) for f in fields.values()],
+            "key string, appliesTo array<string>, valueType string, optionSetRef string, required boolean, hasDefault boolean, allowCustomOptions boolean, itemFields array<struct<key:string,valueType:string,required:boolean>>",
         ),
     )
 
@@ -110,17 +110,23 @@ def attribute_errors(entities: DataFrame, model: Model) -> DataFrame:
     """Undeclared, missing, mistyped attributes and unknown options of entities."""
     parsed = entities.select("id", "entityType", F.try_parse_json("attributes").alias("v"))
     shaped = parsed.withColumn("ok", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
-    declared = model.fields.select("key", F.explode("appliesTo").alias("entityType"), "valueType", "optionSetRef", "required", "hasDefault", "allowCustomOptions")
+    declared = model.fields.select("key", F.explode("appliesTo").alias("entityType"), "valueType", "optionSetRef", "required", "hasDefault", "allowCustomOptions", "itemFields")
     given = shaped.where("ok").select("id", "entityType", F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e")).select("id", "entityType", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
     joined = given.join(declared, ["entityType", "key"])
     wrong = joined.where(~typed(F.col("value"), F.col("valueType")))
     right = joined.where(typed(F.col("value"), F.col("valueType")))
     allowed = model.options.where("status = 'active'").groupBy(F.col("setKey").alias("optionSetRef")).agg(F.collect_set("value").alias("allowed"))
     chosen = F.coalesce(F.try_variant_get("value", "$", "array<string>"), F.array(F.try_variant_get("value", "$", "string")))
-    options = right.where("optionSetRef IS NOT NULL AND NOT allowCustomOptions").join(allowed, "optionSetRef").withColumn("unknown", F.array_except(chosen, "allowed")).where(F.size("unknown") > 0)
+    options = right.where("optionSetRef IS NOT NULL AND NOT allowCustomOptions").join(allowed, "optionSetRef", "left").withColumn("unknown", F.array_except(chosen, F.coalesce("allowed", F.array().cast("array<string>")))).where(F.size("unknown") > 0)
     missing = shaped.where("ok").join(declared.where("required AND NOT hasDefault"), "entityType").join(given.select("id", "key"), ["id", "key"], "left_anti")
+    items = right.where("valueType = 'object_list' AND size(itemFields) > 0").select("id", "key", "itemFields", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("n", "item"))
+    parts = items.select("id", "key", "n", F.try_variant_get("item", "$", "map<string,variant>").alias("item"), F.inline("itemFields").alias("child", "childType", "childRequired"))
+    part = F.concat("key", F.lit("["), F.col("n").cast("string"), F.lit("]."), "child")
+    held = F.map_contains_key("item", F.col("child"))
     detail = F.col("key")
     return all_of([
+        violations(parts.where(F.col("childRequired") & ~held), "item_missing", F.col("id"), part),
+        violations(parts.where(held & ~typed(F.element_at("item", F.col("child")), F.col("childType"))), "item_type", F.col("id"), part),
         violations(shaped.where("NOT ok"), "attributes_not_object", F.col("id"), F.lit("attributes")),
         violations(given.join(declared, ["entityType", "key"], "left_anti"), "attribute_undeclared", F.col("id"), detail),
         violations(missing, "attribute_missing", F.col("id"), detail),
@@ -141,8 +147,11 @@ def knowledge_errors(rows: DataFrame) -> DataFrame:
     ])
 
 
-def graph_errors(records: DataFrame, relations: DataFrame, model: Model, keep: Keep) -> DataFrame:
-    """All violations of a graph: (rule, subject, detail). A record without a usable id is reported once and left out of other rules."""
+def graph_errors(records: DataFrame, relations: DataFrame, model: Model, keep: Keep, project: str | None = None) -> DataFrame:
+    """All violations of a graph: (rule, subject, detail). A record without a usable id is reported once and left out of other rules.
+
+    project: the graph's own projectRef, which every row must name; where it is not given, tables may hold several graphs and rows are not held against one.
+    """
     both = records.select("id", "projectRef", "recordKind").unionByName(relations.select("id", "projectRef", F.lit("Relation").alias("recordKind")))
     valid = F.coalesce(F.col("id").rlike(ID), F.lit(False))
     good, edges = records.where(valid), relations.where(valid)
@@ -163,12 +172,12 @@ def graph_errors(records: DataFrame, relations: DataFrame, model: Model, keep: K
     refs = all_of([held.select("id", F.explode("knowledge.evidenceRefs").alias("ref")), good.select("id", F.explode("evidenceRefs").alias("ref"))])
     contains = relations.where("relationType = 'contains'")
     no_refs = F.coalesce(F.size("knowledge.evidenceRefs") <= 0, F.lit(True))
-    home = both.groupBy("projectRef").count().orderBy(F.desc("count"), "projectRef").limit(1).select(F.col("projectRef").alias("__home"))
+    astray = [violations(both.where(valid & ~F.col("projectRef").eqNullSafe(F.lit(project))), "project_differs", F.col("id"), F.col("projectRef"))] if project is not None else []
     return all_of([
         model_errors(model),
         violations(both.where(~valid), "id_invalid", F.coalesce("id", F.lit("")), F.col("recordKind")),
         violations(both.where(valid).groupBy("id").count().where("count > 1"), "id_duplicate", F.col("id"), F.col("count")),
-        violations(both.where(valid).crossJoin(F.broadcast(home)).where(~F.col("projectRef").eqNullSafe(F.col("__home"))), "project_differs", F.col("id"), F.col("projectRef")),
+        *astray,
         violations(good.where(~F.coalesce(F.col("recordKind").isin("Entity", "Observation", "Evidence"), F.lit(False))), "kind_unknown", F.col("id"), F.col("recordKind")),
         violations(entities.join(model.entity_types.select(F.col("key").alias("entityType")), "entityType", "left_anti"), "entity_type_unknown", F.col("id"), F.col("entityType")),
         violations(named, "field_missing", F.col("id"), F.col("field")),

@@ -84,7 +84,8 @@ def find_routes(questions: DataFrame, pages: DataFrame, usable: DataFrame, keep:
     ends = resolve_either(questions, "start", known).withColumnRenamed("id", "start_id")
     ends = resolve_either(ends, "goal", known).withColumnRenamed("id", "goal_id")
     ends = keep(ends, "questions")
-    best = routes(usable, ends.where("start_id IS NOT NULL").select(F.col("start_id").alias("node")), keep)
+    asked = ends.where("start_id IS NOT NULL AND goal_id IS NOT NULL")
+    best = routes(usable, asked.select(F.col("start_id").alias("node")), keep, asked.select(F.col("start_id").alias("start"), F.col("goal_id").alias("node")))
     found = ends.join(best.select(F.col("start").alias("start_id"), F.col("node").alias("goal_id"), "cost", "steps", "path"), ["start_id", "goal_id"], "left")
     error = F.when(F.col("start_id").isNull(), "start not found").when(F.col("goal_id").isNull(), "goal not found").when(F.col("cost").isNull(), "No verified route")
     return found.select("start", "goal", "cost", "steps", "path", error.alias("error"))

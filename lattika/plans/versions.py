@@ -58,6 +58,6 @@ def rollback(versions: DataFrame, to: str, new: str) -> DataFrame:
 
 
 def changes(active: DataFrame, staged: DataFrame) -> DataFrame:
-    """Added and updated files of a stage, and one row for its manifest."""
-    manifest = staged.select(F.lit("manifest").alias("path"), F.lit("update").alias("change")).limit(1)
+    """Added and updated files of a stage, and one row for its manifest, whether or not the stage holds files."""
+    manifest = staged.sparkSession.range(1).select(F.lit("manifest").alias("path"), F.lit("update").alias("change"))
     return semantic_diff(active, staged, "path", "hash").unionByName(manifest)

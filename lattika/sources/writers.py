@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def replace(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replace a table, which `df` may read: the new one is written beside it and takes its place when it is whole, so a failed job leaves the old one."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    jvm, new, old = spark._jvm.org.apache.hadoop.fs.Path, f"{path.rstrip('/')}.new-{name}", f"{path.rstrip('/')}.old-{name}"
+    df.write.parquet(new)
+    at = jvm(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(at)
+    if had and not files.rename(at, jvm(old)):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(jvm(new), at):
+        if had:
+            files.rename(jvm(old), at)
+        raise OSError(f"cannot write {path}")
+    if had:
+        files.delete(jvm(old), True)
 
 
 def create(df: DataFrame, path: str) -> None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Failures in a row before a session gives up, seconds that an ended session is remembered, markers of inner text.
@@ -91,14 +92,29 @@ def continuation(first: DataFrame, more: DataFrame, keys: list[str]) -> DataFram
     return both.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "part")
 
 
-def apply_if_current(table: DataFrame, writes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(table, refused) after writes that name the revision they change: (key, revision, payload); a write of another revision is refused."""
+def apply_if_current(table: DataFrame, writes: DataFrame, key: str, order: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(table, refused) after writes that name the revision they change: (key, revision, payload); a write of another revision is refused.
+
+    Of several writes that name the current revision of a key, the first by `order` is applied; it makes a new revision, so the others are refused.
+    """
     current = table.select(key, F.col("revision").alias("__now"))
-    checked = writes.join(current, key, "left").withColumn("__ok", F.col("revision").eqNullSafe(F.col("__now")))
+    place = F.row_number().over(Window.partitionBy(key, "revision").orderBy(order))
+    checked = writes.withColumn("__place", place).join(current, key, "left").withColumn("__ok", F.col("revision").eqNullSafe(F.col("__now")) & (F.col("__place") == 1))
     good = checked.where("__ok").select(key, (F.col("revision") + 1).alias("revision"), "payload")
     return table.join(good.select(key), key, "left_anti").unionByName(good), checked.where("NOT __ok").select(writes.columns)
 
 
+def write_in_turn(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Start a stream whose micro-batches are applied one after the other: one writer, whatever the number of sources of its rows."""
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def listed(active: DataFrame, stored: DataFrame) -> DataFrame:
+    """Sessions that run, then stored ones that do not: the columns of `stored`, and running."""
+    rest = stored.join(active.select("session"), "session", "left_anti")
+    return active.select(stored.columns).withColumn("running", F.lit(True)).unionByName(rest.withColumn("running", F.lit(False)))
+
+
 def recovered(tasks: DataFrame) -> DataFrame:
     """Tasks after a restart: what was running or uploading has failed."""
     return tasks.withColumn("status", F.when(F.col("status").isin("running", "uploading"), "failed").otherwise(F.col("status")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lattika.functions import geometry as G
 from lattika.functions import identity, nested, text
+from lattika.functions import text as T
 
 
 def one(spark, column, **values):
@@ -101,3 +102,23 @@ def test_nested(spark):
 def test_repair(given, want):
     found = nested.repair(given)
     assert (None if found is None else json.loads(found)) == want
+
+
+def test_patterns_that_are_none(spark):
+    rows = [("FOO.*r", "a foobar", True), ("a(", "x A( y", True), ("a(", "b", False), ("[", None, None), (None, "x", None)]
+    found = spark.createDataFrame([r[:2] for r in rows], "p string, t string").select(T.pattern_found(F.col("p"), F.col("t")).alias("x")).collect()
+    assert [r.x for r in found] == [r[2] for r in rows]
+
+
+def test_small_texts_and_rects(spark):
+    one = spark.createDataFrame([({"x": 1.0, "top": 2.0, "width": 3.0, "height": 4.0}, {"x": 1.0, "width": 3.0, "height": 4.0}, ["none"], ["tap"])], "a map<string,double>, b map<string,double>, c array<string>, d array<string>")
+    ts = lambda v: F.lit(v).cast("timestamp")
+    r = one.select(
+        G.normalized_rect(F.col("a")).alias("a"), G.normalized_rect(F.col("b")).alias("b"),
+        T.interaction_boundary(F.lit("row"), F.col("c")).alias("c"), T.interaction_boundary(F.lit("none"), F.col("d")).alias("d"), T.interaction_boundary(F.lit("row"), F.col("d")).alias("e"),
+        T.duration_ms(ts("2026-01-01 00:00:01"), ts("2026-01-01 00:00:03")).alias("f"), T.duration_ms(ts("2026-01-01 00:00:05"), ts("2026-01-01 00:00:03")).alias("g"),
+        T.contains_any_case("Ab c", F.lit("xAB"), F.lit("C"), F.lit(None)).alias("h"), T.shortened(F.lit("abcdef"), 3).alias("i"),
+        G.project_rect(F.array(*map(F.lit, [2.0, 0.0, 1.0, 0.0, 2.0, 0.0, 0.0, 0.0, 1.0])), F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("j"),
+    ).first()
+    assert tuple(r.a) == (1.0, 2.0, 3.0, 4.0) and r.b is None
+    assert (r.c, r.d, r.e, r.f, r.g, r.h, r.i, tuple(r.j)) == ("none", "candidate_bbox", "row", 2000, 0, True, "abc", (1.0, 2.0, 2.0, 2.0))

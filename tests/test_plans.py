@@ -34,7 +34,7 @@ def other(kind, id_, **v):
 
 def errors(spark, records, relations, core=CORE, project=PROJECT):
     model = project_graph.merged_model(spark, core, project)
-    found = project_graph.graph_errors(spark.createDataFrame(records, RECORD), spark.createDataFrame(relations, RELATION), model, keep)
+    found = project_graph.graph_errors(spark.createDataFrame(records, RECORD), spark.createDataFrame(relations, RELATION), model, keep, "project:x")
     return {(r.rule, r.subject, r.detail) for r in found.collect()}
 
 
@@ -89,6 +89,23 @@ def test_every_rule_finds_its_violation(spark):
     assert errors(spark, records, edges) == want
 
 
+def test_options_and_items(spark):
+    """A set without active options allows none; items of a list have fields of their own."""
+    core = CORE | {
+        "optionSets": {"risk": {"options": [{"value": "old", "label": "Old", "status": "retired"}]}},
+        "fields": [{"key": "risk", "appliesTo": ["Element"], "valueType": "option", "optionSetRef": "risk"}, {"key": "rows", "appliesTo": ["Element"], "valueType": "object_list", "itemFields": [{"key": "n", "valueType": "integer", "required": True}, {"key": "t", "valueType": "string"}]}],
+    }
+    records = [entity("element:a", "Element", {"risk": "old"}), entity("element:b", "Element", {"rows": [{"n": 1, "t": "x"}, {"t": 2}, {"n": "1"}]})]
+    found = errors(spark, records, [], core, {})
+    assert found == {("option_unknown", "element:a", "risk=old"), ("item_missing", "element:b", "rows[1].n"), ("item_type", "element:b", "rows[1].t"), ("item_type", "element:b", "rows[2].n")}
+
+
+def test_several_graphs_are_not_held_against_one(spark):
+    model = project_graph.merged_model(spark, CORE, PROJECT)
+    records = spark.createDataFrame([entity("page:a", "Page", {}), entity("page:b", "Page", {}, project="project:y")], RECORD)
+    assert project_graph.graph_errors(records, spark.createDataFrame([], RELATION), model, keep).isEmpty()
+
+
 def test_model_errors(spark):
     core = {"entityTypes": {"A": {}}, "relationTypes": {"r": {"sourceTypes": ["B"], "targetTypes": ["*"]}}, "optionSets": {"o": {"options": [{"value": "v", "label": "x"}, {"value": "v", "label": ""}]}}, "fields": [{"key": "f", "appliesTo": ["C"], "valueType": "magic", "optionSetRef": "none"}]}
     found = project_graph.model_errors(project_graph.merged_model(spark, core, {}))
@@ -164,6 +181,7 @@ def test_versions(spark):
     assert {tuple(r) for r in merged.select("path", "hash", "stageId").collect()} == {("a", "3", "s2"), ("b", "1", None), ("c", "1", "s3")}
     assert [(r.path, r.previous, r.hash) for r in conflicts.collect()] == [("a", "2", "3")]
     assert {tuple(r) for r in versions.changes(active, merged).collect()} == {("a", "update"), ("c", "add"), ("manifest", "update")}
+    assert [tuple(r) for r in versions.changes(active, merged.where("false")).collect()] == [("manifest", "update")]
     stages = spark.createDataFrame([("s1", "x", "draft", "R", "1", True), ("s2", "x", "draft", "old", "2", True), ("s3", "x", "published", "R", "3", True), ("s4", "x", "draft", "R", "4", False)], "stageId string, appKey string, status string, baseRootHash string, graphRevision string, valid boolean")
     now = spark.createDataFrame([("x", "3", "R")], "appKey string, graphRevision string, rootHash string")
     status = {r.stageId: (r.is_current, r.is_stale) for r in versions.stage_status(stages, now).collect()}

@@ -66,6 +66,35 @@ def test_batch_sessions(spark):
     assert sorted(tuple(r) for r in now.collect()) == [("x", 2, "n"), ("y", 2, "q")] and [tuple(r) for r in refused.collect()] == [("y", 1, "n")]
 
 
+def test_one_of_two_writes_on_a_revision_wins(spark):
+    table = spark.createDataFrame([("x", 1, "p")], "k string, revision long, payload string")
+    now, refused = sessions.apply_if_current(table, spark.createDataFrame([("x", 1, "b"), ("x", 1, "a"), ("z", 1, "c")], table.schema), "k")
+    assert [tuple(r) for r in now.collect()] == [("x", 2, "a")] and sorted(r.payload for r in refused.collect()) == ["b", "c"]
+
+
+def test_sessions_listed_and_written_in_turn(spark, tmp_path):
+    of = lambda *names: spark.createDataFrame([(n, i) for i, n in enumerate(names)], "session string, at long")
+    found = sessions.listed(of("a", "b"), of("b", "c"))
+    assert sorted((r.session, r.running) for r in found.collect()) == [("a", True), ("b", True), ("c", False)]
+    of("a", "b").write.parquet(f"{tmp_path}/in")
+    seen = []
+    q = sessions.write_in_turn(spark.readStream.schema("session string, at long").parquet(f"{tmp_path}/in"), lambda df, n: seen.append((n, df.count())), f"{tmp_path}/cp")
+    q.processAllAvailable()
+    q.stop()
+    assert seen and sum(n for _, n in seen) == 2
+
+
+def test_replace_reads_what_it_replaces(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    writers.replace(spark.range(3), path)
+    writers.replace(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    bad = spark.range(3).selectExpr("raise_error('no') AS x")
+    with pytest.raises(Exception):
+        writers.replace(bad, path)
+    assert spark.read.parquet(path).count() == 2
+
+
 def test_streamed_sessions(spark, tmp_path):
     rows = [("t", "w", "s1", "start", 1), ("t", "w", "s2", "start", 2), ("t", "w", "s1", "completed", 3), ("t", "w", "s2", "start", 4), ("t", "v", "s3", "work", 1)]
     schema = "target string, workspace string, session string, event string, ts timestamp"
