@@ -33,7 +33,7 @@ VOCABULARY, PAIRS, PRIOR = 1 << 16, 1 << 19, 5.0
 #: Steps of a count per doubling, when the least count of a bounded table is chosen.
 STEPS = 8
 #: Words of the texts for each bucket of rare words and pairs.
-BUCKET_WORDS = 1 << 22
+BUCKET_WORDS = 1 << 21
 #: Hash of the start of a text, as the word before its first one.
 START = mix(np.full(1, 1, np.uint64))[0]
 #: What an entry of a bucket is: a pair with a frequent second word, one with a rare second word, a rare word before another; what a slice knew of its documents.
