@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattika.functions.geometry import grid_for_box
-from lattika.operators.graph import Keep, availability, leads_to_cycle
+from lattika.functions.nested import walk
+from lattika.functions.text import alias_of, capabilities, interaction_boundary
+from lattika.operators.constraints import all_of, violations
+from lattika.operators.graph import Keep, availability, leads_to_cycle, terminal_owner
 
 CONTAINERS = ["component", "shared_component"]
 
@@ -87,3 +90,133 @@ def transition_issues(transitions: DataFrame, rules: dict[str, Column]) -> DataF
     """transition, issue: one row for every rule that a transition breaks."""
     found = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda v: v.isNotNull())
     return transitions.select(F.col("id").alias("transition"), F.explode(found).alias("issue"))
+
+
+def draft_transition_issues(transitions: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """transition, issue: what a drafted transition lacks before it can count, a row for each of eleven rules.
+
+    transitions: id, source, target, trigger, capability, before_frame, locator_frame, action_trace, after_frame, postcondition, assertions; pages: page; elements: id, capabilities.
+    """
+    known = pages.select("page").distinct()
+    rows = transitions
+    for end in ("source", "target"):
+        rows = rows.join(known.select(F.col("page").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
+    rows = rows.join(elements.select(F.col("id").alias("trigger"), F.col("capabilities").alias("__capabilities"), F.lit(True).alias("__trigger")), "trigger", "left")
+    has = lambda c: ~_blank(c)
+    rules = {
+        "source_missing": F.col("__source"),
+        "target_missing": F.col("__target"),
+        "trigger_missing": F.col("__trigger"),
+        "capability_not_owned": F.col("__trigger").isNull() | F.array_contains("__capabilities", F.col("capability")),
+        "before_frame_missing": has("before_frame"),
+        "locator_frame_missing": has("locator_frame"),
+        "locator_frame_differs": _blank("locator_frame") | F.col("before_frame").eqNullSafe(F.col("locator_frame")),
+        "action_trace_missing": has("action_trace"),
+        "after_frame_missing": has("after_frame"),
+        "postcondition_open": F.col("postcondition") == "pass",
+        "assertions_missing": F.exists(F.coalesce("assertions", F.array().cast("array<string>")), lambda a: F.coalesce(F.trim(a) != "", F.lit(False))),
+    }
+    return transition_issues(rows, rules)
+
+
+def client_issues(elements: DataFrame, transitions: DataFrame, pages: DataFrame, keep: Keep) -> DataFrame:
+    """level, code, element of an editor's own check: softer on types than `draft_issues`, and with rules on actions; element is null for transitions. elements: those of `element_issues` with actionEffects."""
+    own = element_issues(elements, []).where("code NOT IN ('element_type_required', 'parent_self', 'nested_owner_kind', 'root_owner_kind')")
+    caps, effects = F.coalesce(F.size("capabilities"), F.lit(0)), F.coalesce(F.size("actionEffects"), F.lit(0))
+    checks = [
+        ("error", "element_type_required", _blank("elementType") & ~F.col("reviewStatus").eqNullSafe(F.lit("rejected"))),
+        ("error", "capability_none_conflict", F.coalesce(F.array_contains("capabilities", "none"), F.lit(False)) & (caps > 1)),
+        ("warning", "action_effect_missing", effects != caps),
+    ]
+    hits = F.array(*[F.when(test, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))) for level, code, test in checks])
+    more = elements.select(F.col("id").alias("element"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("h.level", "h.code", "element")
+    loops = leads_to_cycle(elements.select(F.col("id").alias("node"), F.nullif("parentId", F.lit("")).alias("parent")), keep)
+    open_ = draft_transition_issues(transitions, pages, elements).select(F.lit("error"), F.lit("transition_evidence_incomplete"), F.lit(None).cast(elements.schema["id"].dataType))
+    return own.union(more).union(duplicate_keys(elements, keep).select("level", "code", "element")).union(loops.select(F.lit("error"), F.lit("owner_cycle"), "node")).union(open_)
+
+
+def grouped_duplicates(elements: DataFrame, keep: Keep) -> DataFrame:
+    """code, key, pages, elements: the duplicate-key issues of a draft by key and the pages of their elements."""
+    rows = elements.select(F.col("id").alias("element"), F.col("parentId").alias("parent"), F.col("ownerKind").alias("owner_kind"), F.col("pageId").alias("page"), F.coalesce("availableOnPageIds", F.array().cast("array<string>")).alias("pages"))
+    on = availability(rows, keep, "draft").groupBy("element").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    keyed = duplicate_keys(elements, keep).join(elements.select(F.col("id").alias("element"), F.trim("candidateKey").alias("key")), "element").join(on, "element", "left")
+    return keyed.groupBy("code", "key", F.coalesce("pages", F.array().cast("array<string>")).alias("pages")).agg(F.array_sort(F.collect_set("element")).alias("elements"))
+
+
+def begin_capture(pages: DataFrame, elements: DataFrame, frame: str, current: str, new_id: str, new_page: bool = False) -> DataFrame:
+    """pages (page, key, name, frames, published_at) after a frame was captured: the current page takes it if it has no elements yet, else a new page does (always where new_page is set)."""
+    taken = elements.where(F.col("page") == current).limit(1).select(F.lit(True).alias("__taken"))
+    now = pages.join(F.broadcast(taken), F.lit(True), "left")  # one row at most
+    fits = (F.col("page") == current) & F.col("__taken").isNull() & F.lit(not new_page)
+    now = now.withColumn("__fits", F.coalesce(fits, F.lit(False)))
+    kept = now.select("page", "key", "name", F.when(F.col("__fits"), F.array(F.lit(frame))).otherwise(F.col("frames")).alias("frames"), F.when(~F.col("__fits"), F.col("published_at")).alias("published_at"))
+    used = now.agg(F.coalesce(F.bool_or("__fits"), F.lit(False)).alias("used")).where("NOT used")
+    none = F.lit(None).cast(pages.schema["published_at"].dataType)
+    return kept.unionByName(used.select(F.lit(new_id).alias("page"), F.concat(F.lit("page.capture."), F.substring(F.sha2(F.lit(new_id), 256), 1, 8)).alias("key"), F.lit("").alias("name"), F.array(F.lit(frame)).alias("frames"), none.alias("published_at")))
+
+
+def shaped_elements(elements: DataFrame, edited: DataFrame, current: str, types: list[str], aliases: dict[str, str], known: list[str]) -> DataFrame:
+    """elements (id, elementType, capabilities, interactionBoundary, bbox, gridColumns, gridRows, ownerKind, pageId, availableOnPageIds, source, reviewStatus, ...) with defaults filled in.
+
+    Types and capabilities are normalised and grids computed anew; an edit that no record (edited: id) backs is an open answer of the model again.
+    """
+    grid = grid_for_box(F.col("bbox.x"), F.col("bbox.y"), F.col("bbox.width"), F.col("bbox.height"), F.coalesce("gridColumns", F.lit(12)), F.coalesce("gridRows", F.lit(12)))
+    backed = edited.select("id", F.lit(True).alias("__edited")).distinct()
+    rows = elements.join(backed, "id", "left").withColumn("__grid", grid).withColumn("capabilities", capabilities(F.col("capabilities"), known))
+    shared, application = F.coalesce(F.col("ownerKind").isin("application", "shared_component"), F.lit(False)), F.col("ownerKind").eqNullSafe(F.lit("application"))
+    lapsed = ~(F.col("source").eqNullSafe(F.lit("human")) | F.col("__edited").isNotNull())
+    none = F.array().cast("array<string>")
+    shape = {
+        "elementType": alias_of(F.col("elementType"), aliases, types),
+        "interactionBoundary": interaction_boundary(F.col("interactionBoundary"), F.col("capabilities")),
+        "gridColumns": F.col("__grid.columns"), "gridRows": F.col("__grid.rows"), "gridRegion": F.col("__grid.region"),
+        "pageId": F.coalesce("pageId", F.when(~shared, F.lit(current))),
+        "availableOnPageIds": F.coalesce("availableOnPageIds", F.when(application, F.array(F.lit(current))).otherwise(none)),
+        "reviewStatus": F.when(lapsed & (F.col("reviewStatus") == "edited"), "pending").otherwise(F.col("reviewStatus")),
+        "source": F.when(lapsed, "ai").otherwise(F.col("source")),
+    }
+    return rows.withColumns(shape).drop("__grid", "__edited")
+
+
+def page_elements(pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """page, elements: the ids of what each page owns and of what the application offers on it, in order of pos. elements: id, pos, pageId, ownerKind, availableOnPageIds."""
+    offered = elements.where("ownerKind = 'application'").select("id", "pos", F.explode("availableOnPageIds").alias("page"))
+    listed = elements.where("pageId IS NOT NULL").select("id", "pos", F.col("pageId").alias("page")).unionByName(offered).distinct()
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
+    found = listed.groupBy("page").agg(ids.alias("elements"))
+    return pages.select("page").join(found, "page", "left").withColumn("elements", F.coalesce("elements", F.array().cast(found.schema["elements"].dataType)))
+
+
+def owned(elements: DataFrame, application: str, current: str, keep: Keep) -> DataFrame:
+    """id, pos, parent, owner_kind, owner, page, children after parents have been put in order: elements (id, pos, parent, owner_kind, page).
+
+    An unknown parent is none. A child belongs to its parent; below what the application owns it is shared and on no page, else it is
+    on the page of its topmost ancestor. Elements on or below a cycle of parents keep their page.
+    """
+    ids = elements.select(F.col("id").alias("parent")).distinct()
+    rows = elements.join(ids.withColumn("__known", F.lit(True)), "parent", "left").withColumn("parent", F.when(F.col("__known"), F.col("parent"))).drop("__known")
+    tops = terminal_owner(rows.select(F.col("id").alias("node"), "parent"), keep).select(F.col("node").alias("id"), F.col("terminal").alias("__top"))
+    top = rows.select(F.col("id").alias("__top"), F.col("owner_kind").alias("__kind"), F.col("page").alias("__page"))
+    rows = rows.join(tops, "id", "left").join(top, "__top", "left")
+    ofapp, child = F.col("__kind").eqNullSafe(F.lit("application")), F.col("parent").isNotNull()
+    page = F.when(child & ofapp, F.lit(None)).when(child, F.coalesce("__page", "page", F.lit(current))).otherwise(F.col("page"))
+    kind = F.when(child & ofapp, "shared_component").when(child, "component").when(ofapp, "application").otherwise("page")
+    owner = F.when(child, F.col("parent")).when(ofapp, F.lit(application)).otherwise(F.coalesce("page", F.lit(current)))
+    below = rows.where(child).groupBy(F.col("parent").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("children"))
+    out = rows.select("id", "pos", "parent", kind.alias("owner_kind"), owner.alias("owner"), page.alias("page")).join(below, "id", "left")
+    return out.withColumn("children", F.coalesce("children", F.array().cast(below.schema["children"].dataType)))
+
+
+def serialization_errors(records: DataFrame, key: str, column: str) -> DataFrame:
+    """(rule, subject, detail) for every value inside JSON records: times (`...At`) that are no UTC times, extension keys without a reversed domain, texts that are no JSON."""
+    found = walk(records, key, column)
+    name = F.regexp_extract("path", r"([^.\[\]]+)$", 1)
+    bad_time = name.rlike("[a-z]At$") & (F.col("kind") != "null") & ((F.col("kind") != "string") | ~F.col("value").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"))
+    extension = F.regexp_extract("path", r"^\$\.extensions\.(.+)$", 1)
+    inside = extension != ""
+    reverse = extension.rlike(r"^[a-z][a-z0-9-]*(\.[a-z0-9-]+)+")
+    return all_of([
+        violations(found.where("kind = 'invalid'"), "not_json", F.col(key), F.col("path")),
+        violations(found.where((F.col("kind") != "invalid") & bad_time), "time_invalid", F.col(key), F.col("path")),
+        violations(found.where(inside & ~reverse), "extension_key", F.col(key), F.col("path")),
+    ])

@@ -17,8 +17,8 @@ def files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return found.select("path", "content").orderBy("path")
 
 
-def yaml_records(spark: SparkSession, root: str, without: tuple[str, ...] = ("manifest.yaml",)) -> DataFrame:
-    """path, pos, record (JSON text), error: the documents of all YAML files, anchors and merges resolved; a file that cannot be read gives one row with its error."""
+def yaml_records(spark: SparkSession, root: str, without: tuple[str, ...] = ("manifest.yaml",), aliases: bool = True) -> DataFrame:
+    """path, pos, record (JSON text), error: the documents of all YAML files; a file that cannot be read gives one row with its error. Anchors and merges are resolved, or an error where `aliases` is false."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
@@ -27,6 +27,9 @@ def yaml_records(spark: SparkSession, root: str, without: tuple[str, ...] = ("ma
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
+                    if not aliases and any(isinstance(t, (yaml.AnchorToken, yaml.AliasToken)) for t in yaml.scan(content)):
+                        rows.append((path, -1, None, "anchor or alias"))
+                        continue
                     for i, doc in enumerate(yaml.safe_load_all(content)):
                         if isinstance(doc, dict):
                             rows.append((path, i, json.dumps(doc, ensure_ascii=False, default=str), None))
@@ -73,6 +76,11 @@ def strict_json(spark: SparkSession, root: str, glob: str = "*.json") -> DataFra
     return files(spark, root, glob).mapInPandas(parse, "path string, record string, error string")
 
 
+def evidence_resources(spark: SparkSession, path: str) -> DataFrame:
+    """sha256, byteLength, mediaType of an index of resources (JSON lines), in order of sha256."""
+    return json_lines(spark, path, "sha256 string, byteLength long, mediaType string").where("sha256 IS NOT NULL").orderBy("sha256")
+
+
 def session_logs(spark: SparkSession, glob: str, schema: str | StructType) -> DataFrame:
     """Rows of JSON-lines logs below session folders, with the session's name from the path."""
     rows = spark.read.schema(schema).json(glob)
@@ -108,7 +116,7 @@ def html_links(pages: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def hierarchy_rows(dumps: DataFrame, key: str, column: str) -> DataFrame:
-    """key, node, parent, depth, attributes (JSON text) of XML screen dumps, in document order; a dump that cannot be parsed gives no rows."""
+    """key, node, parent, depth, attributes (JSON text) of XML screen dumps, in document order; a dump that cannot be parsed gives one row without a node, its error as attributes."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xml.etree import ElementTree
@@ -118,7 +126,8 @@ def hierarchy_rows(dumps: DataFrame, key: str, column: str) -> DataFrame:
             for k, text in zip(batch[key], batch[column]):
                 try:
                     stack = [(ElementTree.fromstring(text), None, 0)] if text else []
-                except ElementTree.ParseError:
+                except ElementTree.ParseError as e:
+                    rows.append((k, None, None, None, json.dumps({"error": str(e)})))
                     continue
                 n = 0
                 while stack:
@@ -127,7 +136,7 @@ def hierarchy_rows(dumps: DataFrame, key: str, column: str) -> DataFrame:
                     stack += [(child, n, depth + 1) for child in reversed(list(at))]
                     n += 1
             out = pd.DataFrame(rows, columns=[key, "node", "parent", "depth", "attributes"])
-            yield out.astype({"parent": "Int64"})
+            yield out.astype({"node": "Int64", "parent": "Int64", "depth": "Int32"})
 
     kind = dumps.schema[key].dataType.simpleString()
     return dumps.select(key, column).mapInPandas(parse, f"{key} {kind}, node long, parent long, depth int, attributes string")

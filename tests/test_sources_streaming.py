@@ -36,7 +36,8 @@ def test_markdown_and_html(spark):
     links = readers.resolve_links(readers.wiki_links(texts, "path", "text").withColumnRenamed("path", "source"), texts, "n")
     assert sorted(((r.source, r.target, r.path) for r in links.collect()), key=str) == [("n/a.md", "b", "n/b.md"), ("n/a.md", "x/c", "x/c.md"), ("x/c.md", "gone", None)]
     dumps = spark.createDataFrame([(1, '<h><n b="1"><m/></n><!-- c --><n/></h>'), (2, "<broken"), (3, None)], "id long, xml string")
-    assert [(r.node, r.parent, r.depth) for r in readers.hierarchy_rows(dumps, "id", "xml").orderBy("node").collect()] == [(0, None, 0), (1, 0, 1), (2, 1, 2), (3, 0, 1)]
+    assert [(r.node, r.parent, r.depth) for r in readers.hierarchy_rows(dumps, "id", "xml").where("node IS NOT NULL").orderBy("node").collect()] == [(0, None, 0), (1, 0, 1), (2, 1, 2), (3, 0, 1)]
+    assert [(r.id, "error" in r.attributes) for r in readers.hierarchy_rows(dumps, "id", "xml").where("node IS NULL").collect()] == [(2, True)]
 
 
 def test_sinks(spark, tmp_path):
