@@ -130,9 +130,13 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(lang, part of a text) for at most SAMPLE_ROWS rows of each language, spread by hash, PIECES parts of WINDOW characters from places all over each text."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     hashed = F.xxhash64(F.lit("language"), "doc_id", "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    rows = known.select("doc_id", "lang", hashed.alias("h"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)  # cut down before the shuffle
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "doc_id"))
+    counts = known.groupBy("lang").count().collect()  # a row per language, as many as the network tells apart
+    if not counts:
+        return []
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * SAMPLE_ROWS / r["count"])))])
+    rows = known.select("doc_id", "lang", hashed.alias("h")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))  # about twice as many as are needed, of each language
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
     chosen = known.select("doc_id", "text", "lang", hashed.alias("h")).join(rows.select("doc_id", "lang", "h", "rank").hint("broadcast"), ["doc_id", "lang", "h"])  # SAMPLE_ROWS of a language at most
     chosen = chosen.dropDuplicates(["lang", "rank"]).select("lang", "text", "rank", "h", F.explode(F.sequence(F.lit(1), F.lit(PIECES))).alias("piece"))
     first = F.pmod(F.xxhash64("h", "piece"), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1

@@ -116,3 +116,28 @@ def test_rare_words_and_pairs_count(spark, monkeypatch, other):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert scoring.score(empty, scoring.fit(empty, empty)).count() == 0
+
+
+def test_long_texts_are_hashed_in_chunks(monkeypatch):
+    """However bytes are cut, words hash alike, very long ones too."""
+    import pyarrow as pa
+
+    from lattika.llm import shingles
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab É\n") for _ in range(n)) for n in (0, 1, 50, 400)] + ["x" * 300, None, " " * 90, "end"]
+    want = [a.tolist() for a in word_hashes(pa.array(texts))]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(shingles, "CHUNK", size)
+        assert [a.tolist() for a in word_hashes(pa.array(texts))] == want
+    monkeypatch.undo()
+    hashes, counts = word_hashes(pa.array(["word " * 4_000_000, "word"]))
+    assert counts.tolist() == [4_000_000, 1] and len(set(hashes.tolist())) == 1
+
+
+def test_long_text_has_a_language(spark):
+    """20 million characters, of which only the windows at hand are held as symbols."""
+    data = documents(300)
+    df = spark.createDataFrame([(i, t, lang, 1, "s") for i, t, lang, _ in data], SCHEMA)
+    long = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("kalomitu "), 2_200_000).alias("text"))
+    assert [r.lang_pred for r in identify(long, train(df)).select("lang_pred").collect()] == ["aa"]
