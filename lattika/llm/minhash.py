@@ -230,3 +230,25 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     """All documents on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+#: Rounds of least labels in the SQL below; more than the longest chain of links of a small table.
+_SQL_ROUNDS = 10
+
+
+def _oracle() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    steps = [f"l{i + 1} AS MATERIALIZED (SELECT l.node, least(l.t, coalesce(min(m.t), l.t)) AS t FROM l{i} l LEFT JOIN both_ e ON l.node = e.a LEFT JOIN l{i} m ON e.b = m.node GROUP BY l.node, l.t)" for i in range(_SQL_ROUNDS)]
+    return rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+spread AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM spread a JOIN spread b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links), l0 AS (SELECT doc_id AS node, doc_id AS t FROM sets), {", ".join(steps)}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, t AS component_id, doc_id = t AS kept FROM sets JOIN l{_SQL_ROUNDS} ON doc_id = node
+"""
+
+
+OP10_SQL = _oracle()

@@ -39,7 +39,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, lo
 
     `longest` is a power of two. `end_id` follows the ids of each document, so an empty or null text is one piece
     of one id. Null and repeated ids of documents are packed row by row like any other; an empty table gives no
-    rows; other columns are not read. Sequences of one length are the bucket `length`.
+    rows; other columns are not read. Sequences of one length are the bucket `length`; buckets lie one after the other in each partition.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -65,7 +65,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, lo
             number += len(owner)
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema).sortWithinPartitions("length", "sequence_id")
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

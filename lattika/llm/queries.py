@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from lattika.llm.ann import op3_ann
 from lattika.llm.language import op6_language
-from lattika.llm.minhash import op10_minhash
+from lattika.llm.minhash import OP10_SQL, op10_minhash
 from lattika.llm.mixing import OP2_SQL, op2_mixing
 from lattika.llm.packing import op1_packing
 from lattika.llm.quality import OP8_SQL, op8_quality
 from lattika.llm.scoring import op9_scoring
-from lattika.llm.secrets import op4_secrets
+from lattika.llm.secrets import OP4_SQL, op4_secrets
 from lattika.llm.token_files import op5_token_files
 from lattika.llm.warc import OP7_SQL, op7_warc
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op7_warc": OP7_SQL, "op8_quality": OP8_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_secrets": OP4_SQL, "op7_warc": OP7_SQL, "op8_quality": OP8_SQL, "op10_minhash": OP10_SQL}

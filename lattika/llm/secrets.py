@@ -258,3 +258,29 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
     """All documents under all rules."""
     return digest_columns(scan(table(spark, sf_dir, "documents")))
+
+
+def _oracle() -> str:
+    found = " UNION ALL ".join(f"SELECT k, {i} AS rank, '{r.kind}' AS kind, regexp_extract_all(t, '{_quoted(r)}') AS m, regexp_split_to_array(t, '{_quoted(r)}') AS p FROM texts" for i, r in enumerate(RULES))
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in BASE)
+    span = "string_agg(kind || ':' || start || ':' || start + length(s), ',' ORDER BY start, rank)"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS (
+  SELECT k, rank, kind, m[i] AS s, list_sum(list_transform(p[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)),
+kept AS (
+  SELECT k, rank, kind, s, CAST(start AS BIGINT) AS start FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(s, '{_quoted(BASE[0])}', 2)) >= 6 WHEN 'access' THEN length(s) >= 20 ELSE true END),
+listed AS (SELECT k, {counts}, {span} FILTER (kind IN ({base})) AS base, {span} AS spans FROM kept GROUP BY k)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN listed USING (k)
+"""
+
+
+def _quoted(rule: Rule) -> str:
+    return rule.pattern.replace("'", "''")
+
+
+OP4_SQL = _oracle()

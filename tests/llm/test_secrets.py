@@ -62,3 +62,16 @@ def test_redaction_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_trigrams_across_chunks(monkeypatch):
+    import pyarrow as pa
+
+    from lattika.llm import secrets
+
+    texts = ["", "abcd", None, "xxabcxx" * 9, "ab", "c", "ABC"]
+    want = secrets.Shard(pa.array(texts), {b"abc", b"bcx"}).postings
+    for size in (1, 2, 5):
+        monkeypatch.setattr(secrets, "CHUNK", size)
+        found = secrets.Shard(pa.array(texts), {b"abc", b"bcx"}).postings
+        assert {k: v.tolist() for k, v in found.items()} == {k: v.tolist() for k, v in want.items()} == {b"abc": [1, 3, 6], b"bcx": [3]}
