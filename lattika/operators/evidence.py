@@ -28,15 +28,17 @@ def matching_traces(transitions: DataFrame, traces: DataFrame) -> DataFrame:
 
     transitions: transition, from_states, to_states (empty: any), key, operations, capability; traces: trace, from_state, to_state, key, operation, capability, ended_at.
     States must fit, and the key, the operation or the capability; two absent capabilities fit. Transitions are
-    expanded by the key that makes them fit, so that Spark joins on equal values.
+    expanded by the key that makes them fit, so that Spark joins on equal values; of traces that are equal in it and in their states only
+    the latest can be one's latest, and only that one is joined.
     """
     def fits(states: str, state: str) -> Column:
         return (F.size(states) == 0) | F.coalesce(F.array_contains(states, F.col(state)), F.lit(False))
 
     t = traces.select(*[F.col(c).alias(f"t_{c}") for c in traces.columns])
-    by_key = transitions.join(t, F.col("key") == F.col("t_key"))
-    by_operation = transitions.withColumn("__op", F.explode("operations")).join(t, F.col("__op") == F.col("t_operation")).drop("__op")
-    by_capability = transitions.join(t, F.col("capability").eqNullSafe(F.col("t_capability")))
+    newest = lambda c: top_one(t, [f"t_{c}", "t_from_state", "t_to_state"], F.col("t_ended_at").desc_nulls_last(), F.col("t_trace"))
+    by_key = transitions.join(newest("key"), F.col("key") == F.col("t_key"))
+    by_operation = transitions.withColumn("__op", F.explode("operations")).join(newest("operation"), F.col("__op") == F.col("t_operation")).drop("__op")
+    by_capability = transitions.join(newest("capability"), F.col("capability").eqNullSafe(F.col("t_capability")))
     found = by_key.unionByName(by_operation).unionByName(by_capability).where(fits("from_states", "t_from_state") & fits("to_states", "t_to_state"))
     best = top_one(found, ["transition"], F.col("t_ended_at").desc_nulls_last(), F.col("t_trace")).select("transition", F.col("t_trace").alias("trace"))
     return transitions.select("transition").join(best, "transition", "left")
@@ -63,10 +65,12 @@ def preview(edges: DataFrame, observations: DataFrame) -> DataFrame:
 
     edges: edge, element, before_frame; observations: element, frame, observed_at, rect.
     """
-    known = edges.join(observations.where("rect IS NOT NULL"), "element")
-    own = F.coalesce(F.col("frame") == F.col("before_frame"), F.lit(False))
-    best = top_one(known, ["edge"], own.desc(), F.col("observed_at").desc_nulls_last(), F.col("frame"))
-    return edges.select("edge").join(best.select("edge", "frame", "rect"), "edge", "left")
+    seen = observations.where("rect IS NOT NULL").select("element", "frame", "observed_at", "rect")
+    when = F.col("observed_at").desc_nulls_last()
+    own = top_one(seen, ["element", "frame"], when).select("element", F.col("frame").alias("before_frame"), F.struct("frame", "rect").alias("__own"))
+    last = top_one(seen, ["element"], when, F.col("frame")).select("element", F.struct("frame", "rect").alias("__last"))
+    best = F.coalesce("__own", "__last")
+    return edges.join(own, ["element", "before_frame"], "left").join(last, "element", "left").select("edge", best["frame"].alias("frame"), best["rect"].alias("rect"))
 
 
 def audit(raw: DataFrame, qualified: DataFrame, outputs: DataFrame) -> DataFrame:
