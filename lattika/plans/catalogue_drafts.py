@@ -103,7 +103,7 @@ def q_remap(spark, d):
 WITH gone AS (SELECT n_nationkey AS page FROM nation WHERE n_regionkey = 0),
 e AS (SELECT s_suppkey AS element, s_nationkey AS page, [s_suppkey * 3 % 25, s_suppkey * 7 % 25] AS available FROM supplier),
 t AS (SELECT c_custkey AS id, c_custkey % 90 + 1 AS trigger, c_nationkey AS source, c_custkey % 25 AS target FROM customer),
-left_ AS (SELECT element, array_to_string(list_sort(list(DISTINCT p)), ',') AS pages FROM (SELECT element, unnest(available) AS p FROM e) WHERE p NOT IN (SELECT page FROM gone) GROUP BY element)
+left_ AS (SELECT element, array_to_string(list(p ORDER BY n), ',') AS pages FROM (SELECT element, unnest(available) AS p, generate_subscripts(available, 1) AS n FROM e) WHERE p NOT IN (SELECT page FROM gone) GROUP BY element)
 SELECT 'page' AS kind, CAST(n_nationkey AS BIGINT) AS id, '' AS detail FROM nation WHERE n_nationkey NOT IN (SELECT page FROM gone)
 UNION ALL SELECT 'element', element, coalesce(pages, '') FROM e LEFT JOIN left_ USING (element) WHERE page NOT IN (SELECT page FROM gone)
 UNION ALL SELECT 'transition', id, '' FROM t WHERE source NOT IN (SELECT page FROM gone) AND target NOT IN (SELECT page FROM gone) AND trigger NOT IN (SELECT element FROM e WHERE page IN (SELECT page FROM gone))""")
