@@ -15,6 +15,11 @@ GRID_EPSILON, GRID_MARGIN, GRID_SHARE, GRID_MOST = 1e-9, 0.025, 0.1, 12
 OVERLAP, NEAR = 0.2, 0.06
 
 
+def _known(*values: Column) -> Column:
+    """No component is null; `greatest` and `least` would pass over one."""
+    return reduce(Column.__and__, [v.isNotNull() for v in values])
+
+
 def closed_contains(left: Column, top: Column, width: Column, height: Column, x: Column, y: Column) -> Column:
     """A point in a rectangle whose four edges belong to it."""
     return (x >= left) & (x <= left + width) & (y >= top) & (y <= top + height)
@@ -44,7 +49,7 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     wide = F.greatest(F.lit(0.0), F.least(a[0] + a[2], b[0] + b[2]) - F.greatest(a[0], b[0]))
     high = F.greatest(F.lit(0.0), F.least(a[1] + a[3], b[1] + b[3]) - F.greatest(a[1], b[1]))
     union = a[2] * a[3] + b[2] * b[3] - wide * high
-    return F.when(union > 0, F.try_divide(wide * high, union)).otherwise(F.lit(0.0))
+    return F.when(union > 0, F.try_divide(wide * high, union)).when(union.isNotNull(), F.lit(0.0))
 
 
 def center_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
@@ -62,7 +67,7 @@ def clamp_unit_box(x: Column, y: Column, width: Column, height: Column) -> Colum
     left, top = (F.greatest(F.lit(0.0), F.least(F.lit(0.999), v)) for v in (x, y))
     wide = F.greatest(F.lit(0.001), F.least(1 - left, width))
     high = F.greatest(F.lit(0.001), F.least(1 - top, height))
-    return F.struct(*[F.round(v, 6).alias(n) for v, n in zip((left, top, wide, high), ("x", "y", "width", "height"))])
+    return F.when(_known(x, y, width, height), F.struct(*[F.round(v, 6).alias(n) for v, n in zip((left, top, wide, high), ("x", "y", "width", "height"))]))
 
 
 def clamp_box(x: Column, y: Column, width: Column, height: Column) -> Column:
@@ -70,7 +75,7 @@ def clamp_box(x: Column, y: Column, width: Column, height: Column) -> Column:
     wide, high = (F.greatest(F.lit(0.01), F.least(F.lit(1.0), v)) for v in (width, height))
     left = F.greatest(F.lit(0.0), F.least(1 - wide, x))
     top = F.greatest(F.lit(0.0), F.least(1 - high, y))
-    return F.struct(left.alias("x"), top.alias("y"), wide.alias("width"), high.alias("height"))
+    return F.when(_known(x, y, width, height), F.struct(left.alias("x"), top.alias("y"), wide.alias("width"), high.alias("height")))
 
 
 def union_box(x: Column, y: Column, width: Column, height: Column) -> Column:
@@ -124,11 +129,11 @@ def parse_bounds(text: Column) -> Column:
 
 
 def normalized_bounds(bounds: Column, width: Column, height: Column) -> Column:
-    """Bounds cut to a viewport, as a unit box; null where nothing is left."""
+    """Bounds cut to a viewport, as a unit box; null where nothing is left, and for null bounds."""
     left, top = F.greatest(F.lit(0), bounds["left"]), F.greatest(F.lit(0), bounds["top"])
     right, bottom = F.least(width, bounds["right"]), F.least(height, bounds["bottom"])
     box = F.struct((left / width).alias("x"), (top / height).alias("y"), ((right - left) / width).alias("width"), ((bottom - top) / height).alias("height"))
-    return F.when((right > left) & (bottom > top), box)
+    return F.when(bounds.isNotNull() & (right > left) & (bottom > top), box)  # greatest and least pass over nulls
 
 
 def project_point(matrix: Column, x: Column, y: Column) -> Column:

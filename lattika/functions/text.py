@@ -115,8 +115,9 @@ def shortened(text: Column, most: int) -> Column:
 
 
 def duration_ms(begin: Column, end: Column) -> Column:
-    """Milliseconds between two timestamps, never negative."""
-    return F.greatest(F.lit(0).cast("long"), F.unix_millis(end) - F.unix_millis(begin))
+    """Milliseconds between two timestamps, never negative; null where one is."""
+    ms = F.unix_millis(end) - F.unix_millis(begin)
+    return F.when(ms.isNotNull(), F.greatest(F.lit(0).cast("long"), ms))
 
 
 def contains_any_case(query: str, *parts: Column) -> Column:

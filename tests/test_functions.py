@@ -122,3 +122,12 @@ def test_small_texts_and_rects(spark):
     ).first()
     assert tuple(r.a) == (1.0, 2.0, 3.0, 4.0) and r.b is None
     assert (r.c, r.d, r.e, r.f, r.g, r.h, r.i, tuple(r.j)) == ("none", "candidate_bbox", "row", 2000, 0, True, "abc", (1.0, 2.0, 2.0, 2.0))
+
+
+def test_null_parts_give_null(spark):
+    none, half = F.lit(None).cast("double"), F.lit(0.5)
+    box, bad = (half, half, half, half), (half, none, half, half)
+    bounds = F.lit(None).cast("struct<left:int,top:int,right:int,bottom:int>")
+    values = [G.clamp_unit_box(*bad), G.clamp_box(*bad), G.iou(box, bad), G.match_score(bad, box), G.normalized_bounds(bounds, F.lit(5), F.lit(5)), T.duration_ms(F.lit(None).cast("timestamp"), F.current_timestamp())]
+    row = spark.range(1).select(*[v.alias(f"c{i}") for i, v in enumerate(values)], G.iou((half, half, F.lit(0.0), half), (half, half, F.lit(0.0), half)).alias("empty")).first()
+    assert [row[f"c{i}"] for i in range(len(values))] == [None] * len(values) and row["empty"] == 0
