@@ -49,7 +49,7 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     wide = F.greatest(F.lit(0.0), F.least(a[0] + a[2], b[0] + b[2]) - F.greatest(a[0], b[0]))
     high = F.greatest(F.lit(0.0), F.least(a[1] + a[3], b[1] + b[3]) - F.greatest(a[1], b[1]))
     union = a[2] * a[3] + b[2] * b[3] - wide * high
-    return F.when(union > 0, F.try_divide(wide * high, union)).when(union.isNotNull(), F.lit(0.0))
+    return F.when(_known(*a, *b), F.when(union > 0, F.try_divide(wide * high, union)).otherwise(F.lit(0.0)))
 
 
 def center_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
