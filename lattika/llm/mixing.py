@@ -25,8 +25,8 @@ from lattika.llm.common import WORD, materialize, table
 WEIGHTS, SHARE, COPIES = (5, 2, 1), (3, 2), 2
 #: Words that a queue serves at a time, at most.
 PACKET = 64
-#: Rows of a hash range of one source, about.
-RANGE_ROWS = 20_000
+#: Rows of a hash range of one source, about, in small tables; the square root of all rows in large ones, so that neither level is long.
+RANGE_ROWS = 2_000
 #: Ranges of finish time up to time 1, where sources that are not capped meet their targets; all after time 2 is one more.
 SLOTS = 4096
 
@@ -65,8 +65,9 @@ def queues(docs: DataFrame, seed: str = "mix") -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("row_key"), words.alias("size"), order.alias("h"))
     rows = materialize(rows, "sizes")
-    digits = max(1, math.ceil(math.log(max(1, rows.count() / RANGE_ROWS), 16)))
-    rows = rows.withColumn("range", F.substring("h", 1, digits))
+    size = max(RANGE_ROWS, math.sqrt(rows.count()))
+    of = rows.groupBy(F.col("source").alias("of")).agg(F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.count("*") / F.lit(size)))).cast("int").alias("digits"))
+    rows = rows.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.substring(F.col("h"), F.lit(1), F.col("digits"))).drop("of", "digits")
     in_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("sum"), F.count("*").alias("rows"))
     before = [F.coalesce(F.sum(c).over(in_source), F.lit(0)).alias(f"{c}_before") for c in ("sum", "rows")]
