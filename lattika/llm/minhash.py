@@ -31,9 +31,9 @@ from lattika.operators.components import connected_components
 #: Coordinates of a sketch (a power of two, 128 at most: a round takes 8 bits) and of a band.
 T, ROWS = 128, 4
 #: Shingles and rows of a block, at most, when a bucket is compared across components.
-VOLUME, MEMBERS = 2_000_000, 16_384
+VOLUME, MEMBERS = 1_000_000, 8_192
 #: Rows and columns of the incidence matrices on either side.
-STRIPES, COLUMNS = (512, 4096), 4096
+STRIPES, COLUMNS = (512, 1024), 2048
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
