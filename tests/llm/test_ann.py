@@ -59,7 +59,8 @@ def test_codes_choose_the_candidates(spark, monkeypatch):
     assert recall(run(spark, rows)) < 0.8 < 0.9 < seeing
 
 
-def test_large_lists_are_several_blocks():
+def test_large_lists_are_several_blocks(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 8192)
     held = np.array([20_000, 10, 8192, 8000, 100, 0])
     first, parts = ann.blocks(held, np.arange(12.0).reshape(6, 2))
     assert parts.tolist() == [3, 1, 1, 1, 1, 1]
