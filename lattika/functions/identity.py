@@ -23,23 +23,48 @@ def _plain(v):
     return [_plain(x) for x in v] if isinstance(v, list) else _number(v)
 
 
+def _canonical(text: str | None, without: str | None = None) -> str | None:
+    try:
+        value = _plain(json.loads(text)) if text is not None else None
+    except ValueError:
+        return None
+    if text is not None and without and isinstance(value, dict):
+        value.pop(without, None)
+    return None if text is None else json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 @F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no spaces and whole numbers without a fraction; null where the text is no JSON."""
+    return s.map(_canonical)
 
-    def one(v):
-        try:
-            return None if v is None else json.dumps(_plain(json.loads(v)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            return None
 
-    return s.map(one)
+@F.pandas_udf(StringType())
+def _hashed_body(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: _canonical(v, "contentHash"))
 
 
 def content_hash(json_text: Column) -> Column:
     return F.sha2(canonical_json(json_text), 256)
 
 
+def record_hash(json_text: Column) -> Column:
+    """`sha256:` and the hash of a record, its own contentHash left out; null where the text is no JSON."""
+    return F.concat(F.lit("sha256:"), F.sha2(_hashed_body(json_text), 256))
+
+
+def time_id(ms: Column, seed: Column) -> Column:
+    """A sortable identifier: ten base-32 digits of a time in milliseconds, 16 of the SHA-256 of a seed, so that a task that runs again makes the same."""
+    time = F.translate(F.lpad(F.upper(F.conv(ms.cast("string"), 10, 32)), 10, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", DIGITS)
+    return F.concat(time, F.substring(short_id(seed), 1, 16))
+
+
+def id_time(identifier: Column) -> Column:
+    """Milliseconds of a sortable identifier; null for other texts."""
+    digits = F.translate(F.substring(identifier, 1, 10), DIGITS, "0123456789ABCDEFGHIJKLMNOPQRSTUV")
+    return F.when(identifier.rlike(f"^[0-7][{DIGITS}]{{25}}$"), F.conv(digits, 32, 10).cast("long"))
+
+
 def descriptor_hash(lines: Column) -> Column:
     """Aggregate: SHA-256 of all lines in binary order, one after the other. For tables of descriptors, a line per file."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), ""), 256)

@@ -109,6 +109,11 @@ def pattern_found(pattern: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(p, t) for p, t in zip(pattern, text)], dtype=object)
 
 
+def localized(value: Column, collation: str = "UNICODE") -> Column:
+    """A text that sorts and compares by a collation (`UNICODE`, `zh`, ...) instead of by code points."""
+    return F.collate(value, collation)
+
+
 def shortened(text: Column, most: int) -> Column:
     """The first `most` characters."""
     return F.substring(text, 1, most)

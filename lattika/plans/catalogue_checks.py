@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattika.functions import geometry as G
 from lattika.functions import nested
 from lattika.functions import text as T
+from lattika.functions.identity import id_time, record_hash, time_id
 from lattika.operators import constraints as K
 from lattika.operators import evidence, graph, merging, selection
 from lattika.plans import drafts, route, versions, views
@@ -341,3 +342,34 @@ def q_page_signatures(spark, d):
     before = merging.page_signatures(pages, lines, moves)
     after = merging.page_signatures(pages, lines.withColumn("l_quantity", F.when(F.col("l_quantity") > 40, -1).otherwise(F.col("l_quantity"))), moves).withColumnRenamed("signature", "new")
     return before.join(after, "page").select("page", (F.col("signature") != F.col("new")).alias("changed"))
+
+
+@query("""
+WITH e AS (SELECT event_id, epoch_us(ts::TIMESTAMP) // 1000 AS ms FROM events)
+SELECT event_id, array_to_string(list_transform(range(9, -1, -1), lambda i: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', 1 + CAST((ms >> (5 * i)) & 31 AS INT), 1)), '') AS digits, ms, 26 AS length FROM e""")
+def q_time_ids(spark, d):
+    """Sortable identifiers of events, and their times read back."""
+    e = read(spark, d, "events", "event_id", "ts")
+    made = time_id(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id").cast("string"))
+    return e.select("event_id", made.alias("id")).select("event_id", F.substring("id", 1, 10).alias("digits"), id_time(F.col("id")).alias("ms"), F.length("id").alias("length"))
+
+
+@query("""SELECT o_orderkey, 'sha256:' || sha256('{"a":' || o_custkey || ',"b":[1,{"c":"' || o_orderstatus || '"}]}') AS hash FROM orders""")
+def q_record_hash(spark, d):
+    """Hashes of records made of orders; the order of keys, whole fractions and a hash inside do not count."""
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    text = F.concat(F.lit('{"contentHash":"x", "b": [1.0, {"c":"'), "o_orderstatus", F.lit('"}], "a":'), F.col("o_custkey").cast("string"), F.lit("}"))
+    return o.select("o_orderkey", record_hash(text).alias("hash"))
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS stage, CASE o_orderstatus WHEN 'O' THEN 'draft' WHEN 'F' THEN 'published' ELSE 'archived' END AS status FROM orders), f AS (SELECT min(stage) FILTER (status = 'published') AS p, min(stage) FILTER (status = 'draft') AS d FROM s)
+SELECT CAST(stage AS VARCHAR) AS stage, CASE WHEN stage = p THEN 'archived' ELSE status END AS status, CASE WHEN stage = p THEN 'now' END AS at_ FROM s, f WHERE stage <> d UNION ALL SELECT 'refused', 'draft', NULL FROM f UNION ALL SELECT 'refused', 'published', NULL FROM f""")
+def q_stage_ends(spark, d):
+    """Orders as stages after the first published one was archived and the first draft deleted; the other way round both are refused."""
+    status = F.when(F.col("o_orderstatus") == "O", "draft").when(F.col("o_orderstatus") == "F", "published").otherwise("archived")
+    stages = read(spark, d, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").cast("string").alias("stageId"), status.alias("status"), F.lit(None).cast("string").alias("archivedAt"))
+    first = {r["status"]: str(r["n"]) for r in stages.groupBy("status").agg(F.min(F.col("stageId").cast("long")).alias("n")).collect()}  # three rows
+    kept, _ = versions.deleted(versions.archived(stages, first["published"], "now")[0], first["draft"])
+    refused = versions.archived(stages, first["draft"], "now")[1].union(versions.deleted(stages, first["published"])[1])
+    return kept.select(F.col("stageId").alias("stage"), "status", F.col("archivedAt").alias("at_")).union(refused.select(F.lit("refused"), "status", "archivedAt"))

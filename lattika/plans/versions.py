@@ -52,6 +52,20 @@ def publish(stages: DataFrame, active: DataFrame, stage_id: str) -> DataFrame:
     return joined.withColumn("status", status).drop("__ok", "__app")
 
 
+def archived(stages: DataFrame, stage_id: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """(stages, refused): a published stage is archived at a time; a stage of another status is refused."""
+    asked = F.col("stageId") == stage_id
+    fits = asked & (F.col("status") == "published")
+    out = stages.withColumn("archivedAt", F.when(fits, F.lit(now)).otherwise(F.col("archivedAt"))).withColumn("status", F.when(fits, "archived").otherwise(F.col("status")))
+    return out, stages.where(asked & ~F.coalesce(F.col("status") == "published", F.lit(False)))
+
+
+def deleted(stages: DataFrame, stage_id: str) -> tuple[DataFrame, DataFrame]:
+    """(stages, refused): a draft goes; a stage of another status stays and is refused."""
+    asked, draft = F.col("stageId") == stage_id, F.coalesce(F.col("status") == "draft", F.lit(False))
+    return stages.where(~F.coalesce(asked, F.lit(False)) | ~draft), stages.where(asked & ~draft)
+
+
 def rollback(versions: DataFrame, to: str, new: str) -> DataFrame:
     """Files (stageId, path, hash) of a new version that repeats an old one."""
     return versions.where(F.col("stageId") == to).withColumn("stageId", F.lit(new))

@@ -131,3 +131,10 @@ def test_null_parts_give_null(spark):
     values = [G.clamp_unit_box(*bad), G.clamp_box(*bad), G.iou(box, bad), G.match_score(bad, box), G.normalized_bounds(bounds, F.lit(5), F.lit(5)), T.duration_ms(F.lit(None).cast("timestamp"), F.current_timestamp())]
     row = spark.range(1).select(*[v.alias(f"c{i}") for i, v in enumerate(values)], G.iou((half, half, F.lit(0.0), half), (half, half, F.lit(0.0), half)).alias("empty")).first()
     assert [row[f"c{i}"] for i in range(len(values))] == [None] * len(values) and row["empty"] == 0
+
+
+def test_collations_and_sortable_ids(spark):
+    df = spark.createDataFrame([("b",), ("A",), ("a",), ("B",), ("é",)], "v string")
+    assert [r.v for r in df.orderBy(T.localized(F.col("v"))).collect()] == ["a", "A", "b", "B", "é"]
+    row = spark.range(1).select(identity.id_time(identity.time_id(F.lit(1_700_000_000_123), F.lit("s"))).alias("a"), identity.id_time(F.lit("x")).alias("b"), identity.record_hash(F.lit("no")).alias("c")).first()
+    assert tuple(row) == (1_700_000_000_123, None, None)
