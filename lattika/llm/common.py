@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Delete the written files behind a materialized table that nothing reads any more."""
     drop(df)
+
+
+@contextmanager
+def shuffles_dropped(spark):
+    """Shuffle files go at the end of each query inside: what a query writes is all that is read later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -14,7 +14,7 @@ components is lost and no bucket meets in one task. Every link is confirmed on t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,16 +67,15 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if it is empty) and band keys."""
+def sketch_table(docs: DataFrame, shingle: int, sketch: Callable[[np.ndarray, np.ndarray], np.ndarray] = sketches) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if it is empty) and band keys of the sketch that `sketch` makes of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets, counts = shingle_sets(batch.column(1), shingle)
             ends = np.cumsum(counts)
             digests = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) if n else None for e, n in zip(ends, counts)]
-            sketch = sketches(sets, counts)
-            keys = band_keys(sketch)
+            keys = band_keys(sketch(sets, counts))
             has = np.where(counts > 0, keys.shape[1], 0)
             bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(has)]).astype(np.int32), keys[counts > 0].ravel())
             yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": counts, "digest": pa.array(digests, pa.binary()), "bands": bands})
@@ -174,14 +173,15 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: Callable[[np.ndarray, np.ndarray], np.ndarray] = sketches) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
 
     A link: 100 * intersection >= percent * union of the sets of `shingle`-word shingles. A text without words
     (or a null text) is linked with nothing. A row without doc_id is linked with nothing either: its component_id is null and it is kept. Rows
-    that share a doc_id are one document with all their links. An empty table gives no rows.
+    that share a doc_id are one document with all their links. An empty table gives no rows. `sketch` makes rows of T unsigned
+    coordinates of sets, which equal one another as often as the sets are alike.
     """
-    rows = materialize(sketch_table(docs, shingle), "sketches")
+    rows = materialize(sketch_table(docs, shingle, sketch), "sketches")
     linkable = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     copies = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = linkable.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattika.llm.batches import binary, slices
-from lattika.llm.common import materialize, release, table
+from lattika.llm.common import materialize, release, shuffles_dropped, table
 from lattika.llm.shingles import mix, word_hashes
 
 #: Bounds of what is broadcast of the models; the weight, in words, of a model's prior.
@@ -107,18 +106,6 @@ def pair_codes(words: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tup
     return first * (len(words) + 2) + second, first, second
 
 
-@contextmanager
-def _shuffles_dropped(spark):
-    """Shuffle files go at the end of each query inside: what a query writes is all that is read later."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def fit(docs: DataFrame, target: DataFrame) -> Models:
     """Models of all `docs` (background) and of the `target` documents."""
     schema = "kind int, key long, n long"
@@ -127,7 +114,7 @@ def fit(docs: DataFrame, target: DataFrame) -> Models:
         keys, n = np.unique(hashes, return_counts=True)
         yield keys.view(np.int64), n, 0
 
-    with _shuffles_dropped(docs.sparkSession):
+    with shuffles_dropped(docs.sparkSession):
         unigrams = materialize(_sums(docs, words_of, schema), "word-counts")
     whole = unigrams.agg(F.sum("n"), F.count("n")).first()
     top = most_frequent(unigrams, VOCABULARY).select("key", "n").toPandas()
@@ -147,7 +134,7 @@ def fit(docs: DataFrame, target: DataFrame) -> Models:
         out[found["key"].to_numpy(np.int64)] = found["n"]
         return out
 
-    with _shuffles_dropped(docs.sparkSession):
+    with shuffles_dropped(docs.sparkSession):
         counted = materialize(_sums(docs, pairs_of, schema), "pair-counts")
         pairs = materialize(most_frequent(counted.where("kind = 0"), PAIRS).select("key", "n"), "pairs")
         aimed = materialize(_sums(target, pairs_of, schema), "target-counts")
@@ -285,6 +272,6 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op9_scoring(spark, sf_dir: str) -> DataFrame:
     """All documents; the target model counts those of quality 1."""
-    with _shuffles_dropped(spark):
+    with shuffles_dropped(spark):
         docs = materialize(marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "marked")
     return score(docs, fit(docs, docs.where("good")), F.col("good"))

@@ -39,9 +39,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def _chunk_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of some bytes; `edges`: where texts begin and end in them."""
-    space = _SPACE[raw]
+def _chunk_hashes(raw: np.ndarray, edges: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of some bytes; `edges`: where texts begin and end in them; `between`: which bytes part words."""
+    space = between[raw]
     border = np.zeros(len(raw) + 1, bool)
     border[edges] = True
     before = np.concatenate([[True], space[:-1]]) | border[:-1]
@@ -52,8 +52,8 @@ def _chunk_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix((sums[end] - sums[start]) * _powers(_BACK, len(raw))[start] + (end - start).astype(np.uint64)), start
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of all texts (words: runs without space, tab or line break; A-Z lower-cased), and words per text."""
+def word_hashes(texts: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of all texts (words: runs of bytes that are not `between`, else without space, tab or line break; A-Z lower-cased), and words per text."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts) or offsets[0] == offsets[-1]:
@@ -63,11 +63,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes, starts, at = [], [], 0
     while at < len(raw):
         end = min(at + CHUNK, len(raw))
-        while end < len(raw) and not _SPACE[raw[end]]:  # to the end of a word
-            near = np.flatnonzero(_SPACE[raw[end : end + CHUNK]])
+        while end < len(raw) and not between[raw[end]]:  # to the end of a word
+            near = np.flatnonzero(between[raw[end : end + CHUNK]])
             end += int(near[0]) if len(near) else min(CHUNK, len(raw) - end)
         a, b = np.searchsorted(edges, [at, end + 1])
-        found, start = _chunk_hashes(raw[at:end], edges[a:b] - at)
+        found, start = _chunk_hashes(raw[at:end], edges[a:b] - at, between)
         hashes.append(found)
         starts.append(start + at)
         at = end
