@@ -12,7 +12,7 @@ from lattika.operators import constraints as K
 from lattika.operators import graph, merging, selection
 from lattika.operators.components import connected_components
 from lattika.operators.matching import compare_boxes
-from lattika.plans.keeping import keep
+from lattika.operators.rounds import keep
 from lattika.sources.readers import html_links
 from lattika.streaming.sessions import accumulated
 
@@ -411,11 +411,26 @@ def q_iou_pairs(spark, d):
     return pairs.select("a.l_orderkey", F.col("a.l_linenumber").alias("i"), F.col("b.l_linenumber").alias("j"), value.alias("iou")).where("iou >= 0.2").withColumn("iou", F.round("iou", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey AS frame, l_linenumber AS n, min({{'x': x, 'y': y, 'w': w, 'h': h}}) AS v FROM ({_BOXES}) GROUP BY ALL),
+l AS (SELECT frame, 'k' || n AS key, n, v.*, row_number() OVER (PARTITION BY frame ORDER BY n) AS turn FROM b WHERE n % 2 = 1),
+r AS (SELECT frame, 'k' || n AS key, n, v.* FROM b WHERE n % 2 = 0),
+p AS (SELECT l.frame, l.turn, r.key, r.n, greatest(0, least(l.x + l.w, r.x + r.w) - greatest(l.x, r.x)) * greatest(0, least(l.y + l.h, r.y + r.h) - greatest(l.y, r.y)) AS both_,
+  l.w * l.h + r.w * r.h AS area, sqrt(pow(l.x + l.w / 2 - r.x - r.w / 2, 2) + pow(l.y + l.h / 2 - r.y - r.h / 2, 2)) AS apart FROM l JOIN r ON l.frame = r.frame),
+s AS (SELECT frame, turn, key, n, CASE WHEN both_ / (area - both_) >= 0.2 THEN both_ / (area - both_) + 1 WHEN apart <= 0.06 THEN 0.5 - apart END AS score FROM p),
+c AS (SELECT frame, turn, list(key ORDER BY score DESC, n) AS wanted FROM s WHERE score IS NOT NULL GROUP BY frame, turn),
+walk AS (
+  SELECT DISTINCT frame, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS left_key, CAST(NULL AS VARCHAR) AS got FROM l
+  UNION ALL
+  SELECT w.frame, l.turn, list_concat(w.used, list_filter(coalesce(c.wanted, []), lambda v: NOT list_contains(w.used, v))[1:1]), l.key, list_filter(coalesce(c.wanted, []), lambda v: NOT list_contains(w.used, v))[1]
+  FROM walk w JOIN l ON l.frame = w.frame AND l.turn = w.turn + 1 LEFT JOIN c ON c.frame = l.frame AND c.turn = l.turn)
+SELECT frame, left_key, got AS right_key, CASE WHEN got IS NULL THEN 'left' ELSE 'place' END AS how FROM walk WHERE turn > 0
+UNION ALL SELECT frame, NULL, key, 'right' FROM r WHERE NOT EXISTS (SELECT 1 FROM walk WHERE walk.frame = r.frame AND walk.got = r.key)""")
 def q_greedy_match(spark, d):
     """Boxes of odd and even line numbers of an order, matched one to one."""
-    b = _boxes(spark, d).select(F.col("l_orderkey").alias("frame"), F.concat(F.lit("k"), F.col("l_linenumber").cast("string")).alias("key"), F.col("l_linenumber").alias("pos"), "x", "y", F.col("w").alias("width"), F.col("h").alias("height"))
-    return compare_boxes(b.where("pos % 2 = 1"), b.where("pos % 2 = 0"), "frame")
+    one = F.min(F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height"))).alias("box")  # of rows of one line the least
+    b = _boxes(spark, d).groupBy(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("pos")).agg(one)
+    b = b.select("frame", F.concat(F.lit("k"), F.col("pos").cast("string")).alias("key"), "pos", "box.*")
+    return compare_boxes(b.where("pos % 2 = 1"), b.where("pos % 2 = 0"), "frame", keep)
 
 
 # --- texts and nested values -----------------------------------------------------------------------------------------

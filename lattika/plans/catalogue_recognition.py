@@ -8,7 +8,7 @@ from lattika.functions import text as T
 from lattika.operators.matching import comparison
 from lattika.plans import contracts, drafts, recognition
 from lattika.plans.catalogue import query, read
-from lattika.plans.keeping import keep
+from lattika.operators.rounds import keep
 from lattika.streaming import sessions
 
 
@@ -454,4 +454,4 @@ def q_comparison(spark, d):
     rows = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").select(F.col("l_orderkey").alias("frame"), _name("k", n).alias("key"), n.alias("pos"), (n * 10).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"), F.col("l_quantity").alias("amount"))
     rows = rows.groupBy("frame", "key", "pos", "x", "y", "width", "height").agg(F.max("amount").alias("amount"))
     other = rows.where("pos >= 2").withColumn("amount", F.when(F.col("pos") == 2, F.col("amount") + 1).otherwise(F.col("amount")))
-    return comparison(rows.where("pos <= 4"), other, "frame", ["amount"]).select("frame", "left_key", "right_key", "status")
+    return comparison(rows.where("pos <= 4"), other, "frame", ["amount"], keep).select("frame", "left_key", "right_key", "status")

@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from lattika.operators import graph, merging, selection
 from lattika.operators.components import connected_components
 from lattika.operators import rounds
 from lattika.operators.matching import compare_boxes, comparison, ground
-from lattika.plans.keeping import keep
+from lattika.operators.rounds import keep
 
 
 def rows(df):
@@ -177,14 +179,93 @@ def test_matching(spark):
     schema = "frame long, key string, pos long, x double, y double, width double, height double"
     a = spark.createDataFrame([(1, "k", 0, 0.0, 0.0, 0.1, 0.1), (1, "m", 1, 0.5, 0.5, 0.2, 0.2), (1, "z", 2, 0.9, 0.9, 0.01, 0.01), (2, "q", 0, 0.0, 0.0, 0.1, 0.1)], schema)
     b = spark.createDataFrame([(1, "k", 0, 0.9, 0.0, 0.1, 0.1), (1, "n", 1, 0.5, 0.5, 0.2, 0.19), (1, "o", 2, 0.51, 0.5, 0.2, 0.2), (3, "r", 0, 0.0, 0.0, 0.1, 0.1)], schema)
-    assert rows(compare_boxes(a, b, "frame")) == sorted([(1, "k", "k", "key"), (1, "m", "n", "place"), (1, "z", None, "left"), (1, None, "o", "right"), (2, "q", None, "left"), (3, None, "r", "right")], key=str)
+    assert rows(compare_boxes(a, b, "frame", keep)) == sorted([(1, "k", "k", "key"), (1, "m", "n", "place"), (1, "z", None, "left"), (1, None, "o", "right"), (2, "q", None, "left"), (3, None, "r", "right")], key=str)
     a = a.withColumn("label", F.col("key")).unionByName(spark.createDataFrame([(5, "k", 0, *[0.1] * 4, "first"), (5, "k", 1, *[0.1] * 4, "last")], schema + ", label string"))
     b = b.withColumn("label", F.lit("k")).unionByName(spark.createDataFrame([(5, "k", 0, *[0.1] * 4, "first"), (5, "k", 1, *[0.1] * 4, "last")], schema + ", label string"))
-    found = {(r.frame, r.left_key, r.right_key): (r.status, r.changed) for r in comparison(a, b, "frame", ["label", "width"]).collect()}
+    found = {(r.frame, r.left_key, r.right_key): (r.status, r.changed) for r in comparison(a, b, "frame", ["label", "width"], keep).collect()}
     assert found == {(1, "k", "k"): ("same", []), (1, "m", "n"): ("changed", ["label"]), (1, "z", None): ("left-only", []), (1, None, "o"): ("right-only", []), (2, "q", None): ("left-only", []), (3, None, "r"): ("right-only", []), (5, "k", "k"): ("same", [])}
-    controls = spark.createDataFrame([(1, "a", 0, "id1", "", "Button", 5.0), (1, "b", 1, "", "Go", "Button", 50.0), (1, "c", 2, "", "", "Button", 9.0), (1, "d", 3, "", "", "Image", 9.0)], "frame long, key string, pos long, resource string, text string, widget string, y double")
-    nodes = spark.createDataFrame([(1, 1, "id1", "", "Button", 5.0, False), (1, 2, "", "Go", "Layout", 50.0, True), (1, 3, "", "Go", "Button", 50.0, False), (1, 4, "", "", "Button", 30.0, False), (1, 5, "", "", "Button", 8.0, False)], "frame long, node long, resource string, text string, widget string, y double, container boolean")
-    assert rows(ground(controls, nodes, "frame")) == [(1, "a", 1, "resource"), (1, "b", 3, "text"), (1, "c", 5, "nearest")]
+
+
+def chosen_one_after_the_other(a, b):
+    """What the loop over one frame gives: a and b as (key, x, y, width, height) in order."""
+    keys_a, by_key, used, out = {r[0] for r in a}, {r[0]: i for i, r in enumerate(b)}, set(), []
+    boxes = np.array([r[1:] for r in b], float).reshape(-1, 4)
+    free = np.array([r[0] not in keys_a for r in b], bool)
+    for key, x, y, w, h in a:
+        if key in by_key:
+            out.append((key, key, "key"))
+            used.add(by_key[key])
+            continue
+        wide = np.maximum(0, np.minimum(x + w, boxes[:, 0] + boxes[:, 2]) - np.maximum(x, boxes[:, 0]))
+        high = np.maximum(0, np.minimum(y + h, boxes[:, 1] + boxes[:, 3]) - np.maximum(y, boxes[:, 1]))
+        shared = wide * high / (w * h + boxes[:, 2] * boxes[:, 3] - wide * high)
+        apart = np.hypot(x + w / 2 - boxes[:, 0] - boxes[:, 2] / 2, y + h / 2 - boxes[:, 1] - boxes[:, 3] / 2)
+        score = np.where(free, np.where(shared >= 0.2, shared + 1, np.where(apart <= 0.06, 0.5 - apart, -1)), -1)
+        best = int(score.argmax()) if len(score) else -1
+        if best >= 0 and score[best] >= 0:
+            free[best] = False
+            used.add(best)
+            out.append((key, b[best][0], "place"))
+        else:
+            out.append((key, None, "left"))
+    return out + [(None, r[0], "right") for i, r in enumerate(b) if i not in used]
+
+
+@pytest.mark.parametrize("sizes", [[0, 1, 3, 20, 60, 200], [10_000]])
+def test_boxes_match_as_one_after_the_other(spark, sizes):
+    """Boxes of very different sizes, with ties; and one large frame, which no task gets as a whole."""
+    rng = np.random.default_rng(len(sizes))
+    left, right, want = [], [], []
+    for f, n in enumerate(sizes):
+        sides = []
+        for side, held in ((left, "a"), (right, "b")):
+            size = rng.choice([0.01, 0.02, 0.05, 0.3, 1.5] if n <= 200 else [0.005, 0.01, 0.02], (n, 2))
+            at = np.round(rng.uniform(0, 1, (n, 2)), 2) if n <= 200 else rng.uniform(0, 10, (n, 2))  # with ties, without
+            rows_ = [(f"{held if rng.random() < 0.8 else 'k'}{i}", *map(float, (*at[i], *size[i]))) for i in range(n)]
+            side += [(f, r[0], i, *r[1:]) for i, r in enumerate(rows_)]
+            sides.append(rows_)
+        want += [(f, *x) for x in chosen_one_after_the_other(*sides)]
+    schema = "frame long, key string, pos long, x double, y double, width double, height double"
+    found = compare_boxes(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "frame", keep)
+    assert rows(found) == sorted(want, key=str) and sum(w[3] == "place" for w in want) > 10
+
+
+def grounded_one_after_the_other(controls, nodes):
+    """The loop over one frame; controls: key, resources, texts, container, widget, group, y; nodes: node, resource, text, description, class, y."""
+    free, out, anchors = dict.fromkeys(nodes), {}, {}
+    for how in ("resource", "text", "nearest"):
+        late = {}
+        for c in controls:
+            key, resources, texts, container, widget, group, y = c
+            if key in out:
+                continue
+            if how == "nearest":
+                hits = sorted((n for n in free if widget and re.search(widget, n[4])), key=lambda n: (abs(n[5] - anchors.get(group, y)), n[0]))
+            else:
+                hits = [n for n in free if (n[1] and n[1] in resources if how == "resource" else not container and any(t and t in n[2:4] for t in texts))]
+                hits = hits if len(hits) == 1 else []
+            if hits:
+                out[key] = (hits[0][0], how)
+                free.pop(hits[0])
+                if group is not None and how != "nearest":
+                    late[group] = hits[0][5]
+        anchors |= late
+    return [(k, *v) for k, v in out.items()]
+
+
+def test_grounding_as_one_after_the_other(spark):
+    rnd = random.Random(6)
+    controls, nodes, want = [], [], []
+    for f in range(25):
+        n = rnd.choice([0, 2, 8, 25])
+        a = [(f"c{i}", rnd.sample("pqrstu", rnd.choice([0, 1, 1, 2])), rnd.sample("vwxyz", rnd.choice([0, 1, 2])), rnd.random() < 0.2, rnd.choice([None, "Button|Image", "(?i)edit"]), rnd.choice([None, "g1", "g2"]), float(rnd.randint(0, 30))) for i in range(n)]
+        b = [(i, rnd.choice(["", "p", "q", "r", "s", "t", "u"]), rnd.choice(["", *"vwxyz"]), rnd.choice(["", "", *"vw"]), rnd.choice(["Button", "ImageButton", "EditText", "View"]), float(rnd.randint(0, 30))) for i in range(rnd.choice([0, 5, 30]))]
+        controls += [(f, r[0], i, *r[1:]) for i, r in enumerate(a)]
+        nodes += [(f, *r) for r in b]
+        want += [(f, *x) for x in grounded_one_after_the_other(a, b)]
+    a = spark.createDataFrame(controls, "frame long, key string, pos long, resources array<string>, texts array<string>, container boolean, widget string, group string, y double")
+    b = spark.createDataFrame(nodes, "frame long, node long, resource string, text string, description string, class string, y double")
+    assert rows(ground(a, b, "frame", keep)) == sorted(want, key=str) and {w[3] for w in want} == {"resource", "text", "nearest"}
 
 
 @pytest.mark.parametrize("name", ["q_greedy_match"])
