@@ -211,3 +211,46 @@ def flatten_tree(nodes: DataFrame, keep: Keep) -> DataFrame:
     down = linked.select("parent", F.col("node").alias("child"), F.col("pos").cast("long").alias("p"))
     step = lambda new, _: new.join(down, new.node == down.parent).select(F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("place", F.array("p")).alias("place"))
     return until_empty(roots, step, keep)
+
+
+def visible_parent(nodes: DataFrame, keep: Keep) -> DataFrame:
+    """node, parent of (node, parent, visible): the nearest ancestor that is visible, null where there is none. Pointers to hidden nodes double in each round. For forests without cycles."""
+    unseen = nodes.where("NOT coalesce(visible, false)").select(F.col("node").alias("at"))
+    now = keep(nodes.select("node", F.col("parent").alias("at")), "parents")
+    while not (hidden := now.join(unseen, "at", "left_semi")).isEmpty():
+        through = now.select(F.col("node").alias("at"), F.col("at").alias("next"))
+        moved = hidden.join(through, "at").select("node", F.col("next").alias("at"))
+        before, now = now, keep(now.join(hidden.select("node"), "node", "left_anti").select("node", "at").unionByName(moved), "parents")
+        drop(before)
+    return now.select("node", F.col("at").alias("parent"))
+
+
+def preorder(nodes: DataFrame, keep: Keep) -> DataFrame:
+    """node, tree, place, depth, parent of the visible nodes of (node, parent, pos, visible) trees, in the order of a walk from the root down.
+
+    place counts the visible nodes of a tree from 1; depth counts all ancestors, hidden ones too; parent is the nearest visible ancestor. A hidden node goes, and what hangs on it moves
+    up in its place. Children go by (pos, node); a node whose parent is unknown is a root; tree is the root's node. Nodes on a cycle of parents, and those below one, hang on no root and are left out.
+
+    The walk is a list: into a node, through its children, out of it. Its places come from list ranking, in which every entry learns in each round what lies
+    twice as far ahead, so a chain of n nodes takes some log n rounds and no row grows with the depth.
+    """
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("__known")).distinct()
+    linked = nodes.join(known, "parent", "left").select("node", F.when(F.col("__known"), F.col("parent")).alias("parent"), "pos", F.coalesce("visible", F.lit(False)).alias("visible"))
+    roots = terminal_owner(linked, keep).where("terminal IS NOT NULL").select("node", F.col("terminal").alias("tree"), F.col("hops").alias("depth"))
+    rows = keep(linked.join(roots, "node"), "tree")
+    among = Window.partitionBy("parent").orderBy("pos", "node")
+    placed = rows.where("parent IS NOT NULL").select("node", "parent", F.lead("node").over(among).alias("right"), F.row_number().over(among).alias("n"))
+    first = placed.where("n = 1").select(F.col("parent").alias("node"), F.col("node").alias("child"))
+    into = rows.join(first, "node", "left").select("node", F.lit(0).alias("side"), F.coalesce("child", "node").alias("next"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("next_side"), F.col("visible").cast("long").alias("ahead"))
+    none = F.lit(None).cast(rows.schema["node"].dataType)
+    out = rows.select("node", "parent").join(placed.select("node", "right"), "node", "left").select("node", F.lit(1).alias("side"), F.coalesce("right", "parent", none).alias("next"), F.when(F.col("right").isNull(), 1).otherwise(0).alias("next_side"), F.lit(0).cast("long").alias("ahead"))
+    now = keep(into.unionByName(out), "walk")
+    while not now.where("next IS NOT NULL").isEmpty():
+        further = now.select(F.col("node").alias("next"), F.col("side").alias("next_side"), F.col("next").alias("__next"), F.col("next_side").alias("__side"), F.col("ahead").alias("__ahead"))
+        step = now.join(further, ["next", "next_side"], "left")
+        before, now = now, keep(step.select("node", "side", F.col("__next").alias("next"), F.coalesce("__side", "next_side").alias("next_side"), (F.col("ahead") + F.coalesce("__ahead", F.lit(0))).alias("ahead")), "walk")
+        drop(before)
+    ranked = now.where("side = 0").select("node", "ahead").join(rows, "node").where("visible")
+    held = rows.where("visible").groupBy("tree").agg(F.count("*").alias("held"))
+    up = visible_parent(rows, keep)
+    return ranked.drop("parent").join(held, "tree").join(up, "node").select("node", "tree", (F.col("held") - F.col("ahead") + 1).alias("place"), "depth", "parent")

@@ -11,8 +11,8 @@ from lattika.plans.catalogue import query, read
 from lattika.operators.rounds import keep
 
 
-def _name(prefix: str, column: str):
-    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+def _name(prefix: str, column):
+    return F.concat(F.lit(prefix), (F.col(column) if isinstance(column, str) else column).cast("string"))
 
 
 # --- merges ----------------------------------------------------------------------------------------------------------
@@ -268,6 +268,27 @@ def q_flatten_tree(spark, d):
     return graph.flatten_tree(rows, keep).withColumn("place", F.array_join("place", ","))
 
 
+@query("""
+WITH RECURSIVE t(node, parent, pos, visible) AS (
+  SELECT 'r' || r_regionkey, NULL, r_regionkey, r_regionkey <> 2 FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, -n_nationkey, n_nationkey % 3 > 0 FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey % 4, s_acctbal >= 0 FROM supplier
+  UNION ALL SELECT 'c' || c_custkey, 's' || (c_custkey % (SELECT count(*) + 3 FROM supplier)), c_custkey, c_acctbal >= 1000 FROM customer),
+k AS MATERIALIZED (SELECT node, CASE WHEN parent IN (SELECT node FROM t) THEN parent END AS parent, visible, CAST(row_number() OVER (PARTITION BY parent ORDER BY pos, node) AS BIGINT) AS at FROM t),
+f(node, tree, visible, depth, path, seen) AS (SELECT node, node, visible, 0, CAST([0] AS BIGINT[]), CAST(NULL AS VARCHAR) FROM k WHERE parent IS NULL
+  UNION ALL SELECT k.node, tree, k.visible, depth + 1, list_append(path, k.at), CASE WHEN f.visible THEN f.node ELSE f.seen END FROM f JOIN k ON k.parent = f.node)
+SELECT node, tree, row_number() OVER (PARTITION BY tree ORDER BY path) AS place, depth, seen AS parent FROM f WHERE visible""")
+def q_hoisted_tree(spark, d):
+    """Regions, nations, suppliers and customers as trees in which some nodes are hidden: the place, depth and visible parent of those that are seen. Customers of unknown suppliers are roots."""
+    rows = read(spark, d, "region", "r_regionkey").select(_name("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("pos"), (F.col("r_regionkey") != 2).alias("visible"))
+    n = F.col("n_nationkey")
+    rows = rows.union(read(spark, d, "nation", "n_nationkey", "n_regionkey").select(_name("n", n), _name("r", "n_regionkey"), -n.cast("long"), n % 3 > 0))
+    suppliers = read(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    rows = rows.union(suppliers.select(_name("s", "s_suppkey"), _name("n", "s_nationkey"), F.col("s_suppkey") % 4, F.col("s_acctbal") >= 0))
+    held = _name("s", F.col("c_custkey") % (suppliers.count() + 3))
+    rows = rows.union(read(spark, d, "customer", "c_custkey", "c_acctbal").select(_name("c", "c_custkey"), held, "c_custkey", F.col("c_acctbal") >= 1000))
+    return graph.preorder(rows, keep)
+
+
 @query("""
 WITH RECURSIVE t AS (
   SELECT 's' || s_suppkey AS element, 'n' || s_nationkey AS parent, CAST(NULL AS BIGINT) AS page, CAST([] AS BIGINT[]) AS pages FROM supplier

@@ -121,6 +121,33 @@ def test_availability_variants(spark):
     assert of["application"] == base and of["draft"] == base | {("kid", "p3"), ("lone", "p4")} and of["ancestors"] == of["draft"] | {("lone", "p9")}
 
 
+def walked(rows):
+    """node -> (tree, place, depth, visible parent), by recursion without a stack of calls."""
+    known, children, out = {r[0] for r in rows}, {}, []
+    for node, parent, pos, visible in sorted(rows, key=lambda r: (r[2], r[0])):
+        children.setdefault(parent if parent in known else None, []).append((node, visible))
+    for root, visible in children.get(None, []):
+        stack, n = [(root, visible, 0, None)], 0
+        while stack:
+            node, visible, depth, above = stack.pop()
+            if visible:
+                n += 1
+                out.append((node, root, n, depth, above))
+            stack += [(c, v, depth + 1, node if visible else above) for c, v in reversed(children.get(node, []))]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shape", ["bushy", "chain", "hidden chain"])
+def test_preorder_with_hidden_nodes(spark, shape):
+    rnd = random.Random(7)
+    n = 400 if shape == "bushy" else 3_000
+    up = {i: (None if rnd.random() < 0.01 else rnd.randrange(max(1, i)) if i else None) if shape == "bushy" else i - 1 if i else None for i in range(n)}
+    rows_ = [(i, up[i], rnd.randrange(5), rnd.random() < (0.5 if shape == "bushy" else 0.9 if shape == "chain" else 0.0) or i in (0, n - 1)) for i in range(n)]
+    rows_ += [(9_000, 9_001, 0, True), (9_001, 9_002, 0, True), (9_002, 9_001, 0, True), (9_010, 77_777, 0, True)]  # below a cycle, on it, without a known parent
+    found = graph.preorder(spark.createDataFrame(rows_, "node long, parent long, pos long, visible boolean"), keep)
+    assert rows(found.select("node", "tree", "place", "depth", "parent")) == walked(rows_)
+
+
 def test_flatten_tree(spark):
     nodes = spark.createDataFrame([("a", None, 0), ("b", "a", 1), ("c", "a", 0), ("d", "c", 0), ("e", "gone", 1), ("x", "y", 0), ("y", "x", 0)], "node string, parent string, pos int")
     found = graph.flatten_tree(nodes, keep).orderBy("place").collect()
