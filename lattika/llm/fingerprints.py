@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattika.llm.batches import slices
-from lattika.llm.common import materialize, shuffles_dropped, table
+from lattika.llm.common import materialize, release, shuffles_dropped, table
 from lattika.llm.minhash import near_duplicates
 from lattika.llm.shingles import shingle_sets
 
@@ -90,7 +90,9 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataF
     verified on the full sets. One row per doc_id; documents without words are classes of their own; rows without doc_id are left out.
     """
     found = near_duplicates(docs, shingle, percent, signatures)
-    return found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("class_id"))
+    out = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("class_id")), "classes")
+    release(found)  # sketches and labels, which are larger than the answer
+    return out
 
 
 _COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
@@ -174,7 +176,7 @@ def op11_fingerprints(spark, sf_dir: str) -> DataFrame:
     """All documents, with the class of near-duplicates that each belongs to; fingerprints appear in hexadecimal digits."""
     docs = table(spark, sf_dir, "documents")
     with shuffles_dropped(spark):
-        near = materialize(classes(docs), "classes")
+        near = classes(docs)
         rows = edited(docs)
     hexed = [F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in rows.columns]
     return rows.join(near, "doc_id", "left").select(*hexed, "class_id")
