@@ -3,21 +3,24 @@
 A byte-level BPE whose pre-tokenizer attaches one space to the word after it never merges across a
 space that stands between two characters that are not white space. Texts are cut there, and the
 `tokenizers` library encodes each distinct piece once per worker, many pieces in one call: several times
-faster than running text, with the same ids (tests compare both). A text that holds the string of one of the vocabulary's added
-tokens goes to the library as a whole. Long texts are cut into segments, so that memory does not follow a text's length.
+faster than running text, with the same ids (tests compare both). Texts are also cut around the strings of the vocabulary's added
+tokens, as the library does. Long texts are cut into segments, at the borders of the library's own pre-tokenizer where they hold no such space, so that
+memory does not follow a text's length. Short pieces alone are remembered, up to a bound in bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker remembers before it starts anew; bounds its memory, not its input.
-CACHE_PIECES = 800_000
+#: Bytes of pieces and their ids that a worker remembers before it starts anew; bounds its memory, not its input. A longer piece (in characters) is encoded each time.
+CACHE_BYTES, REMEMBERED = 128 << 20, 64
+#: Bytes of an entry besides its text, about.
+ENTRY = 160
 #: Pieces joined into one call of the library; characters of a long text that are cut into pieces at a time.
 JOINED, SEGMENT = 2_000, 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -39,7 +42,11 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        found = self.library.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in found.values()):
+            raise ValueError("added tokens that depend on the text around them are not supported")
+        self.added_ids = {t.content: i for i, t in found.items()}
+        added = sorted(self.added_ids, key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self.library.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
@@ -47,7 +54,8 @@ class PieceTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.held = 0
+        self.index: dict[str | int, int] = {}
         self.ids: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
 
@@ -67,25 +75,52 @@ class PieceTokenizer:
         self.ids.append(ids)
         self.index.update(zip(chain(joined, alone), range(len(self.index), len(self.index) + len(keys))))
 
-    def _whole(self, text: str) -> np.ndarray:
-        self.library.encode_special_tokens = False
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
-        """Parts of a text that are encoded apart, and whether a part begins the text; a later part lacks the space before it."""
-        at = 0
-        while cut := _CUT.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None:
-            yield text[at : cut.start()], at == 0
-            at = cut.end()
-        yield text[at:], at == 0
-
-    def _pieces(self, segments: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    def _border(self, text: str, at: int) -> int:
+        """A place after `at`, SEGMENT characters away where it can be, at which the pre-tokenizer parts the text whatever lies around: in a window, the start of a piece that is
+        not the last and has no white space before it."""
+        for size in (SEGMENT << k for k in range(64)):
+            if at + size >= len(text):
+                return len(text)
+            found = self.library.pre_tokenizer.pre_tokenize_str(text[at : at + size])
+            for _, (start, _) in reversed(found[1:-1]):
+                if not text[at + start - 1].isspace():
+                    return at + start
+
+    def _segments(self, text: str) -> Iterator[tuple[str | int, bool]]:
+        """Parts of a text that are encoded apart, and whether a part has no space before it that it lacks; an added token is its id."""
+        parts, at = [], 0
+        for token in self.added.finditer(text) if self.added else ():
+            parts += [(at, token.start(), token[0])]
+            at = token.end()
+        for begin, end, token in [*parts, (at, len(text), None)]:
+            part, at, first = text[begin:end] if parts else text, 0, True
+            while len(part) - at > SEGMENT:
+                cut = _CUT.search(part, at + SEGMENT, at + 2 * SEGMENT)
+                until = cut.start() if cut else self._border(part, at)
+                yield part[at:until], first
+                at, first = (cut.end(), False) if cut else (until, True)
+            if at < len(part):
+                yield part[at:], first
+            if token:
+                yield self.added_ids[token], True
+
+    def _forget(self, keys: Iterable[str | int], entries: int, ids: int) -> None:
+        """Drop the entries learnt last, from `entries` on, whose ids begin at `ids`."""
+        for k in keys:
+            del self.index[k]
+        self.lengths, self.ids = [np.concatenate(self.lengths)[:entries].copy()], [np.concatenate(self.ids)[:ids].copy()]
+
+    def _pieces(self, segments: list[tuple[str | int, bool]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and ids per segment."""
-        if len(self.index) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             self._clear()
-        words: list[str] = []
+        words: list[str | int] = []
         counts = np.zeros(len(segments), np.int64)
         for i, (text, first) in enumerate(segments):
+            if isinstance(text, int):
+                words.append(text)
+                counts[i] = 1
+                continue
             plain = len(text.split()) == text.count(" ") + text.count("\n") + 1  # white space stands alone everywhere
             parts = text.split(" ") if plain else _CUT.split(text)
             if first:
@@ -93,20 +128,34 @@ class PieceTokenizer:
             words += parts
             counts[i] = len(parts)
         new = list(dict.fromkeys(words).keys() - self.index.keys())
-        if new:
-            self._learn(new)
+        tokens = [k for k in new if isinstance(k, int)]
+        short = [k for k in new if isinstance(k, str) and len(k) <= REMEMBERED]
+        long = [k for k in new if isinstance(k, str) and len(k) > REMEMBERED]
+        if tokens:
+            self.index.update(zip(tokens, range(len(self.index), len(self.index) + len(tokens))))
+            self.lengths.append(np.ones(len(tokens), np.int64))
+            self.ids.append(np.array(tokens, np.uint32))
+        if short:
+            self._learn(short)
+            self.held += sum(map(len, short)) + ENTRY * len(short)
+        kept = len(self.index), sum(map(len, self.ids))
+        if long:
+            self._learn(long)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         lengths = np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.int64)
         pool = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
         self.lengths, self.ids = [lengths], [pool]
         starts = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(segments)), counts)
-        return ragged(pool, starts[at], lengths[at]), np.bincount(owner, weights=lengths[at], minlength=len(segments)).astype(np.int64)
+        out = ragged(pool, starts[at], lengths[at]), np.bincount(owner, weights=lengths[at], minlength=len(segments)).astype(np.int64)
+        if long:
+            self._forget(long, *kept)
+        return out
 
     def encode(self, texts: Sequence[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of all texts and ids per text; null counts as empty; `end_id` follows each text."""
         per_text, out = np.zeros(len(texts), np.int64), []
-        waiting: list[tuple[str, bool]] = []
+        waiting: list[tuple[str | int, bool]] = []
         owners: list[int] = []
 
         def flush() -> None:
@@ -119,18 +168,13 @@ class PieceTokenizer:
 
         held = 0
         for i, text in enumerate(texts):
-            if text and self.added and self.added.search(text):
-                flush()
-                out.append(self._whole(text))
-                per_text[i] = len(out[-1])
-            elif text:
-                for part, first in self._segments(text):
-                    waiting.append((part, first))
-                    owners.append(i)
-                    held += len(part)
-                    if held >= 4 * SEGMENT:
-                        flush()
-                        held = 0
+            for part, first in self._segments(text) if text else ():
+                waiting.append((part, first))
+                owners.append(i)
+                held += 1 if isinstance(part, int) else len(part)
+                if held >= 4 * SEGMENT:
+                    flush()
+                    held = 0
         flush()
         flat = np.concatenate(out) if out else np.zeros(0, np.uint32)
         if end_id is not None:

@@ -39,15 +39,46 @@ def rows(spark, seed=1):
 def test_ids_equal_the_library(library, monkeypatch):
     from lattika.llm import tokenization
 
-    monkeypatch.setattr(tokenization, "CACHE_PIECES", 20)
+    monkeypatch.setattr(tokenization, "CACHE_BYTES", 2_000)
     ours = PieceTokenizer(public_path())
-    for segment in (1 << 20, 1 << 20, 50):
+    for segment, remembered in ((1 << 20, 64), (1 << 20, 3), (50, 64), (7, 0)):
         monkeypatch.setattr(tokenization, "SEGMENT", segment)
+        monkeypatch.setattr(tokenization, "REMEMBERED", remembered)
         flat, counts = ours.encode(texts(), 7)
         assert np.split(flat, np.cumsum(counts)[:-1])[5].tolist() == ids(library, texts()[5], 7)
         assert flat.tolist() == [i for t in texts() for i in ids(library, t, 7)]
 
 
+def unspaced(n, seed=2):
+    """Runs without a space: ideographs with and without marks, digits and letters of code, white space of other kinds, added tokens."""
+    rnd = random.Random(seed)
+    parts = ["\u6c49\u5b57", "\u3002", "abc", "Q7", "==", "+/", "\n\n", "\t", "'s", "\u00a0", "{}", "9" * 12, "\u3042" * 30, " "]
+    return "".join(rnd.choice(parts[:-1]) if rnd.random() < 0.999 else "<|endoftext|>" for _ in range(n))
+
+
+def test_long_texts_without_spaces(library, monkeypatch):
+    from lattika.llm import tokenization
+
+    for segment in (40, 1_000):
+        monkeypatch.setattr(tokenization, "SEGMENT", segment)
+        for n in (5, 300, 4_000):
+            found = PieceTokenizer(public_path()).encode([unspaced(n), unspaced(n, 3)], 7)[0].tolist()
+            assert found == ids(library, unspaced(n), 7) + ids(library, unspaced(n, 3), 7)
+
+
+def test_memory_does_not_follow_what_was_read(library):
+    """Thousands of different texts without a space leave nothing behind, and a long text with an added token is cut."""
+    rnd = random.Random(9)
+    ours = PieceTokenizer(public_path())
+    for _ in range(200):
+        one = "".join(chr(rnd.randint(0x4E00, 0x9F00)) for _ in range(2_000))
+        ours.encode([one], 7)
+    assert len(ours.index) == 0 and sum(map(len, ours.ids)) == 0
+    long = ("some words, and 12 more " * 100_000) + "<|endoftext|>" + "x" * 50_000
+    flat, counts = ours.encode([long], 7)
+    assert flat.tolist() == ids(library, long, 7) and counts[0] == len(flat) and ours.held < 10_000
+
+
 def test_packing(spark, library):
     found, df = rows(spark)
     pieces = pack(df, longest=256).collect()
