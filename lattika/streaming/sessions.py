@@ -34,8 +34,8 @@ def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def visible_and_inner(events: DataFrame) -> DataFrame:
     """session, visible, inner: the text outside and inside think markers, wherever chunks were cut."""
     whole = accumulated(events)
-    inner = F.regexp_extract_all("content", F.lit(f"(?s){OPEN}(.*?)(?:{CLOSE}|$)"), F.lit(1))
-    return whole.select("session", F.regexp_replace("content", f"(?s){OPEN}.*?(?:{CLOSE}|$)", "").alias("visible"), F.array_join(inner, "").alias("inner"))
+    inner = F.regexp_extract_all("content", F.lit(f"(?s){OPEN}(.*?)(?:{CLOSE}|\\z)"), F.lit(1))
+    return whole.select("session", F.regexp_replace("content", f"(?s){OPEN}.*?(?:{CLOSE}|\\z)", "").alias("visible"), F.array_join(inner, "").alias("inner"))
 
 
 def lifecycle(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
