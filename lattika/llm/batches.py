@@ -6,6 +6,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A slice ends after so many rows or so many bytes, whichever comes first (a longer text is a slice of its own).
 SLICE_ROWS, SLICE_BYTES = 1_000, 2 << 20
@@ -39,3 +42,36 @@ def binary(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     np.cumsum(counts, out=offsets[1:])
     data = np.ascontiguousarray(flat)
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets * data.itemsize), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and packed: each text as a compressed frame of its own, for shuffles that move whole texts; a null text stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches):
+            texts = batch.column(1).cast(pa.binary())
+            yield pa.record_batch({"doc_id": batch.column(0), "packed": pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch], place: int = 1, size: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches with the texts of a packed column in its place, in slices whose texts fit a worker's memory."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, held, at = [], 0, 0
+
+        def ready(stop: int) -> pa.RecordBatch:
+            part = batch.slice(at, stop - at)
+            columns = [pa.array(texts, pa.large_string()) if i == place else c for i, c in enumerate(part.columns)]
+            return pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+        for i, value in enumerate(batch.column(place)):
+            texts.append(press.decompress(value.as_buffer()).decode() if value.is_valid else None)
+            held += len(texts[-1] or "")
+            if held >= size:
+                yield ready(i + 1)
+                texts, held, at = [], 0, i + 1
+        if texts:
+            yield ready(batch.num_rows)

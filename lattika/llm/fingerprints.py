@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattika.llm.batches import slices
+from lattika.llm.batches import packed, slices, unpacked
 from lattika.llm.common import materialize, release, shuffles_dropped, table
 from lattika.llm.minhash import near_duplicates
 from lattika.llm.shingles import shingle_sets
@@ -124,7 +124,7 @@ def _compared(ids: pa.Array, texts: list[str], following: list[str], shingle: in
 def edited(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of `docs`: doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (binary), near_edited, near_next.
 
-    The next document is that of the next doc_id; rows without doc_id come first, rows that share one lie side by side by hash of their text; after the
+    The next document is that of the next doc_id; rows without doc_id come first, rows that share one lie side by side, equal texts next to one another; after the
     last comes the first, so a single document follows itself. A null text is empty. Long texts are whole. Other columns are not read; an empty table gives no rows.
     """
     extra = "part long, first_text string, last_text string"
@@ -138,7 +138,7 @@ def edited(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             more = [pa.array([part] * n, pa.int64()), pa.array([opening] + [None] * (n - 1), pa.string()), pa.array([None] * (n - 1) + [last_text], pa.string())]
             return pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "part", "first_text", "last_text"])
 
-        for batch in slices(batches):
+        for batch in slices(unpacked(batches)):
             if not batch.num_rows:
                 continue
             ids, texts, prints = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], fingerprints(batch.column(1), shingle)
@@ -154,8 +154,7 @@ def edited(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             unknown = pa.nulls(1, pa.string()), _bytes(held[2]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())
             yield placed(pa.RecordBatch.from_arrays([held[0], pa.array([len(held[1])], pa.int64()), *unknown], _NAMES), held[1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    ordered = packed(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "packed")
     found = materialize(ordered.mapInArrow(run, f"{_COMPARED}, {extra}"), "fingerprints")
 
     firsts = found.where("first_text IS NOT NULL").select(F.col("part").alias("next_part"), "first_text", F.col("fingerprint").alias("first_print"))

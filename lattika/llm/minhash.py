@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattika.llm.batches import slices
+from lattika.llm.batches import packed, slices, unpacked
 from lattika.llm.common import materialize, release, table
 from lattika.llm.shingles import mix, shingle_sets
 from lattika.operators.components import connected_components
@@ -85,15 +85,15 @@ def sketch_table(docs: DataFrame, shingle: int, sketch: Callable[[np.ndarray, np
 
 
 def set_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and the sorted shingle hashes of its text."""
+    """doc_id and the sorted shingle hashes of its packed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(unpacked(batches)):
             sets, counts = shingle_sets(batch.column(1), shingle)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), sets.view(np.int64))
             yield pa.record_batch({"doc_id": batch.column(0), "shingles": lists})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "packed").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     members = materialize(bands.join(buckets, "key"), "members")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(set_table(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), shingle), "sets")
+    sets = materialize(set_table(packed(docs).join(nodes, "doc_id", "left_semi"), shingle), "sets")
     pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(confirmed(pairs, sets, percent), "links")
     found = connected_components(links, "a", "b", materialize)
