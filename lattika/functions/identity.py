@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,29 +15,51 @@ from pyspark.sql.types import StringType
 DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
-def _number(x: float) -> float | int:
-    return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 1e21 else x
-
-
-def _plain(v):
+def ecmascript_number(x: int | float) -> str:
+    """A number as ECMAScript writes it: the fewest digits that read back as the same double, plain up to 21 digits before the point and six zeros after it, else with an exponent."""
+    if isinstance(x, int):
+        return str(x)
+    if not math.isfinite(x):
+        raise ValueError("not a finite number")
+    if x == 0:
+        return "0"
+    mantissa, _, exponent = np.format_float_scientific(abs(x), unique=True, trim="-").partition("e")
+    digits, point = mantissa.replace(".", ""), int(exponent) + 1  # the value is 0.digits * 10 ** point
+    sign = "-" if x < 0 else ""
+    if len(digits) <= point <= 21:
+        return sign + digits.ljust(point, "0")
+    if 0 < point <= 21:
+        return f"{sign}{digits[:point]}.{digits[point:]}"
+    if -6 < point <= 0:
+        return f"{sign}0.{digits.rjust(len(digits) - point, '0')}"
+    fraction = f".{digits[1:]}" if len(digits) > 1 else ""
+    return f"{sign}{digits[0]}{fraction}e{point - 1:+d}"
+
+
+def _written(v) -> str:
+    """A value of JSON with sorted keys and without spaces."""
     if isinstance(v, dict):
-        return {k: _plain(x) for k, x in v.items()}
-    return [_plain(x) for x in v] if isinstance(v, list) else _number(v)
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(v[k])}" for k in sorted(v)) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_written, v)) + "]"
+    return ecmascript_number(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else json.dumps(v, ensure_ascii=False)
 
 
 def _canonical(text: str | None, without: str | None = None) -> str | None:
+    if text is None:
+        return None
     try:
-        value = _plain(json.loads(text)) if text is not None else None
-    except ValueError:
+        value = json.loads(text)
+        if without and isinstance(value, dict):
+            value.pop(without, None)
+        return _written(value)
+    except (ValueError, RecursionError):  # no JSON, a number that is not finite, or nested too deep
         return None
-    if text is not None and without and isinstance(value, dict):
-        value.pop(without, None)
-    return None if text is None else json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 @F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
-    """JSON text with sorted keys, no spaces and whole numbers without a fraction; null where the text is no JSON."""
+    """JSON text with sorted keys, no spaces and numbers as ECMAScript writes them; null where the text is no JSON, NaN and Infinity included."""
     return s.map(_canonical)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
+from lattika.functions.lenient import checkpoint_part, read_object
+
 
 def at_path(json_text: Column, path: str, kind: str = "string") -> Column:
     """The value at a dotted path; null where it is missing or has another type."""
@@ -58,44 +59,32 @@ def forbidden(df: DataFrame, key: str, column: str, markers: list[str]) -> DataF
     return found.select(key, "path", F.explode(hit).alias("marker"))
 
 
-_FENCE = re.compile(r"^\s*```(?:json)?\s*|\s*```\s*$")
-
-
 def repair(text: str | None) -> str | None:
-    """The first JSON object in a text, with fences removed, commas before closing brackets dropped and open brackets closed."""
-    if text is None or "{" not in text:
+    """The first JSON object in a text as JSON: read strictly, else leniently. None where there is none, or where nested too deep to write."""
+    begin = text.find("{") if text is not None else -1
+    if begin < 0:
         return None
-    body = _FENCE.sub("", text)
-    body = body[body.index("{") :]
     try:
-        found, _ = json.JSONDecoder().raw_decode(body)
-        return json.dumps(found, ensure_ascii=False)
-    except ValueError:
-        pass
-    out, stack, quoted, escaped = [], [], False, False
-    for c in body:
-        out.append(c)
-        if quoted:
-            escaped = c == "\\" and not escaped
-            quoted = c != '"' or (len(out) > 1 and out[-2] == "\\" and not escaped)
-            continue
-        if c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
-            stack.pop()
-            if not stack:
-                break
-    whole = re.sub(r",\s*([}\]])", r"\1", "".join(out) + '"' * quoted + "".join(reversed(stack)))
-    whole = re.sub(r",\s*([}\]])", r"\1", whole)
+        found = json.JSONDecoder(parse_constant=_refused).raw_decode(text, begin)[0]
+    except (ValueError, RecursionError):
+        found = read_object(text)
     try:
-        return json.dumps(json.loads(whole), ensure_ascii=False)
-    except ValueError:
+        return json.dumps(found, ensure_ascii=False, allow_nan=False)
+    except (ValueError, RecursionError):
         return None
 
 
+def _refused(word: str):
+    raise ValueError(word)
+
+
 @F.pandas_udf(StringType())
 def parse_object(s: pd.Series) -> pd.Series:
-    """The JSON object that a model's answer holds, repaired where it is cut short; null where there is none."""
+    """The JSON object that a model's answer holds, repaired where it is malformed or cut short; null where there is none."""
     return s.map(repair)
+
+
+@F.pandas_udf(StringType())
+def parse_checkpoint(s: pd.Series) -> pd.Series:
+    """The JSON object after the last `<data-json>` of a stream, repaired where it is cut short; null where there is none."""
+    return s.map(lambda text: repair(checkpoint_part(text)))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +60,47 @@ def qualified_traces(traces: DataFrame, frames: DataFrame, before: str, after: s
 def pattern_matches(targets: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     """target and every row whose value equals or fully matches one of its patterns.
 
-    targets: target, patterns. Distinct values meet the patterns, not rows: a value is matched once however often it occurs.
+    targets: target, patterns. Each distinct pattern is matched by itself, so groups and references inside it are its own, and one that is no regular expression matches only its own text.
+    Distinct values meet distinct patterns in a join that shuffles values, not rows: a value is matched once however often it occurs.
+    """
+    values = rows.select(F.col(value).alias("__value")).where("__value IS NOT NULL").distinct()
+    one = targets.select("target", F.explode("patterns").alias("pattern")).where("pattern IS NOT NULL")
+    found = whole_matches(one.select("pattern").distinct(), values, "__value")
+    return one.join(found, "pattern").select("target", "__value").distinct().join(rows, F.col("__value") == F.col(value)).drop("__value")
+
+
+#: Patterns that meet the values in one pass, about; these are sent to all tasks.
+PATTERNS = 4_096
+
+
+def whole_matches(patterns: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """pattern and each value that equals it or that it matches as a whole.
+
+    Patterns are compiled once a task and go to the tasks in groups of about PATTERNS, so that no side of the join grows beyond a bound.
     """
-    values = rows.select(F.col(value).alias("__value")).distinct()
-    one = targets.select("target", F.explode("patterns").alias("pattern"))
-    exact = one.join(values, F.col("pattern") == F.col("__value")).select("target", "__value")
-    whole = F.concat(F.lit("^(?:"), F.array_join(F.transform("patterns", lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|"), F.lit(")$"))
-    regular = targets.where(F.size("patterns") > 0).select("target", whole.alias("pattern")).join(values, F.regexp_like("__value", F.col("pattern"))).select("target", "__value")
-    hits = exact.union(regular).distinct()
-    return hits.join(rows, F.col("__value") == F.col(value)).drop("__value")
+    kind = f"pattern string, {value} {values.schema[value].dataType.simpleString()}"
+    groups = max(1, -(-patterns.count() // PATTERNS))
+    out = None
+    for g in range(groups):
+        given = [r[0] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).collect()]
+
+        def run(batches: Iterator[pd.DataFrame], given: list[str] = given) -> Iterator[pd.DataFrame]:
+            tests = [(p, _whole(p)) for p in given]
+            for batch in batches:
+                hits = [(p, v) for p, test in tests for v in batch[value] if v == p or (test is not None and test(v))]
+                yield pd.DataFrame(hits, columns=["pattern", value])
+
+        part = values.select(value).mapInPandas(run, kind)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _whole(pattern: str) -> Callable | None:
+    """A test of whole texts; None where the pattern is no regular expression."""
+    try:
+        return re.compile(pattern).fullmatch
+    except re.error:
+        return None
 
 
 def status_lattice(df: DataFrame, keys: list[str], status: str, ranked: list[str]) -> DataFrame:

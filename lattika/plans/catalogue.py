@@ -158,10 +158,10 @@ def q_evidence_qualify(spark, d):
 
 
 @query("""
-SELECT target, doc_id FROM documents, (VALUES ('low', '^(?:src[0-4]|src1)$'), ('teens', '^(?:src1\\d)$'), ('nine', '^(?:src9)$')) t(target, p) WHERE regexp_matches(source, p)""")
+SELECT target, doc_id FROM documents, (VALUES ('low', '^(?:src[0-4]|src1)$'), ('teens', '^(?:src1\\d)$'), ('nine', '^(?:src9)$'), ('twice', '^(?:src(0|11|22|33|44)|src[5-9])$')) t(target, p) WHERE regexp_matches(source, p)""")
 def q_theta_match(spark, d):
     """Documents whose source matches one of a target's patterns."""
-    targets = spark.createDataFrame([("low", ["src[0-4]", "src1"]), ("teens", [r"src1\d"]), ("nine", ["src9"])], "target string, patterns array<string>")
+    targets = spark.createDataFrame([("low", ["src[0-4]", "src1"]), ("teens", [r"src1\d"]), ("nine", ["src9", "src9("]), ("twice", [r"src(\d)\1", "(src)(0)", "src[5-9]"])], "target string, patterns array<string>")
     return selection.pattern_matches(targets, read(spark, d, "documents", "doc_id", "source"), "source").select("target", "doc_id")
 
 

@@ -354,11 +354,14 @@ def q_time_ids(spark, d):
     return e.select("event_id", made.alias("id")).select("event_id", F.substring("id", 1, 10).alias("digits"), id_time(F.col("id")).alias("ms"), F.length("id").alias("length"))
 
 
-@query("""SELECT o_orderkey, 'sha256:' || sha256('{"a":' || o_custkey || ',"b":[1,{"c":"' || o_orderstatus || '"}]}') AS hash FROM orders""")
+@query("""
+WITH o AS (SELECT *, regexp_replace(CAST(o_custkey / 10000000000 AS VARCHAR), 'e-0', 'e-') AS small, CAST(o_totalprice AS DECIMAL(18, 2)) / 1 AS price FROM orders)
+SELECT o_orderkey, 'sha256:' || sha256('{"a":' || o_custkey || ',"b":[1,{"c":"' || o_orderstatus || '"}],"d":' || CASE WHEN o_custkey = 0 THEN '0' ELSE small END || ',"e":' || regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') || '}') AS hash FROM o""")
 def q_record_hash(spark, d):
-    """Hashes of records made of orders; the order of keys, whole fractions and a hash inside do not count."""
-    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
-    text = F.concat(F.lit('{"contentHash":"x", "b": [1.0, {"c":"'), "o_orderstatus", F.lit('"}], "a":'), F.col("o_custkey").cast("string"), F.lit("}"))
+    """Hashes of records made of orders; the order of keys, whole fractions, ways to write a number and a hash inside do not count."""
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    price, key = F.col("o_totalprice").cast("string"), F.col("o_custkey").cast("string")
+    text = F.concat(F.lit('{"contentHash":"x", "e": '), price, F.lit(', "d": '), key, F.lit('E-10, "b": [1.0, {"c":"'), "o_orderstatus", F.lit('"}], "a":'), key, F.lit("}"))
     return o.select("o_orderkey", record_hash(text).alias("hash"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattika.functions import text as T
+from lattika.functions.nested import parse_checkpoint
 from lattika.operators.matching import comparison
+from lattika.operators.rounds import keep
 from lattika.plans import contracts, drafts, recognition
 from lattika.plans.catalogue import query, read
-from lattika.operators.rounds import keep
 from lattika.streaming import sessions
 
 
@@ -455,3 +456,18 @@ def q_comparison(spark, d):
     rows = rows.groupBy("frame", "key", "pos", "x", "y", "width", "height").agg(F.max("amount").alias("amount"))
     other = rows.where("pos >= 2").withColumn("amount", F.when(F.col("pos") == 2, F.col("amount") + 1).otherwise(F.col("amount")))
     return comparison(rows.where("pos <= 4"), other, "frame", ["amount"], keep).select("frame", "left_key", "right_key", "status")
+
+
+@query("""
+WITH e AS (SELECT c_custkey AS frame, unnest(range(3)) AS pos FROM customer)
+SELECT frame, CAST(pos AS INTEGER) AS pos, 'k' || pos AS key, 'Name ' || frame AS page FROM e WHERE pos = 0 OR (pos = 1 AND frame % 4 > 0) OR (pos = 2 AND frame % 4 = 3)""")
+def q_recovered_elements(spark, d):
+    """Streams about customers that break off in their first to third element: the whole elements that a repair gives back, and the page."""
+    k = F.col("c_custkey")
+    whole = lambda n: F.concat(F.lit("{'candidateKey': 'k" + str(n) + "', visualDescription: \"a 'b' {c\", \"elementType\": \"text\" interactive: True, // yes\n approximateRegion: {x: .5, y: 0.25}, geometryKind: 'box', geometryConfidence: 1, meaning: {dynamicContent: false, confidence: 0.5,},}, "))
+    cut = F.lit("{\"candidateKey\": \"cut\", \"visualDescription\": \"never en")
+    elements = F.concat(whole(0), F.when(k % 4 > 0, whole(1)).otherwise(F.lit("")), F.when(k % 4 == 3, whole(2)).otherwise(F.lit("")), F.when(k % 2 > 0, cut).otherwise(F.lit("")))
+    stream = F.concat(F.lit("<observation>{not this}</observation><data-json>{frameId: 'f', page: {name: 'Name "), k.cast("string"), F.lit("'}, elements: ["), elements)
+    read_back = read(spark, d, "customer", "c_custkey").select(k.alias("frame"), F.try_parse_json(parse_checkpoint(stream)).alias("v"))
+    found = read_back.select("frame", F.try_variant_get("v", "$.page.name", "string").alias("page"), F.posexplode(F.try_variant_get("v", "$.elements", "array<variant>")).alias("pos", "e"))
+    return found.where(recognition.complete(F.to_json("e"))).select("frame", "pos", F.try_variant_get("e", "$.candidateKey", "string").alias("key"), "page")

@@ -1,11 +1,16 @@
+import decimal
 import hashlib
 import json
+import math
+import random
+import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattika.functions import geometry as G
-from lattika.functions import identity, nested, text
+from lattika.functions import identity, lenient, nested, text
 from lattika.functions import text as T
 
 
@@ -104,6 +109,70 @@ def test_repair(given, want):
     assert (None if found is None else json.loads(found)) == want
 
 
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ("{'a': 'it is', b: True, c: None, d: undefined}", {"a": "it is", "b": True, "c": None, "d": None}),
+        ('{"a": 1 "b": 2, "c": [1 2 "x" "y"], "d": "z" e: 3}', {"a": 1, "b": 2, "c": [1, 2, "x", "y"], "d": "z", "e": 3}),
+        ('{"a": /* no, { */ 1, // "b": 3\n "c": 2,, }', {"a": 1, "c": 2}),
+        ('{"a": [1, {"b": "cut \\u00', {"a": [1, {"b": "cut "}]}),
+        ('{"a": [{"b": [1, 2}, 3]}', {"a": [{"b": [1, 2]}, 3]}),
+        ('{"a": {"b": 1], "c": 2}', {"a": {"b": 1, "c": 2}}),
+        ('{"a": "one" + \'two\', "b": -.5, "c": +2., "d": 1e, "e": -}', {"a": "onetwo", "b": -0.5, "c": 2.0, "d": 1.0, "e": 0}),
+        ('{"a": "say "hi" now", "b": "x\ny"}', {"a": 'say "hi" now', "b": "x\ny"}),
+        ('{"a": , "b": 1, "c"}', {"a": None, "b": 1, "c": None}),
+        ("{“a”: “ü”, `b`: [1, ..., 9], k-1: some words here}", {"a": "ü", "b": [1, 9], "k-1": "some words here"}),
+        ('{"u": "\\ud83d\\ude00 \\q"', {"u": "\U0001f600 q"}),
+        ('{"n": NaN}', {"n": "NaN"}),
+        ("{", {}),
+        ("[1]", None),
+    ],
+)
+def test_lenient_reading(given, want):
+    found = nested.repair(given)
+    assert (None if found is None else json.loads(found)) == want
+
+
+def test_lenient_reading_of_cut_and_deep_texts():
+    """Whatever is cut off, what was whole before stays; strict JSON reads as itself; depth needs no stack of calls."""
+    doc = {"page": {"name": "a, \"b\" {c}"}, "elements": [{"key": f"k{i}", "n": [i, -1.5e-3, True, None, {"x": "\u00e9\n"}]} for i in range(6)]}
+    text = json.dumps(doc)
+    assert lenient.read_object(text) == doc and lenient.read_object(json.dumps(doc, indent=2, ensure_ascii=False)) == doc
+    for end in range(1, len(text)):
+        found = lenient.read_object(text[:end])
+        whole = found.get("elements") or []
+        assert whole[:-1] == doc["elements"][: max(0, len(whole) - 1)]
+    deep = lenient.read_object('{"a":' * 50_000)
+    assert set(deep) == {"a"} and nested.repair('{"a":' * 50_000) is None
+    assert lenient.read_object('{"a": "' + "x" * 2_000_000) == {"a": "x" * 2_000_000}
+    assert lenient.checkpoint_part("<data-json>{1}</data-json> <data-json>{2}</data-json> rest") == "{2}" and lenient.checkpoint_part("{3}") == "{3}"
+
+
+def test_ecmascript_numbers():
+    """Against the rules of ECMAScript for digits s, their number k and the place n of the point, on random doubles."""
+    cases = {1e-7: "1e-7", 1e-5: "0.00001", 1e-6: "0.000001", 1.5e300: "1.5e+300", 1e21: "1e+21", 123456789012345680000.0: "123456789012345680000", -0.0: "0", 0.1: "0.1", -2.50: "-2.5", 5e-324: "5e-324", 100.0: "100"}
+    assert {x: identity.ecmascript_number(x) for x in cases} == cases
+    rnd = random.Random(1)
+    for _ in range(10_000):
+        x = struct.unpack("d", rnd.randbytes(8))[0] if rnd.random() < 0.5 else rnd.uniform(-1, 1) * 10.0 ** rnd.randint(-9, 24)
+        if not math.isfinite(x):
+            continue
+        text = identity.ecmascript_number(x)
+        digits, exponent = f"{abs(decimal.Decimal(repr(x)).normalize()):e}".replace("E", "e").split("e")
+        k, n = len(digits.replace(".", "")), int(exponent) + 1
+        assert float(text) == x and ("e" in text) == (not -6 < n <= 21) and len(re.sub("e.*|[.-]", "", text).strip("0")) <= k
+        assert re.fullmatch(r"-?(0|[1-9]\d{0,20}|(0|[1-9]\d*)\.\d*[1-9]|\d(\.\d*[1-9])?e[+-][1-9]\d*)", text)
+    for bad in (math.nan, math.inf):
+        with pytest.raises(ValueError):
+            identity.ecmascript_number(bad)
+
+
+def test_canonical_json(spark):
+    texts = ['{"b": 1e-7, "a": [1.0, 0.00001, 1E400]}', '{"a": NaN}', '{"é": 12345678901234567890123, "a": {"z": -0.0, "y": true}}', "no", None, "[" * 100_000]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(identity.canonical_json(F.col("t"))).collect()]
+    assert found == [None, None, '{"a":{"y":true,"z":0},"é":12345678901234567890123}', None, None, None]
+
+
 def test_patterns_that_are_none(spark):
     rows = [("FOO.*r", "a foobar", True), ("a(", "x A( y", True), ("a(", "b", False), ("[", None, None), (None, "x", None)]
     found = spark.createDataFrame([r[:2] for r in rows], "p string, t string").select(T.pattern_found(F.col("p"), F.col("t")).alias("x")).collect()

@@ -174,6 +174,15 @@ def test_selection(spark):
     assert rows(selection.pattern_matches(targets, values, "v").select("target", "id")) == [("t", 1), ("t", 2), ("t", 4)]
 
 
+@pytest.mark.parametrize("size", [4_096, 2])
+def test_each_pattern_is_matched_by_itself(spark, monkeypatch, size):
+    """Groups and references are those of one pattern; what is no expression matches its own text and disturbs no other."""
+    monkeypatch.setattr(selection, "PATTERNS", size)
+    targets = spark.createDataFrame([("t", ["(a)b", r"(c)\1", "[", "x|yz"]), ("u", ["(?i)AB", "("]), ("none", []), ("null", None)], "target string, patterns array<string>")
+    values = spark.createDataFrame([("ab",), ("cc",), ("ca",), ("[",), ("x",), ("yz",), ("xyz",), ("(",), (None,), ("ab",)], "v string")
+    assert rows(selection.pattern_matches(targets, values, "v").select("target", "v")) == sorted([("t", v) for v in ("ab", "ab", "cc", "[", "x", "yz")] + [("u", v) for v in ("ab", "ab", "(")], key=str)
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a", "k"), (2, "b", None)], "id long, v string, w string")
     new = spark.createDataFrame([(2, "", "n"), (3, "c", "m")], "id long, v string, w string")
