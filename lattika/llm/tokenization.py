@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -127,21 +127,27 @@ class PieceTokenizer:
                 parts[0] = " " + parts[0]
             words += parts
             counts[i] = len(parts)
-        new = list(dict.fromkeys(words).keys() - self.index.keys())
-        tokens = [k for k in new if isinstance(k, int)]
-        short = [k for k in new if isinstance(k, str) and len(k) <= REMEMBERED]
-        long = [k for k in new if isinstance(k, str) and len(k) > REMEMBERED]
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        missed = [words[i] for i in unknown.tolist()]
+        new = dict.fromkeys(missed)
+        tokens = [t for t in dict.fromkeys(t for t, _ in segments if isinstance(t, int)) if t in new]
+        for t in tokens:
+            del new[t]
         if tokens:
             self.index.update(zip(tokens, range(len(self.index), len(self.index) + len(tokens))))
             self.lengths.append(np.ones(len(tokens), np.int64))
             self.ids.append(np.array(tokens, np.uint32))
-        if short:
-            self._learn(short)
-            self.held += sum(map(len, short)) + ENTRY * len(short)
+        long = [k for k in new if len(k) > REMEMBERED]
+        for k in long:
+            del new[k]
+        if new:
+            self._learn(list(new))
+            self.held += sum(map(len, new)) + ENTRY * len(new)
         kept = len(self.index), sum(map(len, self.ids))
         if long:
             self._learn(long)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at[unknown] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
         lengths = np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.int64)
         pool = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
         self.lengths, self.ids = [lengths], [pool]
