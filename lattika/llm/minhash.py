@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattika.llm.batches import packed, slices, unpacked
@@ -84,24 +84,44 @@ def sketch_table(docs: DataFrame, shingle: int, sketch: Callable[[np.ndarray, np
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def set_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and the sorted shingle hashes of its packed text."""
+def _with_sets(members: pd.DataFrame, shingle: int) -> pd.DataFrame:
+    """Rows with the sorted shingle hashes of their packed texts, in the place of these."""
+    texts = pa.record_batch({"packed": pa.array(members["packed"], pa.binary())})
+    sets = []
+    for batch in slices(unpacked([texts], place=0)):
+        flat, counts = shingle_sets(batch.column(0), shingle)
+        sets += np.split(flat, np.cumsum(counts)[:-1])
+    out = members.drop(columns="packed")
+    out["shingles"] = sets
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(unpacked(batches)):
-            sets, counts = shingle_sets(batch.column(1), shingle)
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), sets.view(np.int64))
-            yield pa.record_batch({"doc_id": batch.column(0), "shingles": lists})
 
-    return docs.select("doc_id", "packed").mapInArrow(run, "doc_id long, shingles array<long>")
+def _blocks(n: str) -> Column:
+    """Aggregate: how many blocks rows of `n` shingles are dealt out into."""
+    return F.greatest(F.ceil(F.sum(n) / VOLUME), F.ceil(F.count(n) / MEMBERS)).cast("int")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b, n: shingles of b) whose full shingle sets have 100 * intersection >= percent * union. texts: doc_id and packed.
+
+    All b of one a are compared with its set where they lie, in blocks, so its text travels once a block and not once a pair.
+    """
+    held = pairs.groupBy("a").agg(_blocks("n").alias("blocks"))
+    text = lambda x: texts.select(F.col("doc_id").alias(x), "packed")
+    hubs = held.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(text("a"), "a")
+    rows = pairs.join(held, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")).join(text("b"), "b")
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of its own, as both sides come from one table
 
+    def compare(hub: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        own, members = _with_sets(hub, shingle), _with_sets(members, shingle)
+        for x in own["shingles"]:
+            flat, counts = np.concatenate(list(members["shingles"]) or [x[:0]]), np.array([len(s) for s in members["shingles"]], np.int64)
+            shared = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=np.isin(flat, x), minlength=len(counts))
+            found.append(members[100 * shared >= percent * (len(x) + counts - shared)][["a", "b"]])
+        return pd.concat(found or [members[["a", "b"]][:0]])
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b").distinct()
+    return hubs.groupBy("a", "block").cogroup(rows.groupBy("a", "block")).applyInPandas(compare, "a long, b long").distinct()
 
 
 def links_between(outliers: pd.DataFrame, members: pd.DataFrame, percent: int, alone: bool) -> pd.DataFrame:
@@ -147,19 +167,17 @@ def links_between(outliers: pd.DataFrame, members: pd.DataFrame, percent: int, a
     return pd.DataFrame(list(found.values()), columns=["a", "b"]) if found else none
 
 
-def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) that join different components of a bucket's members.
 
-    members: hub, rep, component; buckets with one hub are one group. All members outside a group's largest component
+    members: hub, rep, n (shingles), component; buckets with one hub are one group. texts: doc_id and packed. All members outside a group's largest component
     are compared with all its members. A group of more than VOLUME shingles or MEMBERS rows is dealt out into blocks
-    on either side, so each comparison holds two blocks.
+    on either side, so each comparison holds two blocks. Texts travel packed; sets are made where they are compared.
     """
     largest = members.groupBy("hub", "component").count().groupBy("hub").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rows = members.join(largest, "hub").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    rows = rows.withColumn("out", F.col("component") != F.col("main"))
-    volume = lambda c: F.greatest(F.ceil(F.sum(c) / VOLUME), F.ceil(F.count(c) / MEMBERS)).cast("int")
-    blocks = rows.groupBy("hub").agg(volume(F.when(F.col("out"), F.size("shingles"))).alias("outs"), volume(F.size("shingles")).alias("alls"))
-    rows = rows.join(blocks, "hub").select("hub", "rep", "component", "shingles", "out", "outs", "alls")
+    rows = members.join(largest, "hub").withColumn("out", F.col("component") != F.col("main"))
+    blocks = rows.withColumn("far", F.when(F.col("out"), F.col("n"))).groupBy("hub").agg(_blocks("far").alias("outs"), _blocks("n").alias("alls"))
+    rows = rows.join(blocks, "hub").join(texts.select(F.col("doc_id").alias("rep"), "packed"), "rep").select("hub", "rep", "component", "packed", "out", "outs", "alls")
     count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     left = rows.where("out").withColumn("o", deal("outs")).withColumn("m", count("alls"))
@@ -167,7 +185,8 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = rows.withColumn("m", deal("alls")).withColumn("o", count("outs"))
 
     def compare(outliers: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        return links_between(outliers, group, percent, len(group) > 0 and int(group["alls"].iloc[0]) == 1)
+        alone = len(group) > 0 and int(group["alls"].iloc[0]) == 1
+        return links_between(_with_sets(outliers, shingle), _with_sets(group, shingle), percent, alone)
 
     keys = ("hub", "o", "m")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
@@ -185,24 +204,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
     linkable = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     copies = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = linkable.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    bands = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    bands = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     members = materialize(bands.join(buckets, "key"), "members")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(set_table(packed(docs).join(nodes, "doc_id", "left_semi"), shingle), "sets")
-    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(confirmed(pairs, sets, percent), "links")
+    texts = materialize(packed(docs).join(nodes, "doc_id", "left_semi"), "texts")
+    pairs = members.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("n"))
+    links = materialize(confirmed(pairs, texts, shingle, percent), "links")
     found = connected_components(links, "a", "b", materialize)
 
-    placed = members.join(found, members.rep == found.node, "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(found, members.rep == found.node, "left").select("key", "hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    inside = placed.join(open_, "key", "left_semi").select("hub", "rep", "component").distinct()
-    every = links.union(across(inside, sets, percent))
+    inside = placed.join(open_, "key", "left_semi").groupBy("hub", "rep", "component").agg(F.max("n").alias("n"))
+    every = links.union(across(inside, texts, shingle, percent))
 
     ids = linkable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     shared = linkable.join(ids, "doc_id", "left_semi").join(copies, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     whole = connected_components(every.union(shared), "a", "b", materialize)
-    for done in (members, sets, links):
+    for done in (members, texts, links):
         release(done)
 
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(copies, "digest", "left")
