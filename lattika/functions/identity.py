@@ -89,11 +89,6 @@ def id_time(identifier: Column) -> Column:
     return F.when(identifier.rlike(f"^[0-7][{DIGITS}]{{25}}$"), F.conv(digits, 32, 10).cast("long"))
 
 
-def descriptor_hash(lines: Column) -> Column:
-    """Aggregate: SHA-256 of all lines in binary order, one after the other. For tables of descriptors, a line per file."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), ""), 256)
-
-
 def short_id(value: Column) -> Column:
     """26 base-32 digits from the first 130 bits of a SHA-256: stable for equal values."""
     hexed = F.concat(F.sha2(value, 256), F.lit("000"))

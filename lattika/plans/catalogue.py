@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattika.functions import geometry as G
-from lattika.functions.identity import descriptor_hash
 from lattika.functions.nested import at_path
 from lattika.operators import constraints as K
 from lattika.operators import graph, merging, selection
 from lattika.operators.components import connected_components
+from lattika.operators.hashing import files_hash, ordered_hash
 from lattika.operators.matching import compare_boxes
 from lattika.operators.rounds import keep
 from lattika.sources.readers import html_links
@@ -205,7 +205,14 @@ def q_union_box(spark, d):
 def q_content_hash(spark, d):
     """A root hash over each source's documents."""
     docs = read(spark, d, "documents", "doc_id", "text", "source").select("source", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256), F.lit("\n")).alias("line"))
-    return docs.groupBy("source").agg(descriptor_hash(F.col("line")).alias("root_hash"))
+    return ordered_hash(docs, ["source"], ["line"], F.col("line").cast("binary")).withColumnRenamed("hash", "root_hash")
+
+
+@query("SELECT sha256(string_agg('docs/' || doc_id || '.txt' || chr(1) || coalesce(text, '') || chr(1), '' ORDER BY 'docs/' || doc_id || '.txt')) AS hash FROM documents")
+def q_files_hash(spark, d):
+    """One hash over the paths and bytes of all documents as files, in order of their paths; the mark between them is 1, as SQL texts hold no 0."""
+    docs = read(spark, d, "documents", "doc_id", "text").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return files_hash(docs, mark=b"\x01")
 
 
 @query("""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattika.functions.identity import descriptor_hash
+from lattika.operators.hashing import ordered_hash
 from lattika.operators.merging import last_writer_wins, semantic_diff
 
 
 def root_hashes(files: DataFrame, *keys: str) -> DataFrame:
     """keys, root_hash: a hash of the sorted `path:hash` lines of each version."""
-    return files.groupBy(*keys).agg(descriptor_hash(F.concat("path", F.lit(":"), "hash", F.lit("\n"))).alias("root_hash"))
+    lines = files.select(*keys, F.concat("path", F.lit(":"), "hash", F.lit("\n")).alias("line"))
+    return ordered_hash(lines, list(keys), ["line"], F.col("line").cast("binary")).withColumnRenamed("hash", "root_hash")
 
 
 def stage_status(stages: DataFrame, active: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql.types import StructType
 
 
 def files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """path, content of all files below a folder whose name fits, in binary order of their paths."""
+    """path, content of all files below a folder whose name fits, in no order; empty files are none to Spark."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return found.select("path", "content").orderBy("path")
+    return found.select("path", "content")
 
 
 def yaml_records(spark: SparkSession, root: str, without: tuple[str, ...] = ("manifest.yaml",), aliases: bool = True) -> DataFrame:

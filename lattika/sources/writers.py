@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattika.functions.identity import content_hash
+from lattika.operators.hashing import ordered_hash
+from lattika.sources.manifests import VersionedTable
+
 
-def replace(df: DataFrame, path: str) -> None:
-    """Replace a table, which `df` may read: the new one is written beside it and takes its place when it is whole, so a failed job leaves the old one."""
-    spark, name = df.sparkSession, uuid.uuid4().hex
-    jvm, new, old = spark._jvm.org.apache.hadoop.fs.Path, f"{path.rstrip('/')}.new-{name}", f"{path.rstrip('/')}.old-{name}"
-    df.write.parquet(new)
-    at = jvm(path)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    had = files.exists(at)
-    if had and not files.rename(at, jvm(old)):
-        raise OSError(f"cannot move {path}")
-    if not files.rename(jvm(new), at):
-        if had:
-            files.rename(jvm(old), at)
-        raise OSError(f"cannot write {path}")
-    if had:
-        files.delete(jvm(old), True)
+def replace(df: DataFrame, path: str) -> int:
+    """Replace a versioned table, which `df` may read: readers see the old version or the new one, whole; returns the new version. See `manifests.VersionedTable`."""
+    return VersionedTable(df.sparkSession, path).write(df)
 
 
 def create(df: DataFrame, path: str) -> None:
@@ -40,12 +29,11 @@ def by_feature(df: DataFrame, path: str, feature_path: str, levels: int = 3) ->
 
 def evidence(df: DataFrame, path: str) -> DataFrame:
     """Write rows as JSON lines with a hash of each, once; returns the manifest: rows and root_hash (one row)."""
-    from lattika.functions.identity import content_hash, descriptor_hash
-
     hashed = df.withColumn("contentHash", content_hash(F.to_json(F.struct(*df.columns))))
     hashed.write.mode("errorifexists").json(path)
     back = df.sparkSession.read.schema(hashed.schema).json(path)
-    return back.agg(F.count("*").alias("rows"), descriptor_hash(F.concat("contentHash", F.lit("\n"))).alias("root_hash"))
+    root = ordered_hash(back, [], ["contentHash"], F.concat("contentHash", F.lit("\n")).cast("binary"))
+    return back.agg(F.count("*").alias("rows")).join(F.broadcast(root.withColumnRenamed("hash", "root_hash")), how="left")  # one row each
 
 
 def lines(df: DataFrame, path: str) -> None:

@@ -1,8 +1,16 @@
+import hashlib
+import os
+import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from lattika.operators import hashing
 from lattika.sources import readers, writers
+from lattika.sources.manifests import Conflict, VersionedTable
 from lattika.streaming import sessions
 
 
@@ -87,13 +95,86 @@ def test_sessions_listed_and_written_in_turn(spark, tmp_path):
 
 def test_replace_reads_what_it_replaces(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    writers.replace(spark.range(3), path)
-    writers.replace(spark.read.parquet(path).where("id > 0"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
-    bad = spark.range(3).selectExpr("raise_error('no') AS x")
+    table = VersionedTable(spark, path)
+    assert table.current() == 0 and table.versions() == []
+    assert writers.replace(spark.range(3), path) == 1 and writers.replace(table.read().where("id > 0"), path) == 2
+    pinned = table.read()
+    assert sorted(r.id for r in pinned.collect()) == [1, 2] and table.read(1).count() == 3
     with pytest.raises(Exception):
-        writers.replace(bad, path)
-    assert spark.read.parquet(path).count() == 2
+        writers.replace(spark.range(3).selectExpr("raise_error('no') AS x"), path)
+    assert table.read().count() == 2
+    writers.replace(spark.range(0).selectExpr("id", "id AS more"), path)
+    assert pinned.count() == 2 and table.read().columns == ["id", "more"] and table.read().count() == 0
+    assert table.vacuum(keep=2) == [1] and table.versions() == [2, 3] and pinned.count() == 2 and len(os.listdir(tmp_path / "t/data")) == 2
+
+
+def test_one_of_two_writers_succeeds(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    table.write(spark.range(1))
+    mine, theirs = table.prepare(spark.range(2)), table.prepare(spark.range(3))
+    assert table.publish(theirs, expected=1) == 2
+    for late in (1, 0, 5):
+        with pytest.raises(Conflict):
+            table.publish(mine, expected=late)
+    with ThreadPoolExecutor(8) as pool:  # all start from version 2
+        won = [f for f in [pool.submit(table.publish, mine, 2) for _ in range(16)] if f.exception() is None]
+    assert len(won) == 1 and table.current() == 3 and table.read().count() == 2 and not [n for n in os.listdir(tmp_path / "t/_versions") if "draft" in n and not n.endswith(".crc")]
+
+
+@pytest.mark.parametrize("step", ["prepare", "publish", "_appears"])
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
+    path = f"file://{tmp_path}/t"
+    writers.replace(spark.range(3), path)
+
+    def dies(self, *args):
+        if step == "prepare":
+            spark.range(9).write.parquet(f"{self.path}/data/half")
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(VersionedTable, step, dies)
+        writers.replace(spark.range(7), path)
+    table = VersionedTable(spark, path)
+    assert table.versions() == [1] and table.read().count() == 3
+    assert writers.replace(spark.range(4), path) == 2 and table.read().count() == 4
+
+
+def test_readers_never_miss_a_version(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    table.write(spark.range(1))
+    seen, stop = [], threading.Event()
+
+    def reader():
+        own = VersionedTable(spark, table.path)
+        while not stop.is_set():
+            seen.append(own.read().selectExpr("max(id) - min(id) + 1 = count(*)").first()[0])
+
+    thread = threading.Thread(target=reader)
+    thread.start()
+    for n in range(2, 32):
+        table.write(spark.range(n, 2 * n))
+    stop.set()
+    thread.join()
+    assert table.current() == 31 and len(seen) > 5 and all(seen)
+
+
+def test_ordered_hashes(spark, monkeypatch, tmp_path):
+    """One state over sorted rows, whatever the partitions, pieces and batches; against hashlib."""
+    monkeypatch.setattr(hashing, "PIECE", 7)
+    rnd = random.Random(1)
+    rows = [(k, f"p{i:03d}", rnd.randbytes(rnd.choice([0, 1, 7, 8, 50]))) for k in ("a", "b", None) for i in range(40)] + [("a", "p000", None), ("c", "x", None), ("d", "same", b"0123456789" * 3), ("d", "same", b"0123456789" * 3)]
+    df = spark.createDataFrame(rows, "k string, path string, content binary").repartition(5)
+    want = {}
+    for k, p, c in sorted(rows, key=lambda r: (str(r[0]), r[1], hashlib.sha256(r[2] or b"").hexdigest())):
+        want.setdefault(k, hashlib.sha256()).update(c or b"")
+    assert {r.k: r.hash for r in hashing.ordered_hash(df, ["k"], ["path"], F.col("content")).collect()} == {k: h.hexdigest() for k, h in want.items()}
+    one = hashlib.sha256(b"".join(p.encode() + b"\0" + (c or b"") + b"\0" for k, p, c in sorted(rows[:40], key=lambda r: r[1]))).hexdigest()
+    assert hashing.files_hash(df.where("k = 'a' AND NOT (path = 'p000' AND content IS NULL)")).first()[0] == one
+    assert hashing.files_hash(df.limit(0)).count() == 0
+    monkeypatch.setattr(hashing, "PIECE", 4_096)
+    root = write(tmp_path, {f"f/{i:02d}.bin": "x" * (i * 100_000) for i in range(1, 12)})
+    found = hashing.files_hash(readers.files(spark, root, "*.bin").withColumn("path", F.substring_index("path", "/", -2)))
+    assert found.first()[0] == hashlib.sha256(b"".join(f"f/{i:02d}.bin".encode() + b"\0" + b"x" * (i * 100_000) + b"\0" for i in range(1, 12))).hexdigest()
 
 
 def test_streamed_sessions(spark, tmp_path):
