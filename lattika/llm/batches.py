@@ -60,7 +60,7 @@ def unpacked(batches: Iterable[pa.RecordBatch], place: int = 1, size: int = 4 *
     """The batches with the texts of a packed column in its place, in slices whose texts fit a worker's memory."""
     press = zstandard.ZstdDecompressor()
     for batch in batches:
-        texts, held, at = [], 0, 0
+        texts, held, at, place = [], 0, 0, place % batch.num_columns
 
         def ready(stop: int) -> pa.RecordBatch:
             part = batch.slice(at, stop - at)

@@ -84,16 +84,37 @@ def sketch_table(docs: DataFrame, shingle: int, sketch: Callable[[np.ndarray, np
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _with_sets(members: pd.DataFrame, shingle: int) -> pd.DataFrame:
-    """Rows with the sorted shingle hashes of their packed texts, in the place of these."""
-    texts = pa.record_batch({"packed": pa.array(members["packed"], pa.binary())})
-    sets = []
-    for batch in slices(unpacked([texts], place=0)):
-        flat, counts = shingle_sets(batch.column(0), shingle)
-        sets += np.split(flat, np.cumsum(counts)[:-1])
-    out = members.drop(columns="packed")
-    out["shingles"] = sets
-    return out
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], shingle: int) -> Iterator[pd.DataFrame]:
+    """The rows of each group of equal keys, which come one after the other, with the sorted shingle hashes of their packed texts (the last column) in the place of these."""
+    held: list[pd.DataFrame] = []
+    for batch in slices(unpacked(batches, place=-1)):
+        flat, counts = shingle_sets(batch.column(batch.num_columns - 1), shingle)
+        rows = batch.drop_columns(batch.schema.names[-1:]).to_pandas()
+        rows["shingles"] = np.split(flat, np.cumsum(counts)[:-1]) if len(rows) else []
+        if not len(rows):
+            continue
+        changes = (rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)
+        parts = np.split(np.arange(len(rows)), np.flatnonzero(changes) + 1)
+        for at in parts:
+            part = rows.iloc[at[0] : at[-1] + 1]
+            if held and tuple(held[-1][keys].iloc[-1]) != tuple(part[keys].iloc[0]):
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _compare_groups(rows: DataFrame, keys: list[str], order: list[str], shingle: int, compare: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Links (a, b) that `compare` finds among the rows of each group, which it gets sorted, with their sets. The last column of rows is the packed text; a group must fit a worker's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys, shingle):
+            found = compare(group)
+            if len(found):
+                yield pa.record_batch({c: pa.array(found[c].to_numpy(np.int64)) for c in "ab"})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, "a long, b long")
 
 
 def _blocks(n: str) -> Column:
@@ -108,20 +129,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """
     held = pairs.groupBy("a").agg(_blocks("n").alias("blocks"))
     text = lambda x: texts.select(F.col("doc_id").alias(x), "packed")
-    hubs = held.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(text("a"), "a")
-    rows = pairs.join(held, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")).join(text("b"), "b")
-    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of its own, as both sides come from one table
+    hubs = held.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(text("a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "packed")
+    rows = pairs.join(held, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")).join(text("b"), "b").select("a", "block", "b", "packed")
 
-    def compare(hub: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        own, members = _with_sets(hub, shingle), _with_sets(members, shingle)
-        for x in own["shingles"]:
-            flat, counts = np.concatenate(list(members["shingles"]) or [x[:0]]), np.array([len(s) for s in members["shingles"]], np.int64)
-            shared = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=np.isin(flat, x), minlength=len(counts))
-            found.append(members[100 * shared >= percent * (len(x) + counts - shared)][["a", "b"]])
-        return pd.concat(found or [members[["a", "b"]][:0]])
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        is_hub = group["b"].isna().to_numpy()
+        members = group[~is_hub]
+        flat, counts = np.concatenate(list(members["shingles"]) or [np.zeros(0, np.uint64)]), np.array([len(s) for s in members["shingles"]], np.int64)
+        owner, near = np.repeat(np.arange(len(counts)), counts), np.zeros(len(counts), bool)
+        for x in group["shingles"][is_hub]:
+            at = np.minimum(np.searchsorted(x, flat), max(len(x) - 1, 0))
+            shared = np.bincount(owner, weights=x[at] == flat, minlength=len(counts)) if len(x) else np.zeros(len(counts))
+            near |= 100 * shared >= percent * (len(x) + counts - shared)
+        return members[near]
 
-    return hubs.groupBy("a", "block").cogroup(rows.groupBy("a", "block")).applyInPandas(compare, "a long, b long").distinct()
+    return _compare_groups(hubs.unionByName(rows), ["a", "block"], ["b"], shingle, compare).distinct()
 
 
 def links_between(outliers: pd.DataFrame, members: pd.DataFrame, percent: int, alone: bool) -> pd.DataFrame:
@@ -178,18 +200,22 @@ def across(members: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     rows = members.join(largest, "hub").withColumn("out", F.col("component") != F.col("main"))
     blocks = rows.withColumn("far", F.when(F.col("out"), F.col("n"))).groupBy("hub").agg(_blocks("far").alias("outs"), _blocks("n").alias("alls"))
     rows = rows.join(blocks, "hub").join(texts.select(F.col("doc_id").alias("rep"), "packed"), "rep").select("hub", "rep", "component", "packed", "out", "outs", "alls")
+    small = rows.where("alls = 1").select("hub", "rep", "component", "out", "packed")
+    within = _compare_groups(small, ["hub"], ["rep"], shingle, lambda group: links_between(group[group["out"]], group, percent, True))
+
     count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    left = rows.where("out").withColumn("o", deal("outs")).withColumn("m", count("alls"))
-    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own, as both sides come from one table
-    right = rows.withColumn("m", deal("alls")).withColumn("o", count("outs"))
+    large = rows.where("alls > 1")
+    left = large.where("out").withColumn("o", deal("outs")).withColumn("m", count("alls")).withColumn("side", F.lit(0))
+    right = large.withColumn("m", deal("alls")).withColumn("o", count("outs")).withColumn("side", F.lit(1))
+    columns = ["hub", "o", "m", "rep", "component", "side", "packed"]
 
-    def compare(outliers: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        alone = len(group) > 0 and int(group["alls"].iloc[0]) == 1
-        return links_between(_with_sets(outliers, shingle), _with_sets(group, shingle), percent, alone)
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        side = group["side"].to_numpy()
+        return links_between(group[side == 0], group[side == 1], percent, False)
 
-    keys = ("hub", "o", "m")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+    between = _compare_groups(left.select(columns).unionByName(right.select(columns)), ["hub", "o", "m"], ["side", "rep"], shingle, compare)
+    return within.unionByName(between)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: Callable[[np.ndarray, np.ndarray], np.ndarray] = sketches) -> DataFrame:
