@@ -1,7 +1,7 @@
 """Token ids from a public tokenizer file, batch by batch.
 
 A byte-level BPE whose pre-tokenizer attaches one space to the word after it never merges across a
-space that stands between two characters that are not white space. Texts are cut there, and the
+space that stands between two characters that are not white space. Texts are cut there, and at single line feeds where these are pieces of their own, and the
 `tokenizers` library encodes each distinct piece once per worker, many pieces in one call: several times
 faster than running text, with the same ids (tests compare both). Texts are also cut around the strings of the vocabulary's added
 tokens, as the library does. Long texts are cut into segments, at the borders of the library's own pre-tokenizer where they hold no such space, so that
@@ -16,6 +16,8 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 #: Bytes of pieces and their ids that a worker remembers before it starts anew; bounds its memory, not its input. A longer piece (in characters) is encoded each time.
 CACHE_BYTES, REMEMBERED = 128 << 20, 64
@@ -24,6 +26,9 @@ ENTRY = 160
 #: Pieces joined into one call of the library; characters of a long text that are cut into pieces at a time.
 JOINED, SEGMENT = 2_000, 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than the space and the line feed; that of ASCII first.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_SPACE = sum(c.isascii() for c in OTHER_SPACE)
 _BY_PATH: dict[str, "PieceTokenizer"] = {}
 
 
@@ -51,6 +56,7 @@ class PieceTokenizer:
         vocabulary = self.library.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
         self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.lines_part = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str("a\nb")][1:] in (["Ċ", "b"], ["\n", "b"])  # a line feed between characters is a piece
         self._clear()
 
     def _clear(self) -> None:
@@ -59,15 +65,23 @@ class PieceTokenizer:
         self.ids: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
 
+    def _plain(self, text: str) -> bool:
+        """Every space and line feed stands alone between other characters, and there is no other white space."""
+        edges = text[0] + text[-1]
+        if " " in edges or "\n" in edges or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return False
+        return not any(c in text for c in (OTHER_SPACE[:ASCII_SPACE] if text.isascii() else OTHER_SPACE))
+
     def _learn(self, keys: list[str]) -> None:
-        """Encode new pieces. A key is a piece without its space; a text's first piece has a space before it instead."""
+        """Encode new pieces. A key is a piece without its space; one that no space precedes has a space or a carriage return before it instead, or is a line feed."""
         alone = [k for k in keys if " " in k or k.strip() != k or not k]
+        apart = [k if k == "\n" else k[1:] if k[:1] in (" ", "\r") else " " + k for k in alone]
         odd = set(alone)
         joined = [k for k in keys if k not in odd]
         calls = [" " + " ".join(joined[k : k + JOINED]) for k in range(0, len(joined), JOINED)]
         raw = np.frombuffer("".join(calls).encode(), np.uint8)
-        sizes = np.append(np.diff(np.flatnonzero(raw == 32), append=len(raw)), [len(k[1:].encode()) if k[:1] == " " else len(k.encode()) + 1 for k in alone]).astype(np.int64)
-        calls += [k[1:] if k[:1] == " " else " " + k for k in alone]
+        sizes = np.append(np.diff(np.flatnonzero(raw == 32), append=len(raw)), [len(t.encode()) for t in apart]).astype(np.int64)
+        calls += apart
         self.library.encode_special_tokens = True  # joined pieces of different texts make up no added token
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(calls, add_special_tokens=False)), np.uint32)
         cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(sizes), side="left") + 1  # no token spans two pieces
@@ -114,19 +128,24 @@ class PieceTokenizer:
         """Flat ids and ids per segment."""
         if self.held > CACHE_BYTES:
             self._clear()
-        words: list[str | int] = []
-        counts = np.zeros(len(segments), np.int64)
+        counts, starts = np.zeros((2, len(segments)), np.int64)
+        joined, rows, others = [], [], []  # segments that are split together, their places, and the pieces of all other segments
         for i, (text, first) in enumerate(segments):
-            if isinstance(text, int):
-                words.append(text)
-                counts[i] = 1
+            if not isinstance(text, int) and self.lines_part and self._plain(text):
+                joined.append(("\r" * first + text).replace("\n", " \n \r"))
+                rows.append(i)
                 continue
-            plain = len(text.split()) == text.count(" ") + text.count("\n") + 1  # white space stands alone everywhere
-            parts = text.split(" ") if plain else _CUT.split(text)
-            if first:
+            parts = [text] if isinstance(text, int) else _CUT.split(text)
+            if first and not isinstance(text, int):
                 parts[0] = " " + parts[0]
-            words += parts
-            counts[i] = len(parts)
+            starts[i], counts[i] = len(others), len(parts)
+            others += parts
+        split = pa.compute.split_pattern(pa.array(joined, pa.large_string()), " ")
+        pieces = split.flatten().dictionary_encode()  # distinct pieces are looked up once
+        counts[rows] = split.value_lengths().to_numpy()
+        starts[rows] = len(others) + np.cumsum(counts[rows]) - counts[rows]
+        words = others + pieces.dictionary.to_pylist()
+        place = np.concatenate([np.arange(len(others)), len(others) + pieces.indices.to_numpy()])
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(at < 0)
         missed = [words[i] for i in unknown.tolist()]
@@ -151,9 +170,10 @@ class PieceTokenizer:
         lengths = np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.int64)
         pool = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
         self.lengths, self.ids = [lengths], [pool]
-        starts = np.cumsum(lengths) - lengths
+        at = ragged(at[place], starts, counts)  # every piece, segment after segment
+        begin = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(segments)), counts)
-        out = ragged(pool, starts[at], lengths[at]), np.bincount(owner, weights=lengths[at], minlength=len(segments)).astype(np.int64)
+        out = ragged(pool, begin[at], lengths[at]), np.bincount(owner, weights=lengths[at], minlength=len(segments)).astype(np.int64)
         if long:
             self._forget(long, *kept)
         return out
