@@ -28,15 +28,15 @@ def satisfies(json_text: Column, conditions: list[tuple[str, str, str]]) -> Colu
     return F.coalesce(out, F.lit(False))
 
 
-def _walk(v, path: str = "$") -> Iterator[tuple[str, str, str]]:
+def _walk(v, path: str = "$", parent: str | None = None) -> Iterator[tuple[str, str, str, str | None]]:
     kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(v), "number")
-    yield path, kind, v if isinstance(v, str) else "" if isinstance(v, (dict, list)) else json.dumps(v)
+    yield path, kind, v if isinstance(v, str) else "" if isinstance(v, (dict, list)) else json.dumps(v), parent
     for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
-        yield from _walk(x, f"{path}.{k}" if isinstance(v, dict) else f"{path}[{k}]")
+        yield from _walk(x, f"{path}.{k}" if isinstance(v, dict) else f"{path}[{k}]", path)
 
 
 def walk(df: DataFrame, key: str, column: str) -> DataFrame:
-    """A row (key, path, kind, value) for every value inside the JSON texts of a column; a text that is no JSON gives kind `invalid`."""
+    """A row (key, path, kind, value, parent: the path of what holds it) for every value inside the JSON texts of a column; a text that is no JSON gives kind `invalid`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -44,11 +44,11 @@ def walk(df: DataFrame, key: str, column: str) -> DataFrame:
             for k, text in zip(batch[key], batch[column]):
                 try:
                     rows += [(k, *found) for found in _walk(json.loads(text))] if text is not None else []
-                except ValueError:
-                    rows.append((k, "$", "invalid", text))
-            yield pd.DataFrame(rows, columns=[key, "path", "kind", "value"])
+                except (ValueError, RecursionError):
+                    rows.append((k, "$", "invalid", text, None))
+            yield pd.DataFrame(rows, columns=[key, "path", "kind", "value", "parent"])
 
-    texts = [StructField(n, StringType()) for n in ("path", "kind", "value")]
+    texts = [StructField(n, StringType()) for n in ("path", "kind", "value", "parent")]
     return df.select(key, column).mapInPandas(run, StructType([df.schema[key], *texts]))
 
 

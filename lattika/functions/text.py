@@ -64,9 +64,32 @@ def capabilities(values: Column, known: list[str]) -> Column:
     return F.when(F.size(acting) > 0, acting).otherwise(F.array(F.lit(NO_ACTION)))
 
 
-def action_effects(caps: Column, existing: Column, label: Column) -> Column:
-    """An effect text per capability: the existing one of that capability, or a template."""
-    return F.transform(caps, lambda c: F.struct(c.alias("capability"), F.coalesce(F.nullif(F.trim(existing[c]), F.lit("")), F.concat_ws(" ", c, label)).alias("effect")))
+# What an action on an element does where nothing else is known; every other action is a tap.
+EFFECTS = {
+    "none": "{} 仅展示或承载内容，不触发交互",
+    "input": "向 {} 输入文本或数值",
+    "scroll_vertical": "纵向滚动 {} 中的内容",
+    "scroll_horizontal": "横向滚动 {} 中的内容",
+    "swipe": "滑动 {} 以切换内容或状态",
+    "drag": "拖拽 {} 或其中的目标对象",
+    "zoom": "缩放 {} 中的内容",
+    "multi_touch": "在 {} 上执行多点触控",
+    "double_tap": "双击 {} 触发对应交互",
+    "long_press": "长按 {} 打开扩展操作或状态",
+}
+OTHER_EFFECT = "点击 {} 触发对应操作"
+
+
+def action_effects(caps: Column, existing: Column, element_type: Column) -> Column:
+    """action and effect for each capability, in their order: the first effect of that action in `existing` (action, effect) if it is not empty, else what its kind does to the element type."""
+    templates = F.create_map(*[F.lit(x) for kv in EFFECTS.items() for x in kv])
+
+    def one(action: Column) -> Column:
+        told = F.get(F.filter(existing, lambda e: (e["action"] == action) & e["effect"].isNotNull()), F.lit(0))["effect"]
+        usual = F.replace(F.coalesce(F.try_element_at(templates, action), F.lit(OTHER_EFFECT)), F.lit("{}"), F.coalesce(element_type, F.lit("")))
+        return F.struct(action.alias("action"), F.coalesce(F.nullif(told, F.lit("")), usual).alias("effect"))
+
+    return F.transform(caps, one)
 
 
 def distinct_present(values: Column) -> Column:
@@ -141,6 +164,11 @@ def utc_time(value: Column) -> Column:
     return F.when(value.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"), F.try_to_timestamp(value))
 
 
-def stable_differs(a: Column, b: Column) -> Column:
-    """Texts differ, null and empty being one."""
-    return F.coalesce(a.cast("string"), F.lit("")) != F.coalesce(b.cast("string"), F.lit(""))
+def stable_differs(a: Column, b: Column, as_sets: bool = False) -> Column:
+    """Values differ, null and empty texts being one; lists and objects by their JSON text, lists as sets where `as_sets`."""
+
+    def plain(c: Column) -> Column:
+        c = F.array_sort(F.array_distinct(c)) if as_sets else c
+        return F.when(c.isNull(), "").otherwise(F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{("v":"?)?|"?\}$', ""))
+
+    return plain(a) != plain(b)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattika.functions.identity import short_id
+
 
 def row_changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, changes: `added`, `removed`, or the names of fields that differ; equal rows are left out."""
@@ -80,22 +82,39 @@ def resolve_either(refs: DataFrame, ref: str, known: DataFrame) -> DataFrame:
     return refs.join(ids, ref, "left").join(keys, ref, "left").withColumn("id", F.coalesce("__id", "__key")).drop("__id", "__key")
 
 
-def merge_candidates(existing: DataFrame, proposed: DataFrame, key: str, fields: list[str], scope: Column) -> DataFrame:
-    """A draft after a new proposal: key, fields, source, proposal.
+def merge_candidates(existing: DataFrame, proposed: DataFrame, fields: list[str], page: str, new_page: str | None = None) -> DataFrame:
+    """A draft after a new answer about its current page: id, key, fields, source, review, owner_kind, page, available, proposal.
 
-    existing: key, fields, source, protected, shared. A proposed key that is new is inserted (source `ai`); a shared row takes nothing but the
-    proposal; an unprotected one takes the proposed fields; a row protected by a person keeps its fields and records the proposal. Existing
-    rows without a proposal stay where they are protected or outside `scope`, and go otherwise.
+    existing: id, key, pos, fields, source, review, owner_kind, page, available (array), edited; proposed: key, fields. `new_page`: the answer is about a page of its own.
+    An answer's row meets the row of its key on the current page, or a shared one (owned by the application or a shared component); of several the last by pos. A shared row stays as it
+    is, and one of the application is available on the page from now on; a row that a person protects (accepted, edited, or made by one) stays as it is; any other takes the
+    answer's fields and keeps its id and review. Protected rows record the answer as a proposal; a shared row without protection records none. Of the other rows shared ones stay, those of other pages, and
+    where the page is new all; rows of the current page without an answer go, protected or not. Unmatched rows of the answer are new.
     """
-    new = proposed.select(key, F.struct(*fields).alias("__new"))
-    old = existing.select(key, *fields, "source", "protected", "shared", F.lit(True).alias("__had"), scope.alias("__scope"))
-    joined = old.join(new, key, "full_outer")
-    guarded = F.col("protected") | F.col("shared")
-    take = F.col("__had").isNull() | (F.col("__new").isNotNull() & ~guarded)
-    stays = F.col("__new").isNotNull() | F.col("protected") | ~F.col("__scope")
-    columns = [F.when(take, F.col(f"__new.{f}")).otherwise(F.col(f)).alias(f) for f in fields]
-    proposal = F.when(F.col("__had") & guarded, F.col("__new"))
-    return joined.where(stays).select(key, *columns, F.when(take, "ai").otherwise(F.col("source")).alias("source"), proposal.alias("proposal"))
+    at = F.lit(new_page or page)
+    shared = F.coalesce(F.col("owner_kind").isin("application", "shared_component"), F.lit(False))
+    held = existing.withColumn("__shared", shared).withColumn("__protected", F.coalesce((F.col("review") == "accepted") | F.col("edited") | (F.col("source") == "human"), F.lit(False)))
+    here = F.col("__shared") | F.coalesce(F.col("page") == page, F.lit(False))
+    place = F.row_number().over(Window.partitionBy("key", here).orderBy(F.desc("pos"), F.desc("id")))
+    held = held.withColumn("__meets", here & (place == 1))
+    new = proposed.select(F.col("key").alias("__key"), F.struct(*fields).alias("__new"))
+    joined = held.join(new, F.col("__meets") & (F.col("key") == F.col("__key")), "full_outer")
+    fresh, met = F.col("id").isNull(), F.col("id").isNotNull() & F.col("__new").isNotNull()
+    stays = F.col("__new").isNotNull() | F.col("__shared") | F.lit(new_page is not None) | ~F.coalesce(F.col("page") == page, F.lit(False))
+    take = fresh | (met & ~F.col("__shared") & ~F.col("__protected"))
+    none = F.array().cast(existing.schema["available"].dataType)
+    listed = F.coalesce("available", none)
+    return joined.where(stays).select(
+        F.coalesce("id", short_id(F.concat_ws("\n", at, F.col("__key")))).alias("id"),
+        F.coalesce("key", "__key").alias("key"),
+        *[F.when(take, F.col(f"__new.{f}")).otherwise(F.col(f)).alias(f) for f in fields],
+        F.when(take, "ai").otherwise(F.col("source")).alias("source"),
+        F.when(fresh, "pending").otherwise(F.col("review")).alias("review"),
+        F.when(fresh, "page").otherwise(F.col("owner_kind")).alias("owner_kind"),
+        F.when(take, at).otherwise(F.col("page")).alias("page"),
+        F.when(met & (F.col("owner_kind") == "application"), F.array_distinct(F.concat(listed, F.array(at)))).otherwise(listed).alias("available"),
+        F.when(met & F.col("__protected"), F.col("__new")).alias("proposal"),
+    )
 
 
 def merge_fields(choices: DataFrame, a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:

@@ -1,17 +1,11 @@
 """Rules of a graph of pages, elements, transitions and contracts, as rows for the rule compiler.
 
-Tables (a column that a graph lacks may be null):
-  applications: id, key. manifest (one row): entityIds, graphRevision.
-  pages: id, key, label, featurePath, elementRefs, inboundTransitionRefs, outboundTransitionRefs, inboundContractRefs, outboundContractRefs, frames, states (key, frameRefs).
-  elements: id, key, label, status, role, elementType, featurePath, owner (kind, ref), parentElementRef, childElementRefs, relationshipRefs, availableOnPageRefs, capabilities,
-    actionable, sourceType, observations (frameRef, rect, failed, redboxRef), composition (profile, roles).
-  transitions: id, key, sourceRef, targetRef, triggerElementRef, capability, evidence (postcondition, actionTraceRef).
-  contracts: id, key, edgeKind, sourceSelector (kind, ref), expectedTarget (kind, ref), triggerElementRef, capability, sourceType, authorityStatus, runtimeEvidenceStatus, verifiedTransitionRef, defectRef.
+`TABLES` names the columns of the tables; the manifest is one row. `completed` adds what a graph lacks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattika.operators.graph import Keep, availability, terminal_owner
@@ -27,6 +21,16 @@ PROFILES = [
 # States of runtime evidence, element types of setting rows, the source of materialised elements.
 EVIDENCE_STATES, ROW_TYPES, MATERIALISED = ("pending", "verified", "contradicted"), ("list_entry", "toggle"), "verified_legacy_midscene_evidence"
 
+#: The columns of each table.
+TABLES = {
+    "applications": "id string, key string",
+    "manifest": "entityIds array<string>, graphRevision string",
+    "pages": "id string, key string, label string, featurePath array<string>, elementRefs array<string>, inboundTransitionRefs array<string>, outboundTransitionRefs array<string>, inboundContractRefs array<string>, outboundContractRefs array<string>, frames array<string>, states array<struct<key:string,frameRefs:array<string>>>",
+    "elements": "id string, key string, label string, status string, role string, elementType string, featurePath array<string>, owner struct<kind:string,ref:string>, parentElementRef string, childElementRefs array<string>, relationshipRefs array<string>, availableOnPageRefs array<string>, capabilities array<string>, actionable boolean, sourceType string, observations array<struct<frameRef:string,rect:string,failed:boolean,redboxRef:string>>, composition struct<profile:string,roles:map<string,string>>",
+    "transitions": "id string, key string, sourceRef string, targetRef string, triggerElementRef string, capability string, evidence struct<postcondition:string,actionTraceRef:string>",
+    "contracts": "id string, key string, edgeKind string, sourceSelector struct<kind:string,ref:string>, expectedTarget struct<kind:string,ref:string>, triggerElementRef string, capability string, sourceType string, authorityStatus string, runtimeEvidenceStatus string, verifiedTransitionRef string, defectRef string",
+}
+
 _PARTS = "owner.kind IN ('component', 'shared_component')"
 _REFS = "coalesce(map_values(roles), array())"
 _ROLE = "coalesce(map_entries(roles), array())"
@@ -202,6 +206,17 @@ CARRIES = {
 }
 
 
+def completed(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables with all columns: absent tables are empty, absent columns null."""
+
+    def whole(name: str, shape: str) -> DataFrame:
+        empty = spark.createDataFrame([], shape)
+        given = tables.get(name, empty)
+        return given.select(*[(F.col(c.name) if c.name in given.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in empty.schema])
+
+    return {name: whole(name, shape) for name, shape in TABLES.items()}
+
+
 def with_ends(elements: DataFrame, keep: Keep) -> DataFrame:
     """elements with what the rules need besides: where the chain of owners ends, whether the relations say owner and parent, the roles and the rules of the profile `p`."""
     spark, part = elements.sparkSession, F.col("owner.kind").isin("component", "shared_component")

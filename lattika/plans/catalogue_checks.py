@@ -10,7 +10,8 @@ from lattika.functions import text as T
 from lattika.functions.identity import id_time, record_hash, time_id
 from lattika.operators import constraints as K
 from lattika.operators import evidence, graph, merging, selection
-from lattika.plans import drafts, route, versions, views
+from lattika.operators.rounds import keep
+from lattika.plans import canonical_graph, drafts, route, versions, views
 from lattika.plans.catalogue import query, read
 from lattika.sources import readers
 from lattika.streaming import sessions
@@ -164,22 +165,33 @@ def q_merge_stages(spark, d):
 
 
 @query("""
-WITH e AS (SELECT p_partkey AS k, p_size FROM part)
-SELECT 'profile_unknown' AS rule, 'c' || k AS subject, 'odd' AS detail FROM e WHERE p_size % 10 = 9
-UNION ALL SELECT 'role_missing', 'c' || k, 'label' FROM e WHERE p_size % 10 = 1 UNION ALL SELECT 'role_unexpected', 'c' || k, 'extra' FROM e WHERE p_size % 10 = 2
-UNION ALL SELECT 'part_missing', 'c' || k, 'gone' FROM e WHERE p_size % 10 = 3 UNION ALL SELECT 'part_elsewhere', 'c' || k, 'b' || k FROM e WHERE p_size % 10 = 4 UNION ALL SELECT 'part_actionability', 'c' || k, 'trigger' FROM e WHERE p_size % 10 = 5
-UNION ALL SELECT 'part_reused', 'c' || k, 'label,trigger' FROM e WHERE p_size % 10 = 6 UNION ALL SELECT 'part_actionability', 'c' || k, 'label' FROM e WHERE p_size % 10 = 6""")
+WITH e AS (SELECT p_partkey AS k, 'c' || p_partkey AS c, p_size % 13 AS f FROM part)
+SELECT 'role_missing' AS rule, c AS subject, 'currentValue' AS detail FROM e WHERE f = 1 UNION ALL SELECT 'children_without_role', c, 'v' || k FROM e WHERE f IN (1, 12) UNION ALL SELECT 'role_unexpected', c, 'extra' FROM e WHERE f = 2
+UNION ALL SELECT 'role_outside', c, 'gone' FROM e WHERE f = 3 UNION ALL SELECT 'children_without_role', c, 'l' || k FROM e WHERE f IN (3, 6, 12) UNION ALL SELECT 'passive_role_capable', c, 'label' FROM e WHERE f IN (4, 6)
+UNION ALL SELECT 'passive_role_actionable', c, 'label' FROM e WHERE f IN (4, 6) UNION ALL SELECT 'acting_role_incapable', c, 'settingTrigger' FROM e WHERE f = 5 UNION ALL SELECT 'acting_role_not_actionable', c, 'settingTrigger' FROM e WHERE f = 5
+UNION ALL SELECT 'roles_incompatible', c, 'label,settingTrigger' FROM e WHERE f = 6 UNION ALL SELECT 'lone_role_capable', c, 'affordance' FROM e WHERE f = 9 UNION ALL SELECT 'lone_role_actionable', c, 'affordance' FROM e WHERE f = 9
+UNION ALL SELECT 'profile_unknown', c, 'odd' FROM e WHERE f = 10 UNION ALL SELECT 'container_capable', c, '' FROM e WHERE f = 11 UNION ALL SELECT 'container_actionable', c, '' FROM e WHERE f = 11
+UNION ALL SELECT 'children_without_role', c, 'b' || k FROM e WHERE f = 12 UNION ALL SELECT 'role_shared', c, '' FROM e WHERE f = 12""")
 def q_composition_errors(spark, d):
-    """Parts as composed elements, each with the fault of its size's last digit."""
-    p, k, fault = read(spark, d, "part", "p_partkey", "p_size"), F.col("p_partkey"), F.col("p_size") % 10
-    none, kids = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
-    label = F.when(fault == 3, "gone").when(fault == 6, _name("b", k)).otherwise(_name("l", k))
-    roles = F.when(fault == 1, F.create_map(F.lit("trigger"), _name("b", k))).when(fault == 2, F.create_map(F.lit("label"), label, F.lit("trigger"), _name("b", k), F.lit("extra"), _name("x", k))).otherwise(F.create_map(F.lit("label"), label, F.lit("trigger"), _name("b", k)))
-    rows = p.select(_name("c", k).alias("id"), none.alias("parent"), F.lit(False).alias("actionable"), F.when(fault == 9, "odd").otherwise("row").alias("profile"), F.when(fault != 9, roles).alias("roles"))
-    for prefix, acting in (("l", F.lit(False)), ("b", fault != 5), ("x", F.lit(False))):
-        rows = rows.union(p.select(_name(prefix, k), F.when(F.lit(prefix == "b") & (fault == 4), "elsewhere").otherwise(_name("c", k)), acting, none, kids))
-    profiles = spark.createDataFrame([("row", ["label", "trigger"], [], ["trigger"])], "profile string, required array<string>, optional array<string>, actionable_roles array<string>")
-    return views.composition_errors(rows, profiles)
+    """Parts as setting rows, each with the fault of its size; that a row is its own trigger (7), and that an affordance is the trigger (8), are none."""
+    p = read(spark, d, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 13).alias("f"))
+    f, named = F.col("f"), lambda prefix: _name(prefix, F.col("k"))
+    pair = lambda role, ref: F.struct(F.lit(role).alias("key"), ref.alias("value"))
+    label = F.when(f == 3, F.lit("gone")).when(f == 6, named("b")).otherwise(named("l"))
+    roles = F.when(f == 12, F.array(pair("x", named("x")), pair("y", named("x")))).otherwise(F.array_compact(F.array(
+        pair("label", label), F.when(f != 1, pair("currentValue", named("v"))), pair("settingTrigger", F.when(f == 7, named("c")).otherwise(named("b"))),
+        F.when(f == 2, pair("extra", named("x"))), F.when(f == 8, pair("affordance", named("b"))), F.when(f == 9, pair("affordance", named("x"))),
+    )))
+    kids = F.array_compact(F.array(named("l"), named("v"), F.when(f != 7, named("b")), F.when(f.isin(2, 9, 12), named("x"))))
+    profile = F.when(f == 10, "odd").when(f != 12, "selector_row")
+    none = F.lit(None).cast("string")
+    acting = lambda yes: (F.when(yes, F.array(F.lit("tap"))).otherwise(F.array().cast("array<string>")).alias("capabilities"), yes.alias("actionable"))
+    rows = p.select(named("c").alias("id"), none.alias("owner"), kids.alias("childElementRefs"), *acting(f.isin(7, 11)), F.struct(profile.alias("profile"), F.map_from_entries(roles).alias("roles")).alias("composition"))
+    for prefix, yes in (("l", f == 4), ("v", f < 0), ("b", f != 5), ("x", f == 9)):
+        empty = F.lit(None).cast(rows.schema["composition"].dataType)
+        rows = rows.union(p.select(named(prefix), named("c"), F.array().cast("array<string>"), *acting(yes), empty))
+    rows = rows.withColumn("owner", F.struct(F.when(F.col("owner").isNull(), "page").otherwise("component").alias("kind"), F.coalesce("owner", F.lit("p")).alias("ref")))
+    return canonical_graph.graph_errors(canonical_graph.completed(spark, {"elements": rows.withColumn("key", F.col("id"))}), keep, canonical_graph.COMPOSITIONS)
 
 
 @query("""

@@ -53,15 +53,23 @@ def q_replace_partition(spark, d):
 
 @query("""
 WITH p AS (SELECT l_partkey AS key, 's' || min(l_suppkey) AS label FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-o AS (SELECT p_partkey AS key, p_name AS label, 'person' AS source, p_size % 5 = 0 AS protected, p_size % 7 = 0 AS shared, p_size < 40 AS scope FROM part)
-SELECT coalesce(o.key, p.key) AS key, CASE WHEN o.key IS NULL OR (p.key IS NOT NULL AND NOT (protected OR shared)) THEN p.label ELSE o.label END AS label,
-  CASE WHEN o.key IS NULL OR (p.key IS NOT NULL AND NOT (protected OR shared)) THEN 'ai' ELSE source END AS source, CASE WHEN protected OR shared THEN p.label END AS proposal
-FROM o FULL JOIN p ON o.key = p.key WHERE p.key IS NOT NULL OR protected OR NOT scope""")
+o AS (SELECT p_partkey AS key, p_name AS label, CASE WHEN p_size % 5 = 0 THEN 'human' ELSE 'ai' END AS source, CASE WHEN p_size % 4 = 0 THEN 'accepted' ELSE 'edited' END AS review, CASE p_size % 7 WHEN 0 THEN 'application' WHEN 1 THEN 'shared_component' ELSE 'page' END AS kind,
+  CASE WHEN p_size < 40 THEN 'p1' ELSE 'p2' END AS page, p_size % 6 = 0 AS edited FROM part),
+j AS (SELECT *, kind <> 'page' AS shared, source = 'human' OR review = 'accepted' OR edited AS protected, kind <> 'page' OR page = 'p1' AS meets FROM o),
+m AS (SELECT j.*, p.label AS new FROM j LEFT JOIN p ON j.key = p.key AND j.meets)
+SELECT key, CASE WHEN new IS NOT NULL AND NOT shared AND NOT protected THEN new ELSE label END AS label, CASE WHEN new IS NOT NULL AND NOT shared AND NOT protected THEN 'ai' ELSE source END AS source, review, kind AS owner_kind, page,
+  CASE WHEN new IS NOT NULL AND kind = 'application' THEN 'p3,p1' ELSE 'p3' END AS available, CASE WHEN protected THEN new END AS proposal FROM m WHERE new IS NOT NULL OR shared OR page <> 'p1'
+UNION ALL SELECT p.key, p.label, 'ai', 'pending', 'page', 'p1', '', NULL FROM p WHERE p.key NOT IN (SELECT key FROM j WHERE meets)""")
 def q_merge_candidates(spark, d):
-    """Parts after proposals from returned line items: protected and shared parts keep their fields and record the proposal."""
-    old = read(spark, d, "part", "p_partkey", "p_name", "p_size").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label"), F.lit("person").alias("source"), (F.col("p_size") % 5 == 0).alias("protected"), (F.col("p_size") % 7 == 0).alias("shared"), "p_size")
+    """Parts as elements of two pages and of an application, after an answer about one page made from returned line items."""
+    size = F.col("p_size")
+    old = read(spark, d, "part", "p_partkey", "p_name", "p_size").select(
+        _name("i", "p_partkey").alias("id"), F.col("p_partkey").alias("key"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("label"), F.when(size % 5 == 0, "human").otherwise("ai").alias("source"), F.when(size % 4 == 0, "accepted").otherwise("edited").alias("review"),
+        F.when(size % 7 == 0, "application").when(size % 7 == 1, "shared_component").otherwise("page").alias("owner_kind"), F.when(size < 40, "p1").otherwise("p2").alias("page"), F.array(F.lit("p3")).alias("available"), (size % 6 == 0).alias("edited"),
+    )
     new = read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_returnflag").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("key")).agg(F.concat(F.lit("s"), F.min("l_suppkey").cast("string")).alias("label"))
-    return merging.merge_candidates(old, new, "key", ["label"], F.col("p_size") < 40).withColumn("proposal", F.col("proposal.label"))
+    found = merging.merge_candidates(old, new, ["label"], "p1")
+    return found.drop("id").withColumns({"proposal": F.col("proposal.label"), "available": F.array_join("available", ",")})
 
 
 @query("""
@@ -193,26 +201,53 @@ def q_live_bindings(spark, d):
 
 
 @query("""
-WITH e AS (SELECT c_nationkey AS source, c_custkey % 30 AS target, c_acctbal < 0 AS shared FROM customer)
-SELECT n_nationkey AS page, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS owned, (SELECT count(*) FROM e WHERE target = n_nationkey) AS inbound,
+WITH e AS (SELECT c_nationkey AS source, c_custkey % 30 AS target, c_acctbal < 0 AS shared FROM customer), o AS (SELECT s_nationkey AS page FROM supplier UNION ALL SELECT s_nationkey FROM customer JOIN supplier ON s_suppkey = c_custkey % 150)
+SELECT n_nationkey AS page, (SELECT count(*) FROM o WHERE page = n_nationkey) AS owned, (SELECT count(*) FROM e WHERE target = n_nationkey) AS inbound,
   (SELECT count(*) FROM e WHERE source = n_nationkey) AS outbound, (SELECT count(*) FILTER (WHERE shared) FROM e WHERE source = n_nationkey) AS shared FROM nation""")
 def q_page_statistics(spark, d):
-    """Suppliers of each nation, and links of customers from and to it."""
+    """Suppliers of each nation and the customers that lie in them, and links of customers from and to it."""
     pages = read(spark, d, "nation", "n_nationkey").toDF("page")
     edges = read(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal").select(F.col("c_nationkey").alias("source"), (F.col("c_custkey") % 30).cast("int").alias("target"), (F.col("c_acctbal") < 0).alias("shared"))
-    return views.page_statistics(pages, read(spark, d, "supplier", "s_nationkey").toDF("page"), edges)
+    none = F.lit(None)
+    elements = read(spark, d, "supplier", "s_suppkey", "s_nationkey").select(_name("s", "s_suppkey").alias("element"), none.cast("string").alias("parent"), F.col("s_nationkey").alias("page"))
+    inside = read(spark, d, "customer", "c_custkey").select(_name("c", "c_custkey").alias("element"), _name("s", F.col("c_custkey") % 150).alias("parent"), none.cast("int").alias("page"))
+    return views.page_statistics(pages, elements.unionByName(inside), edges, keep)
 
 
 @query("""
-WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS page, p_brand AS domain, p_type AS feature, p_partkey AS pos, len(string_split(replace(p_name, ' ', '.'), '.')) AS depth FROM part)
-SELECT DISTINCT 'domain' AS layer, domain AS node, NULL AS default_page FROM p UNION ALL SELECT 'page', page, NULL FROM p
-UNION ALL SELECT 'feature', domain || '/' || feature, arg_min(page, depth * 1000000000 + pos) FROM p GROUP BY 1, 2""")
+WITH p AS (SELECT 'p' || p_partkey AS page, 'k' || p_partkey || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '.x' WHEN 2 THEN '.a.people' ELSE '.settings' END AS key, 'A-' || p_name AS label, CASE WHEN p_size % 10 = 0 THEN 'common' ELSE p_brand END AS domain, CASE WHEN p_size % 9 = 0 THEN '' ELSE p_type END AS feature,
+  p_partkey AS pos, 1 + p_size % 4 % 3 + (p_size % 4 = 3)::INT AS depth FROM part),
+v AS (SELECT p_brand AS domain, 'k' || min(p_partkey) FILTER (p_size % 4 = 0) AS page_key FROM part GROUP BY 1),
+n AS (SELECT 'nav.' || v.domain AS node, v.domain, page AS nav_page FROM v LEFT JOIN p ON key = page_key),
+e AS (SELECT o_orderkey AS edge, 'p' || o_custkey % (SELECT count(*) FROM part) AS source, 'p' || o_orderkey % (SELECT count(*) FROM part) AS target, o_orderstatus <> 'P' AS moves, o_orderpriority LIKE '1%' AS opens, o_orderkey % 3 > 0 AS preview FROM orders),
+i AS (SELECT * FROM p WHERE domain <> 'common' AND feature <> ''),
+f AS (SELECT domain, feature, arg_min(page, depth * 1000000000 + pos) AS default_page FROM i GROUP BY ALL),
+fe AS (SELECT f.domain, f.feature, default_page, nav_page, n.node AS nav_node, arg_min(edge, CASE WHEN opens THEN 0 ELSE 1000000000 END + edge) AS entry FROM f LEFT JOIN n ON f.domain = n.domain LEFT JOIN e ON moves AND source = nav_page AND target = default_page GROUP BY ALL),
+ar AS (SELECT target AS page, arg_min(edge, CASE WHEN opens THEN 0 ELSE 1000000000 END + edge) AS arrival FROM e WHERE moves AND preview AND source <> target GROUP BY 1),
+nodes AS (SELECT node, 'nav' AS kind, domain AS label, nav_page AS page, NULL AS edge FROM n UNION ALL SELECT 'feature.' || domain || '.' || feature, 'feature', feature, default_page, entry FROM fe
+  UNION ALL SELECT 'page.' || key, 'page', CASE WHEN depth = 2 THEN i.feature || '首页' WHEN key LIKE '%.people' THEN '全部成员' ELSE substr(label, 3) END, i.page, CASE WHEN i.page = default_page THEN entry ELSE arrival END FROM i JOIN fe USING (domain, feature) LEFT JOIN ar ON ar.page = i.page
+  UNION ALL SELECT 'shared.' || key, 'shared', label, p.page, arrival FROM p LEFT JOIN ar ON ar.page = p.page WHERE domain = 'common'),
+at_ AS (SELECT page, max(node) FILTER (kind <> 'nav') AS node, max(node) AS any_ FROM nodes WHERE page IS NOT NULL AND kind <> 'feature' GROUP BY page),
+rel AS (SELECT a.node AS source, b.node AS target, min(edge) AS edge FROM e JOIN at_ a ON e.source = a.page JOIN at_ b ON e.target = b.page WHERE moves AND opens AND e.source <> e.target AND a.node IS NOT NULL AND b.node IS NOT NULL GROUP BY 1, 2)
+SELECT kind AS what, node AS a, label AS b, page AS c, CAST(edge AS VARCHAR) AS d FROM nodes
+UNION ALL SELECT 'view.entry.feature.' || domain || '.' || feature, nav_node, 'feature.' || domain || '.' || feature, 'navigation', CAST(entry AS VARCHAR) FROM fe WHERE nav_node IS NOT NULL
+UNION ALL SELECT 'view.default.feature.' || domain || '.' || feature, 'feature.' || domain || '.' || feature, coalesce(at_.node, any_), 'relationship', CAST(entry AS VARCHAR) FROM fe JOIN at_ ON default_page = at_.page
+UNION ALL SELECT 'view.relation.' || edge, source, target, 'relationship', CAST(edge AS VARCHAR) FROM rel""")
 def q_layered_view(spark, d):
-    """Brands, types and parts as layers; a type's default part has the shortest name."""
-    p = read(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_name")
-    pages = p.select(F.col("p_partkey").cast("string").alias("page"), F.col("p_brand").alias("domain"), F.col("p_type").alias("feature"), F.replace("p_name", F.lit(" "), F.lit(".")).alias("key"), F.col("p_partkey").alias("pos"))
-    none = pages.where("false").select(F.col("page").alias("key"), F.col("page").alias("source"), F.col("page").alias("target"), F.col("page").alias("kind"))
-    return views.layered_view(pages, none)[0].select("layer", "node", "default_page")
+    """Parts as pages of makers and containers, orders as moves between them: nodes of four kinds and the links of three that are drawn."""
+    p, k, size = read(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_name", "p_size"), F.col("p_partkey"), F.col("p_size")
+    n = p.count()
+    end = F.when(size % 4 == 0, "").when(size % 4 == 1, ".x").when(size % 4 == 2, ".a.people").otherwise(".settings")
+    pages = p.select(_name("p", k).alias("page"), F.concat(_name("k", k), end).alias("key"), F.concat(F.lit("A-"), "p_name").alias("label"), F.array(F.when(size % 10 == 0, "common").otherwise(F.col("p_brand")), F.when(size % 9 == 0, "").otherwise(F.col("p_type"))).alias("path"), k.alias("pos"))
+    bars = p.groupBy(F.col("p_brand").alias("label")).agg(F.min(F.when(size % 4 == 0, k)).alias("first"))
+    bars = bars.select(F.concat(F.lit("nav."), "label").alias("node"), "label", _name("k", "first").alias("page_key"), F.lit(0).alias("pos"))
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    edges = o.select(
+        F.col("o_orderkey").alias("edge"), _name("p", F.col("o_custkey") % n).alias("source"), _name("p", F.col("o_orderkey") % n).alias("target"), F.when(F.col("o_orderstatus") == "P", "contract").otherwise("transition").alias("kind"),
+        F.when(F.col("o_orderpriority").startswith("1"), "open_page").otherwise("tap").alias("capability"), F.when(F.col("o_orderkey") % 3 > 0, "seen").alias("preview"), F.lit("t").alias("trigger"), F.col("o_orderkey").alias("pos"),
+    )
+    nodes, links = views.layered_view(bars, pages, edges, "common")
+    return nodes.select(F.col("kind").alias("what"), F.col("node").alias("a"), F.col("label").alias("b"), F.col("page").alias("c"), F.col("edge").cast("string").alias("d")).union(links.select("link", "source", "target", "kind", F.col("edge").cast("string")))
 
 
 @query("""

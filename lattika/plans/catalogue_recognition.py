@@ -150,15 +150,17 @@ def q_owned(spark, d):
 
 
 @query("""
-WITH r AS (SELECT o_orderkey AS k, o_orderkey % 3 AS a, o_orderkey % 5 AS b FROM orders)
-SELECT 'time_invalid' AS rule, CAST(k AS VARCHAR) AS subject, '$.createdAt' AS detail FROM r WHERE a = 0 AND b <> 2 UNION ALL SELECT 'time_invalid', CAST(k AS VARCHAR), '$.list[0].seenAt' FROM r WHERE b = 1
-UNION ALL SELECT 'extension_key', CAST(k AS VARCHAR), '$.extensions.plain' FROM r WHERE b = 0 UNION ALL SELECT 'not_json', CAST(k AS VARCHAR), '$' FROM r WHERE b = 2""")
+WITH r AS (SELECT o_orderkey AS k, o_orderkey % 3 AS a, o_orderkey % 5 AS b, o_orderkey % 7 AS c, o_orderkey % 11 AS e FROM orders)
+SELECT 'time_invalid' AS rule, CAST(k AS VARCHAR) AS subject, '$.createdAt' AS detail FROM r WHERE a = 0 AND b <> 2 UNION ALL SELECT 'time_invalid', CAST(k AS VARCHAR), '$.list[0].seenAt' FROM r WHERE b = 1 OR b = 3
+UNION ALL SELECT 'extension_key', CAST(k AS VARCHAR), '$.extensions.plain' FROM r WHERE b = 0 UNION ALL SELECT 'not_json', CAST(k AS VARCHAR), '$' FROM r WHERE b = 2
+UNION ALL SELECT 'number_not_finite', CAST(k AS VARCHAR), '$.n' FROM r WHERE c = 1 AND b <> 2 UNION ALL SELECT 'id_after_time', CAST(k AS VARCHAR), '$.id' FROM r WHERE e = 1 AND b <> 2 AND c <> 1""")
 def q_serialization_errors(spark, d):
-    """Orders as JSON records with odd times, extension keys and broken texts."""
+    """Orders as JSON records with odd times, numbers, extension keys and identifiers, and broken texts. Identifiers of 2^41 ms are of 2039, those of 0 ms of 1970."""
     k = F.col("o_orderkey")
-    made = F.when(k % 3 == 0, "2026-01-01").otherwise("2026-01-01T00:00:00.5Z")
-    seen = F.when(k % 5 == 1, "noon").otherwise("2026-01-01T00:00:00Z")
-    text = F.concat(F.lit('{"createdAt":"'), made, F.lit('","list":[{"seenAt":"'), seen, F.lit('"}],"extensions":{"'), F.when(k % 5 == 0, "plain").otherwise("com.example.x"), F.lit('":1}'), F.when(k % 5 == 2, "").otherwise("}"))
+    made = F.when(k % 3 == 0, "2026-01-01").otherwise("2026-01-01T00:00:00.500Z")
+    seen = F.when(k % 5 == 1, F.lit('"noon"')).when(k % 5 == 3, F.lit("null")).otherwise(F.lit('"2026-01-01T00:00:00Z"'))
+    number, late = F.when(k % 7 == 1, "NaN").otherwise("1e-7"), F.when(k % 11 == 1, F.lit("01ZZZZZZZZ")).otherwise(F.lit("0000000000"))
+    text = F.concat(F.lit('{"id":"'), late, F.lit('0000000000000000","recordedAt":"2026-01-01T00:00:00Z","n":'), number, F.lit(',"createdAt":"'), made, F.lit('","list":[{"seenAt":'), seen, F.lit('}],"extensions":{"'), F.when(k % 5 == 0, "plain").otherwise("com.example.x"), F.lit('":{"innerAt":"2026-01-01T00:00:00Z"}}'), F.when(k % 5 == 2, "").otherwise("}"))
     rows = read(spark, d, "orders", "o_orderkey").select("o_orderkey", text.alias("record"))
     return drafts.serialization_errors(rows, "o_orderkey", "record")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattika.functions.geometry import grid_for_box
+from lattika.functions.identity import id_time
 from lattika.functions.nested import walk
 from lattika.functions.text import alias_of, capabilities, interaction_boundary
 from lattika.operators.constraints import all_of, violations
@@ -207,16 +208,32 @@ def owned(elements: DataFrame, application: str, current: str, keep: Keep) -> Da
     return out.withColumn("children", F.coalesce("children", F.array().cast(below.schema["children"].dataType)))
 
 
+# A UTC time, and a key of extensions under a reversed domain.
+UTC_TIME, EXTENSION = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{3})?Z$", r"^(?:[a-z0-9][a-z0-9-]*\.){2,}[A-Za-z][A-Za-z0-9._-]*$"
+
+
 def serialization_errors(records: DataFrame, key: str, column: str) -> DataFrame:
-    """(rule, subject, detail) for every value inside JSON records: times (`...At`) that are no UTC times, extension keys without a reversed domain, texts that are no JSON."""
+    """(rule, subject, detail) for every value inside JSON records.
+
+    `time_invalid`: a field whose name ends in `At` and that is no UTC time (with milliseconds or none; null is none); `number_not_finite`; `extension_key`: a key of `extensions` without a reversed
+    domain; `extensions_no_object`; `id_after_time`: a sortable identifier `id` made after `recordedAt`; `not_json`. Rules look at values in one walk.
+    """
     found = walk(records, key, column)
     name = F.regexp_extract("path", r"([^.\[\]]+)$", 1)
-    bad_time = name.rlike("[a-z]At$") & (F.col("kind") != "null") & ((F.col("kind") != "string") | ~F.col("value").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"))
+    text, value = F.col("kind") == "string", F.col("value")
+    time = F.when(text & value.rlike(UTC_TIME), F.try_to_timestamp(value))
     extension = F.regexp_extract("path", r"^\$\.extensions\.(.+)$", 1)
-    inside = extension != ""
-    reverse = extension.rlike(r"^[a-z][a-z0-9-]*(\.[a-z0-9-]+)+")
-    return all_of([
-        violations(found.where("kind = 'invalid'"), "not_json", F.col(key), F.col("path")),
-        violations(found.where((F.col("kind") != "invalid") & bad_time), "time_invalid", F.col(key), F.col("path")),
-        violations(found.where(inside & ~reverse), "extension_key", F.col(key), F.col("path")),
-    ])
+    own = (extension != "") & F.col("parent").eqNullSafe("$.extensions")
+    checks = [
+        ("not_json", F.col("kind") == "invalid"),
+        ("time_invalid", (F.col("kind") != "invalid") & name.rlike("At$") & time.isNull()),
+        ("number_not_finite", (F.col("kind") == "number") & value.isin("NaN", "Infinity", "-Infinity")),
+        ("extension_key", own & ~extension.rlike(EXTENSION)),
+        ("extensions_no_object", (F.col("path") == "$.extensions") & (F.col("kind") != "object")),
+    ]
+    hits = F.filter(F.array(*[F.when(test, F.lit(rule)) for rule, test in checks]), lambda r: r.isNotNull())
+    wrong = found.select(F.explode(hits).alias("rule"), F.col(key).cast("string").alias("subject"), F.col("path").alias("detail"))
+    v = F.try_parse_json(column)
+    made, recorded = id_time(F.try_variant_get(v, "$.id", "string")), F.try_variant_get(v, "$.recordedAt", "string")
+    late = records.where(made > F.unix_millis(F.try_to_timestamp(recorded)))
+    return wrong.unionByName(violations(late, "id_after_time", F.col(key), F.lit("$.id")))

@@ -93,13 +93,13 @@ def continuation(first: DataFrame, more: DataFrame, keys: list[str]) -> DataFram
 
 
 def apply_if_current(table: DataFrame, writes: DataFrame, key: str, order: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(table, refused) after writes that name the revision they change: (key, revision, payload); a write of another revision is refused.
+    """(table, refused) after writes that name the revision they change: (key, revision, payload); a write of another revision, of none, or of an unknown key is refused.
 
     Of several writes that name the current revision of a key, the first by `order` is applied; it makes a new revision, so the others are refused.
     """
     current = table.select(key, F.col("revision").alias("__now"))
     place = F.row_number().over(Window.partitionBy(key, "revision").orderBy(order))
-    checked = writes.withColumn("__place", place).join(current, key, "left").withColumn("__ok", F.col("revision").eqNullSafe(F.col("__now")) & (F.col("__place") == 1))
+    checked = writes.withColumn("__place", place).join(current, key, "left").withColumn("__ok", F.coalesce(F.col("revision") == F.col("__now"), F.lit(False)) & (F.col("__place") == 1))
     good = checked.where("__ok").select(key, (F.col("revision") + 1).alias("revision"), "payload")
     return table.join(good.select(key), key, "left_anti").unionByName(good), checked.where("NOT __ok").select(writes.columns)
 

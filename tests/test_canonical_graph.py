@@ -1,17 +1,8 @@
 import copy
 
 from lattika.operators.rounds import keep
-from lattika.plans.canonical_graph import RULES, graph_errors
-
-SCHEMAS = {
-    "applications": "id string, key string",
-    "manifest": "entityIds array<string>, graphRevision string",
-    "pages": "id string, key string, label string, featurePath array<string>, elementRefs array<string>, inboundTransitionRefs array<string>, outboundTransitionRefs array<string>, inboundContractRefs array<string>, outboundContractRefs array<string>, frames array<string>, states array<struct<key:string,frameRefs:array<string>>>",
-    "elements": "id string, key string, label string, status string, role string, elementType string, featurePath array<string>, owner struct<kind:string,ref:string>, parentElementRef string, childElementRefs array<string>, relationshipRefs array<string>, availableOnPageRefs array<string>, capabilities array<string>, actionable boolean, sourceType string, observations array<struct<frameRef:string,rect:string,failed:boolean,redboxRef:string>>, composition struct<profile:string,roles:map<string,string>>",
-    "transitions": "id string, key string, sourceRef string, targetRef string, triggerElementRef string, capability string, evidence struct<postcondition:string,actionTraceRef:string>",
-    "contracts": "id string, key string, edgeKind string, sourceSelector struct<kind:string,ref:string>, expectedTarget struct<kind:string,ref:string>, triggerElementRef string, capability string, sourceType string, authorityStatus string, runtimeEvidenceStatus string, verifiedTransitionRef string, defectRef string",
-}
-
+from lattika.plans.canonical_graph import RULES, completed, graph_errors
+from lattika.plans.canonical_graph import TABLES as SCHEMAS
 
 def sound(g):
     """A graph without a fault: two pages, a setting row whose trigger leads from one to the other, and a shared bar with an entry."""
@@ -178,7 +169,7 @@ def test_every_fault_is_found_and_nothing_else(spark):
             ids += [r["id"] for r in found]
     ids.remove("g0_label")
     rows["manifest"] = [{"entityIds": ids, "graphRevision": None}]
-    tables = {name: spark.createDataFrame([tuple(r.get(c.split()[0]) for c in _columns(name)) for r in rows[name]], SCHEMAS[name]) for name in SCHEMAS}
+    tables = {name: spark.createDataFrame([tuple(r.get(c) for c in spark.createDataFrame([], SCHEMAS[name]).columns) for r in rows[name]], SCHEMAS[name]) for name in SCHEMAS}
     errors = graph_errors(tables, keep)
     found = {}
     owner = {r["key"]: int(r["id"][1:].split("_")[0]) for n in ("pages", "elements", "transitions", "contracts") for r in rows[n]}
@@ -193,22 +184,8 @@ def test_every_fault_is_found_and_nothing_else(spark):
     assert plan.count("Relation") + plan.count("LogicalRDD") < 30
 
 
-def _columns(name):
-    return list(_split(SCHEMAS[name]))
-
-
-def _split(schema):
-    depth, at = 0, 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            yield schema[at:i].strip()
-            at = i + 1
-    yield schema[at:].strip()
-
-
 def test_two_applications_and_none(spark):
-    none = {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
+    none = completed(spark, {})
     manifest = spark.createDataFrame([([], "r")], SCHEMAS["manifest"])
     for rows, want in (([], {("application_count", "manifest")}), ([("a", "k"), ("b", "l")], {("application_count", "manifest"), ("application_not_in_manifest", "k"), ("application_not_in_manifest", "l")})):
         tables = none | {"manifest": manifest, "applications": spark.createDataFrame(rows, SCHEMAS["applications"])}

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lattika.operators import evidence
+from lattika.operators.rounds import keep
 from lattika.plans import views
 
 RECT = "struct<left:double,top:double>"
@@ -47,20 +48,24 @@ def test_groups(spark):
 
 
 def test_views(spark):
-    pages = spark.createDataFrame([("p1", "d", "f", "a.b.c", 0), ("p2", "d", "f", "a.b", 1), ("p3", "d", "g", "x", 2)], "page string, domain string, feature string, key string, pos int")
-    edges = spark.createDataFrame([("k2", "p1", "p2", "1"), ("k1", "p2", "p1", "0"), ("k3", "p1", "p1", "0"), ("k4", "p1", "p3", "0")], "key string, source string, target string, kind string")
-    nodes, links = views.layered_view(pages, edges)
-    assert {(r.layer, r.node, r.default_page) for r in nodes.collect()} == {("domain", "d", None), ("feature", "d/f", "p2"), ("feature", "d/g", "p3"), ("page", "p1", None), ("page", "p2", None), ("page", "p3", None)}
-    assert {tuple(r) for r in links.where("relation = 'leads'").collect()} == {("p2", "p1", "leads"), ("p1", "p3", "leads")}
-    stats = views.page_statistics(pages, spark.createDataFrame([("e", "p1")], "element string, page string"), edges.withColumn("shared", F.col("kind") == "1"))
-    assert rows(stats.select("page", "owned", "inbound", "outbound", "shared")) == [("p1", 1, 2, 3, 1), ("p2", 0, 1, 1, 0), ("p3", 0, 1, 0, 0)]
-
-
-def test_compositions(spark):
-    profiles = spark.createDataFrame([("row", ["label", "switch"], ["hint"], ["switch"])], "profile string, required array<string>, optional array<string>, actionable_roles array<string>")
-    elements = spark.createDataFrame([("c", None, False, "row", {"label": "l", "switch": "s"}), ("l", "c", False, None, None), ("s", "c", True, None, None), ("d", None, False, "row", {"label": "s", "odd": "s", "hint": "gone"}), ("e", None, False, "none", {})], "id string, parent string, actionable boolean, profile string, roles map<string,string>")
-    found = {(r.rule, r.subject, r.detail) for r in views.composition_errors(elements, profiles).collect()}
-    assert found == {("profile_unknown", "e", "none"), ("role_missing", "d", "switch"), ("role_unexpected", "d", "odd"), ("part_reused", "d", "label,odd"), ("part_missing", "d", "gone"), ("part_elsewhere", "d", "s"), ("part_actionability", "d", "label"), ("part_actionability", "d", "odd")}
+    pages = spark.createDataFrame([("p1", "root", "消息-Root", ["消息"], 0), ("p2", "a.b.c", "消息-Chat-Deep", ["消息", "Chat"], 1), ("p3", "a.b", "消息-Chat", ["消息", "Chat"], 2), ("p4", "a.x.settings", "消息-Chat-Sound", ["消息", "Chat"], 3), ("p5", "dialog", "通用-Ask", ["通用"], 4), ("p6", "z", "Z", ["Z", None], 5)], "page string, key string, label string, path array<string>, pos int")
+    bars = spark.createDataFrame([("nav.m", "消息", "root", 0), ("nav.more", "更多", None, 1)], "node string, label string, page_key string, pos int")
+    edges = spark.createDataFrame([
+        ("e1", "p1", "p3", "transition", "tap", None, 0), ("e2", "p1", "p3", "transition", "open_chat", None, 1), ("e3", "p3", "p2", "transition", "tap", "seen", 2), ("e4", "p4", "p2", "transition", "open_it", "seen", 3), ("e5", "p3", "p2", "transition", "open_it", None, 4),
+        ("e6", "p3", "p2", "transition", "open_it", None, 5), ("e7", "p2", "p5", "transition", "open_it", "seen", 6), ("e8", "p2", "p2", "transition", "open_it", "seen", 7), ("e9", "p3", "p4", "authority_contract", "open_it", "seen", 8)], "edge string, source string, target string, kind string, capability string, preview string, pos int")
+    nodes, links = views.layered_view(bars, pages, edges, "通用")
+    assert {r.node: (r.kind, r.label, r.page, r.edge) for r in nodes.collect()} == {
+        "nav.m": ("nav", "消息", "p1", None), "nav.more": ("nav", "更多", None, None), "feature.消息.Chat": ("feature", "Chat", "p3", "e2"), "page.a.b.c": ("page", "Deep", "p2", "e4"), "page.a.b": ("page", "Chat首页", "p3", "e2"),
+        "page.a.x.settings": ("page", "Sound设置", "p4", None), "shared.dialog": ("shared", "Ask", "p5", "e7"),
+    }
+    assert {r.link: (r.source, r.target, r.kind, r.edge) for r in links.collect()} == {
+        "view.entry.feature.消息.Chat": ("nav.m", "feature.消息.Chat", "navigation", "e2"), "view.default.feature.消息.Chat": ("feature.消息.Chat", "page.a.b", "relationship", "e2"),
+        "view.relation.e4": ("page.a.x.settings", "page.a.b.c", "relationship", "e4"), "view.relation.e5": ("page.a.b", "page.a.b.c", "relationship", "e5"), "view.relation.e7": ("page.a.b.c", "shared.dialog", "relationship", "e7"),
+    }
+    moves = spark.createDataFrame([("p1", "p2", True), ("p2", "p1", False), ("p1", "p1", False)], "source string, target string, shared boolean")
+    inside = spark.createDataFrame([("e", None, "p1"), ("f", "e", None), ("g", "f", "p2"), ("h", "gone", "p2")], "element string, parent string, page string")
+    stats = views.page_statistics(pages.where("pos < 3"), inside, moves, keep)
+    assert rows(stats.select("page", "owned", "inbound", "outbound", "shared")) == [("p1", 3, 2, 2, 1), ("p2", 0, 1, 1, 0), ("p3", 0, 0, 0, 0)]
 
 
 def test_migration_and_editing(spark):
@@ -74,3 +79,5 @@ def test_migration_and_editing(spark):
     frame = boxes.select(F.lit(1).alias("frame"), F.col("id").alias("element"), "x", "y", "width", "height")
     hits = views.hit_test(frame, spark.createDataFrame([(1, "p", 0.3, 0.3), (1, "q", 0.35, 0.3)], "frame int, point string, px double, py double"))
     assert rows(hits) == [("p", "a", 1), ("p", "c", 2), ("q", "c", 1)]
+    clicks = spark.createDataFrame([(1, "p", 0.3, 0.3, None), (1, "q", 0.3, 0.3, "a"), (1, "r", 0.3, 0.3, "c"), (1, "s", 0.3, 0.3, "b"), (1, "t", 9.0, 9.0, None)], "frame int, point string, px double, py double, selected string")
+    assert rows(views.clicked(frame, clicks)) == [("p", "a"), ("q", "c"), ("r", "a"), ("s", "a")]

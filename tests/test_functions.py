@@ -1,4 +1,5 @@
 import decimal
+import hashlib
 import json
 import math
 import random
@@ -77,6 +78,11 @@ def test_texts(spark):
     assert one(spark, text.matches(F.lit("row.12"), F.lit(r"row\.\d+"))) and not one(spark, text.matches(F.lit("xrow.12"), F.lit(r"row\.\d+")))
     assert one(spark, text.utc_time(F.lit("2026-01-02T03:04:05Z"))) is not None and one(spark, text.utc_time(F.lit("2026-01-02"))) is None
     assert one(spark, text.stable_differs(F.lit(None).cast("string"), F.lit(""))) is False
+    lists = [F.array(*map(F.lit, v)) for v in ("ab", "ba")]
+    assert one(spark, text.stable_differs(*lists)) and not one(spark, text.stable_differs(*lists, as_sets=True)) and one(spark, text.stable_differs(F.struct(F.lit(1).alias("a")), F.struct(F.lit(2).alias("a"))))
+    assert not one(spark, text.stable_differs(F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")))
+    effects = one(spark, text.action_effects(F.array(*map(F.lit, ("tap", "drag", "fly"))), F.array(F.struct(F.lit("drag").alias("action"), F.lit("moves").alias("effect")), F.struct(F.lit("tap").alias("action"), F.lit("").alias("effect"))), F.lit("card")))
+    assert [(e.action, e.effect) for e in effects] == [("tap", "点击 card 触发对应操作"), ("drag", "moves"), ("fly", "点击 card 触发对应操作")]
 
 
 def test_identity(spark):

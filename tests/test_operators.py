@@ -183,16 +183,45 @@ def test_each_pattern_is_matched_by_itself(spark, monkeypatch, size):
     assert rows(selection.pattern_matches(targets, values, "v").select("target", "v")) == sorted([("t", v) for v in ("ab", "ab", "cc", "[", "x", "yz")] + [("u", v) for v in ("ab", "ab", "(")], key=str)
 
 
+def merged_one_by_one(existing, proposed, page, new_page):
+    """What the rules say, row by row. existing: id, key, pos, label, source, review, owner_kind, page, available, edited."""
+    at, shared = new_page or page, ("application", "shared_component")
+    by_key = {r[1]: r for r in sorted(existing, key=lambda r: r[2]) if r[7] == page or r[6] in shared}
+    out, used = [], set()
+    for key, label in proposed:
+        r = by_key.get(key)
+        if r is None:
+            out.append((None, key, label, "ai", "pending", "page", at, (), None))
+            continue
+        used.add(r[0])
+        protected = r[5] == "accepted" or r[9] or r[4] == "human"
+        keeps = r[6] in shared or protected
+        listed = tuple(dict.fromkeys([*(r[8] or ()), at])) if r[6] == "application" else tuple(r[8] or ())
+        out.append((r[0], key, r[3] if keeps else label, r[4] if keeps else "ai", r[5], r[6], r[7] if keeps else at, listed, label if protected else None))
+    for r in existing:
+        if r[0] not in used and (r[6] in shared or new_page or r[7] != page):
+            out.append((r[0], r[1], r[3], r[4], r[5], r[6], r[7], tuple(r[8] or ()), None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("new_page", [None, "p9"])
+def test_candidates_are_merged_by_the_rules(spark, new_page):
+    rnd = random.Random(5)
+    existing = [(f"i{i}", f"k{rnd.randrange(40)}", i, f"old{i}", rnd.choice(["ai", "human", "import"]), rnd.choice(["pending", "accepted", "edited"]), rnd.choice(["page", "page", "application", "shared_component", "component"]), rnd.choice(["p1", "p1", "p2", None]), rnd.choice([None, ["p1"], ["p3"]]), rnd.random() < 0.2) for i in range(120)]
+    proposed = [(f"k{i}", f"new{i}") for i in range(0, 60, 2)]
+    df = spark.createDataFrame(existing, "id string, key string, pos long, label string, source string, review string, owner_kind string, page string, available array<string>, edited boolean")
+    found = merging.merge_candidates(df, spark.createDataFrame(proposed, "key string, label string"), ["label"], "p1", new_page)
+    known = {r[0] for r in existing}
+    got = sorted(((r.id if r.id in known else None, r.key, r.label, r.source, r.review, r.owner_kind, r.page, tuple(r.available), r.proposal and r.proposal.label) for r in found.collect()), key=str)
+    assert got == merged_one_by_one(existing, proposed, "p1", new_page)
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a", "k"), (2, "b", None)], "id long, v string, w string")
     new = spark.createDataFrame([(2, "", "n"), (3, "c", "m")], "id long, v string, w string")
     assert rows(merging.upsert(old, new, "id", {"v": F.col("v") == ""})) == [(1, "a", "k"), (2, "b", "n"), (3, "c", "m")]
     assert rows(merging.insert_absent(old, new, "id", ["w"])) == [(1, "a", "k"), (2, "b", "n"), (3, "c", "m")]
     assert rows(merging.replace_partition(old, new, "id")) == [(1, "a", "k"), (2, "", "n"), (3, "c", "m")]
-    draft = spark.createDataFrame([("a", "old", "human", True, False), ("b", "old", "ai", False, False), ("c", "old", "ai", False, True), ("d", "old", "ai", False, False), ("e", "old", "human", True, False)], "key string, label string, source string, protected boolean, shared boolean")
-    proposed = spark.createDataFrame([("a", "new"), ("b", "new"), ("c", "new"), ("f", "new")], "key string, label string")
-    found = {r.key: (r.label, r.source, r.proposal and r.proposal.label) for r in merging.merge_candidates(draft, proposed, "key", ["label"], F.lit(True)).collect()}
-    assert found == {"a": ("old", "human", "new"), "b": ("new", "ai", None), "c": ("old", "ai", "new"), "e": ("old", "human", None), "f": ("new", "ai", None)}
     a = spark.createDataFrame([("k", "A", None), ("m", "A2", "x")], "key string, p string, q string")
     b = spark.createDataFrame([("k", "B", "Q"), ("n", "B2", "y")], "key string, p string, q string")
     choices = spark.createDataFrame([(1, "k", "k", {"p": "b", "q": "a"}), (2, "k", None, {"p": "a", "q": "a"}), (3, None, "n", {"p": "a", "q": "b"})], "pos int, a_key string, b_key string, sources map<string,string>")

@@ -79,6 +79,8 @@ def test_one_of_two_writes_on_a_revision_wins(spark):
     table = spark.createDataFrame([("x", 1, "p")], "k string, revision long, payload string")
     now, refused = sessions.apply_if_current(table, spark.createDataFrame([("x", 1, "b"), ("x", 1, "a"), ("z", 1, "c")], table.schema), "k")
     assert [tuple(r) for r in now.collect()] == [("x", 2, "a")] and sorted(r.payload for r in refused.collect()) == ["b", "c"]
+    now, refused = sessions.apply_if_current(table, spark.createDataFrame([("new", None, "b"), ("x", None, "a"), ("x", 9, "c")], table.schema), "k")
+    assert now.exceptAll(table).isEmpty() and table.exceptAll(now).isEmpty() and refused.count() == 3
 
 
 def test_sessions_listed_and_written_in_turn(spark, tmp_path):
