@@ -216,14 +216,14 @@ def q_page_statistics(spark, d):
 
 @query("""
 WITH p AS (SELECT 'p' || p_partkey AS page, 'k' || p_partkey || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '.x' WHEN 2 THEN '.a.people' ELSE '.settings' END AS key, 'A-' || p_name AS label, CASE WHEN p_size % 10 = 0 THEN 'common' ELSE p_brand END AS domain, CASE WHEN p_size % 9 = 0 THEN '' ELSE p_type END AS feature,
-  p_partkey AS pos, 1 + p_size % 4 % 3 + (p_size % 4 = 3)::INT AS depth FROM part),
+  p_partkey AS pos, CAST(1 + p_size % 4 % 3 + (p_size % 4 = 3)::INT AS BIGINT) AS depth FROM part),
 v AS (SELECT p_brand AS domain, 'k' || min(p_partkey) FILTER (p_size % 4 = 0) AS page_key FROM part GROUP BY 1),
 n AS (SELECT 'nav.' || v.domain AS node, v.domain, page AS nav_page FROM v LEFT JOIN p ON key = page_key),
 e AS (SELECT o_orderkey AS edge, 'p' || o_custkey % (SELECT count(*) FROM part) AS source, 'p' || o_orderkey % (SELECT count(*) FROM part) AS target, o_orderstatus <> 'P' AS moves, o_orderpriority LIKE '1%' AS opens, o_orderkey % 3 > 0 AS preview FROM orders),
 i AS (SELECT * FROM p WHERE domain <> 'common' AND feature <> ''),
 f AS (SELECT domain, feature, arg_min(page, depth * 1000000000 + pos) AS default_page FROM i GROUP BY ALL),
-fe AS (SELECT f.domain, f.feature, default_page, nav_page, n.node AS nav_node, arg_min(edge, CASE WHEN opens THEN 0 ELSE 1000000000 END + edge) AS entry FROM f LEFT JOIN n ON f.domain = n.domain LEFT JOIN e ON moves AND source = nav_page AND target = default_page GROUP BY ALL),
-ar AS (SELECT target AS page, arg_min(edge, CASE WHEN opens THEN 0 ELSE 1000000000 END + edge) AS arrival FROM e WHERE moves AND preview AND source <> target GROUP BY 1),
+fe AS (SELECT f.domain, f.feature, default_page, nav_page, n.node AS nav_node, arg_min(edge, CASE WHEN opens THEN 0 ELSE CAST(1000000000000 AS BIGINT) END + edge) AS entry FROM f LEFT JOIN n ON f.domain = n.domain LEFT JOIN e ON moves AND source = nav_page AND target = default_page GROUP BY ALL),
+ar AS (SELECT target AS page, arg_min(edge, CASE WHEN opens THEN 0 ELSE CAST(1000000000000 AS BIGINT) END + edge) AS arrival FROM e WHERE moves AND preview AND source <> target GROUP BY 1),
 nodes AS (SELECT node, 'nav' AS kind, domain AS label, nav_page AS page, NULL AS edge FROM n UNION ALL SELECT 'feature.' || domain || '.' || feature, 'feature', feature, default_page, entry FROM fe
   UNION ALL SELECT 'page.' || key, 'page', CASE WHEN depth = 2 THEN i.feature || '首页' WHEN key LIKE '%.people' THEN '全部成员' ELSE substr(label, 3) END, i.page, CASE WHEN i.page = default_page THEN entry ELSE arrival END FROM i JOIN fe USING (domain, feature) LEFT JOIN ar ON ar.page = i.page
   UNION ALL SELECT 'shared.' || key, 'shared', label, p.page, arrival FROM p LEFT JOIN ar ON ar.page = p.page WHERE domain = 'common'),
