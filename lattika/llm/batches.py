@@ -25,13 +25,14 @@ def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
     return total
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in order, in slices that fit a worker's memory."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int | None = None, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, in slices that fit a worker's memory: of `rows` rows and `size` bytes, SLICE_ROWS and SLICE_BYTES where these are not given."""
+    rows, size = rows or SLICE_ROWS, size or SLICE_BYTES
     for batch in batches:
         ends, at = np.cumsum(row_bytes(batch)), 0
         while at < batch.num_rows:
-            within = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
-            stop = min(at + SLICE_ROWS, max(at + 1, within))
+            within = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            stop = min(at + rows, max(at + 1, within))
             yield batch.slice(at, stop - at)
             at = stop
 

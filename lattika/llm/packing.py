@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattika.llm.batches import binary, slices
-from lattika.llm.tokenization import public_path, tokenizer
+from lattika.llm.tokenization import TEXTS, public_path, tokenizer
 
 #: Sequence numbers of one partition.
 NUMBERS = 1 << 33
@@ -47,7 +47,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, lo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = tokenizer(path), TaskContext.get().partitionId() * NUMBERS
-        for batch in slices(batches):
+        for batch in slices(batches, *TEXTS):
             flat, totals = encoder.encode(batch.column(1).to_pylist(), end_id)
             owner, length = binary_lengths(totals, longest)
             begin = np.cumsum(length) - length

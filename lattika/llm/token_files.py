@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lattika.llm.batches import binary, slices
 from lattika.llm.common import materialize, scratch_path, table
-from lattika.llm.tokenization import public_path, tokenizer
+from lattika.llm.tokenization import TEXTS, public_path, tokenizer
 
 #: Sequences of one record batch.
 BATCH = 64
@@ -121,7 +121,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, docs_seen, counts = TaskContext.get().partitionId(), None, [], []
-        for batch in slices(batches):
+        for batch in slices(batches, *TEXTS):
             if not batch.num_rows:
                 continue
             if out is None:

@@ -21,6 +21,8 @@ import pyarrow.compute  # noqa: F401
 
 #: Bytes of pieces and their ids that a worker remembers before it starts anew; bounds its memory, not its input. A longer piece (in characters) is encoded each time.
 CACHE_BYTES, REMEMBERED = 128 << 20, 64
+#: Rows and bytes of texts that are encoded together: the more, the fewer pieces are looked up again.
+TEXTS = (8_000, 8 << 20)
 #: Bytes of an entry besides its text, about.
 ENTRY = 160
 #: Pieces joined into one call of the library; characters of a long text that are cut into pieces at a time.
@@ -144,7 +146,8 @@ class PieceTokenizer:
         pieces = split.flatten().dictionary_encode()  # distinct pieces are looked up once
         counts[rows] = split.value_lengths().to_numpy()
         starts[rows] = len(others) + np.cumsum(counts[rows]) - counts[rows]
-        words = others + pieces.dictionary.to_pylist()
+        whole = pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary)
+        words = others + (pa.compute.binary_join(whole, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(pieces) else [])  # much faster than value by value
         place = np.concatenate([np.arange(len(others)), len(others) + pieces.indices.to_numpy()])
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(at < 0)
