@@ -87,6 +87,13 @@ def page_status(pages: DataFrame, elements: DataFrame) -> DataFrame:
     return joined.select("page", status.alias("status"))
 
 
+def review_counts(pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """page, reviewed (accepted or edited), pending, ignored (rejected): how the elements (pageId, reviewStatus) of each page stand, zeros included."""
+    of = lambda *states: F.count_if(F.coalesce(F.col("reviewStatus").isin(*states), F.lit(False)))
+    counts = elements.groupBy(F.col("pageId").alias("page")).agg(of("accepted", "edited").alias("reviewed"), of("pending").alias("pending"), of("rejected").alias("ignored"))
+    return pages.select("page").join(counts, "page", "left").fillna(0)
+
+
 def transition_issues(transitions: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """transition, issue: one row for every rule that a transition breaks."""
     found = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda v: v.isNotNull())

@@ -9,7 +9,6 @@ from __future__ import annotations
 import fnmatch
 import json
 import posixpath
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,20 +16,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
+from lattika.sources.stores import file_store
+
 # File names of a session's own record, and the flag of sessions that were made up.
 SESSION_RECORD, MADE_UP = "raw-session.json", ("executionAuthorization", "offlineFixture")
 
 FORMAT, PUSHDOWN = "session_records", "spark.sql.python.filterPushdown.enabled"
 
 
-def _store(uri: str):
-    """The file system and path of a folder, by the names that Spark uses for stores."""
-    from pyarrow import fs
-
-    plain = re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]:", "s3:", uri))
-    return fs.FileSystem.from_uri(plain) if ":" in plain else (fs.LocalFileSystem(), plain)
-
-
 @dataclass
 class Folder(InputPartition):
     """One session's folder."""
@@ -61,7 +54,7 @@ class SessionReader(DataSourceReader):
         """Every folder below the root, at any depth, that holds a session's record, in order of its path."""
         from pyarrow import fs
 
-        store, top = _store(self.root)
+        store, top = file_store(self.root)
         found = store.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
         folders = sorted(posixpath.dirname(i.path) for i in found if i.is_file and i.base_name == SESSION_RECORD)
         kept = [Folder(posixpath.basename(f), f) for f in folders if all(test(posixpath.basename(f)) for test in self.tests)]
@@ -73,7 +66,7 @@ class SessionReader(DataSourceReader):
 
         if not partition.path:
             return
-        store, _ = _store(self.root)
+        store, _ = file_store(self.root)
         for info in sorted(store.get_file_info(fs.FileSelector(partition.path)), key=lambda i: i.path):
             if not info.is_file or not fnmatch.fnmatch(info.base_name, self.names):
                 continue

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lattika.plans import catalogue, catalogue_checks, catalogue_drafts, catalogue_recognition  # noqa: F401
+from lattika.plans import catalogue, catalogue_checks, catalogue_drafts, catalogue_recognition, catalogue_rules  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
