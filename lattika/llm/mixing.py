@@ -27,8 +27,10 @@ WEIGHTS, SHARE, COPIES = (5, 2, 1), (3, 2), 2
 PACKET = 64
 #: Rows of a hash range of one source, about, in small tables; the square root of all rows in large ones, so that neither level is long.
 RANGE_ROWS = 2_000
-#: Ranges of finish time up to time 1, where sources that are not capped meet their targets; all after time 2 is one more.
+#: Ranges that a stretch of the stream is summed by at a time.
 SLOTS = 4096
+#: Packets, at most, that are put in order one by one to find the last one taken.
+STEP = 65_536
 
 
 def target_table(sizes: DataFrame) -> DataFrame:
@@ -100,19 +102,34 @@ def _packets(copy: int) -> Column:
 
 
 def cut(queued: DataFrame) -> tuple[float, int, int, int] | None:
-    """Where the stream of all packets reaches the budget: finish, place and upto of the last packet taken, and the words taken of it; None where there are no words."""
+    """Where the stream of all packets reaches the budget: finish, place and upto of the last packet taken, and the words taken of it; None where there are no words.
+
+    The stream is summed by ranges of finish time, the range that the budget ends in by finer ones, and where many packets finish at once these by ranges of place, until
+    no more than STEP packets are left; these alone are put in order one by one.
+    """
     stream = queued.select(F.inline(F.concat(*[_packets(i) for i in range(COPIES)])))
-    slot = F.least(F.floor(F.col("finish") * SLOTS), F.lit(2 * SLOTS)).alias("slot")
-    sums = {r["slot"]: r["words"] for r in stream.groupBy(slot).agg(F.sum("words").alias("words")).collect()}  # 2 * SLOTS + 1 rows at most
+    total = stream.agg(F.sum("words")).first()[0] or 0
     num, den = SHARE
-    budget, before = num * (sum(sums.values()) // COPIES) // den, 0
-    for at in sorted(sums):
-        if before + sums[at] >= budget > 0:
-            run = F.sum("words").over(Window.orderBy("finish", "place", "upto").rowsBetween(Window.unboundedPreceding, 0))
-            last = stream.where(slot == at).withColumn("run", run + before).where(F.col("run") >= budget).orderBy("run").first()
-            return last["finish"], last["place"], last["upto"], last["words"] - (last["run"] - budget)
-        before += sums[at]
-    return None
+    budget, before = num * (total // COPIES) // den, 0
+    if budget <= 0:
+        return None
+    for axis in ("finish", "place"):
+        while True:
+            low, high, n = stream.agg(F.min(axis), F.max(axis), F.count("*")).first()
+            if n <= STEP or low == high:
+                break
+            at = F.least(F.floor((F.col(axis).cast("double") - float(low)) / ((float(high) - float(low)) / SLOTS)), F.lit(SLOTS - 1)).cast("int")
+            sums = {r["slot"]: r["words"] for r in stream.groupBy(at.alias("slot")).agg(F.sum("words").alias("words")).collect()}  # SLOTS rows at most
+            for slot in sorted(sums):
+                if before + sums[slot] >= budget:
+                    break
+                before += sums[slot]
+            stream = stream.where(at == slot)
+            if len(sums) == 1:
+                break  # as fine as numbers go
+    run = F.sum("words").over(Window.orderBy("finish", "place", "upto").rowsBetween(Window.unboundedPreceding, 0))
+    last = stream.withColumn("run", run + before).where(F.col("run") >= budget).orderBy("run").first()
+    return last["finish"], last["place"], last["upto"], last["words"] - (last["run"] - budget)
 
 
 def served(docs: DataFrame, seed: str = "mix") -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lattika.llm import mixing
 from lattika.llm.mixing import OP2_SQL, PACKET, first_words, mix, op2_mixing, take
 from lattika.llm.quality import OP8_SQL, host_verdicts, judge, op8_quality
 
@@ -96,3 +97,15 @@ def test_refused_hosts(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mix(empty).count() == take(empty).count() == judge(empty).count() == 0
+
+
+@pytest.mark.parametrize("slots, step", [(4, 3), (2, 1), (4096, 10)])
+def test_the_cut_is_found_by_refinement(spark, monkeypatch, slots, step):
+    """However coarse the ranges and however few packets are ordered at once, also where most packets finish at one time."""
+    rnd = random.Random(slots)
+    rows = [(i % 97, " ".join("w" for _ in range(rnd.choice([0, 1, 5, 64, 65, 300]))), rnd.choice(["a", "a", "a", "a", "b", None])) for i in range(150)]
+    queued = mixing.queues(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want = mixing.cut(queued)
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    monkeypatch.setattr(mixing, "STEP", step)
+    assert want is not None and mixing.cut(queued) == want
