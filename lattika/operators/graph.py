@@ -148,28 +148,29 @@ def routes(edges: DataFrame, starts: DataFrame, keep: Keep, goals: DataFrame | N
     """start, node, cost, steps, tie, path: the best route from every start to every node it reaches.
 
     edges: a, b, key, cost (not negative), kind (verified edges are `0`, others `1`). Routes compare by cost, then steps, then tie,
-    the keys of the edges with their kinds, joined by `>`, in binary order. Each round relaxes all improved nodes at once and writes
-    these alone. goals (start, node): a start whose goals are all reached goes on only where a route may still be better;
+    the keys of the edges with their kinds, joined by `>`, in binary order. Each round relaxes all improved nodes at once: their offers and what is settled meet in
+    one grouping, which is the next round's settled table and marks the nodes that fell. goals (start, node): a start whose goals are all reached goes on only where a route may still be better;
     other nodes are then listed as far as they were met.
     """
     none = F.array().cast("array<struct<kind:string,key:string>>")
-    begin = starts.select(F.col("node").alias("start"), "node").distinct().select("start", "node", F.lit(0).cast("double").alias("cost"), F.lit(0).alias("steps"), none.alias("path"))
+    begin = starts.select(F.col("node").alias("start"), "node").distinct()
+    settled = keep(begin.select("start", "node", F.lit(0).cast("double").alias("cost"), F.lit(0).alias("steps"), F.lit("").alias("tie"), none.alias("path"), F.lit(True).alias("fell")), "routes")
     hop = keep(edges.select("a", "b", "key", F.col("cost").cast("double").alias("w"), F.col("kind").cast("string").alias("kind")), "edges")
-    tie = F.array_join(F.transform("path", lambda p: F.concat(p["kind"], F.lit(":"), p["key"])), ">").alias("tie")
-    rounds = Growing(keep, "routes")
-    frontier = rounds.add(begin)
-    while not frontier.isEmpty():
-        found = frontier.join(hop, frontier.node == hop.a).select("start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("steps") + 1).alias("steps"), F.concat("path", F.array(F.struct("kind", "key"))).alias("path"))
-        found = found.groupBy("start", "node").agg(F.min(F.struct("cost", "steps", tie, "path")).alias("new"))
-        old = rounds.all().groupBy("start", "node").agg(F.min(F.struct("cost", "steps", tie)).alias("old"))
-        better = F.col("old").isNull() | (F.struct("new.cost", "new.steps", "new.tie") < F.col("old"))
-        found = found.join(old, ["start", "node"], "left").where(better)
+    part = F.concat("kind", F.lit(":"), "key")
+    while not (frontier := settled.where("fell")).isEmpty():
+        found = frontier.join(hop, frontier.node == hop.a).select(
+            "start", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("steps") + 1).alias("steps"), F.when(F.col("tie") == "", part).otherwise(F.concat("tie", F.lit(">"), part)).alias("tie"),
+            F.lit(1).alias("fresh"), F.concat("path", F.array(F.struct("kind", "key"))).alias("path"),
+        )
         if goals is not None:
-            met = goals.select("start", "node").distinct().join(old, ["start", "node"], "left").groupBy("start").agg(F.max("old.cost").alias("limit"), F.bool_and(F.col("old").isNotNull()).alias("all"))
-            found = found.join(met.where("all").select("start", "limit"), "start", "left").where("limit IS NULL OR new.cost <= limit")
-        frontier = rounds.add(found.select("start", "node", "new.cost", "new.steps", "new.path"))
-    best = rounds.all().groupBy("start", "node").agg(F.min(F.struct("cost", "steps", tie, "path")).alias("b"))
-    return best.select("start", "node", "b.cost", "b.steps", "b.tie", F.transform("b.path", lambda p: p["key"]).alias("path"))
+            met = goals.select("start", "node").distinct().join(settled, ["start", "node"], "left").groupBy("start").agg(F.max("cost").alias("limit"), F.bool_and(F.col("cost").isNotNull()).alias("all"))
+            found = found.join(met.where("all").select("start", "limit"), "start", "left").where("limit IS NULL OR cost <= limit").drop("limit")
+        every = settled.select("start", "node", "cost", "steps", "tie", F.lit(0).alias("fresh"), "path").unionByName(found)
+        best = every.groupBy("start", "node").agg(F.min(F.struct("cost", "steps", "tie", "fresh", "path")).alias("b"))  # of equals the settled one
+        before, settled = settled, keep(best.select("start", "node", "b.cost", "b.steps", "b.tie", "b.path", (F.col("b.fresh") == 1).alias("fell")), "routes")
+        drop(before)
+    drop(hop)
+    return settled.select("start", "node", "cost", "steps", "tie", F.transform("path", lambda p: p["key"]).alias("path"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

@@ -44,8 +44,12 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Folders of rounds, at most, that are read side by side; older ones are then put together.
+FOLDERS = 24
+
+
 class Growing:
-    """A table that rounds add to: each round's rows are written once, and all rounds are read as one table."""
+    """A table that rounds add to: each round's rows are written once (and again with those of many others), and all rounds are read as one table."""
 
     def __init__(self, keep: Callable[[DataFrame, str], DataFrame], label: str):
         self.keep, self.label, self.first, self.folders = keep, label, None, []
@@ -55,6 +59,10 @@ class Growing:
         kept = self.keep(df, self.label)
         self.first = self.first if self.first is not None else kept
         self.folders += _folders(kept)
+        if len(self.folders) > FOLDERS:
+            old = self.first.sparkSession.read.schema(self.first.schema).parquet(*self.folders[:-1])  # the newest is what the caller holds
+            self.folders = [*_folders(self.keep(old, self.label)), self.folders[-1]]
+            drop(old)
         return kept
 
     def all(self) -> DataFrame:

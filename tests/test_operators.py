@@ -339,3 +339,13 @@ def test_greedy_is_one_to_one(spark, name):
 
     found = QUERIES[name](spark, "/root/testdata/sf0.001").where("right_key IS NOT NULL").groupBy("frame", "right_key").count()
     assert found.where("count > 1").isEmpty() and not found.isEmpty()
+
+
+def test_many_rounds_are_put_together(spark, monkeypatch, tmp_path):
+    """However many rounds, few folders are read side by side, and none of the older ones stays."""
+    monkeypatch.setattr(rounds, "FOLDERS", 3)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    made = []
+    found = graph.depths(edges, spark.createDataFrame([(0,)], "node long"), lambda df, label: (made.append(keep(df, label)), made[-1])[1])
+    assert rows(found) == sorted([(i, i) for i in range(13)], key=str)
+    assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) <= 5
