@@ -175,3 +175,33 @@ def page_signatures(pages: DataFrame, elements: DataFrame, transitions: DataFram
     near = listed(ends, "__page").withColumnRenamed("rows", "t")
     joined = pages.join(own, "page", "left").join(near, "page", "left")
     return joined.select("page", F.sha2(F.to_json(F.struct(F.struct(*sorted(pages.columns)).alias("p"), "e", "t")), 256).alias("signature"))
+
+
+def cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, reference: str) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) without the parents of `gone` (key) and without the children that refer to them; both are to be published as one version."""
+    ids = gone.select(key).distinct()
+    return parents.join(ids, key, "left_anti"), children.join(ids.withColumnRenamed(key, reference), reference, "left_anti")
+
+
+#: Prefixes of references that are derived from owners.
+DERIVED = ("owner:", "parent:", "child:")
+
+
+def rebuilt_references(elements: DataFrame) -> DataFrame:
+    """elements (id, key, owner (kind, ref), parent, children, references) with children and references derived from the owners.
+
+    Children are those that name the element as their component: known ones in their order, new ones after them by key. References: the owner, then what is not derived in its order, then the
+    parent and the children, each once. An element without children has none (null).
+    """
+    owned = elements.where("owner.kind IN ('component', 'shared_component')").select(F.col("owner.ref").alias("id"), F.struct("key", F.col("id").alias("child")).alias("c")).groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("__owned"))
+    rows = elements.join(owned, "id", "left")
+    none = F.array().cast("array<string>")
+    ids = F.array_distinct(F.transform("__owned", lambda c: c["child"]))
+    known = F.array_intersect(F.coalesce("children", none), F.coalesce(ids, none))
+    children = F.concat(known, F.array_except(F.coalesce(ids, none), known))
+    kept = F.filter(F.coalesce("references", none), lambda r: ~(r.startswith(DERIVED[0]) | r.startswith(DERIVED[1]) | r.startswith(DERIVED[2])))
+    given = lambda c: F.coalesce(c != "", F.lit(False))
+    owner = F.when(given(F.col("owner.ref")), F.array(F.concat(F.lit(DERIVED[0]), "owner.ref"))).otherwise(none)
+    parent = F.when(given(F.col("parent")), F.array(F.concat(F.lit(DERIVED[1]), "parent"))).otherwise(none)
+    made = F.array_distinct(F.concat(owner, kept, parent, F.transform(children, lambda c: F.concat(F.lit(DERIVED[2]), c))))
+    return rows.withColumn("references", made).withColumn("children", F.when(F.size(children) > 0, children)).drop("__owned")

@@ -25,15 +25,15 @@ def keep_first(df: DataFrame, key: str, pos: str) -> DataFrame:
     return top_one(df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")), [key], F.col(pos))
 
 
-def nearest_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, left_id: str, right_id: str) -> DataFrame:
-    """left_id, right_id, gap: the row of the other side nearest in time with equal keys, ties to the smaller id; null where there is none.
+def nearest_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, left_id: str, right_id: str, prefer: str | None = None) -> DataFrame:
+    """left_id, right_id, gap: the row of the other side nearest in time with equal keys, ties to the greatest `prefer` where that is named (a number or time of the right rows), then to the smaller id; null where there is none.
 
     Only the rows right before and after in time can be nearest, so two sorts per key find them without a pairwise join.
     """
-    both = left.select(*keys, F.col(left_time).cast("double").alias("t"), F.lit(0).alias("side"), F.col(left_id).alias("l"), F.lit(None).cast(right.schema[right_id].dataType).alias("r")).unionByName(
-        right.select(*keys, F.col(right_time).cast("double").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(left.schema[left_id].dataType).alias("l"), F.col(right_id).alias("r"))
-    )
-    # of rows at one time only the smallest id counts, so that the neighbour found is the one that ties go to
+    worth = F.lit(0.0) if prefer is None else F.coalesce(-F.col(prefer).cast("double"), F.lit(float("inf")))
+    ranked = right.select(*keys, F.col(right_time).cast("double").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(left.schema[left_id].dataType).alias("l"), F.struct(worth.alias("worth"), F.col(right_id).alias("id")).alias("r"))
+    both = left.select(*keys, F.col(left_time).cast("double").alias("t"), F.lit(0).alias("side"), F.col(left_id).alias("l"), F.lit(None).cast(ranked.schema["r"].dataType).alias("r")).unionByName(ranked)
+    # of rows at one time only the first counts, so that the neighbour found is the one that ties go to
     both = both.withColumn("first", F.min("r").over(Window.partitionBy(*keys, "t")))
     at = F.when(F.col("side") == 1, F.struct("t", F.col("first").alias("r")))
     order = Window.partitionBy(*keys).orderBy("t")
@@ -43,7 +43,7 @@ def nearest_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time:
     rows = both.withColumn("before", before).withColumn("after", after).where("side = 0")
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("t") - F.col(f"{c}.t")).alias("gap"), F.col(f"{c}.r").alias("r")))
     best = F.least(option("before"), option("after"))
-    return rows.withColumn("best", best).select(*keys, F.col("l").alias(left_id), F.col("best.r").alias(right_id), F.col("best.gap").alias("gap"))
+    return rows.withColumn("best", best).select(*keys, F.col("l").alias(left_id), F.col("best.r.id").alias(right_id), F.col("best.gap").alias("gap"))
 
 
 def qualified(df: DataFrame, assertions: str, state: str = "status", good: str = "pass") -> Column:
@@ -115,6 +115,25 @@ def running_offsets(df: DataFrame, keys: list[str], order: str, length: str) ->
     return df.withColumn("expected", F.coalesce(F.sum(length).over(before), F.lit(0)))
 
 
+def appended(chunks: DataFrame, sizes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(sizes, refused): each upload's size after its chunks, and the chunks that were refused, with `expected`.
+
+    chunks: key, n (order of arrival), offset, length; sizes: key, size. A chunk counts if it begins where the upload ends when it arrives; chunks of an upload without a size are refused, expected being null. The chunks of
+    one upload are few and are taken one after the other.
+    """
+    arrived = F.array_sort(F.collect_list(F.struct("n", "offset", "length")))
+    start = F.struct(F.col("size").alias("size"), F.array().cast("array<struct<n:bigint,offset:bigint,length:bigint,expected:bigint>>").alias("refused"))
+
+    def one(state: Column, chunk: Column) -> Column:
+        fits = F.coalesce(chunk["offset"] == state["size"], F.lit(False))
+        no = F.struct(chunk["n"].cast("long").alias("n"), chunk["offset"].cast("long").alias("offset"), chunk["length"].cast("long").alias("length"), state["size"].alias("expected"))
+        return F.struct(F.when(fits, state["size"] + chunk["length"]).otherwise(state["size"]).alias("size"), F.when(fits, state["refused"]).otherwise(F.concat(state["refused"], F.array(no))).alias("refused"))
+
+    known = sizes.select(key, F.col("size").cast("long").alias("size"))
+    after = chunks.groupBy(key).agg(arrived.alias("chunks")).join(known, key, "full_outer").withColumn("s", F.aggregate(F.coalesce("chunks", F.array().cast(chunks.groupBy().agg(arrived.alias("c")).schema["c"].dataType)), start, one))
+    return after.where("size IS NOT NULL").select(key, F.col("s.size").alias("size")), after.select(key, F.inline("s.refused"))
+
+
 def consecutive_distance(df: DataFrame, keys: list[str], order: str, vector: str, scale: float = 255.0) -> DataFrame:
     """distance: mean absolute difference to the vector before, over `scale`; null for the first one and for unequal lengths."""
     before = F.lag(vector).over(Window.partitionBy(*keys).orderBy(order))

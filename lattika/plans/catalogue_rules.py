@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattika.functions import geometry as G
 from lattika.functions import text as T
-from lattika.operators import hashing
+from lattika.operators import hashing, merging, selection
 from lattika.operators.rounds import keep, shared_folder
 from lattika.plans import drafts, invalidations, project_graph, views
 from lattika.plans.catalogue import query, read
@@ -337,3 +337,63 @@ def q_split_stream(spark, d):
     found = spark.read.parquet(f"{root}/out").groupBy("session").agg(F.array_sort(F.collect_list(F.struct("id", "visible", "inner"))).alias("parts"))
     joined = lambda c: F.array_join(F.transform("parts", lambda p: p[c]), "")
     return found.select("session", joined("visible").alias("visible"), joined("inner").alias("inner"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS upload, l_linenumber AS n, CAST(min(l_partkey % 3) AS BIGINT) AS step FROM lineitem GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY upload ORDER BY n) - 1 AS at_ FROM c),
+t AS (SELECT *, at_ * 10 + CASE WHEN step = 0 AND at_ > 0 THEN 5 ELSE 0 END AS start FROM o), bad AS (SELECT upload, min(at_) AS at_ FROM t WHERE step = 0 AND at_ > 0 GROUP BY 1)
+SELECT upload, CAST(n AS BIGINT) AS n, CAST(start AS BIGINT) AS start, CAST(bad.at_ * 10 AS BIGINT) AS expected FROM t JOIN bad USING (upload) WHERE t.at_ >= bad.at_""")
+def q_refused_chunks(spark, d):
+    """Line items as chunks of ten bytes of their orders' uploads, some of which begin five bytes too late: these, and all after them, are refused."""
+    from pyspark.sql import Window
+
+    lines = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").groupBy(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("n")).agg(F.min(F.col("l_partkey") % 3).alias("step"))
+    at = F.row_number().over(Window.partitionBy("upload").orderBy("n")) - 1
+    chunks = lines.withColumn("at", at).select("upload", "n", (F.col("at") * 10 + F.when((F.col("step") == 0) & (F.col("at") > 0), 5).otherwise(0)).cast("long").alias("offset"), F.lit(10).cast("long").alias("length"))
+    refused = selection.appended(chunks, lines.select("upload", F.lit(0).cast("long").alias("size")).distinct(), "upload")[1]
+    return refused.select("upload", "n", F.col("offset").alias("start"), "expected")
+
+
+@query("""
+WITH k AS (SELECT 'n' || n_regionkey AS id, list('c' || n_nationkey ORDER BY CASE WHEN n_nationkey % 2 = 0 THEN -n_nationkey ELSE 1000 END, n_name) AS children FROM nation GROUP BY 1)
+SELECT 'n' || r_regionkey AS id, array_to_string(children, ',') AS children, 'owner:app,page:x,' || array_to_string(list_transform(children, lambda c: 'child:' || c), ',') AS refs FROM region JOIN k ON id = 'n' || r_regionkey
+UNION ALL SELECT 'c' || n_nationkey, NULL, 'owner:n' || n_regionkey || ',page:x,parent:n' || n_regionkey FROM nation""")
+def q_rebuilt_references(spark, d):
+    """Regions and the nations in them, with children and references derived anew; nations of even numbers were listed before, the greatest first."""
+    n = F.col("n_nationkey")
+    nation = read(spark, d, "nation", "n_nationkey", "n_regionkey", "n_name")
+    old = F.array(F.lit("child:gone"), F.lit("page:x"), F.lit("owner:old"), F.lit("page:x"))
+    listed = nation.where(n % 2 == 0).groupBy("n_regionkey").agg(F.reverse(F.array_sort(F.collect_list("n_nationkey"))).alias("c")).select(F.col("n_regionkey").alias("r_regionkey"), F.concat(F.transform("c", lambda c: F.concat(F.lit("c"), c.cast("string"))), F.array(F.lit("gone"))).alias("children"))
+    owner = lambda kind, ref: F.struct(F.lit(kind).alias("kind"), ref.alias("ref")).alias("owner")
+    regions = read(spark, d, "region", "r_regionkey").join(listed, "r_regionkey", "left").select(_name("n", "r_regionkey").alias("id"), F.lit("r").alias("key"), owner("application", F.lit("app")), F.lit(None).cast("string").alias("parent"), "children", old.alias("references"))
+    nations = nation.select(_name("c", n).alias("id"), F.col("n_name").alias("key"), owner("component", _name("n", "n_regionkey")), _name("n", "n_regionkey").alias("parent"), F.lit(None).cast("array<string>").alias("children"), old.alias("references"))
+    return merging.rebuilt_references(regions.unionByName(nations)).select("id", F.array_join("children", ",").alias("children"), F.array_join("references", ",").alias("refs"))
+
+
+@query("""SELECT c_custkey AS session, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS frame, 'q' AS page, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS comparison, CASE WHEN c_custkey % 5 = 0 THEN 'x,y' ELSE 'x,y,z' END AS uncertainties FROM customer""")
+def q_continued_answers(spark, d):
+    """Customers' answers after continuations: frames and pages fill gaps, comparisons replace, uncertainties add up."""
+    k = F.col("c_custkey")
+    c = read(spark, d, "customer", "c_custkey")
+    first = c.select(k.alias("session"), F.when(k % 2 == 0, "a").otherwise("").alias("frame"), F.lit(None).cast("string").alias("page"), F.lit("old").alias("comparison"), F.array(F.lit("x"), F.lit("y"), F.lit("x")).alias("uncertainties"))
+    more = c.select(k.alias("session"), F.lit("b").alias("frame"), F.lit("q").alias("page"), F.when(k % 3 == 0, "new").alias("comparison"), F.when(k % 5 != 0, F.array(F.lit("y"), F.lit(None), F.lit("z"))).alias("uncertainties"))
+    return sessions.continued(first, more).withColumn("uncertainties", F.array_join("uncertainties", ","))
+
+
+@query("""
+SELECT p.event_id AS purchase, (SELECT e.event_id FROM events e WHERE e.user_id = p.user_id AND e.event_type = 'error' ORDER BY abs(epoch_us(date_trunc('day', e.ts)) - epoch_us(date_trunc('day', p.ts))), e.event_id % 7 DESC, e.event_id LIMIT 1) AS error FROM events p WHERE p.event_type = 'purchase'""")
+def q_nearest_preferred(spark, d):
+    """The error nearest in days to each purchase of a user; of several on such a day that of the greatest number by seven."""
+    e = read(spark, d, "events", "user_id", "event_id", "event_type", "ts").withColumn("day", F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp")))).withColumn("rank", F.col("event_id") % 7)
+    p = e.where("event_type = 'purchase'").select("user_id", "day", F.col("event_id").alias("purchase"))
+    r = e.where("event_type = 'error'").select("user_id", "day", "rank", F.col("event_id").alias("error"))
+    return selection.nearest_pairs(p, r, ["user_id"], "day", "day", "purchase", "error", prefer="rank").select("purchase", "error")
+
+
+@query("SELECT 'gateway' AS what, s_suppkey AS id FROM supplier WHERE s_nationkey % 5 <> 0 UNION ALL SELECT 'assignment', c_custkey FROM customer WHERE c_custkey % 150 NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 = 0)")
+def q_cascade(spark, d):
+    """Suppliers as gateways and customers as their assignments after some gateways are removed."""
+    gates = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    used = read(spark, d, "customer", "c_custkey").withColumn("gate", F.col("c_custkey") % 150)
+    left, rest = merging.cascade(gates, used, gates.where("s_nationkey % 5 = 0"), "s_suppkey", "gate")
+    return left.select(F.lit("gateway").alias("what"), F.col("s_suppkey").alias("id")).union(rest.select(F.lit("assignment"), "c_custkey"))

@@ -92,6 +92,17 @@ def continuation(first: DataFrame, more: DataFrame, keys: list[str]) -> DataFram
     return both.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "part")
 
 
+def continued(first: DataFrame, more: DataFrame) -> DataFrame:
+    """Answers (session, frame, page, comparison, uncertainties) after their continuation: frame and page only where the answer has none, the continuation's comparison where it has one, uncertainties of both, each text once in order."""
+    b = more.select("session", *[F.col(c).alias(f"__{c}") for c in ("frame", "page", "comparison", "uncertainties")])
+    rows = first.join(b, "session", "full_outer")
+    none = F.array().cast("array<string>")
+    both = F.array_distinct(F.array_compact(F.concat(F.coalesce("uncertainties", none), F.coalesce("__uncertainties", none))))
+    has = F.col("uncertainties").isNotNull() | F.col("__uncertainties").isNotNull()
+    given = lambda c: F.when(F.col(c) != "", F.col(c)) if first.schema[c].dataType.simpleString() == "string" else F.col(c)
+    return rows.select("session", F.coalesce(given("frame"), "__frame").alias("frame"), F.coalesce(given("page"), "__page").alias("page"), F.coalesce("__comparison", "comparison").alias("comparison"), F.when(has, both).alias("uncertainties"))
+
+
 def apply_if_current(table: DataFrame, writes: DataFrame, key: str, order: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(table, refused) after writes that name the revision they change: (key, revision, payload); a write of another revision, of none, or of an unknown key is refused.
 
