@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,40 @@ def test_held_out_accuracy(spark):
     assert sorted(map(str, again)) == sorted(str(r).replace(f", held={r.held}", "") for r in found)
 
 
+def test_network_against_plain_loops():
+    """Every filter at every place of every window, one multiplication after the other: greatest response, rectifier, softmax."""
+    from lattika.llm import language
+
+    rng = np.random.default_rng(3)
+    network = language.ByteNetwork(["a", "b", "c"])
+    network.p["b"] = rng.normal(0, 0.1, network.p["b"].shape).astype(np.float32)
+    texts = ["Straße 12!", "the end of it", "ab", "Été à l'œuvre", "x" * 40]
+    length = 24
+    windows = np.zeros((len(texts), length), np.int32)
+    for i, t in enumerate(texts):
+        part = [language._SYMBOL[b] for b in t.encode()[:length]]
+        windows[i, : len(part)] = part
+    found = network.predict(windows, step=2)
+    for x, probabilities in zip(windows, found):
+        pooled = []
+        for k in language.WIDTHS:
+            w = network.p[f"w{k}"].astype(float)
+            for f in range(language.FILTERS):
+                responses = []
+                for at in range(length - k + 1):
+                    total = 0.0
+                    for o in range(k):
+                        for symbol in range(language.SYMBOLS):
+                            if symbol == x[at + o]:  # the one-hot input is 1 here and 0 elsewhere
+                                total += w[o, symbol, f]
+                    responses.append(total)
+                pooled.append(max(responses))
+        hidden = [max(0.0, p + float(b)) for p, b in zip(pooled, network.p["b"])]
+        z = [sum(h * float(v) for h, v in zip(hidden, network.p["v"][:, c])) + float(network.p["c"][c]) for c in range(3)]
+        e = [math.exp(v - max(z)) for v in z]
+        assert np.allclose(probabilities, [v / sum(e) for v in e], atol=1e-4)
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None, 1, "s")], SCHEMA)
     assert train(df) is None and [r.lang_pred for r in identify(df, None).collect()] == ["und"]
