@@ -56,15 +56,20 @@ def element_issues(elements: DataFrame, types: list[str]) -> DataFrame:
 
 
 def duplicate_keys(elements: DataFrame, keep: Keep) -> DataFrame:
-    """Elements that share a candidate key: on a common page (`..._current_page`) or not (`..._other_page`), with the ids of the others."""
+    """level, code, element for elements that share a candidate key with another: on a common page (`..._current_page`), or with one on none of their pages (`..._other_page`).
+
+    Elements of one key on the same pages are one class, and classes are compared, so a key that many elements have costs no pairs of elements.
+    """
     rows = elements.select(F.col("id").alias("element"), F.col("parentId").alias("parent"), F.col("ownerKind").alias("owner_kind"), F.col("pageId").alias("page"), F.coalesce("availableOnPageIds", F.array().cast("array<string>")).alias("pages"))
-    pages = availability(rows, keep, "draft").groupBy("element").agg(F.collect_set("page").alias("on"))
+    pages = availability(rows, keep, "draft").groupBy("element").agg(F.array_sort(F.collect_set("page")).alias("on"))
     named = elements.where(~_blank("candidateKey")).select(F.trim("candidateKey").alias("key"), F.col("id").alias("element")).join(pages, "element", "left")
     named = named.withColumn("on", F.coalesce("on", F.array().cast("array<string>")))
-    other = named.select("key", F.col("element").alias("other"), F.col("on").alias("other_on"))
-    pairs = named.join(other, "key").where("element <> other").withColumn("common", F.arrays_overlap("on", "other_on"))
+    classes = named.groupBy("key", "on").agg(F.count("*").alias("n"))
+    other = classes.select("key", F.col("on").alias("other_on"), F.col("n").alias("m"))
+    met = classes.join(other, "key").where("on <> other_on OR n > 1").withColumn("common", F.arrays_overlap("on", "other_on"))
     code = F.when(F.col("common"), "candidate_key_duplicate_current_page").otherwise("candidate_key_duplicate_other_page")
-    return pairs.groupBy(F.lit("error").alias("level"), code.alias("code"), "element").agg(F.array_sort(F.collect_set("other")).alias("others"))
+    found = met.select("key", "on", code.alias("code")).distinct()
+    return named.join(found, ["key", "on"]).select(F.lit("error").alias("level"), "code", "element")
 
 
 def draft_issues(elements: DataFrame, types: list[str], keep: Keep) -> DataFrame:
