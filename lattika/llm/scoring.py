@@ -168,7 +168,8 @@ def _entries(docs: DataFrame, sent, role: Column, buckets: int, scored: bool) ->
                 own = [np.bincount(owner[known], weights=a, minlength=n) + np.bincount(owner[~late], weights=np.log(c[first[~late]] + PRIOR), minlength=n) for a, c in zip(losses, models.contexts)]
                 has_id, ids = batch.column(0).is_valid().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy()
                 yield record([name % buckets], name, OWN, [0], [n], has_id.astype(np.uint8), ids.astype(np.int64), counts.astype(np.int64), *own)
-            for kind, of, key, x, y in ((FREQUENT, ~known & ~rare, pair, pair, second.astype(np.uint32)), (RARE, rare, hashes, pair, hashes), (BEFORE, late, before, before, before[:0])):
+            folded = (before ^ (before >> np.uint64(32))).astype(np.uint32)  # beside the word itself it tells a pair as well as a hash of both
+            for kind, of, key, x, y in ((FREQUENT, ~known & ~rare, pair, pair, second.astype(_id_type())), (RARE, rare, hashes, folded, hashes), (BEFORE, late, before, before, before[:0])):
                 bucket = (mix(key[of]) % np.uint64(buckets)).astype(np.int64) * 8 + roles[owner[of]]
                 order = np.argsort(bucket, kind="stable")
                 names, held = np.unique(bucket, return_counts=True)
@@ -186,6 +187,11 @@ def _entries(docs: DataFrame, sent, role: Column, buckets: int, scored: bool) ->
     return text.mapInArrow(run, "bucket int, slice long, kind int, role int, docs binary, x binary, y binary, background binary, target binary")
 
 
+def _id_type():
+    """Numbers of frequent words."""
+    return np.uint16 if VOCABULARY <= 1 << 16 else np.uint32
+
+
 def _flat(column: pa.ChunkedArray, dtype) -> np.ndarray:
     """The runs of a binary column, one after the other."""
     parts = []
@@ -213,8 +219,10 @@ def _bucket_sums(group: pa.Table, models: Models) -> pa.Table:
     where, losses = [], []
     for kind in (FREQUENT, RARE, BEFORE):
         part = group.filter(pa.array(kinds == kind))
-        x, y = _flat(part.column("x"), np.uint64), _flat(part.column("y"), np.uint32 if kind == FREQUENT else np.uint64)
-        lengths = np.array([n // 8 for n in pa.compute.binary_length(part.column("x")).to_pylist()], np.int64)
+        x, y = _flat(part.column("x"), np.uint32 if kind == RARE else np.uint64), _flat(part.column("y"), _id_type() if kind == FREQUENT else np.uint64)
+        lengths = np.array([n // x.itemsize for n in pa.compute.binary_length(part.column("x")).to_pylist()], np.int64)
+        if kind == RARE:
+            x = mix(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y)
         roles = np.repeat(part.column("role").to_numpy(), lengths)
         seen = _count(x, roles)
         scored = roles & SCORED > 0
