@@ -140,7 +140,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
     Nearest first, ties to the smaller vec_id; all candidates where there are fewer than k. Rows without vec_id, and
     vectors that are null, empty or zero or hold null or non-finite components, take no part; nor do vectors of another
     length than the most frequent one. Rows of one vec_id are one result at its least distance, and one query; where their vectors
-    differ they are candidates of their own. An empty table gives no rows. probed: lists to probe, measured on the sample where it is not given.
+    differ they are candidates of their own. Columns other than vec_id and the vector are not read. An empty table gives no rows. probed: lists to probe, measured on the sample where it is not given.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"

@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
 
     A link: 100 * intersection >= percent * union of the sets of `shingle`-word shingles. A text without words
     (or a null text) is linked with nothing. A row without doc_id is linked with nothing either: its component_id is null and it is kept. Rows
-    that share a doc_id are one document with all their links. An empty table gives no rows. `sketch` makes rows of T unsigned
+    that share a doc_id are one document with all their links. Texts of any length are compared whole; other columns are not read. An empty table gives no rows. `sketch` makes rows of T unsigned
     coordinates of sets, which equal one another as often as the sets are alike.
     """
     rows = materialize(sketch_table(docs, shingle, sketch), "sketches")

@@ -160,6 +160,7 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Partitions are ranges of finish, sorted within. taken: the words of the copy that the mix takes: all of them,
     the first ones of a document cut at the end of the mix, or 0 after it. Null texts and texts without words have size 0
     and no words to take; a null source is a source, the last; null and repeated ids count row by row; an empty table gives no rows.
+    A long text is served in packets between those of others. Columns other than doc_id, text and source are not read.
     """
     order = ("finish", "place", "nth", "copy")
     return _copies(served(docs, seed)).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -168,7 +169,8 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 def take(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix as documents in its global order: the rows of `docs` with all their columns, once for each copy taken; a cut copy keeps its first words as they stand.
 
-    Rows without words are not part of a mix. Rows that are equal in doc_id, text and source are told apart by number.
+    Rows without words are not part of a mix. Rows that are equal in doc_id, text and source are told apart by number. A long text is
+    cut only at the end of the mix; an empty table gives no rows.
     """
     taken = _copies(served(docs, seed)).where("taken > 0").select("row_key", "nth", "place", "finish", "size", "taken")
     taken = materialize(taken.groupBy("row_key", "place", "nth").agg(F.max("size").alias("size"), F.collect_list(F.struct("finish", "taken")).alias("takes")), "takes")

@@ -107,7 +107,8 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """The measurements of every document and kept: false if a base rule failed or the host is refused.
 
-    Every row gives one row; null and repeated ids pass through; an empty table gives no rows.
+    Every row gives one row; null and repeated ids pass through; an empty table gives no rows. Texts of any length are measured
+    whole, a null text as empty; columns other than doc_id, text and source are not read.
     """
     measured = materialize(measure(docs), "measures")
     verdicts = host_verdicts(measured).select("host", "refused")

@@ -256,6 +256,7 @@ def score(docs: DataFrame, models: Models, good: Column | None = None) -> DataFr
     """doc_id, n_tokens, target_loss, background_loss and score (their difference), per token in nats; one row per row of `docs`.
 
     A text without words (or a null text) has 0 tokens and null losses. Null and repeated ids pass through; an empty table gives no rows.
+    Texts of any length count whole, hashed in chunks; columns other than doc_id and text are not read.
     good: where `docs` is the background, what is true of its rows that are the target and of no other; the target is then not read again.
     """
     sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by VOCABULARY and PAIRS

@@ -227,7 +227,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every span of a secret in `text` replaced by `mark` (overlapping spans by one); all rows and columns stay.
 
-    Null texts stay null.
+    Null texts stay null, repeated rows are treated alike, long texts are whole, and an empty table stays empty.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = set().union(*(trigrams(q) for q in queries)) if rules else set()

@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
     """Write all documents under `path`; returns the manifest: part, file, documents, tokens, first_token (one row per file).
 
     `end_id` follows the ids of each document; a null text is empty. Rows without doc_id come first; rows that
-    share a doc_id lie side by side, by hash of their text. An empty table gives an empty manifest.
+    share a doc_id lie side by side, by hash of their text. Long texts are encoded in segments and written whole; other columns are not read. An empty table gives an empty manifest.
     """
     vocabulary = tokenizer_path or public_path()
 

@@ -43,7 +43,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, compressio
 
     The payload is the html in UTF-8, a null html being empty. Of the rows whose payloads are equal and at least
     `least_bytes` long, the one with the smallest page_id is a response and rows with other ids revisit it without a payload. Rows
-    without page_id are responses unless a row with one has their payload. An empty table writes no record.
+    without page_id are responses unless a row with one has their payload. Payloads of any length are written whole; columns other than these three are not read.
+    An empty table writes no record.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
