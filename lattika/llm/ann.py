@@ -26,7 +26,7 @@ from lattika.llm.common import materialize, release, table
 SAMPLE, LISTS, WORDS, PART = 20_000, 2048, 256, 4
 #: Share of the sample's true neighbours that the probed lists must hold; queries of the sample that measure it.
 RECALL, TRIED = 0.96, 256
-#: Candidates of a query that are measured exactly; vectors of a block; queries that meet a block in one task.
+#: Candidates of a query that are measured exactly (a block returns no more, and only those within the distance that as many of the sample keep within); vectors of a block; queries that meet a block in one task.
 RERANK, BLOCK, QUERY_BLOCK = 200, 4096, 4096
 
 
@@ -152,13 +152,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
     rows = rows.where(F.size("v") == dim)
     hashed = F.xxhash64("vec_id")
     share = min(1.0, 1.2 * SAMPLE / total)
-    sample = rows.where(F.pmod(hashed, F.lit(1 << 20)) < share * (1 << 20)).select("v", hashed.alias("h")).orderBy("h").limit(SAMPLE).toPandas()
+    sample = rows.where(F.pmod(hashed, F.lit(1 << 20)) < share * (1 << 20)).select("vec_id", "v", hashed.alias("h")).orderBy("h").limit(SAMPLE).toPandas()
     if not len(sample):
-        sample = rows.select("v").limit(SAMPLE).toPandas()
+        sample = rows.select("vec_id", "v").limit(SAMPLE).toPandas()
     known = np.array(sample["v"].tolist(), np.float64)
     quantizer = Quantizer(known, int(min(LISTS, max(1, total**0.5))))
     lists = len(quantizer.coarse)
     probes = min(lists, probed or quantizer.probes(known, k))
+    sampled, one = np.unique(sample["vec_id"].to_numpy(np.int64), return_index=True)
+    sample_list, sample_codes, sample_bias = quantizer.encode(known[one])
+    sample_places = np.arange(sample_codes.shape[1]) * WORDS + sample_codes
+
+    def limit(query_id: int, query: np.ndarray, probing: np.ndarray) -> float:
+        """A coded distance that `rerank` other members of the probed lists surely keep within, as so many of the sample do."""
+        seen = np.isin(sample_list, probing) & (sampled != query_id)
+        if seen.sum() < rerank:
+            return float("inf")
+        center = ((query - quantizer.coarse) ** 2).sum(axis=1)
+        near = quantizer.table(query).ravel()[sample_places[seen]].sum(axis=1) + sample_bias[seen] + center[sample_list[seen]]
+        far = np.partition(near, rerank - 1)[rerank - 1]
+        return float(far + 1e-9 * (abs(far) + 1))  # rounding may differ where sums are taken otherwise
 
     def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,20 +192,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
             order = _nearest(_matrix(batch.column(1), dim), quantizer.coarse, lists).reshape(batch.num_rows, -1)
             enough = (np.cumsum(held[order], axis=1) > k).argmax(axis=1) + 1  # lists that surely hold k others
             enough[held.sum() <= k] = lists
-            at, block, wanted = [], [], []
+            at, block, wanted, limits = [], [], [], []
+            vectors = _matrix(batch.column(1), dim)
             for i, n in enumerate(np.maximum(probes, enough)):
                 of: dict[int, list[int]] = {}
                 for own in order[i, :n].tolist():
                     for b in range(first[own], first[own] + parts[own]):
                         of.setdefault(int(b), []).append(own)
                 at += [i] * len(of)
+                limits += [limit(batch.column(0)[i].as_py(), vectors[i], order[i, :n])] * len(of)
                 block += of.keys()
                 wanted += of.values()
             take = pa.array(at, pa.int64())
-            yield pa.record_batch({"block": pa.array(block, pa.int64()), "query_id": batch.column(0).take(take), "query": batch.column(1).take(take), "asker": batch.column(2).take(take), "lists": pa.array(wanted, pa.list_(pa.int32()))})
+            yield pa.record_batch({"block": pa.array(block, pa.int64()), "query_id": batch.column(0).take(take), "query": batch.column(1).take(take), "asker": batch.column(2).take(take), "lists": pa.array(wanted, pa.list_(pa.int32())), "limit": pa.array(limits, pa.float64())})
 
     queries = index.where("q").select("vec_id", "v", F.xxhash64("vec_id", "v").alias("asker")).dropDuplicates(["vec_id", "asker"])
-    asked = materialize(queries.mapInArrow(probe_batches, "block long, query_id long, query array<double>, asker long, lists array<int>"), "ann-queries")
+    asked = materialize(queries.mapInArrow(probe_batches, "block long, query_id long, query array<double>, asker long, lists array<int>, limit double"), "ann-queries")
     dealt = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(first, parts))], "list int, first long, parts long")
     block = F.col("first") + F.pmod(F.xxhash64("vec_id", "codes"), F.col("parts"))
     placed = index.join(F.broadcast(dealt), "list").withColumn("block", block)  # LISTS rows at most
@@ -205,14 +220,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
             codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             places = np.arange(codes.shape[1]) * WORDS + codes
             block = members.column("block")[0].as_py()
-            for query_id, asker, query, wanted in zip(asking.column("query_id").to_pylist(), asking.column("asker").to_pylist(), _matrix(asking.column("query"), dim), asking.column("lists").to_pylist()):
+            for query_id, asker, query, wanted, within in zip(asking.column("query_id").to_pylist(), asking.column("asker").to_pylist(), _matrix(asking.column("query"), dim), asking.column("lists").to_pylist(), asking.column("limit").to_pylist()):
                 spans = [(a, b, c) for a, b, c in zip(np.searchsorted(own, wanted), np.searchsorted(own, wanted, side="right"), wanted) if b > a]
                 if not spans:
                     continue
                 at = np.concatenate([np.arange(a, b) for a, b, _ in spans])
                 to_center = np.repeat([((query - quantizer.coarse[c]) ** 2).sum() for _, _, c in spans], [b - a for a, b, _ in spans])
                 near = quantizer.table(query).ravel()[places[at]].sum(axis=1) + bias[at] + to_center
-                other = ids[at] != query_id
+                other = (ids[at] != query_id) & (near <= within)
                 best = _least(near[other], ids[at][other], rerank)
                 found.append((np.full(len(best[0]), asker), np.full(len(best[0]), query_id), *best, np.full(len(best[0]), block)))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64, np.int64)]
