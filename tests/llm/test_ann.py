@@ -41,6 +41,14 @@ def test_recall_and_exact_scores(spark):
     assert all(d == pytest.approx(exact[q][i], rel=1e-12) and near == sorted(near) for q, near in found.items() for d, i in near)
 
 
+def test_recall_of_queries_that_lie_elsewhere(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(60, 32))
+    rows = [(i, (rng.normal(scale=1.5, size=32) if i % 10 == 0 else centers[i % 60] + rng.normal(scale=0.3, size=32)).tolist()) for i in range(4000)]
+    found, truth = run(spark, rows), brute(rows)
+    assert sum(len({i for _, i in found[q]} & {i for _, i in truth[q]}) for q in truth) >= 0.9 * sum(map(len, truth.values()))
+
+
 def test_codes_choose_the_candidates(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(2500)]
