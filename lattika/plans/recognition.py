@@ -152,8 +152,11 @@ def normalized_comparison(status: Column, changes: Column) -> Column:
 
 
 def complete(element: Column) -> Column:
-    """A recovered element (JSON text) holds every part that a candidate needs, two of them in its meaning if not in itself."""
-    e = F.try_parse_json(element)
+    """A recovered element (JSON text) holds every part that a candidate needs, two of them in its meaning if not in itself. The text is parsed once, not for each part."""
+    return F.get(F.transform(F.array(F.try_parse_json(element)), _whole), F.lit(0))
+
+
+def _whole(e: Column) -> Column:
     has = lambda p, kind: _is(_at(e, p), kind)
     key = F.when(_given(_at(e, "$.candidateKey")), _at(e, "$.candidateKey")).otherwise(_at(e, "$.candidate_key"))
     parts = [present(F.trim(_text(key))), *[has(f"$.{f}", "STRING") for f in ("visualDescription", "elementType", "geometryKind")], has("$.interactive", "BOOLEAN"), has("$.geometryConfidence", "NUMBER")]
