@@ -15,7 +15,7 @@ def page_statistics(pages: DataFrame, elements: DataFrame, edges: DataFrame, kee
     A page owns its elements and all that lie in them: an element counts for the page of its topmost ancestor.
     """
     tops = terminal_owner(elements.select(F.col("element").alias("node"), "parent"), keep).where("terminal IS NOT NULL").select(F.col("terminal").alias("element"))
-    owned = tops.join(elements.select("element", "page"), "element").groupBy("page").agg(F.count("*").alias("owned"))
+    owned = tops.join(elements.select("element", "page").hint("merge"), "element").groupBy("page").agg(F.count("*").alias("owned"))
     into = edges.groupBy(F.col("target").alias("page")).agg(F.count("*").alias("inbound"))
     out = edges.groupBy(F.col("source").alias("page")).agg(F.count("*").alias("outbound"), F.count_if("shared").alias("shared"))
     joined = pages.select("page")
