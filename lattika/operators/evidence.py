@@ -19,8 +19,11 @@ def control_candidates(targets: DataFrame, controls: DataFrame, traces: DataFram
     passed = F.get(F.filter("attempts", lambda a: a["status"] == "pass"), F.lit(0))["rect"]
     used = pattern_matches(targets, traces, "key").select("target", "frame", "captured_at", passed.alias("rect"), F.lit("trace").alias("origin"))
     both = seen.unionByName(used).where("rect IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("target").orderBy(F.col("captured_at").desc_nulls_last(), "origin", "frame"))
-    return both.withColumn("latest", rank == 1)
+    first = both.groupBy("target", "captured_at").agg(F.min(F.struct("origin", "frame")).alias("first"))
+    best = first.groupBy("target").agg(F.max(F.struct("captured_at", "first")).alias("best"))  # a row per target; a null time is the least
+    one = F.row_number().over(Window.partitionBy("target", "captured_at", "origin", "frame").orderBy("rect"))  # of rows that are equal in these one is the latest
+    is_best = F.struct("captured_at", F.struct("origin", "frame")).eqNullSafe(F.col("best"))
+    return both.withColumn("__one", one).join(F.broadcast(best), "target").withColumn("latest", is_best & (F.col("__one") == 1)).drop("best", "__one")
 
 
 def matching_traces(transitions: DataFrame, traces: DataFrame) -> DataFrame:

@@ -42,3 +42,15 @@ def test_rounds_send_no_table_through_the_driver(spark, tmp_path):
     ring = nodes.select(F.col("node").alias("a"), F.coalesce("parent", F.lit(63)).alias("b"))
     assert graph.on_cycles(ring, keep).count() == 64
     assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
+def test_no_window_holds_all_rows_of_a_target(spark):
+    from lattika.operators.evidence import control_candidates
+
+    targets = spark.createDataFrame([("t", ["k"])], "target string, patterns array<string>")
+    controls = spark.createDataFrame([("k", f, at, 1.0, None) for f, at in ((3, 5), (2, 7), (2, 7), (4, 7), (1, None))], "key string, frame long, captured_at int, locator double, geometry double")
+    traces = spark.createDataFrame([], "key string, frame long, captured_at int, attempts array<struct<status:string,rect:double>>")
+    found = control_candidates(targets, controls, traces)
+    assert sorted((r.frame, r.latest) for r in found.collect()) == [(1, False), (2, False), (2, True), (3, False), (4, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window [" in line and line.count("#") and "[target" in line and "captured_at" not in line.split("], [")[1] for line in plan.splitlines() if "Window [" in line)
