@@ -30,15 +30,16 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter. All others stay, however uncertain theirs is.
+    """Drops documents without a language: null texts and texts without a letter. All others stay, however uncertain theirs is, and `lang` is then the language found in the whole text, which packing goes by.
 
-    Rows are judged one by one, repeated rows alike; an empty table stays empty. Where no row has a label to learn from, texts with a letter stay.
+    Rows are judged one by one, repeated rows alike; an empty table stays empty. Where no row has a label to learn from, texts with a letter stay as they are.
     """
     _small_batches(spark)
     network = train(docs)
     if network is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return identify(docs, network, "__language", "__certainty").where(F.col("__language") != UNKNOWN).drop("__language", "__certainty")
+    found = identify(docs, network, "__language", "__certainty").where(F.col("__language") != UNKNOWN)
+    return found.withColumn("lang", F.col("__language").cast(docs.schema["lang"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +64,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths with their ids, bucket by bucket in each partition; a null text is empty, repeated rows are packed alike. An empty table gives no rows."""
+    """Sequences of power-of-two lengths with their ids and language, bucket by bucket of a language and a length in each partition; a null text is empty, repeated rows are packed alike. An empty table gives no rows."""
     _small_batches(spark)
-    return pack(docs)
+    return pack(docs, by="lang")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lattika.llm.batches import binary, slices
 from lattika.llm.tokenization import TEXTS, public_path, tokenizer
@@ -34,20 +35,22 @@ def binary_lengths(total: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndar
     return owner, np.repeat(np.tile(digits, len(total)), copies.ravel())
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, longest: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, longest: int = 2048, by: str | None = None, texts: tuple[int, int] = TEXTS, remembered: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     `longest` is a power of two. `end_id` follows the ids of each document, so an empty or null text is one piece
     of one id. Null and repeated ids of documents are packed row by row like any other; an empty table gives no
     rows; other columns are not read. Sequences of one length are the bucket `length`; buckets lie one after the other in each partition.
+    `by` names a column of documents that pieces keep, last, and whose values have buckets of their own. `texts` (rows, bytes) are encoded together, and a worker remembers `remembered`
+    bytes of pieces; neither changes a row.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    path = tokenizer_path or public_path()
+    path, kept = tokenizer_path or public_path(), [by] if by else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = tokenizer(path), TaskContext.get().partitionId() * NUMBERS
-        for batch in slices(batches, *TEXTS):
+        encoder, number = tokenizer(path, remembered), TaskContext.get().partitionId() * NUMBERS
+        for batch in slices(batches, *texts):
             flat, totals = encoder.encode(batch.column(1).to_pylist(), end_id)
             owner, length = binary_lengths(totals, longest)
             begin = np.cumsum(length) - length
@@ -60,12 +63,14 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, lo
                     "doc_tokens": totals[owner],
                     "sequence_id": number + np.arange(len(owner)),
                     "offset": np.zeros(len(owner), np.int64),
+                    **{name: batch.column(2).take(pa.array(owner)) for name in kept},
                 }
             )
             number += len(owner)
 
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema).sortWithinPartitions("length", "sequence_id")
+    schema = StructType.fromDDL("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    schema = StructType([*schema.fields, *[docs.schema[name] for name in kept]])
+    return docs.select(F.col("doc_id").cast("long"), "text", *kept).mapInArrow(cut, schema).sortWithinPartitions(*kept, "length", "sequence_id")
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -45,6 +45,7 @@ class PieceTokenizer:
     """Encodes texts into one flat id array and the number of ids of each text."""
 
     def __init__(self, path: str):
+        self.bound = CACHE_BYTES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
@@ -128,7 +129,7 @@ class PieceTokenizer:
 
     def _pieces(self, segments: list[tuple[str | int, bool]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and ids per segment."""
-        if self.held > CACHE_BYTES:
+        if self.held > self.bound:
             self._clear()
         counts, starts = np.zeros((2, len(segments)), np.int64)
         joined, rows, others = [], [], []  # segments that are split together, their places, and the pieces of all other segments
@@ -221,8 +222,9 @@ def ragged(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-def tokenizer(path: str) -> PieceTokenizer:
-    """This worker's tokenizer for a file, loaded once."""
+def tokenizer(path: str, remembered: int | None = None) -> PieceTokenizer:
+    """This worker's tokenizer for a file, loaded once; it remembers so many bytes, CACHE_BYTES where these are not given."""
     if path not in _BY_PATH:
         _BY_PATH[path] = PieceTokenizer(path)
+    _BY_PATH[path].bound = remembered or CACHE_BYTES
     return _BY_PATH[path]

@@ -96,3 +96,30 @@ def test_run_gives_what_the_last_stage_wrote(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packing_goes_by_the_language_found(spark, tmp_path):
+    rows = [(i, t, None if i % 7 == 0 else lang, s, 0, "x", "y") for i, t, lang, s in documents()]
+    stages = dict(corpus_pipeline.STAGES)
+    found = {r.doc_id: r.lang for r in stages["language"](spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    told = {i: lang for i, t, lang, s in documents()}
+    assert set(found.values()) == {"aa", "bb"} and sum(found[i] == told[i] for i in found) > 0.9 * len(found)
+    docs = spark.createDataFrame([(i, t, found[i], s, 0, "x", "y") for i, t, _, s, *_ in rows if i in found], SCHEMA).coalesce(1)
+    pieces = stages["packing"](spark, docs, "").collect()
+    assert {(p.doc_id, p.lang) for p in pieces} == set(found.items())
+    assert [(p.lang, p.length, p.sequence_id) for p in pieces] == sorted((p.lang, p.length, p.sequence_id) for p in pieces)
+
+
+def test_packing_forgets_what_an_executor_cannot_hold(spark):
+    from lattika.llm.packing import pack
+    from lattika.llm.tokenization import tokenizer
+
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join("%x" % rnd.getrandbits(40) for _ in range(60)), "aa") for i in range(120)], "doc_id long, text string, lang string").coalesce(1)
+    whole = pack(docs).collect()
+    assert [tuple(p)[:7] for p in sorted(pack(docs, by="lang", texts=(7, 2_000), remembered=5_000).collect(), key=lambda p: p.sequence_id)] == sorted(map(tuple, whole), key=lambda p: p[5])
+    small = tokenizer(public_path(), 5_000)
+    for i in range(20):
+        small.encode([f"{i}a{k}" for k in range(60)])
+        assert small.held < 5_000 + 60 * 200
+    tokenizer(public_path())
