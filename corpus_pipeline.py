@@ -18,6 +18,8 @@ from lattika.llm.secrets import redact
 
 #: Rows of an Arrow batch: texts are long, and a batch is held on both sides of a worker's pipe.
 BATCH = 2_500
+#: Rows and bytes of texts that packing encodes together, and bytes of pieces that it remembers: less than op1's, as the executors still hold what earlier stages took.
+PACKED_TEXTS, PACKED_REMEMBERED = (2_000, 2 << 20), 32 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -66,7 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two lengths with their ids and language, bucket by bucket of a language and a length in each partition; a null text is empty, repeated rows are packed alike. An empty table gives no rows."""
     _small_batches(spark)
-    return pack(docs, by="lang")
+    return pack(docs, by="lang", texts=PACKED_TEXTS, remembered=PACKED_REMEMBERED)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]
