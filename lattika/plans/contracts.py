@@ -38,15 +38,15 @@ def component_errors(contracts: DataFrame, elements: DataFrame, pages: DataFrame
     """Certified components that are not built as certified: a container on the source page that owns just its label and its trigger.
 
     contracts: key, source (a page, or null), trigger, fact (map of PARTS; other contracts have none of them); elements: id, type, owner_kind, owner, children,
-    capabilities, actionable; pages: id, elements.
+    capabilities, actionable; pages: id, elements. Elements and pages are as many as contracts, so joins merge: a task holds its own share of them and none passes through the driver.
     """
     given = contracts.where(F.arrays_overlap(F.map_keys("fact"), F.array(*map(F.lit, PARTS))))
     whole = F.size(F.array_except(F.array(*map(F.lit, PARTS)), F.map_keys("fact"))) == 0
     rows, key = given.where(whole), F.col("key")
     for name, part in (("container", PARTS[3]), ("label", PARTS[4]), ("certified", PARTS[5])):
         e = elements.select(F.col("id").alias(f"__{name}"), F.struct("*").alias(name))
-        rows = rows.join(e, F.col("fact")[part] == F.col(f"__{name}"), "left").drop(f"__{name}")
-    rows = rows.join(pages.select(F.col("id").alias("source"), F.col("elements").alias("listed")), "source", "left")
+        rows = rows.join(e.hint("merge"), F.col("fact")[part] == F.col(f"__{name}"), "left").drop(f"__{name}")
+    rows = rows.join(pages.select(F.col("id").alias("source"), F.col("elements").alias("listed")).hint("merge"), "source", "left")
     found = rows.where("container IS NOT NULL AND label IS NOT NULL AND certified IS NOT NULL")
     on_page = F.col("listed").isNotNull()
     own = lambda e: F.col(f"{e}.owner_kind").eqNullSafe(F.lit("component")) & F.col(f"{e}.owner").eqNullSafe(F.col("container.id"))

@@ -54,3 +54,19 @@ def test_no_window_holds_all_rows_of_a_target(spark):
     assert sorted((r.frame, r.latest) for r in found.collect()) == [(1, False), (2, False), (2, True), (3, False), (4, False)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Window [" in line and line.count("#") and "[target" in line and "captured_at" not in line.split("], [")[1] for line in plan.splitlines() if "Window [" in line)
+
+
+def test_certified_components_are_not_broadcast(spark):
+    from lattika.plans.contracts import component_errors
+
+    fact = "map('visibleLabel', 'v', 'actionableControl', 'a', 'labelTextActionable', 'false', 'containerElementRef', concat('c', id), 'labelElementRef', concat('l', id), 'triggerElementRef', concat('b', id))"
+    k = spark.range(20)
+    agreed = k.selectExpr("id AS key", "concat('p', id) AS source", "concat('b', id) AS trigger", f"{fact} AS fact")
+    common = "array() AS capabilities", "id < 0 AS actionable"
+    parts = k.selectExpr("concat('c', id) AS id", "'container' AS type", "'page' AS owner_kind", "concat('p', id) AS owner", "array(concat('l', id), concat('b', id)) AS children", *common)
+    for x, kind in (("l", "text_label"), ("b", "button")):
+        parts = parts.union(k.selectExpr(f"concat('{x}', id)", f"'{kind}'", "'component'", "concat('c', id)", "array()", *common))
+    pages = k.selectExpr("concat('p', id) AS id", "array(if(id = 3, 'x', concat('c', id))) AS elements")
+    found = component_errors(agreed, parts, pages)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("container_unlisted", "3", "c3")]
