@@ -70,3 +70,15 @@ def test_certified_components_are_not_broadcast(spark):
     found = component_errors(agreed, parts, pages)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [("container_unlisted", "3", "c3")]
+
+
+def test_a_task_reads_a_bounded_part_of_a_table(spark, tmp_path):
+    from lattika.operators.rounds import READ_BYTES
+    from lattika.plans.catalogue import read
+
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    for before, after in (("128m", str(READ_BYTES)), ("1m", "1m")):
+        spark.conf.set(name, before)
+        assert read(spark, str(tmp_path), "t").count() == 3 and spark.conf.get(name) == after
+    spark.conf.unset(name)
