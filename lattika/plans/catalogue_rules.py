@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lattika.functions import geometry as G
 from lattika.functions import text as T
 from lattika.operators import hashing, merging, selection
-from lattika.operators.rounds import keep, shared_folder
+from lattika.operators.rounds import keep, shared_folder, spread
 from lattika.plans import drafts, invalidations, project_graph, views
 from lattika.plans.catalogue import query, read
 from lattika.sources import readers, session_files, writers
@@ -283,7 +283,7 @@ def q_session_files(spark, d):
     lines = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.to_json(F.struct(F.concat(F.lit("f"), t["turn"].cast("string")).alias("id"), t["turn"].alias("turn"), t["text"].alias("text")))), "\n").alias("frames"))
     own = F.to_json(F.struct(_name("s", "conv_id").alias("id"), F.struct((F.col("conv_id") % 5 == 0).alias("offlineFixture")).alias("executionAuthorization")))
     files = lines.select(F.explode(F.array(F.struct(F.lit("raw-session.json").alias("f"), own.alias("text")), F.struct(F.lit("raw-action-traces.jsonl").alias("f"), F.col("frames").alias("text")))).alias("x"), "conv_id")
-    writers.text_files(files.select(F.concat_ws("/", _name("s", "conv_id"), F.col("x.f")).alias("path"), F.col("x.text").alias("text")), root)
+    writers.text_files(spread(files.select(F.concat_ws("/", _name("s", "conv_id"), F.col("x.f")).alias("path"), F.col("x.text").alias("text")), "path"), root)
     found = session_files.evidence_maps(session_files.session_records(spark, root))[3]
     turn = F.variant_get("record", "$.turn", "int")
     return found.groupBy(F.substring("session", 2, 20).cast("long").alias("session")).agg(F.count("*").alias("turns"), F.max(turn).cast("int").alias("last"))
