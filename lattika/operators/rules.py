@@ -8,7 +8,7 @@ no array of a record with many relations travels with each of them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -45,6 +45,13 @@ class Facts:
     edges: tuple[tuple[str, str], ...] = ()
 
 
+def looked_up(facts: list[Facts], rules: list[Rule]) -> list[Facts]:
+    """Of what the tables state, that which some rule looks up; at least one statement, so that there is a table of facts."""
+    asked = {r.to for r in rules}
+    part = [replace(f, kinds=tuple(k for k in f.kinds if k in asked), edges=tuple(e for e in f.edges if e[0] in asked)) for f in facts]
+    return [f for f in part if f.kinds or f.edges] or facts[:1]
+
+
 def facts_table(facts: list[Facts], tables: dict[str, DataFrame]) -> DataFrame:
     """kind, id, n and the attributes of all records and edges, one row for each kind and id; of records that share both, the attributes of the greatest."""
     types = {}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattika.operators.graph import Keep, availability, terminal_owner
-from lattika.operators.rules import Facts, Rule, facts_table, violations_of
+from lattika.operators.rules import Facts, Rule, facts_table, looked_up, violations_of
 
 # Which roles the profiles of setting rows need and allow, which of them act and which must not, the role that the row itself may play and the one that may share its element with that.
 PROFILES = [
@@ -223,9 +223,9 @@ def with_ends(elements: DataFrame, keep: Keep) -> DataFrame:
     up = F.when(part, F.col("owner.ref"))
     ends = terminal_owner(elements.select(F.col("id").alias("node"), up.alias("parent")), keep)
     last = elements.select(F.col("id").alias("terminal"), F.col("owner.kind").alias("terminal_kind"), F.col("owner.ref").alias("terminal_ref"))
-    found = ends.join(last, "terminal", "left").select(F.col("node").alias("id"), F.when(F.col("state") == "root", "ok").otherwise(F.col("state")).alias("terminal_state"), "terminal_kind", "terminal_ref")
+    found = ends.join(last.hint("merge"), "terminal", "left").select(F.col("node").alias("id"), F.when(F.col("state") == "root", "ok").otherwise(F.col("state")).alias("terminal_state"), "terminal_kind", "terminal_ref")
     profiles = spark.createDataFrame(PROFILES, "profile string, required array<string>, optional array<string>, acting array<string>, passive array<string>, self_role string, lone_role string")
-    rows = elements.join(found, "id", "left").join(F.broadcast(profiles.select(F.col("profile").alias("__profile"), F.struct("*").alias("p"))), F.col("composition.profile") == F.col("__profile"), "left").drop("__profile")  # a row for each profile above
+    rows = elements.join(found.hint("merge"), "id", "left").join(F.broadcast(profiles.select(F.col("profile").alias("__profile"), F.struct("*").alias("p"))), F.col("composition.profile") == F.col("__profile"), "left").drop("__profile")  # a row for each profile above
     says = lambda prefix: F.coalesce(F.array_contains("relationshipRefs", F.concat(F.lit(prefix), F.col("owner.ref"))), F.lit(False))
     return rows.withColumns({"roles": F.col("composition.roles"), "says_owner": says("owner:"), "says_parent": says("parent:")})
 
@@ -240,7 +240,7 @@ def shared_places(elements: DataFrame) -> DataFrame:
 
 
 def graph_errors(tables: dict[str, DataFrame], keep: Keep, rules: list[Rule] = RULES) -> DataFrame:
-    """(rule, subject, detail): all that is wrong with a graph. See the module for the tables."""
+    """(rule, subject, detail): all that is wrong with a graph. See the module for the tables. Facts and availability that no rule looks up are not gathered."""
     elements = keep(with_ends(tables["elements"], keep), "elements")
     listed = F.concat(F.coalesce("availableOnPageRefs", F.array().cast("array<string>")), F.when(F.col("owner.kind") == "page", F.array("owner.ref")).otherwise(F.array().cast("array<string>")))
     chain = elements.select(F.col("id").alias("element"), F.when(F.expr(_PARTS), F.col("owner.ref")).alias("parent"), F.col("owner.kind").alias("owner_kind"), F.lit(None).cast("string").alias("page"), listed.alias("pages"))
@@ -251,6 +251,9 @@ def graph_errors(tables: dict[str, DataFrame], keep: Keep, rules: list[Rule] = R
     known = elements.select(F.col("id").alias("triggerElementRef"), F.lit(True).alias("known"))
     scopes = keep(exact.unionByName(wide).join(known, "triggerElementRef", "left"), "scopes")
     verified = contracts.where("runtimeEvidenceStatus = 'verified'").select("id", "key", F.col("verifiedTransitionRef").alias("__t")).join(tables["transitions"].select(F.col("id").alias("__t"), "sourceRef"), "__t")
-    given = {**tables, "verified": verified, "elements": elements, "available": keep(availability(chain, keep), "available"), "scopes": scopes}
-    found = violations_of([r for r in rules if r.table in given], given, SUBJECTS, CARRIES, facts_table(FACTS, given))
+    given = {**tables, "verified": verified, "elements": elements, "scopes": scopes}
+    facts = looked_up(FACTS, rules)
+    if any(f.table == "available" for f in facts):
+        given["available"] = keep(availability(chain, keep), "available")
+    found = violations_of([r for r in rules if r.table in given], given, SUBJECTS, CARRIES, facts_table(facts, given))
     return found.unionByName(shared_places(elements))

@@ -29,3 +29,19 @@ def test_many_sessions_share_a_task(spark, tmp_path):
     reader = SessionReader({"path": f"file://{tmp_path}"})
     parts = reader.partitions()
     assert max(len(p.sessions) for p in parts) <= TOGETHER and sum(len(list(reader.read(p))) for p in parts) == 3 * n
+
+
+
+def test_facts_that_no_rule_looks_up_are_left_out():
+    facts = [Facts("a", ("x", "y"), edges=(("u", "array(id)"),)), Facts("b", edges=(("v", "array(id)"),))]
+    assert looked_up(facts, [Rule("r", "a", "f IS NULL", to="x")]) == [Facts("a", ("x",))]
+    assert looked_up(facts, [Rule("r", "a", "f IS NULL", to="v")]) == facts[1:] and len(looked_up(facts, [Rule("r", "a", "true")])) == 1
+
+
+
+def test_owners_are_done_when_no_pointer_moves(spark):
+    plans = []
+    nodes = spark.range(100).select(F.col("id").alias("node"), F.when(F.col("id") % 2 == 1, F.col("id") - 1).when(F.col("id") == 98, 99).when(F.col("id") == 96, 500).alias("parent"))
+    found = {r.node: (r.terminal, r.hops, r.state) for r in graph.terminal_owner(nodes, kept_plans(plans)).collect()}
+    assert found[4] == (4, 0, "root") and found[5] == (4, 1, "root") and found[96] == (500, 1, "missing") and found[97] == (500, 2, "missing") and found[98] == (None, None, "cycle") and found[99] == (None, None, "cycle")
+    assert len(plans) <= 4  # log n rounds would be seven
