@@ -2,7 +2,7 @@
 
 Both rules below read as a loop over the rows of a frame, one after the other, each taking something that later ones no longer get. Here
 all rows of all frames advance at once: a round settles every row whose outcome no earlier row can still change. A frame of
-any size is dealt out by rows, and candidates come from a join over grid cells, never from all pairs of a frame.
+any size is dealt out by rows, and candidates come from a join over grid cells, never from all pairs of a frame that has more than a few.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ Keep = Callable[[DataFrame, str], DataFrame]
 BOX = ("x", "y", "width", "height")
 #: Sides of boxes that overlap by OVERLAP differ by a factor of 1 / OVERLAP = 5 at most, that is by three levels of a grid whose cells double.
 LEVELS = 3
+#: Boxes of one side of a frame up to which all its pairs are looked at: so few cost less than the cells they lie in.
+FEW = 16
 
 
 def _finite(df: DataFrame) -> DataFrame:
@@ -37,10 +39,17 @@ def near_boxes(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
     """frame, a, b, score of the pairs of boxes of one frame that match: 1 + overlap from OVERLAP on, else 0.5 - distance of centres up to NEAR.
 
     Both: frame, id, x, y, width, height. Overlapping boxes meet in the grid whose cells are about as large as the larger one, where each covers
-    a few cells; of the cells that two share, one counts. Close centres meet in a grid of cells of width NEAR. Boxes with a number that is null or not finite match nothing.
+    a few cells; of the cells that two share, one counts. Close centres meet in a grid of cells of width NEAR. In frames of at most FEW boxes on either side each meets all. Boxes with a number that is null or not finite match nothing.
     """
-    a, b = (_finite(df).select(frame, F.col("id").alias(i), F.struct(*BOX).alias(f"{i}_box")) for df, i in ((left, "a"), (right, "b")))
+    every = [_finite(df).select(frame, F.col("id").alias(i), F.struct(*BOX).alias(f"{i}_box")) for df, i in ((left, "a"), (right, "b"))]
+    crowded = every[0].select(frame).withColumn("n", F.lit(1)).unionByName(every[1].select(frame).withColumn("n", F.lit(1 << 32))).groupBy(frame).agg(F.sum(F.col("n").cast("long")).alias("n"))
+    crowded = crowded.where(F.greatest(F.col("n") % (1 << 32), F.shiftright("n", 32)) > FEW).select(frame)  # counts of both sides in one number
+    few, (a, b) = [df.join(crowded, frame, "left_anti") for df in every], [df.join(crowded, frame, "left_semi") for df in every]
     box = lambda i: tuple(F.col(f"{i}_box.{c}") for c in BOX)
+    shared, apart = iou(box("a"), box("b")), center_distance(box("a"), box("b"))
+    sized = reduce(Column.__and__, [F.col(f"{i}_box.{c}") > 0 for i in "ab" for c in ("width", "height")])
+    score = F.when(sized & (shared >= OVERLAP), shared + 1).when((shared < OVERLAP) & (apart <= NEAR), F.lit(0.5) - apart)
+    pairs = few[0].join(few[1], frame).select(frame, "a", "b", score.alias("score")).where("score IS NOT NULL")
 
     def spread(df: DataFrame, i: str) -> DataFrame:
         x, y, w, h = box(i)
@@ -51,7 +60,6 @@ def near_boxes(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
     size = F.pow(F.lit(2.0), F.col("level"))
     met = spread(a, "a").join(spread(b, "b"), [frame, "level", "cell_x", "cell_y"]).where(F.col("level") == F.greatest("a_level", "b_level"))
     met = met.where((F.col("cell_x") == F.floor(F.greatest("a_box.x", "b_box.x") / size)) & (F.col("cell_y") == F.floor(F.greatest("a_box.y", "b_box.y") / size)))
-    shared = iou(box("a"), box("b"))
     over = met.where(shared >= OVERLAP).select(frame, "a", "b", (shared + 1).alias("score"))
 
     def centre(df: DataFrame, i: str, reach: int) -> DataFrame:
@@ -61,9 +69,8 @@ def near_boxes(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
             df = df.withColumn(name, F.explode(F.sequence(cell(at) - reach, cell(at) + reach)))
         return df
 
-    apart = center_distance(box("a"), box("b"))
     close = centre(a, "a", 0).join(centre(b, "b", 1), [frame, "cell_x", "cell_y"]).where((shared < OVERLAP) & (apart <= NEAR))
-    return over.unionByName(close.select(frame, "a", "b", (F.lit(0.5) - apart).alias("score")))
+    return pairs.unionByName(over).unionByName(close.select(frame, "a", "b", (F.lit(0.5) - apart).alias("score")))
 
 
 def choose_in_turn(offers: DataFrame, frame: str, keep: Keep) -> DataFrame:
@@ -88,16 +95,22 @@ def compare_boxes(left: DataFrame, right: DataFrame, frame: str, keep: Keep) ->
     unused and whose key no left row has: by overlap, else by distance of centres, the first of equals. The rest stands alone.
     """
 
-    def side(df: DataFrame) -> DataFrame:
-        last = F.max_by(F.struct(*[F.col(c).cast("double").alias(c) for c in BOX]), "pos").alias("box")
-        rows = df.select(frame, F.col("key").cast("string").alias("key"), F.col("pos").cast("long").alias("pos"), *BOX).groupBy(frame, "key").agg(F.min("pos").alias("pos"), last)
-        return rows.select(frame, "key", F.struct("pos", "key").alias("id"), *[F.col(f"box.{c}").alias(c) for c in BOX])
+    def given(df: DataFrame, side: str) -> DataFrame:
+        return df.select(frame, F.col("key").cast("string").alias("key"), F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), F.struct(*[F.col(c).cast("double").alias(c) for c in BOX]).alias("box"))
 
-    a, b = side(left), side(right)
-    a_rest, b_rest = a.join(b.select(frame, "key"), [frame, "key"], "left_anti"), b.join(a.select(frame, "key"), [frame, "key"], "left_anti")
+    def of(side: str) -> list[Column]:
+        own = F.col("side") == side
+        last = F.max_by("box", F.when(own, F.col("pos")))
+        return [F.struct(F.min(F.when(own, F.col("pos"))).alias("pos"), last.alias("box"), F.bool_or(own).alias("has")).alias(side)]
+
+    # both sides meet in one grouping, which is written: all below read it
+    met = keep(given(left, "left").unionByName(given(right, "right")).groupBy(frame, "key").agg(*of("left"), *of("right")), "sides")
+    equal = F.col("left.has") & F.col("right.has") & F.col(frame).isNotNull() & F.col("key").isNotNull()
+    rest = lambda side: met.where(F.col(f"{side}.has") & ~equal).select(frame, "key", F.struct(F.col(f"{side}.pos").alias("pos"), "key").alias("id"), *[F.col(f"{side}.box.{c}").alias(c) for c in BOX])
+    a_rest, b_rest = rest("left"), rest("right")
     placed = choose_in_turn(near_boxes(a_rest, b_rest, frame).withColumn("wish", -F.col("score")), frame, keep).select(frame, F.col("a.key").alias("left_key"), F.col("b.key").alias("right_key"))
     none = F.lit(None).cast("string")
-    by_key = a.join(b.select(frame, "key"), [frame, "key"]).select(frame, F.col("key").alias("left_key"), F.col("key").alias("right_key"), F.lit("key").alias("how"))
+    by_key = met.where(equal).select(frame, F.col("key").alias("left_key"), F.col("key").alias("right_key"), F.lit("key").alias("how"))
     left_alone = a_rest.select(frame, F.col("key").alias("left_key")).join(placed, [frame, "left_key"], "left_anti").select(frame, "left_key", none.alias("right_key"), F.lit("left").alias("how"))
     right_alone = b_rest.select(frame, F.col("key").alias("right_key")).join(placed, [frame, "right_key"], "left_anti").select(frame, none.alias("left_key"), "right_key", F.lit("right").alias("how"))
     return by_key.unionByName(placed.withColumn("how", F.lit("place"))).unionByName(left_alone).unionByName(right_alone)

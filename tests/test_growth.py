@@ -45,3 +45,20 @@ def test_owners_are_done_when_no_pointer_moves(spark):
     found = {r.node: (r.terminal, r.hops, r.state) for r in graph.terminal_owner(nodes, kept_plans(plans)).collect()}
     assert found[4] == (4, 0, "root") and found[5] == (4, 1, "root") and found[96] == (500, 1, "missing") and found[97] == (500, 2, "missing") and found[98] == (None, None, "cycle") and found[99] == (None, None, "cycle")
     assert len(plans) <= 4  # log n rounds would be seven
+
+
+
+def test_crowded_and_sparse_frames_match_alike(spark, monkeypatch):
+    k = spark.range(60)
+    rows = k.select((F.col("id") % 3).alias("frame"), F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("pos"), (F.pmod(F.xxhash64("id"), F.lit(50)) / 50).alias("x"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50)) / 50).alias("y"), F.lit(0.2).alias("width"), F.lit(0.3).alias("height"))
+    found = []
+    for few in (0, 16):
+        monkeypatch.setattr(matching, "FEW", few)
+        found.append(sorted(map(tuple, matching.compare_boxes(rows.where("pos % 2 = 1"), rows.where("pos % 2 = 0"), "frame", rounds.keep).collect()), key=str))
+    assert found[0] == found[1] and any(r[3] == "place" for r in found[0])
+    monkeypatch.setattr(matching, "FEW", 16)
+    plans = []
+    alone = rows.where("pos >= 30").withColumn("frame", F.lit(None).cast("long"))
+    out = matching.compare_boxes(rows.where("pos < 30").unionByName(alone), rows.where("pos >= 20").unionByName(alone), "frame", kept_plans(plans))
+    assert sorted(r.how for r in out.where("frame IS NULL").collect()) == ["left"] * 30 + ["right"] * 30 and out.where("how = 'key'").count() == 10
+    assert [label for label, _ in plans].count("sides") == 1
