@@ -62,3 +62,17 @@ def test_crowded_and_sparse_frames_match_alike(spark, monkeypatch):
     out = matching.compare_boxes(rows.where("pos < 30").unionByName(alone), rows.where("pos >= 20").unionByName(alone), "frame", kept_plans(plans))
     assert sorted(r.how for r in out.where("frame IS NULL").collect()) == ["left"] * 30 + ["right"] * 30 and out.where("how = 'key'").count() == 10
     assert [label for label, _ in plans].count("sides") == 1
+
+
+
+def test_checks_of_a_draft_broadcast_no_table_of_elements(spark):
+    from lattika.plans import drafts
+
+    none = F.lit(None).cast("string")
+    rows = spark.range(40).select(
+        F.concat(F.lit("e"), "id").alias("id"), F.lit("").alias("label"), F.concat(F.lit("k"), F.col("id") % 20).alias("candidateKey"), F.lit("image").alias("elementType"), F.struct(*[F.lit(0.1).alias(c) for c in matching.BOX]).alias("bbox"),
+        *[F.lit(1).alias(c) for c in ("gridColumns", "gridRows", "gridRegion")], none.alias("parentId"), F.lit("page").alias("ownerKind"), F.lit("p").alias("pageId"), F.array().cast("array<string>").alias("availableOnPageIds"),
+        F.array(F.lit("tap")).alias("capabilities"), F.lit("accepted").alias("reviewStatus"), F.array().cast("array<string>").alias("riskSignals"),
+    )
+    for found in (drafts.element_issues(rows, ["image"]), drafts.duplicate_keys(rows, rounds.keep)):
+        assert found.count() >= 40 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
