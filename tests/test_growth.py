@@ -76,3 +76,16 @@ def test_checks_of_a_draft_broadcast_no_table_of_elements(spark):
     )
     for found in (drafts.element_issues(rows, ["image"]), drafts.duplicate_keys(rows, rounds.keep)):
         assert found.count() >= 40 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_small_files_of_many_rows_are_not_broadcast_and_skew_is_dealt_out(spark, tmp_path):
+    from lattika.plans.catalogue import read
+
+    spark.range(2_000_000).select(F.lit(7).alias("k"), F.lit("x").alias("v")).write.parquet(f"{tmp_path}/t.parquet")
+    names = "spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"
+    before = [spark.conf.get(n) for n in names]
+    read(spark, str(tmp_path), "t")
+    assert [float(spark.conf.get(names[0])), int(spark.conf.get(names[1]))] == [rounds.UNPACKED, rounds.SKEWED_BYTES]
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
