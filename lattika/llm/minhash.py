@@ -194,7 +194,7 @@ def across(members: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     members: hub, rep, n (shingles), component; buckets with one hub are one group. texts: doc_id and packed. All members outside a group's largest component
     are compared with all its members. A group of more than VOLUME shingles or MEMBERS rows is dealt out into blocks
-    on either side, so each comparison holds two blocks. Texts travel packed; sets are made where they are compared.
+    on either side, so each comparison holds two blocks. Texts travel packed; sets are made where they are compared. Members are read several times: hand them over written.
     """
     largest = members.groupBy("hub", "component").count().groupBy("hub").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rows = members.join(largest, "hub").withColumn("out", F.col("component") != F.col("main"))
@@ -241,13 +241,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
 
     placed = members.join(found, members.rep == found.node, "left").select("key", "hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    inside = placed.join(open_, "key", "left_semi").groupBy("hub", "rep", "component").agg(F.max("n").alias("n"))
+    inside = materialize(placed.join(open_, "key", "left_semi").groupBy("hub", "rep", "component").agg(F.max("n").alias("n")), "inside")  # else planned and computed a dozen times below
     every = links.union(across(inside, texts, shingle, percent))
 
     ids = linkable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     shared = linkable.join(ids, "doc_id", "left_semi").join(copies, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     whole = connected_components(every.union(shared), "a", "b", materialize)
-    for done in (members, texts, links):
+    for done in (members, texts, links, inside):
         release(done)
 
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(copies, "digest", "left")
@@ -261,7 +261,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
 
     Of rows that share a doc_id the one with the least hash of all columns stays; rows without doc_id all stay.
     """
-    found = near_duplicates(docs, shingle, percent)
+    found = materialize(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "verdicts")
     gone = found.where("NOT kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
     twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, source: str, target: str, keep: Calla
     Edges with a null end and loops count for nothing.
     """
     plain = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a <> b")
-    both = keep(plain.union(plain.select("b", "a")).distinct(), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # one pass: a union of both ways plans and computes the edges twice
+    both = keep(plain.select(F.inline(ways)).distinct(), "edges")
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component"), F.lit(True).alias("fell")), "labels")
     while not labels.where("fell").isEmpty():
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))

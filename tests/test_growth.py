@@ -89,3 +89,13 @@ def test_small_files_of_many_rows_are_not_broadcast_and_skew_is_dealt_out(spark,
     assert [float(spark.conf.get(names[0])), int(spark.conf.get(names[1]))] == [rounds.UNPACKED, rounds.SKEWED_BYTES]
     for name, value in zip(names, before):
         spark.conf.set(name, value)
+
+
+def test_edges_are_read_once_for_both_ways(spark, tmp_path):
+    from lattika.operators.components import connected_components
+
+    plans = []
+    spark.range(20).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y")).write.parquet(f"{tmp_path}/e.parquet")
+    found = connected_components(spark.read.parquet(f"{tmp_path}/e.parquet"), "x", "y", kept_plans(plans))
+    assert found.count() == 21 and found.where("component = 0").count() == 21
+    assert dict(plans)["edges"].count("FileScan") == 1
