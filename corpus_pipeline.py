@@ -17,7 +17,7 @@ from lattika.llm.secrets import redact
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held on both sides of a worker's pipe.
-BATCH = 2_500
+BATCH = 1_000
 #: Rows and bytes of texts that packing encodes together, and bytes of pieces that it remembers: less than op1's, as the executors still hold what earlier stages took.
 PACKED_TEXTS, PACKED_REMEMBERED = (2_000, 2 << 20), 32 << 20
 

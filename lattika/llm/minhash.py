@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattika.llm.batches import packed, slices, unpacked
+from lattika.llm.batches import compressed, packed, restored, slices, unpacked
 from lattika.llm.common import materialize, release, table
 from lattika.llm.shingles import mix, shingle_sets
 from lattika.operators.components import connected_components
@@ -259,16 +259,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with all its columns, without the documents that `near_duplicates` does not keep.
 
-    Of rows that share a doc_id the one with the least hash of all columns stays; rows without doc_id all stay.
+    Of rows that share a doc_id the one with the least hash of all columns stays; rows without doc_id all stay. Texts travel as compressed frames.
     """
     found = materialize(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "verdicts")
     gone = found.where("NOT kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
     twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.isEmpty():
+    some = not twice.isEmpty()
+    once = compressed(docs).join(gone, "doc_id", "left_anti")
+    rest = restored(once.join(twice, "doc_id", "left_anti") if some else once)
+    if some:
         least = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-        one = rest.join(twice, "doc_id", "left_semi").withColumn("__least", least).where("__least = 1").drop("__least")
-        rest = rest.join(twice, "doc_id", "left_anti").unionByName(one)
+        one = docs.join(twice, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").withColumn("__least", least).where("__least = 1").drop("__least")
+        rest = rest.unionByName(one)
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattika.llm.batches import compressed, restored
 from lattika.llm.common import WORD, materialize, table
 
 # Weights by a source's place in code point order, repeating; the shared words as a fraction of all; copies of a document.
@@ -170,23 +171,23 @@ def take(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix as documents in its global order: the rows of `docs` with all their columns, once for each copy taken; a cut copy keeps its first words as they stand.
 
     Rows without words are not part of a mix. Rows that are equal in doc_id, text and source are told apart by number. A long text is
-    cut only at the end of the mix; an empty table gives no rows.
+    cut only at the end of the mix; an empty table gives no rows. Texts travel as compressed frames, to what is taken of them and into the order.
     """
     taken = _copies(served(docs, seed)).where("taken > 0").select("row_key", "nth", "place", "finish", "size", "taken")
     taken = materialize(taken.groupBy("row_key", "place", "nth").agg(F.max("size").alias("size"), F.collect_list(F.struct("finish", "taken")).alias("takes")), "takes")
     own = docs.columns
     key = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), "text", "source")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key.alias("key"))
+    rows = compressed(docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("row"), key.alias("key"), "text"))
     alike = taken.groupBy("row_key").count().where("count > 1").select("row_key")
     out = rows.join(taken.join(alike, "row_key", "left_anti"), rows.key == F.col("row_key"))
     if not alike.isEmpty():
         numbered = rows.join(alike, rows.key == alike.row_key, "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("key")))
         again = taken.join(alike, "row_key", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("row_key").orderBy("nth")))
         out = out.unionByName(numbered.join(again, (F.col("key") == F.col("row_key")) & (F.col("i") == F.col("n"))).drop("i", "n"))
-    out = out.select("row", "place", "nth", "size", F.inline("takes"))
-    first = first_words(F.col("row.text"), F.col("taken"))
-    text = F.when(F.col("taken") < F.col("size"), first).otherwise(F.col("row.text"))
+    out = out.select("row", "text", "place", "nth", "size", F.inline("takes"))
     out = out.repartitionByRange("finish", "place", "nth").sortWithinPartitions("finish", "place", "nth")
+    out = restored(out.select("row", "text", "size", "taken"))
+    text = F.when(F.col("taken") < F.col("size"), first_words(F.col("text"), F.col("taken"))).otherwise(F.col("text"))
     return out.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in own])
 
 

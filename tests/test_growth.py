@@ -99,3 +99,37 @@ def test_edges_are_read_once_for_both_ways(spark, tmp_path):
     found = connected_components(spark.read.parquet(f"{tmp_path}/e.parquet"), "x", "y", kept_plans(plans))
     assert found.count() == 21 and found.where("component = 0").count() == 21
     assert dict(plans)["edges"].count("FileScan") == 1
+
+
+def test_whole_texts_cross_shuffles_as_frames(spark):
+    import random
+
+    from lattika.llm.minhash import drop_near_duplicates
+    from lattika.llm.mixing import take
+
+    rnd = random.Random(2)
+    texts = [" ".join("%08x" % rnd.getrandbits(32) for _ in range(4_500)) + " " for _ in range(40)]
+    rows = [(i, t * 3, "ab"[i % 2], i) for i, t in enumerate(texts)] + [(100, texts[0] * 3, "a", 0), (101, None, None, 0), (None, "x y", "b", 1), (3, "of an id twice", "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(3)
+    whole = sum(len(t or "") for _, t, *_ in rows)
+    sc = spark.sparkContext
+
+    def sent():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    docs = rounds.keep(docs, "docs")
+    try:
+        began = sent()
+        kept = drop_near_duplicates(docs).collect()
+        dropped = sent()
+        mixed = take(docs).collect()
+        assert max(dropped - began, sent() - dropped) < 1.5 * whole
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text = {i: t for i, t, *_ in rows if i != 3}
+    assert sorted((str(r.doc_id), r.n) for r in kept if r.doc_id != 3) == sorted((str(i), n) for i, _, _, n in rows if i not in (100, 3)) and all(r.text == text[r.doc_id] for r in kept if r.doc_id != 3)
+    assert len([r for r in kept if r.doc_id == 3]) == 1 and all(text[r.doc_id].startswith(r.text) for r in mixed if r.doc_id != 3)
+    assert sum(len(r.text.split()) for r in mixed) == 3 * sum(len((t or "").split()) for _, t, *_ in rows) // 2
