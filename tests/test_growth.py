@@ -133,3 +133,22 @@ def test_whole_texts_cross_shuffles_as_frames(spark):
     assert sorted((str(r.doc_id), r.n) for r in kept if r.doc_id != 3) == sorted((str(i), n) for i, _, _, n in rows if i not in (100, 3)) and all(r.text == text[r.doc_id] for r in kept if r.doc_id != 3)
     assert len([r for r in kept if r.doc_id == 3]) == 1 and all(text[r.doc_id].startswith(r.text) for r in mixed if r.doc_id != 3)
     assert sum(len(r.text.split()) for r in mixed) == 3 * sum(len((t or "").split()) for _, t, *_ in rows) // 2
+
+
+def test_one_stream_is_hashed_by_many_tasks(spark, monkeypatch):
+    import hashlib
+    import random
+
+    from lattika.operators import hashing
+
+    rnd, turns, plan = random.Random(4), [], hashing._turns
+    rows = [(f"p{rnd.randrange(400):03d}", rnd.randbytes(rnd.choice([0, 1, 63, 64, 500]))) for _ in range(300)] + [("q", rnd.randbytes(5_000)), ("r", None)]
+    df = spark.createDataFrame(rows, "path string, content binary").repartition(5)
+    want = hashlib.sha256(b"".join(p.encode() + b"\0" + (c or b"") + b"\0" for p, c in sorted(rows, key=lambda r: (r[0], hashlib.sha256(r[0].encode() + b"\0" + (r[1] or b"") + b"\0").hexdigest())))).hexdigest()
+    for name, value in (("PIECE", 100), ("STRETCH", 12_000), ("RANGE_BYTES", 3_000), ("RANGE_ROWS", 50)):
+        monkeypatch.setattr(hashing, name, value)
+    monkeypatch.setattr(hashing, "_turns", lambda sizes: turns.extend([sizes, plan(sizes)]) or turns[1])
+    assert hashing.files_hash(df).first()[0] == want
+    sizes, found = turns
+    assert len(found) > 2 and [p for low, high in found for p, _ in sizes if low <= p <= high] == [p for p, _ in sizes]
+    assert max(sum(n for p, n in sizes if low <= p <= high) for low, high in found) <= 12_000
